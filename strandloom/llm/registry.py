@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .queries_dedup import OP2_SQL, op2_stream_dedup
 from .queries_sharding import OP1_SQL, op1_hilbert_shards
 
-QUERIES = {"op1_hilbert_shards": op1_hilbert_shards}
-SQL = {"op1_hilbert_shards": OP1_SQL}
+QUERIES = {"op1_hilbert_shards": op1_hilbert_shards, "op2_stream_dedup": op2_stream_dedup}
+SQL = {"op1_hilbert_shards": OP1_SQL, "op2_stream_dedup": OP2_SQL}
