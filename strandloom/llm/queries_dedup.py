@@ -1,4 +1,4 @@
-"""Query and SQL for the exact deduplication."""
+"""Queries and SQL for exact and near deduplication."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER
+from .simhash import simhash_components
 from .stream_dedup import exact_dedup
 
 
@@ -19,3 +20,8 @@ WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM t
 """
+
+
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from .queries_dedup import OP2_SQL, op2_stream_dedup
-from .queries_sharding import OP1_SQL, op1_hilbert_shards
+from . import queries_dedup, queries_sharding
 
-QUERIES = {"op1_hilbert_shards": op1_hilbert_shards, "op2_stream_dedup": op2_stream_dedup}
-SQL = {"op1_hilbert_shards": OP1_SQL, "op2_stream_dedup": OP2_SQL}
+QUERIES = {
+    "op1_hilbert_shards": queries_sharding.op1_hilbert_shards,
+    "op2_stream_dedup": queries_dedup.op2_stream_dedup,
+    "op3_simhash_components": queries_dedup.op3_simhash_components,
+}
+SQL = {
+    "op1_hilbert_shards": queries_sharding.OP1_SQL,
+    "op2_stream_dedup": queries_dedup.OP2_SQL,
+}
