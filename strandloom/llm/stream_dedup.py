@@ -26,6 +26,7 @@ STATE_CONF = {
     PROVIDER: ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 #: Bytes of hit locators that may be broadcast; beyond it hits meet their texts in a shuffled join.
