@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_sharding
+from . import queries_dedup, queries_sharding, queries_tokens
 
 QUERIES = {
     "op1_hilbert_shards": queries_sharding.op1_hilbert_shards,
     "op2_stream_dedup": queries_dedup.op2_stream_dedup,
     "op3_simhash_components": queries_dedup.op3_simhash_components,
+    "op5_numpy_bpe": queries_tokens.op5_numpy_bpe,
 }
 SQL = {
     "op1_hilbert_shards": queries_sharding.OP1_SQL,
