@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .sstable import read_shards, write_shards
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -26,3 +27,7 @@ def round_trip(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
 
 def op5_numpy_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_token_sstables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_spec(WORD_BPE), end_id=1))

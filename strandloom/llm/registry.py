@@ -9,6 +9,7 @@ QUERIES = {
     "op2_stream_dedup": queries_dedup.op2_stream_dedup,
     "op3_simhash_components": queries_dedup.op3_simhash_components,
     "op5_numpy_bpe": queries_tokens.op5_numpy_bpe,
+    "op7_token_sstables": queries_tokens.op7_token_sstables,
 }
 SQL = {
     "op1_hilbert_shards": queries_sharding.OP1_SQL,
