@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_place(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns of df with the file and row of each row's content; frames that are not files are written first."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return df.select(*columns, *place)
+    except AnalysisException:
+        return materialize(df.select(*columns), "placed").select(*columns, *place)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. All-ASCII texts take the engine's byte-wise lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_mixing, queries_sharding, queries_tokens
+from . import queries_dedup, queries_mixing, queries_sharding, queries_tokens, queries_web
 
 QUERIES = {
     "op1_hilbert_shards": queries_sharding.op1_hilbert_shards,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_simhash_components": queries_dedup.op3_simhash_components,
     "op5_numpy_bpe": queries_tokens.op5_numpy_bpe,
     "op7_token_sstables": queries_tokens.op7_token_sstables,
+    "op9_warc_captures": queries_web.op9_warc_captures,
     "op10_mix_sources": queries_mixing.op10_mix_sources,
 }
 SQL = {
     "op1_hilbert_shards": queries_sharding.OP1_SQL,
     "op2_stream_dedup": queries_dedup.OP2_SQL,
+    "op9_warc_captures": queries_web.OP9_SQL,
     "op10_mix_sources": queries_mixing.OP10_SQL,
 }
