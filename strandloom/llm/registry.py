@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_mixing, queries_sharding, queries_tokens, queries_web
+from . import queries_dedup, queries_mixing, queries_scan, queries_sharding, queries_tokens, queries_web
 
 QUERIES = {
     "op1_hilbert_shards": queries_sharding.op1_hilbert_shards,
     "op2_stream_dedup": queries_dedup.op2_stream_dedup,
     "op3_simhash_components": queries_dedup.op3_simhash_components,
+    "op4_license_scan": queries_scan.op4_license_scan,
     "op5_numpy_bpe": queries_tokens.op5_numpy_bpe,
     "op7_token_sstables": queries_tokens.op7_token_sstables,
     "op9_warc_captures": queries_web.op9_warc_captures,
