@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_mixing, queries_scan, queries_sharding, queries_tokens, queries_web
+from . import queries_dedup, queries_mixing, queries_scan, queries_sharding, queries_tokens, queries_vectors, queries_web
 
 QUERIES = {
     "op1_hilbert_shards": queries_sharding.op1_hilbert_shards,
@@ -11,12 +11,14 @@ QUERIES = {
     "op4_license_scan": queries_scan.op4_license_scan,
     "op5_numpy_bpe": queries_tokens.op5_numpy_bpe,
     "op7_token_sstables": queries_tokens.op7_token_sstables,
+    "op8_pivot_top_k": queries_vectors.op8_pivot_top_k,
     "op9_warc_captures": queries_web.op9_warc_captures,
     "op10_mix_sources": queries_mixing.op10_mix_sources,
 }
 SQL = {
     "op1_hilbert_shards": queries_sharding.OP1_SQL,
     "op2_stream_dedup": queries_dedup.OP2_SQL,
+    "op8_pivot_top_k": queries_vectors.OP8_SQL,
     "op9_warc_captures": queries_web.OP9_SQL,
     "op10_mix_sources": queries_mixing.OP10_SQL,
 }
