@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_mixing, queries_scan, queries_sharding, queries_tokens, queries_vectors, queries_web
+from . import queries_dedup, queries_language, queries_mixing, queries_scan, queries_sharding, queries_tokens, queries_vectors, queries_web
 
 QUERIES = {
     "op1_hilbert_shards": queries_sharding.op1_hilbert_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_components": queries_dedup.op3_simhash_components,
     "op4_license_scan": queries_scan.op4_license_scan,
     "op5_numpy_bpe": queries_tokens.op5_numpy_bpe,
+    "op6_byte_bigru": queries_language.op6_byte_bigru,
     "op7_token_sstables": queries_tokens.op7_token_sstables,
     "op8_pivot_top_k": queries_vectors.op8_pivot_top_k,
     "op9_warc_captures": queries_web.op9_warc_captures,
