@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -226,6 +227,22 @@ def learn(docs: DataFrame, learnable: Column, sample_docs: int = SAMPLE_DOCS, st
     return ByteBiGru.fresh(labels).train(np.frombuffer(b"".join(windows), np.uint8).reshape(len(windows), SAMPLE_BYTES), np.array(label), steps)
 
 
+def with_languages(docs: DataFrame, model: ByteBiGru) -> DataFrame:
+    """docs with the columns lang_pred and score; every column passes through as it is."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = sent.value.predict([t.as_py() or b"" for t in part.column(at).cast(pa.binary())])
+                more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
 def predict_languages(docs: DataFrame, model: ByteBiGru) -> DataFrame:
     """doc_id, lang_pred and score for every row of docs (doc_id, text).
 
