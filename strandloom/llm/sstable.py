@@ -14,10 +14,12 @@ A shard holds documents in key order: blocks, then a Bloom filter, a sparse inde
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
@@ -29,16 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_alphabet
 from .common import materialize, scratch_path
 from .files import open_fs
 
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 << 10, 10, 7
 MARK = b"SLIDSST1"
 _FOOTER = struct.Struct("<6QB7x8s")
-#: Chunks kept with their ids per Python worker.
-CACHE_CHUNKS = 200_000
+#: Pieces, and runs without blanks, kept with their ids per Python worker.
+CACHE_PIECES, CACHE_CHUNKS = 300_000, 600_000
 #: Bytes of a long text that are encoded at once, to the next blank.
 PIECE_BYTES = 1 << 20
+_PUNCTUATION = rb"!-&(-/:-@\[-`{-~"
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]"
+_PIECES = re.compile(
+    rb"(?:[a-z]|%(latin)b)++(?=[\s0-9%(marks)b]|\Z)|[0-9]{1,3}(?=[\s0-9a-z%(marks)b]|%(latin)b|\Z)|[%(marks)b]++(?=[\sa-z0-9]|%(latin)b|\Z)|\S+"
+    % {b"latin": _LATIN, b"marks": _PUNCTUATION}
+)
+_ENCODERS: dict = {}
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -181,47 +191,90 @@ class Reader:
         return found
 
 
+class _Pieces(dict):
+    """Ids of pieces, encoded by the library when first met; a full store starts anew.
+
+    On a piece of Latin letters alone the tokenizer's normaliser only lowers and its splitter keeps it whole, so the
+    library's model is asked directly.
+    """
+
+    def __init__(self, library: Tokenizer) -> None:
+        self.library, self.model = library, library.model
+        self.letters = re.compile(rb"(?:[a-z]|%b)+" % _LATIN)
+        self.alphabet = [c for c, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        self[piece] = found = array("I", self._encode(piece)).tobytes()
+        return found
+
+    def _encode(self, piece: bytes) -> list[int]:
+        if piece.isalpha() and piece.islower():
+            return [t.id for t in self.model.tokenize(piece.decode())]
+        if self.letters.fullmatch(piece):
+            lowered = piece.decode().lower().encode()
+            return [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, lowered)))]
+        return self.library.encode(piece.decode(), add_special_tokens=False).ids
+
+
+class _Chunks(dict):
+    """Ids of runs without blanks, joined from their pieces when first met; a full store starts anew."""
+
+    def __init__(self, pieces: _Pieces) -> None:
+        self.pieces = pieces
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        self[chunk] = found = b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
+        return found
+
+
 class ChunkEncoder:
-    """A library tokenizer that drops white space and never joins across it, run once per distinct chunk.
+    """A library tokenizer that drops white space and never joins across it, run once per distinct piece.
 
-    Texts are cut at ASCII blanks; the ids of a text are those of its chunks in order.
+    Texts are cut at ASCII blanks, and between runs of Latin letters, of digits and of ASCII punctuation other than
+    the apostrophe, and inside long numbers; there the tokenizer's pattern always cuts too, and no normal form
+    composes across. Whatever is followed by another character stays whole up to the next blank. A-Z is
+    lowered first, as the tokenizer does; texts that may hold special tokens are only cut at blanks.
     """
 
     def __init__(self, spec: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run as many tasks as they have cores
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[bytes, bytes] = {}
+        self.pieces = _Pieces(self.library)
+        self.chunks = _Chunks(self.pieces)
+
+    @classmethod
+    def shared(cls, spec: str) -> ChunkEncoder:
+        """One encoder per Python worker, so later tasks find its pieces."""
+        if spec not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[spec] = cls(spec)
+        return _ENCODERS[spec]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text; a long one goes through in pieces that end at blanks."""
+        """Ids of each text; a long one goes through in parts that end at blanks."""
         if len(texts) == 1 and len(texts[0]) > PIECE_BYTES:
-            text, pieces, at = texts[0], [], 0
+            text, parts, at = texts[0], [], 0
             while at < len(text):
                 blank = _BLANK.search(text, at + PIECE_BYTES)
                 end = blank.start() if blank else len(text)
-                pieces.append(self._chunks([text[at:end]])[0])
+                parts += self._encode([text[at:end]])
                 at = end
-            return [np.concatenate(pieces)]
-        return self._chunks(texts)
-
-    def _chunks(self, texts: list[bytes]) -> list[np.ndarray]:
-        parts = [t.split() for t in texts]
-        wanted = set().union(*parts)
-        new = wanted.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_CHUNKS:
-            self.cache.clear()
-            new = wanted
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for chunk, e in zip(some, self.library.encode_batch([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self.cache[chunk] = np.array(e.ids, "<u4").tobytes()
-        look = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(look, p)), "<u4") for p in parts]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+            return [np.concatenate(parts)]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        pieces, chunks = self.pieces.__getitem__, self.chunks.__getitem__
+        found = (map(pieces, t.split()) if b"<|" in t else map(chunks, t.lower().split()) for t in texts)
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[list, list[bytes]]]:
     """Identifiers and texts of a few rows at a time, about most bytes together."""
     ids, texts, size = [], [], 0
     for batch in batches:
@@ -254,7 +307,7 @@ def write_shards(docs: DataFrame, spec: str, end_id: int, path: str | None = Non
     sent = spark.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(sent.value)
+        encoder = ChunkEncoder.shared(sent.value)
         width = 2 if max(encoder.library.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
         shard = TaskContext.get().partitionId()
         system, folder = open_fs(path)
