@@ -64,6 +64,11 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """Differing bits of longs; counted on unsigned words, as the count of a negative number is that of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
     """2^(radius+1) - 1 masks as signed longs; bit i has vector i mod (2^(radius+1) - 1) + 1."""
     vectors = [i % ((1 << (radius + 1)) - 1) + 1 for i in range(bits)]
@@ -83,7 +88,7 @@ def _links_of(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= radius
+            near = bits_apart(left, at) <= radius
             if near.any():
                 found = left[near]
                 out += [(int(at), int(x)) for x in found]
@@ -101,7 +106,7 @@ def _link_runs(radius: int):
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(b)]])
             two = ends - starts == 2
             x, y = f[starts[two]], f[starts[two] + 1]
-            near = np.bitwise_count(x ^ y) <= radius
+            near = bits_apart(x, y) <= radius
             more = [p for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True) for p in _links_of(f[s:e], radius)]
             a = np.concatenate([x[near], np.array([p[0] for p in more], np.int64)])
             c = np.concatenate([y[near], np.array([p[1] for p in more], np.int64)])

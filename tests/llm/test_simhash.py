@@ -69,7 +69,8 @@ def test_empty(spark):
 def test_links_of_midpoints_and_buckets_agree(spark):
     rng = np.random.default_rng(3)
     centre = int(rng.integers(0, 1 << 62))
-    fps = sorted({centre ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 4), replace=False)) for _ in range(200)})
+    fps = sorted({centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(200)})
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     a, b = ({(r.node, r.root) for r in components(near_links(df, 4, limit)).collect()} for limit in (1, 1 << 15))
     assert a == b and len({r for _, r in a}) == 1
@@ -83,3 +84,17 @@ def test_components_of_a_chain_and_a_hub(spark):
 
 def test_fingerprint_counts_repeats():
     assert fingerprint(b"x y z w " * 3) == fingerprint(b"X Y\tZ W x y z w x y z w") and fingerprint(None) == 0
+
+
+def test_every_close_pair_is_linked_whatever_its_bits(spark):
+    rng = random.Random(4)
+    fps = set()
+    for _ in range(60):
+        a = rng.getrandbits(64)
+        fps |= {a, a ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))), a ^ (1 << 63) ^ (1 << rng.randrange(63))}
+    signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
+    got = {r.node: r.root for r in components(near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 4)).collect()}
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+                assert got[a] == got[b]
