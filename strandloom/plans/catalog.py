@@ -1,4 +1,10 @@
 """Every named query with its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import queries_eval, queries_reads
+
+_MODULES = (queries_reads, queries_eval)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
