@@ -175,9 +175,14 @@ def from_colours(colours: str, guide: str, quality: list[int] | None = None, cha
     return "".join("acgt"[b] for b in reversed(out))
 
 
-@F.pandas_udf("int")
-def overlap_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else overlap_score(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def overlap_scores(a: Column, b: Column) -> Column:
+    """overlap_score of two columns, in Arrow batches; null for nulls."""
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else overlap_score(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")
+
+    return run(a, b)
 
 
 def similar(a: Column, b: Column, allowed: int) -> Column:

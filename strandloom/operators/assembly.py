@@ -122,7 +122,7 @@ def assemble(reads: DataFrame, options: Extension = Extension()) -> tuple[DataFr
         places = defaultdict(list)
         for tid, read, pos, rc in placements:
             places[tid].append({"read_id": read, "pos": pos, "is_rc": rc})
-        return out.assign(placements=[places[t] for t in out.tid])
+        return out.assign(placements=pd.Series([places[t] for t in out.tid], dtype=object))
 
     found = rows.groupBy("comp_id").applyInPandas(walk, "tid long, seq string, n_reads long, pairs long, placements array<struct<read_id: long, pos: int, is_rc: boolean>>")
     return found.drop("placements"), found.select("tid", F.explode("placements").alias("p")).select("tid", "p.*")
