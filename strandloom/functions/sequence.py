@@ -146,7 +146,7 @@ def is_left(read_id: Column | str) -> Column:
 
 def is_towards_built(read_id: Column | str, is_rc: Column | str, ori: int) -> Column:
     """Does the mate lie in the part of the template that is already built? ori 0 extends to the right, 1 to the left."""
-    agrees = is_left(read_id) != col(is_rc)
+    agrees = is_left(read_id) == col(is_rc)
     return agrees if ori == 0 else ~agrees
 
 

@@ -137,7 +137,7 @@ def read_psl(spark: SparkSession, path: str, min_match: int = 0, drop_self: bool
     cols = []
     for i, field in enumerate(PSL.split(", ")):
         name, kind = field.split()
-        value = F.col("c").getItem(i)
+        value = F.get(F.col("c"), F.lit(i))
         cols.append((F.filter(F.split(value, ","), lambda x: x != "").cast(kind) if kind.startswith("array") else value.cast(kind)).alias(name))
     out = lines.select("line", *cols).where(F.col("matches") >= min_match)
     whole = (F.col("q_name") == F.col("t_name")) & (F.col("block_count") == 1) & (F.element_at("block_sizes", 1) == F.col("q_size"))
@@ -156,23 +156,23 @@ def read_solid(spark: SparkSession, path: str) -> DataFrame:
 def read_gene_models(spark: SparkSession, path: str, most: int = 60_000) -> DataFrame:
     """id, ref, strand, exons (s, e): a table with a header line, columns 1, 2, 3, 8, 9 and 10 (from 0); the first most lines."""
     rows = numbered_lines(spark, path).where((F.col("line") > 0) & (F.col("line") <= most)).select("line", F.split("value", "\t").alias("c"))
-    ends = lambda i: F.filter(F.split(F.col("c").getItem(i), ","), lambda x: x != "").cast("array<int>")
+    ends = lambda i: F.filter(F.split(F.get(F.col("c"), F.lit(i)), ","), lambda x: x != "").cast("array<int>")
     exons = F.zip_with(ends(9), ends(10), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
-    return rows.select("line", F.col("c").getItem(1).alias("id"), F.col("c").getItem(2).alias("ref"), F.col("c").getItem(3).alias("strand"), F.slice(exons, F.lit(1), F.col("c").getItem(8).cast("int")).alias("exons"))
+    return rows.select("line", F.get(F.col("c"), F.lit(1)).alias("id"), F.get(F.col("c"), F.lit(2)).alias("ref"), F.get(F.col("c"), F.lit(3)).alias("strand"), F.slice(exons, F.lit(1), F.get(F.col("c"), F.lit(8)).cast("int")).alias("exons"))
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
     """tid, out_ids, in_ids, right, shift of a roadmap table; -1 stands for nothing."""
     c = F.split("value", "\t")
-    ids = lambda i: F.filter(F.split(c.getItem(i), ",").cast("array<long>"), lambda x: x.isNotNull() & (x >= 0))
-    right = F.split(c.getItem(3), ",").cast("array<long>")
-    return spark.read.text(path).select(c.getItem(0).cast("long").alias("tid"), ids(1).alias("out_ids"), ids(2).alias("in_ids"), F.when(F.get(right, F.lit(0)) >= 0, F.get(right, F.lit(0))).alias("right"), F.when(F.get(right, F.lit(0)) >= 0, F.get(right, F.lit(1))).alias("shift"))
+    ids = lambda i: F.filter(F.filter(F.split(F.get(c, F.lit(i)), ","), lambda x: x != "").cast("array<long>"), lambda x: x >= 0)
+    right = F.split(F.get(c, F.lit(3)), ",").cast("array<long>")
+    return spark.read.text(path).select(F.get(c, F.lit(0)).cast("long").alias("tid"), ids(1).alias("out_ids"), ids(2).alias("in_ids"), F.when(F.get(right, F.lit(0)) >= 0, F.get(right, F.lit(0))).alias("right"), F.when(F.get(right, F.lit(0)) >= 0, F.get(right, F.lit(1))).alias("shift"))
 
 
 def read_placements(spark: SparkSession, path: str) -> DataFrame:
     """tid, read_id, shift of a placements table with id_shift items."""
     c = F.split("value", "\t")
-    rows = spark.read.text(path).select(c.getItem(0).cast("long").alias("tid"), F.explode(F.filter(F.split(c.getItem(1), ","), lambda x: x.contains("_"))).alias("item"))
+    rows = spark.read.text(path).select(F.get(c, F.lit(0)).cast("long").alias("tid"), F.explode(F.filter(F.split(F.get(c, F.lit(1)), ","), lambda x: x.contains("_"))).alias("item"))
     return rows.select("tid", F.split("item", "_").getItem(0).cast("long").alias("read_id"), F.split("item", "_").getItem(1).cast("int").alias("shift"))
 
 
@@ -186,10 +186,10 @@ def load_graph(spark: SparkSession, graph: str, placed: str, fasta: str) -> tupl
 def read_annotation(spark: SparkSession, ann: str, amb: str) -> tuple[DataFrame, DataFrame]:
     """contigs (name, offset, len, n_ambs) and holes (offset, len, base) of a packed reference's side files."""
     a = numbered_lines(spark, ann).where("line > 0").select(F.floor((F.col("line") - 1) / 2).alias("i"), ((F.col("line") - 1) % 2).alias("half"), F.split("value", " ").alias("c"))
-    one = lambda h, i: F.max(F.when(F.col("half") == h, F.col("c").getItem(i)))
+    one = lambda h, i: F.max(F.when(F.col("half") == h, F.get(F.col("c"), F.lit(i))))
     contigs = a.groupBy("i").agg(one(0, 1).alias("name"), one(1, 0).cast("long").alias("offset"), one(1, 1).cast("long").alias("len"), one(1, 2).cast("int").alias("n_ambs")).drop("i")
     holes = numbered_lines(spark, amb).where("line > 0").select(F.split("value", " ").alias("c"))
-    return contigs, holes.select(F.col("c").getItem(0).cast("long").alias("offset"), F.col("c").getItem(1).cast("long").alias("len"), F.col("c").getItem(2).alias("base"))
+    return contigs, holes.select(F.get(F.col("c"), F.lit(0)).cast("long").alias("offset"), F.get(F.col("c"), F.lit(1)).cast("long").alias("len"), F.get(F.col("c"), F.lit(2)).alias("base"))
 
 
 def merged_sequence(seqs: DataFrame) -> DataFrame:
