@@ -17,12 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Words kept with their ids per Python worker; a full store starts anew.
 CACHE_WORDS = 200_000
 #: Characters of texts, or words of one long text, that are encoded in one batch.
 BATCH_CHARS, BATCH_WORDS = 1 << 20, 1 << 18
 #: Bytes of output after which a batch is handed on.
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 #: Fixed value: the public pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.iinfo(np.int64).max
@@ -190,7 +192,7 @@ def bpe_encode(docs: DataFrame, spec: str) -> DataFrame:
 
         yield from _columns(rows(), ["doc_id", "ids"], [pa.int64(), pa.binary()])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, spec: str) -> DataFrame:
@@ -202,4 +204,23 @@ def bpe_decode(encoded: DataFrame, spec: str) -> DataFrame:
         rows = ((d.as_py(), i := x.as_py() or b"", bpe.decode(i)) for b in batches for d, x in zip(b.column(0), b.column(1), strict=True))
         yield from _columns(rows, ["doc_id", "ids", "text"], [pa.int64(), pa.binary(), pa.string()])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, ids binary, text string")
+
+
+def bpe_round_trip(docs: DataFrame, spec: str) -> DataFrame:
+    """doc_id, ids and the text decoded from them, for every row of docs (doc_id, text): both ways in one Python worker."""
+    sent = docs.sparkSession.sparkContext.broadcast(spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = NumpyBpe(sent.value)
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    for d, ids in zip(part.column(0).to_pylist(), bpe.encode_batch([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                        yield d, ids, bpe.decode(ids)
+
+        yield from _columns(rows(), ["doc_id", "ids", "text"], [pa.int64(), pa.binary(), pa.string()])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, ids binary, text string")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, trimmed
 
 HIDDEN, WINDOW, ROWS = 8, 128, 2048
 #: The sample: at most so many documents, balanced over languages, and so many windows of so many bytes of each.
@@ -240,7 +240,7 @@ def with_languages(docs: DataFrame, model: ByteBiGru) -> DataFrame:
                 more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def predict_languages(docs: DataFrame, model: ByteBiGru) -> DataFrame:
@@ -264,7 +264,7 @@ def predict_languages(docs: DataFrame, model: ByteBiGru) -> DataFrame:
             if ids:
                 yield _predicted(ids, sent.value.predict(texts))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double")
 
 
 def _predicted(ids: list, found: list[tuple[str, float]]) -> pa.RecordBatch:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .license_texts import BASE_PHRASES, TEMPLATES
 
 #: Rarest words of a template that vote, votes a start needs (a base phrase needs all), and share of words in place.
@@ -134,7 +135,7 @@ def word_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
                 counts.update(set().union(*(vocabulary.intersection(p) for p in pieces(text.as_py() or b""))))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {bytes(r.word): r.n for r in rows}
     return counts, counts.pop(b"", 0)
 
@@ -166,4 +167,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize
+from .common import join_groups, materialize, trimmed
 from .components import components
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def bits_apart(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_alphabet
-from .common import materialize, scratch_path
+from .common import materialize, scratch_path, trimmed
 from .files import open_fs
 
 BLOCK_BYTES, BITS_PER_KEY, HASHES = 64 << 10, 10, 7
@@ -326,7 +326,7 @@ def write_shards(docs: DataFrame, spec: str, end_id: int, path: str | None = Non
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{path}/{name.rpartition('/')[2]}"], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "token-manifest")
+    return materialize(rows.mapInArrow(trimmed(run), "shard int, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -354,4 +354,4 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("shard", "path").repartition(max(1, len(totals))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("shard", "path").repartition(max(1, len(totals))).mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -56,6 +56,9 @@ def test_rows(spark):
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want, key=repr)
     assert round_trip(docs.limit(0)).collect() == []
+    spec = tokenizer_spec(BYTE_BPE)
+    apart = sorted(map(tuple, module.bpe_decode(module.bpe_encode(docs, spec), spec).collect()), key=repr)
+    assert apart == sorted(map(tuple, module.bpe_round_trip(docs, spec).collect()), key=repr)
 
 
 def test_documents_match_the_library(spark):
