@@ -153,7 +153,7 @@ def candidate_overlaps(templates: DataFrame, k: int = MIN_OVERLAP) -> DataFrame:
     return probes.join(seeds, "kmer").where("src <> dst").select("src", "dst", "is_rc").distinct()
 
 
-def overlap_pairs(templates: DataFrame, allowed: int = 2, least: int = MIN_OVERLAP) -> DataFrame:
+def overlap_pairs(templates: DataFrame, allowed: int = MAX_MISMATCHES, least: int = MIN_OVERLAP) -> DataFrame:
     """src, dst, ol, mismatches: right end of src on the left end of dst, by the two-phase overlap finder, for pairs that share an
     end k-mer on the same strand."""
     pairs = candidate_overlaps(templates).where("not is_rc").select("src", "dst")
@@ -167,7 +167,7 @@ def insert_feasible(distance: F.Column, insert: int, sd: int) -> F.Column:
     return distance <= insert + SD_TIMES * sd
 
 
-def merge_round(templates: DataFrame, placements: DataFrame, allowed: int = 2) -> tuple[DataFrame, DataFrame, int]:
+def merge_round(templates: DataFrame, placements: DataFrame, allowed: int = MAX_MISMATCHES) -> tuple[DataFrame, DataFrame, int]:
     """One round of merging overlapping templates: every template takes part in one merge at most.
 
     Overlaps of MIN_OVERLAP bases or more with under a fifth of them mismatches count, the longest first. An overlap is merged
@@ -190,7 +190,7 @@ def merge_round(templates: DataFrame, placements: DataFrame, allowed: int = 2) -
     return out, written(placed, "placements"), n
 
 
-def merge_to_fixpoint(templates: DataFrame, placements: DataFrame, allowed: int = 2) -> tuple[DataFrame, DataFrame]:
+def merge_to_fixpoint(templates: DataFrame, placements: DataFrame, allowed: int = MAX_MISMATCHES) -> tuple[DataFrame, DataFrame]:
     for _ in range(MOST_ROUNDS):
         templates, placements, n = merge_round(templates, placements, allowed)
         if not n:

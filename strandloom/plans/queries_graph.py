@@ -200,7 +200,7 @@ ends AS (SELECT p FROM ph WHERE len(p) = 6 OR NOT EXISTS (SELECT 1 FROM thin WHE
 _PROBE = """pr AS (SELECT tid AS src, unnest([substr(seq, 1, 11), substr(seq, 12, 11), right(seq, 11), substr(right(seq, 22), 1, 11)]) AS e FROM hv), ps AS (SELECT src, false AS is_rc, e AS k FROM pr UNION SELECT src, true, reverse(translate(e, 'acgt', 'tgca')) FROM pr),
 sd AS (SELECT DISTINCT tid AS dst, substr(seq, i::BIGINT, 11) AS k FROM (SELECT tid, seq, unnest(range(1, length(seq) - 9)) AS i FROM hv)), cand AS (SELECT DISTINCT src, dst, is_rc FROM ps JOIN sd USING (k) WHERE src <> dst)"""
 _OVERLAP = f"""{_PROBE}, cs AS (SELECT src, dst FROM cand WHERE NOT is_rc UNION SELECT dst, src FROM cand WHERE NOT is_rc), cl AS (SELECT c.src, c.dst, a.seq AS l, b.seq AS r, least(length(a.seq), length(b.seq)) AS m FROM cs c JOIN hv a ON a.tid = c.src JOIN hv b ON b.tid = c.dst),
-ol AS (SELECT src, dst, l, r, coalesce(list_min(list_filter([2, 3]::BIGINT[], lambda n: hamming(right(l, n), left(r, n)) <= 1)), list_max(list_filter(range(4, m + 1), lambda n: hamming(right(l, n), left(r, n)) <= 2)), 0)::INT AS ol FROM cl), op AS (SELECT src, dst, ol, least(hamming(right(l, ol), left(r, ol)), 2)::INT AS mismatches FROM ol WHERE ol >= 11)"""
+ol AS (SELECT src, dst, l, r, coalesce(list_min(list_filter(range(11, 22), lambda n: hamming(right(l, n), left(r, n)) <= 1)), list_max(list_filter(range(22, m + 1), lambda n: hamming(right(l, n), left(r, n)) <= 11)), 0)::INT AS ol FROM cl), op AS (SELECT src, dst, ol, least(hamming(right(l, ol), left(r, ol)), 11)::INT AS mismatches FROM ol WHERE ol >= 11)"""
 
 SQL = {
     "graph_components": f"WITH RECURSIVE {_COMP.format(links=_LINKS, t='few')} SELECT tid, min(r) AS comp_id FROM re GROUP BY tid",
