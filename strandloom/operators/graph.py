@@ -24,15 +24,15 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = written(links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "links")
     labels = written(nodes.select("tid", F.col("tid").alias("comp_id")).distinct(), "labels")
+    total = None  # labels only fall, so an equal sum tells that none moved
     for _ in range(MOST_ROUNDS):
+        before, total = total, labels.agg(F.sum(F.col("comp_id").cast("decimal(38,0)"))).first()[0]
+        if before == total:
+            return labels
         near = both.join(labels.withColumnRenamed("tid", "dst"), "dst").groupBy("src").agg(F.min("comp_id").alias("near"))
         hooked = labels.join(near, F.col("tid") == F.col("src"), "left").select("tid", F.least("comp_id", F.coalesce("near", "comp_id")).alias("comp_id"))
         jump = hooked.select(F.col("tid").alias("at"), F.col("comp_id").alias("further"))
-        new = written(hooked.join(jump, F.col("comp_id") == F.col("at"), "left").select("tid", F.least("comp_id", F.coalesce("further", "comp_id")).alias("comp_id")), "labels")
-        moved = new.join(labels.withColumnRenamed("comp_id", "old"), "tid").where("comp_id <> old").isEmpty()
-        labels = new
-        if moved:
-            return labels
+        labels = written(hooked.join(jump, F.col("comp_id") == F.col("at"), "left").select("tid", F.least("comp_id", F.coalesce("further", "comp_id")).alias("comp_id")), "labels")
     raise RuntimeError("components did not settle")
 
 
