@@ -70,8 +70,15 @@ def bits_apart(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
-    """2^(radius+1) - 1 masks as signed longs; bit i has vector i mod (2^(radius+1) - 1) + 1."""
-    vectors = [i % ((1 << (radius + 1)) - 1) + 1 for i in range(bits)]
+    """2^(radius+1) - 1 masks as signed longs.
+
+    With 2^radius bits or fewer, the vectors all have the top bit set and differ, so one mask keeps every bit and each other
+    mask about half of them; with more bits the vectors 1, 2, ... repeat.
+    """
+    if bits <= 1 << radius:
+        vectors = [(1 << radius) + i for i in range(bits)]
+    else:
+        vectors = [i % ((1 << (radius + 1)) - 1) + 1 for i in range(bits)]
     kept = (sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, 1 << (radius + 1)))
     return [m - (1 << 64) if m >> 63 else m for m in kept]
 

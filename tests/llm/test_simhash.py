@@ -39,8 +39,9 @@ def found(spark, rows, **kw):
 
 def test_masks_cover_every_pair_within_the_radius():
     rng = random.Random(1)
-    for radius in (2, 4):
+    for radius in (2, 4, 6):
         masks = covering_masks(radius)
+        assert len(set(masks)) == len(masks) and min(bin(m & (1 << 64) - 1).count("1") for m in masks) >= 28
         for _ in range(500):
             flips = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(m & flips == 0 for m in masks)
