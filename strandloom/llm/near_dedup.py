@@ -1,51 +1,41 @@
-"""Near-duplicate removal: SimHash candidates through covering hashing, verified on word shingles.
+"""Near-duplicate removal: an exact similarity join of sets of word shingles, by prefixes, then connected components.
 
-The fingerprint here is over a document's distinct words, weighted by the root of their counts: documents that
-share four of five 5-word shingles share nearly all words, so they lie within a few bits, where
-fingerprints over the shingles themselves would lie some ten bits apart, beyond any radius that covering
-masks can serve. Candidate links are then held against the exact Jaccard similarity of the sets of 5-word
-shingles.
+Two sets with a Jaccard similarity of t or more share a shingle among the first n - ceil(t n) + 1 of each (n: its size), in whatever
+order of all shingles. Rare shingles come first in the order, so that few documents meet by chance. Equal sets are one node.
+Documents that meet at a shingle are compared on exact bounds, then on the sets themselves. In large buckets members are first
+linked to one of them; then only members of different components are compared, all of them that the bounds leave.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed, with_place
+from .common import join_groups, materialize, trimmed, with_place
 from .components import components
-from .simhash import SEED, bits_apart, buckets, majority, shingle_hashes
+from .simhash import shingle_hashes
 
-#: Covered radius; pairs of one bucket up to REACH bits apart are candidates as well. Fingerprints over the shingles themselves must lie
-#: within SHINGLE_REACH bits (at a similarity of 0.8 about 10 are expected, between unrelated texts 32).
-RADIUS, REACH, SHINGLE_REACH = 6, 10, 20
-#: Buckets with several members whose table may be broadcast (about 40 bytes each).
-BROADCAST_BUCKETS = 1_000_000
 #: Words of a shingle and the similarity from which documents are near copies.
 WIDTH, SIMILARITY = 5, 0.8
-#: Members of a bucket up to which all pairs are candidates. In larger ones, a breadth-first search over pairs in reach links
-#: the members, in one of TREES orders, so that a large group gets many different links.
-ALL_PAIRS, TREES = 8, 4
+#: Members of a bucket up to which all pairs are compared at once; larger ones start with links to one member.
+ALL_PAIRS = 8
+#: Rounds that compare one pair for each two components in a bucket, before all pairs that are left.
+STAR_ROUNDS = 3
+#: Documents whose shingles are counted for the order, the count from which a shingle is common, and the most that are told apart
+#: (16 bytes each). They set the order alone, on which results don't depend.
+COUNTED, COMMON, MOST_COMMON = 16_384, 3, 200_000
+#: Words of 64 bits in a set's sketch.
+SKETCH = 4
 #: Nodes whose places may be broadcast (about 150 bytes each).
 BROADCAST_ROWS = 200_000
-
-
-def word_fingerprint(text: bytes | None) -> int:
-    words = Counter((text or b"").lower().split())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    return majority(hashes, np.sqrt(np.fromiter(words.values(), np.float64, len(words))))
-
-
-def fingerprints_of(text: bytes | None) -> tuple[int, int]:
-    """Over the words and over the shingles."""
-    return word_fingerprint(text), majority(shingle_hashes(text or b"", WIDTH))
+#: Cells of the comparison of a bucket with itself that are held at a time.
+_CELLS = 1 << 20
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -58,69 +48,141 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _near(fps: np.ndarray, fp: np.ndarray | np.int64, shingles: np.ndarray, shingle: np.ndarray | np.int64) -> np.ndarray:
-    return (bits_apart(fps, fp) <= REACH) & (bits_apart(shingles, shingle) <= SHINGLE_REACH)
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that fall on each bit: two sets differ in as many shingles at least as their sketches in bits."""
+    odd = np.bincount((found >> np.uint64(32)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, shingles: np.ndarray, order: int) -> Iterator[tuple[int, int]]:
-    if len(keys) <= ALL_PAIRS:
-        near = _near(fps[:, None], fps[None], shingles[:, None], shingles[None])
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            yield int(keys[i]), int(keys[j])
-        return
-    mix = np.argsort((keys.astype(np.uint64) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-    keys, fps, shingles = keys[mix], fps[mix], shingles[mix]
-    while len(keys):
-        queue, keys, fps, shingles = [(keys[0], fps[0], shingles[0])], keys[1:], fps[1:], shingles[1:]
-        while queue and len(keys):
-            at, fp, sh = queue.pop()
-            near = _near(fps, fp, shingles, sh)
-            if near.any():
-                for k in keys[near]:
-                    yield int(at), int(k)
-                queue += list(zip(keys[near], fps[near], shingles[near], strict=True))
-                keys, fps, shingles = keys[~near], fps[~near], shingles[~near]
+def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set in the order of (count, hash), so many that similar sets share one of them."""
+    n = int(len(found) * (1 - SIMILARITY) + 1e-6) + 1
+    if not len(found) or not len(common):
+        return found[:n]
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    known = common[at] == found
+    first = found[~known][:n]
+    if len(first) == n:
+        return first
+    rest, ranks = found[known], counts[at[known]]
+    return np.concatenate([first, rest[np.lexsort((rest, ranks))][: n - len(first)]])
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [np.empty(0, np.int64)] * 4
+def _least_similar(size: Column | np.ndarray) -> Column | np.ndarray:
+    """Shingles in which similar sets of so many in all may differ; never too few."""
+    return size * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
 
-    def links(b: np.ndarray, k: np.ndarray, f: np.ndarray, s5: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.diff(b)) + 1
-        out = {p for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(b)], strict=True) for p in bucket_links(k[s:e], f[s:e], s5[s:e], int(b[s]) % TREES)}
-        pairs = np.array(sorted((min(p), max(p)) for p in out), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+def _runs(batches: Iterator[pa.RecordBatch], give: Callable) -> Iterator[pa.RecordBatch]:
+    """give on columns that hold whole buckets, from batches sorted by bucket (the first column)."""
+    held = None
     for batch in batches:
-        now = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = now if held is None else [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
-        last = np.searchsorted(now[0], now[0][-1])
+        last = np.searchsorted(now[0], now[0][-1])  # the last bucket may go on in the next batch
         held = [x[last:] for x in now]
         if last:
-            yield links(*(x[:last] for x in now))
-    if len(held[0]):
-        yield links(*held)
+            yield from give(*(x[:last] for x in now))
+    if held is not None and len(held[0]):
+        yield from give(*held)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, y, large: pairs to compare, and with large set the (shingle, key) of buckets that take further rounds."""
+
+    def give(b: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero(np.diff(b)) + 1
+        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(b)]])
+        sizes = ends - starts
+        pairs, more = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)]
+        for n in range(2, ALL_PAIRS + 1):
+            some = starts[sizes == n]
+            i, j = np.triu_indices(n, 1)
+            pairs.append(np.stack([k[some[:, None] + i].ravel(), k[some[:, None] + j].ravel()], 1))
+        for s, e in zip(starts[sizes > ALL_PAIRS], ends[sizes > ALL_PAIRS], strict=True):
+            pairs.append(np.stack([np.full(e - s - 1, k[s]), k[s + 1 : e]], 1))
+            more.append(np.stack([b[s:e], k[s:e]], 1))
+        for large, rows in ((False, np.unique(np.concatenate(pairs), axis=0)), (True, np.concatenate(more))):
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.full(len(rows), large))], ["x", "y", "large"])
+
+    return _runs(batches, give)
+
+
+def cross_pairs(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, words: np.ndarray, one: bool) -> Iterator[np.ndarray]:
+    """Pairs of keys of different roots that the bounds leave; with one, of each two roots the pair with the closest sketches."""
+    step = max(1, _CELLS // len(keys))
+    for at in range(0, len(keys) if (roots != roots[0]).any() else 0, step):
+        s, n = slice(at, at + step), sizes[at : at + step, None] + sizes[None]
+        apart = np.zeros(n.shape, np.int64)
+        for w in range(words.shape[1]):
+            apart += np.bitwise_count((words[s, w, None] ^ words[None, :, w]).view(np.uint64))
+        i, j = np.nonzero((roots[s, None] < roots[None]) & (np.maximum(apart, abs(sizes[s, None] - sizes[None])) <= _least_similar(n)))
+        if one and len(i):
+            order = np.lexsort((apart[i, j], roots[j], roots[at + i]))
+            i, j = i[order], j[order]
+            new = np.concatenate([[True], (np.diff(roots[at + i]) != 0) | (np.diff(roots[j]) != 0)])
+            i, j = i[new], j[new]
+        yield np.sort(np.stack([keys[at + i], keys[j]], 1), axis=1)
+
+
+def _crossings(one: bool) -> Callable:
+    def give(b: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
+        for s, e in zip(cut, cut[1:]):
+            k, r, n, *words = (c[s:e] for c in columns)
+            for found in cross_pairs(k, r, n, np.stack(words, 1), one):
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return trimmed(lambda batches: _runs(batches, give))
+
+
+def _common(places: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, with their counts in some documents."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t.as_py()) for t in b.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
+
+    share = max(1, places.count() // COUNTED)
+    some = places.where(F.pmod(F.xxhash64("file", "row"), F.lit(share)) == 0).select("text")
+    counted = some.mapInArrow(trimmed(hashes), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
+    top = counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+    common, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(common)
+    return common[order], counts[order]
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, file, row, key and root for the rows of docs (doc_id, text) that have a near copy; root is the group's smallest key."""
     places = with_place(docs, "doc_id", "text")
+    common, counts = _common(places)
+    words = [f"w{i}" for i in range(SKETCH)]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprints_of(t.as_py()) for t in b.column(1).cast(pa.binary())], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(fps[:, 0]), pa.array(fps[:, 1])], ["doc_id", "file", "row", "fp", "shingles"])
-
-    fps = places.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "file", "row").mapInArrow(trimmed(prints), "doc_id long, file string, row long, fp long, shingles long")
-    fps = materialize(fps.withColumn("key", F.monotonically_increasing_id()), "word-fingerprints")
-    dealt = fps.select("key", "fp", "shingles", F.explode(buckets(F.col("fp"), RADIUS)).alias("bucket"))
-    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "word-buckets")
-    warm = dealt.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_BUCKETS else sizes, "bucket").select("bucket", "key", "fp", "shingles")
-    links = warm.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_link_batches, "a long, b long")
-    links = materialize(links.distinct(), "candidates")
-    nodes = materialize(links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).distinct().join(fps.select("key", "file", "row"), "key"), "candidate-places")
-    named = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingle_set(t.as_py()) for t in part.column(1).cast(pa.binary())]
+                bits = np.stack([sketch(s) for s in sets])
+                digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                firsts = pa.array([prefix(s, common, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), digests, firsts, *[pa.array(bits[:, i].copy()) for i in range(SKETCH)]], ["doc_id", "file", "row", "n", "digest", "firsts", *words])
+
+    schema = "doc_id long, file string, row long, n long, digest binary, firsts array<long>, " + ", ".join(f"{w} long" for w in words)
+    fps = places.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "file", "row").mapInArrow(trimmed(prints), schema)
+    fps = materialize(fps.withColumn("key", F.monotonically_increasing_id()), "prefixes")
+    same = fps.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("members"))
+    same = materialize(join_groups(fps.select("key", "digest"), same, "digest", "members", fps.count()).where("key <> node").select("key", "node"), "equal-sets")
+    few = F.broadcast(same.select("key")) if same.count() <= BROADCAST_ROWS else same.select("key")
+    nodes = fps.join(few, "key", "left_anti")
+    dealt = nodes.select(F.explode("firsts").alias("shingle"), "key")
+    met = materialize(dealt.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(trimmed(_meetings), "x long, y long, large boolean"), "meetings")
+    facts = fps.select("key", "n", *words)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,15 +191,43 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 found = [shingle_set(t.as_py()).tobytes() for t in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["key", "shingles"])
 
-    shingles = materialize(places.join(named, ["file", "row"]).select("key", "text").mapInArrow(trimmed(sets), "key long, shingles binary"), "candidate-shingles")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= SIMILARITY for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = links.join(shingles.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    roots = components(pairs.select("a", "b", "x", "y").mapInArrow(trimmed(verified), "a long, b long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs a, b (a written table) whose sets are similar."""
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        ends = materialize(ends.join(fps.select("key", "file", "row"), "key"), "candidate-places")
+        named = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+        found = materialize(places.join(named, ["file", "row"]).select("key", "text").mapInArrow(trimmed(sets), "key long, shingles binary"), "candidate-shingles")
+        both = pairs.join(found.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(trimmed(similar), "a long, b long"), "similar")
+
+    pairs = met.where("not large").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(facts.select(*[F.col(c).alias(f"{side}_{c}" if c != "key" else side) for c in facts.columns]), side)
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.abs(F.col("a_n") - F.col("b_n")) * 0)
+    near = F.greatest(apart, F.abs(F.col("a_n") - F.col("b_n"))) <= _least_similar(F.col("a_n") + F.col("b_n"))
+    links = same.select(F.col("node").alias("a"), F.col("key").alias("b")).unionByName(verified(materialize(pairs.where(near).select("a", "b"), "candidates")))
+    roots = materialize(components(links), "roots")
+
+    large = met.where("large").select(F.col("x").alias("shingle"), F.col("y").alias("key"))
+    left = -1 if large.isEmpty() else STAR_ROUNDS
+    while left >= 0:
+        at = large.join(roots.withColumnRenamed("node", "key"), "key", "left").join(facts, "key").select("shingle", "key", F.coalesce("root", "key").alias("root"), "n", *words)
+        found = at.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_crossings(left > 0), "a long, b long").distinct()
+        found = materialize(found, "candidates")
+        if found.isEmpty():  # no two components are left that could meet
+            break
+        new = verified(found)
+        if new.isEmpty():
+            left = min(left, 1)  # all pairs come next
+        else:
+            links = links.unionByName(new)
+            roots = materialize(components(links), "roots")
+        left -= 1
     return fps.join(roots.withColumnRenamed("node", "key"), "key").select("doc_id", "file", "row", "key", "root")
 
 

@@ -58,3 +58,43 @@ def test_odd_rows(spark):
     got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id for r in got), key=repr) == [1, 3, 4, 5]
     assert drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def changed(rng, base, way):
+    """base with words added, cut off or one block replaced, just within the similarity."""
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    n = len(base)
+    if way == "appended":
+        return base + fresh(n // 5)
+    if way == "truncated":
+        return base[: n - n // 6]
+    at = rng.randrange(n // 2)
+    return base[:at] + fresh(n // 13) + base[at + n // 13 :]
+
+
+def test_kept_rows_are_those_of_brute_force(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = [f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(60, 400))]
+        texts += [base] + [changed(rng, base, way) for way in ("appended", "truncated", "block")]
+    for shared in (20, 28, 40, 60):  # templated families: members below, around and above the similarity
+        base = [f"t{shared}-{i}" for i in range(shared)]
+        texts += [base + [f"f{shared}-{i}-{j}" for j in range(3 + i % 4)] for i in range(40)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = {d for d, _ in brute(rows)}
+    assert 20 < len(want) < len(rows) - 60
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_pairs_that_meet_at_a_member_unlike_both_are_compared(spark):
+    """In one large bucket: the first member is unlike all others, which are alike in pairs."""
+    rows = [(0, " ".join(f"c{i}" for i in range(12)))]
+    for g in range(12):
+        for copy in range(2):
+            words = [f"c{i}" for i in range(9)] + [f"g{g}-{i}" for i in range(20)] + ["x"] * copy
+            rows.append((len(rows), " ".join(words)))
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {d for d, _ in brute(rows)} == {0, *range(1, 25, 2)}
