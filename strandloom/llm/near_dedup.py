@@ -54,6 +54,20 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def wide_sketch(found: np.ndarray) -> bytes:
+    """As sketch, over the least power of two of bits that is at least twice the shingles; folds to any smaller one."""
+    bits = 1 << max(6, int(2 * len(found) - 1).bit_length() if len(found) else 6)
+    odd = np.bincount(((found >> np.uint64(32)) % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def wide_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, the larger folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n), 0) ^ np.bitwise_xor.reduce(y.reshape(-1, n), 0)).sum())
+
+
 def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a sorted set in the order of (count, hash), so many that similar sets share one of them."""
     n = int(len(found) * (1 - SIMILARITY) + 1e-6) + 1
@@ -171,9 +185,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 bits = np.stack([sketch(s) for s in sets])
                 digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 firsts = pa.array([prefix(s, common, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), digests, firsts, *[pa.array(bits[:, i].copy()) for i in range(SKETCH)]], ["doc_id", "file", "row", "n", "digest", "firsts", *words])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), digests, firsts, pa.array([wide_sketch(s) for s in sets], pa.binary()), *[pa.array(bits[:, i].copy()) for i in range(SKETCH)]], ["doc_id", "file", "row", "n", "digest", "firsts", "wide", *words])
 
-    schema = "doc_id long, file string, row long, n long, digest binary, firsts array<long>, " + ", ".join(f"{w} long" for w in words)
+    schema = "doc_id long, file string, row long, n long, digest binary, firsts array<long>, wide binary, " + ", ".join(f"{w} long" for w in words)
     fps = places.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "file", "row").mapInArrow(trimmed(prints), schema)
     fps = materialize(fps.withColumn("key", F.monotonically_increasing_id()), "prefixes")
     same = fps.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("members"))
@@ -196,10 +210,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
             ok = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= SIMILARITY for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c, n, m, x, y = b.columns
+            ok = [wide_apart(p.as_py(), q.as_py()) <= _least_similar(s) for p, q, s in zip(x, y, n.to_numpy() + m.to_numpy(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, c], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def ends_of(pairs: DataFrame, label: str, *columns: str) -> DataFrame:
+        keys = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), f"{label}-keys")
+        few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return materialize(fps.select("key", *columns).join(few, "key"), label)
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs a, b (a written table) whose sets are similar."""
-        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        ends = materialize(ends.join(fps.select("key", "file", "row"), "key"), "candidate-places")
+        """The pairs a, b (a written table) whose sets are similar; sets are met only for pairs that the wide sketches leave."""
+        ends = ends_of(pairs, "candidate-sketches", "n", "wide")
+        both = pairs.join(ends.select(F.col("key").alias("a"), F.col("n").alias("p"), F.col("wide").alias("x")), "a").join(ends.select(F.col("key").alias("b"), F.col("n").alias("q"), F.col("wide").alias("y")), "b")
+        pairs = materialize(both.select("a", "b", "p", "q", "x", "y").mapInArrow(trimmed(close), "a long, b long"), "close-pairs")
+        if pairs.isEmpty():
+            return pairs
+        ends = ends_of(pairs, "candidate-places", "file", "row")
         named = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
         found = materialize(places.join(named, ["file", "row"]).select("key", "text").mapInArrow(trimmed(sets), "key long, shingles binary"), "candidate-shingles")
         both = pairs.join(found.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
