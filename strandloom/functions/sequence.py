@@ -199,14 +199,15 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 def packed_hamming(a: Column | str, b: Column | str, length: int) -> Column:
     """Mismatches of two sequences of a known length over acgt: exclusive or of packed longs, then a bit count.
 
-    Stays in generated code, unlike the element-wise form. Letters other than acgt must not occur.
+    Stays in generated code, unlike the element-wise form. An n has a word of its own: it matches another n alone. Letters other
+    than acgtn must not occur.
     """
     out = F.lit(0)
     for at in range(0, length, PACK):
         n = min(PACK, length - at)
-        x, y = (F.conv(F.translate(F.substring(col(c), at + 1, n), "acgt", "0123"), 4, 10).cast("long") for c in (a, b))
-        d = x.bitwiseXOR(y)
-        out = out + F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        word = lambda c, digits: F.conv(F.translate(F.substring(col(c), at + 1, n), "acgtn", digits), 4, 10).cast("long")  # noqa: B023, E731
+        d, unknown = (word(a, digits).bitwiseXOR(word(b, digits)) for digits in ("01230", "00001"))
+        out = out + F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(unknown).bitwiseAND(F.lit(0x5555555555555555)))
     return out
 
 
@@ -287,20 +288,20 @@ def branch_bases(a: Column, c: Column, g: Column, t: Column, n: Column, share: f
 
 
 def trimmed_length(qual: Column | str, threshold: int, least: int = 35) -> Column:
-    """Length to keep after trimming the 3' end: where the running sum of threshold - quality from the end is largest
-    (the sum stops when it falls below 0); never under least bases."""
+    """Length to keep after trimming the 3' end: up to the base, itself kept, at which the running sum of threshold - quality from the
+    end is largest (the sum stops when it falls below 0); never under least bases."""
     q = col(qual)
     n = F.length(q)
-    places = F.sequence(n, F.lit(least + 1), F.lit(-1))
+    places = F.sequence(n, F.lit(least), F.lit(-1))
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("best"), n.alias("keep"), F.lit(False).alias("over"))
 
     def step(acc: Column, at: Column) -> Column:
         s = acc["sum"] + (threshold - (F.ascii(F.substring(q, at, F.lit(1))) - 33))
         over = acc["over"] | (s < 0)
         better = ~over & (s > acc["best"])
-        return F.struct(s.alias("sum"), F.when(better, s).otherwise(acc["best"]).alias("best"), F.when(better, at - 1).otherwise(acc["keep"]).alias("keep"), over.alias("over"))
+        return F.struct(s.alias("sum"), F.when(better, s).otherwise(acc["best"]).alias("best"), F.when(better, at).otherwise(acc["keep"]).alias("keep"), over.alias("over"))
 
-    return F.when((n > least) & F.lit(threshold > 0), F.aggregate(places, start, step, lambda a: a["keep"])).otherwise(n)
+    return F.when((n >= least) & F.lit(threshold > 0), F.aggregate(places, start, step, lambda a: a["keep"])).otherwise(n)
 
 
 def max_differences(length: Column | str, error: float = 0.02, missing: float = 0.04) -> Column:

