@@ -5,10 +5,16 @@ templates: tid, seq (and alive, ori where named); placements: tid, read_id, pos
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import drop_prefix, find_overlap, kmers, mate_id, overlap_mismatches, reverse_complement
+from ..functions.sequence import drop_prefix, kmers, mate_id, reverse_complement
 from ..storage import written
 
 #: Fixed values of the merge test and of link discovery.
@@ -46,16 +52,22 @@ def roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(links.select(F.col("dst").alias("tid")).distinct(), "tid", "left_anti").select("tid")
 
 
-def levels(nodes: DataFrame, links: DataFrame, most: int = 32) -> DataFrame:
-    """tid, level: the longest way from a root, up to most steps; nodes on cycles without a root are not reached."""
+def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """tid, level: the longest way from a root, however long; nodes on cycles without a root are not reached.
+
+    A cycle that a root leads to has no longest way and is an error.
+    """
     edges = written(links.select("src", "dst").distinct(), "edges")
     front = roots(nodes, edges).withColumn("level", F.lit(0))
-    found = front
-    for step in range(1, most + 1):
+    found, most, step = front, nodes.select("tid").distinct().count(), 0
+    while not front.isEmpty():
+        step += 1
+        if step > most:
+            raise ValueError("a root leads to a cycle: its nodes have no level")
         front = written(front.join(edges, F.col("tid") == F.col("src")).select(F.col("dst").alias("tid")).distinct().withColumn("level", F.lit(step)), "front")
-        if front.isEmpty():
-            break
         found = found.unionByName(front)
+        if step % 16 == 0:
+            found = written(found.groupBy("tid").agg(F.max("level").alias("level")), "levels")
     return found.groupBy("tid").agg(F.max("level").alias("level"))
 
 
@@ -65,12 +77,26 @@ def cycle_hints(level: DataFrame, links: DataFrame) -> DataFrame:
     return a.join(level.withColumnRenamed("tid", "dst"), "dst").where("level <= here").select(F.col("src").alias("tid")).distinct()
 
 
-def paths(nodes: DataFrame, links: DataFrame, most: int = 8) -> DataFrame:
-    """path (array of tid): all ways from a root to an end, or to most nodes. A path never visits a node twice."""
+def path_starts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots, and for nodes that no root leads to the smallest of each of their components, until every node is reached."""
+    starts = written(roots(nodes, links), "starts")
+    while True:
+        left = written(nodes.select("tid").distinct().join(reachable(links, starts), "tid", "left_anti"), "unreached")
+        if left.isEmpty():
+            return starts
+        inner = links.join(left.withColumnRenamed("tid", "src"), "src").join(left.withColumnRenamed("tid", "dst"), "dst")
+        starts = written(starts.unionByName(components(left, inner).where("tid = comp_id").select("tid")), "starts")
+
+
+def paths(nodes: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
+    """path (array of tid): all ways from a start to an end, or, if named, to most nodes. A path never visits a node twice.
+
+    Starts are roots, and one node of each cycle that no root leads to, so every node lies on a path.
+    """
     edges = written(links.select("src", "dst").distinct(), "edges")
-    front = roots(nodes, edges).select(F.array("tid").alias("path"))
+    front = path_starts(nodes, edges).select(F.array("tid").alias("path"))
     done = front.limit(0)
-    for _ in range(most - 1):
+    for _ in itertools.count() if most is None else range(most - 1):
         last = F.element_at("path", -1)
         ways = front.join(edges, (last == F.col("src")) & ~F.array_contains("path", F.col("dst")), "left")
         ways = written(ways.select("path", "dst"), "paths")
@@ -153,14 +179,39 @@ def candidate_overlaps(templates: DataFrame, k: int = MIN_OVERLAP) -> DataFrame:
     return probes.join(seeds, "kmer").where("src <> dst").select("src", "dst", "is_rc").distinct()
 
 
+def _overlap(left: bytes, right: bytes, allowed: int) -> tuple[int, int]:
+    """Overlap as find_overlap gives it, and its mismatches up to those allowed: all lengths of a pair are compared at once, where
+    expressions would walk them one by one."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    most = min(len(x), len(y))
+    if not most:
+        return 0, 0
+    laid = np.lib.stride_tricks.sliding_window_view(np.concatenate([x[len(x) - most :], np.zeros(most, np.uint8)]), most)[:most]  # row i: an overlap of most - i bases
+    differ = ((laid != y[:most]) & (laid != 0)).sum(1)[::-1]  # place i: of i + 1 bases
+    short = differ[allowed - 1 : 2 * allowed - 1]
+    if (short <= 1).any():
+        ol = allowed + int((short <= 1).argmax())
+    else:
+        long = np.flatnonzero(differ[2 * allowed - 1 :] <= allowed)
+        ol = 2 * allowed + int(long[-1]) if len(long) else 0
+    return ol, min(int(differ[ol - 1]), allowed) if ol else 0
+
+
 def overlap_pairs(templates: DataFrame, allowed: int = MAX_MISMATCHES, least: int = MIN_OVERLAP) -> DataFrame:
     """src, dst, ol, mismatches: right end of src on the left end of dst, by the two-phase overlap finder, for pairs that share an
     end k-mer on the same strand."""
     pairs = candidate_overlaps(templates).where("not is_rc").select("src", "dst")
     pairs = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     rows = pairs.join(templates.select(F.col("tid").alias("src"), F.col("seq").alias("l")), "src").join(templates.select(F.col("tid").alias("dst"), F.col("seq").alias("r")), "dst")
-    rows = rows.withColumn("ol", find_overlap("l", "r", allowed)).where(F.col("ol") >= least)
-    return rows.select("src", "dst", "ol", overlap_mismatches("l", "r", F.col("ol"), allowed).alias("mismatches"))
+
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_overlap(x.as_buffer(), y.as_buffer(), allowed) for x, y in zip(b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary()), strict=True)]
+            ol, mismatches = (pa.array([f[i] for f in found], pa.int32()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ol, mismatches], ["src", "dst", "ol", "mismatches"]).filter(pc.greater_equal(ol, least))
+
+    return rows.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "l", "r").mapInArrow(run, "src long, dst long, ol int, mismatches int")
 
 
 def insert_feasible(distance: F.Column, insert: int, sd: int) -> F.Column:
@@ -267,11 +318,11 @@ def unary_chains(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return components(nodes, only).withColumnRenamed("comp_id", "chain")
 
 
-def reachable(links: DataFrame, start: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
-    """tid of all nodes that can be reached from start (tid), itself included."""
+def reachable(links: DataFrame, start: DataFrame) -> DataFrame:
+    """tid of all nodes that can be reached from start (tid), itself included, however far."""
     seen = written(start.select("tid").distinct(), "seen")
     front = seen
-    for _ in range(most):
+    while True:
         front = written(front.join(links, F.col("tid") == F.col("src")).select(F.col("dst").alias("tid")).distinct().join(seen, "tid", "left_anti"), "front")
         if front.isEmpty():
             break

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
+from ..storage import numbered
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -39,8 +40,9 @@ def mate_pairs(tx: DataFrame, coverage: float, read_len: int, span: int, sd: flo
 
     The span of a pair is normal, held between two read lengths and the transcript; left reads are forward, right ones reverse-
     complemented; each base mutates with the error's probability. Transcripts shorter than two reads give none. read_id
-    is even for left and odd for right; the numbers of a transcript follow from its hash and are unique.
+    is even for left and odd for right; transcripts are numbered in the order of their names, and their reads follow from that.
     """
+    numbers = numbered(tx.select("id"), "id")
     rows = tx.where(F.length("seq") >= 2 * read_len).withColumn("n", F.ceil(F.length("seq") * coverage / (2 * read_len)).cast("int"))
     rows = rows.select("id", "seq", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     wide = F.least(F.greatest(F.round(span + sd * normal(seed, F.col("id"), F.col("i"))).cast("int"), F.lit(2 * read_len)), F.length("seq"))
@@ -49,8 +51,8 @@ def mate_pairs(tx: DataFrame, coverage: float, read_len: int, span: int, sd: flo
     rows = rows.select("id", "seq", "i", F.explode(F.array(side(0, F.col("start"), False), side(1, F.col("start") + F.col("span") - read_len, True))).alias("x")).select("id", "i", "x.*", F.substring(F.col("seq"), F.col("x.pos") + 1, F.lit(read_len)).alias("s"))
     rows = rows.withColumn("s", F.when(F.col("strand") == "-", reverse_complement("s")).otherwise(F.col("s")))
     noisy = F.array_join(F.transform(F.split("s", ""), lambda b, j: F.when(uniform(seed + 2, F.col("id"), F.col("i"), F.col("side"), j) < error, mutated(b, uniform(seed + 3, F.col("id"), F.col("i"), F.col("side"), j))).otherwise(b)), "")
-    pair = F.shiftleft(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), 32) + F.col("i") * 2
-    return rows.select((pair + F.col("side")).alias("read_id"), F.col("id").alias("gene"), "pos", "strand", noisy.alias("seq"))
+    pair = F.shiftleft(F.col("number"), 32) + F.col("i") * 2
+    return rows.join(numbers, "id").select((pair + F.col("side")).alias("read_id"), F.col("id").alias("gene"), "pos", "strand", noisy.alias("seq"))
 
 
 def single_tags(tx: DataFrame, read_len: int, every: int, seed: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment, assembly, evaluation, graph, kmers
-from ..storage import written
+from ..storage import numbered, written
 
 #: Per stage: k-mer length, share of reads that may start, and share of placed reads that must be paired.
 STAGES = ((11, 0.25, 0.9), (15, 0.25, 0.7), (11, None, 0.0))
@@ -50,7 +50,7 @@ def without_sub_templates(templates: DataFrame, placements: DataFrame) -> tuple[
 
 
 def assemble_library(reads: DataFrame, insert: int, sd: int, options: assembly.Extension = assembly.Extension(), min_len: int = 100) -> DataFrame:
-    """path_id, seq of the assembled paths of a library (read_id, seq): stages, merging, sub-templates, scaffolding, paths."""
+    """path_id (from 0), seq of all maximal paths of a library (read_id, seq): stages, merging, sub-templates, scaffolding, paths."""
     templates, placements = assemble_in_stages(reads, options)
     templates, placements = graph.merge_to_fixpoint(templates, placements)
     templates, placements = without_sub_templates(templates, placements)
@@ -58,7 +58,8 @@ def assemble_library(reads: DataFrame, insert: int, sd: int, options: assembly.E
     comp, links = graph.scaffold(templates, placements, hits, insert, sd)
     ways = graph.maximal_paths(graph.paths(comp.select("tid"), links))
     found = graph.path_sequences(ways, templates, graph.overlap_pairs(templates).select("src", "dst", "ol"))
-    return found.where(F.length("seq") >= min_len).select(F.col("path").getItem(0).alias("path_id"), "seq").groupBy("path_id").agg(F.max_by("seq", F.struct(F.length("seq"), F.col("seq"))).alias("seq"))
+    found = written(found.where(F.length("seq") >= min_len), "paths")
+    return found.join(numbered(found, "path"), "path").select(F.col("number").alias("path_id"), "seq")
 
 
 def evaluate(contigs: DataFrame, refs: DataFrame, similarity: float = 0.99) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from .fixtures import READ, READS_SQL, TX_SQL, reads, table, tx
 
 def halves(spark: SparkSession, sf: str) -> DataFrame:
     """Two overlapping templates of each transcript: bases 1 to 70, and all from 51."""
-    t = tx(spark, sf).where("tid <= 200")
+    t = tx(spark, sf)
     return t.select(F.explode(F.array(F.struct((F.col("tid") * 2).alias("tid"), F.substring("seq", 1, 70).alias("seq")), F.struct((F.col("tid") * 2 + 1).alias("tid"), F.substring(F.col("seq"), F.lit(51), F.length("seq")).alias("seq")))).alias("x")).select("x.*")
 
 
@@ -37,7 +37,7 @@ def few_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _LINKS = "lk AS (SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM (SELECT 1 + o_custkey % 90 AS x, 1 + o_orderkey % 97 AS y FROM orders WHERE o_orderkey % 9 = 0) WHERE x <> y AND (x + y) % 4 = 0), few AS (SELECT * FROM lk WHERE src % 5 = 0 OR dst % 7 = 0), nd AS (SELECT unnest(range(1, 121)) AS tid)"
-_HALVES = f"{READS_SQL}, hv AS (SELECT tid * 2 AS tid, substr(seq, 1, 70) AS seq FROM tx WHERE tid <= 200 UNION ALL SELECT tid * 2 + 1, substr(seq, 51) FROM tx WHERE tid <= 200)"
+_HALVES = f"{READS_SQL}, hv AS (SELECT tid * 2 AS tid, substr(seq, 1, 70) AS seq FROM tx UNION ALL SELECT tid * 2 + 1, substr(seq, 51) FROM tx)"
 _PLACED = f"""{_HALVES}, pm AS (SELECT * FROM (SELECT CASE WHEN pos <= {71 - READ} THEN tid * 2 ELSE tid * 2 + 1 END AS tid, read_id, CASE WHEN pos <= {71 - READ} THEN pos ELSE pos - 50 END AS pos, (read_id % 2 = 1) <> (read_id % 11 = 0) AS is_rc FROM reads) WHERE pos >= 1),
 pk AS (SELECT a.tid AS src, b.tid AS dst, a.read_id, b.read_id AS mate_id, a.pos AS src_pos, b.pos AS dst_pos, a.is_rc AS src_rc, b.is_rc AS dst_rc FROM pm a JOIN pm b ON b.read_id = xor(a.read_id, 1) WHERE a.read_id % 2 = 0 AND a.tid <> b.tid)"""
 
@@ -147,7 +147,7 @@ def scaffold_roots(spark: SparkSession, sf: str) -> DataFrame:
 
 def span_depth(spark: SparkSession, sf: str) -> DataFrame:
     true = reads(spark, sf).select("tid", "read_id", "pos", F.lit(False).alias("is_rc"))
-    return G.span_depth(true, tx(spark, sf).where("tid <= 200"), READ)
+    return G.span_depth(true, tx(spark, sf), READ)
 
 
 def zero_breaks(spark: SparkSession, sf: str) -> DataFrame:

@@ -63,7 +63,7 @@ def filled_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wrapped_fasta(spark: SparkSession, sf: str) -> DataFrame:
-    t = tx(spark, sf).where("tid <= 200")
+    t = tx(spark, sf)
     return t.select("tid", F.concat(F.lit(">"), F.col("tid").cast("string"), F.lit("\n"), S.wrap("seq")).alias("text"))
 
 
@@ -73,7 +73,7 @@ def placements_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assembled_templates(spark: SparkSession, sf: str) -> DataFrame:
-    r = reads(spark, sf).where("tid <= 40").select("read_id", "seq")
+    r = reads(spark, sf).select("read_id", "seq")
     return assembly.assemble(r)[0].select("tid", F.length("seq").alias("len"), "n_reads", "pairs")
 
 
@@ -97,7 +97,7 @@ def pool_mates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def simulated_reads(spark: SparkSession, sf: str) -> DataFrame:
-    t = tx(spark, sf).where("tid <= 200").select(F.col("tid").cast("string").alias("id"), "seq")
+    t = tx(spark, sf).select(F.col("tid").cast("string").alias("id"), "seq")
     return simulation.mate_pairs(t, 4.0, READ, 96, 5.0, 0.02)
 
 
@@ -141,7 +141,7 @@ SQL = {
     "packed_reference": f"WITH {_GAPPED}, p AS (SELECT name, i, i - row_number() OVER (PARTITION BY name ORDER BY i) AS g FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM gp) WHERE substr(seq, (i + 1)::BIGINT, 1) = 'n'), n AS (SELECT name, count(DISTINCT g) AS n_ambs FROM p GROUP BY name) SELECT name, coalesce(sum(length(seq)) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset, length(seq) AS len, coalesce(n_ambs, 0) AS n_ambs FROM gp LEFT JOIN n USING (name)".replace("AS offset", 'AS "offset"'),
     "packed_positions": f"""WITH {_GAPPED}, o AS (SELECT name, coalesce(sum(length(seq)) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, length(seq) AS len, seq FROM gp), q AS (SELECT o_orderkey AS id, o_orderkey * 37 % 12000 AS place FROM orders WHERE o_orderkey % 10 = 0),
         n AS (SELECT off + i AS place FROM (SELECT off, seq, unnest(range(0, len)) AS i FROM o) WHERE substr(seq, (i + 1)::BIGINT, 1) = 'n') SELECT id, name, place - off AS pos, (SELECT count(*) FROM n WHERE n.place >= q.place AND n.place < q.place + 10) AS n_ambs FROM q JOIN o ON place BETWEEN off AND off + len - 1""",
-    "wrapped_fasta": f"WITH {TX_SQL} SELECT tid, '>' || tid || chr(10) || regexp_replace(seq, '(.{{1,50}})', '\\1' || chr(10), 'g') AS text FROM tx WHERE tid <= 200",
+    "wrapped_fasta": f"WITH {TX_SQL} SELECT tid, '>' || tid || chr(10) || regexp_replace(seq, '(.{{1,50}})', '\\1' || chr(10), 'g') AS text FROM tx",
     "placements_table": f"""WITH {_HALVES}, pm AS (SELECT * FROM (SELECT CASE WHEN pos <= {71 - READ} THEN tid * 2 ELSE tid * 2 + 1 END AS tid, read_id, CASE WHEN pos <= {71 - READ} THEN pos ELSE pos - 50 END AS pos FROM reads) WHERE pos >= 1)
         SELECT tid || chr(9) || string_agg(read_id || '_' || pos, ',' ORDER BY pos, read_id) || ',' AS value FROM pm GROUP BY tid""",
     "majority_pool": f"""WITH {READS_SQL}, {_NOISY_POOL}, b AS (SELECT tid, read_id, substr(seq, cur + 1, 1) AS ch FROM nr), m AS (SELECT tid, ch FROM b WHERE ch IN ('a', 'c', 'g', 't') GROUP BY tid, ch QUALIFY row_number() OVER (PARTITION BY tid ORDER BY count(*) DESC, ch) = 1) SELECT tid, read_id FROM b JOIN m USING (tid, ch)""",

@@ -30,7 +30,7 @@ def kmer_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def small_kmer_index(spark: SparkSession, sf: str) -> DataFrame:
-    return kmers.small_index(tx(spark, sf).where("tid <= 200"), K, "tid")
+    return kmers.small_index(tx(spark, sf), K, "tid")
 
 
 def erased_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,11 +93,11 @@ def sequence_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_mutants(spark: SparkSession, sf: str) -> DataFrame:
-    return tx(spark, sf).where("tid <= 50").select("tid", F.explode(S.one_base_mutants(F.substring("seq", 1, K))).alias("mutant"))
+    return tx(spark, sf).select("tid", F.explode(S.one_base_mutants(F.substring("seq", 1, K))).alias("mutant"))
 
 
 def sequence_edits(spark: SparkSession, sf: str) -> DataFrame:
-    t = tx(spark, sf).where("tid <= 200")
+    t = tx(spark, sf)
     return t.select("tid", S.drop_prefix("seq", 90).alias("rest"), S.sub_sequence("seq", 5, 12, rc=True).alias("part"), S.join_with_gap(F.left("seq", F.lit(5)), F.right("seq", F.lit(5)), 3).alias("gapped"), S.slide(F.left("seq", F.lit(9)), F.lit("g"), 0).alias("slid"), S.extend(F.left("seq", F.lit(4)), F.lit("t"), 1).alias("longer"))
 
 
@@ -115,7 +115,7 @@ def true_placements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seed_align_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.exact_places(reads(spark, sf), tx(spark, sf).where("tid <= 200"), READ)
+    return alignment.exact_places(reads(spark, sf), tx(spark, sf), READ)
 
 
 def noisy_reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,27 +127,27 @@ def noisy_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seed_align_hamming(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.places_within(noisy_reads(spark, sf), tx(spark, sf).where("tid <= 200"), READ, 2)
+    return alignment.places_within(noisy_reads(spark, sf), tx(spark, sf), READ, 2)
 
 
 def best_places(spark: SparkSession, sf: str) -> DataFrame:
-    p = alignment.places_within(noisy_reads(spark, sf), tx(spark, sf).where("tid <= 200"), READ, 2)
+    p = alignment.places_within(noisy_reads(spark, sf), tx(spark, sf), READ, 2)
     b = alignment.best_places(p)
     return b.select("read_id", "best", "second", "mismatches", S.mapping_quality("best", "second", "mismatches", F.lit(2)).alias("mapq"))
 
 
 def fuzzy_seeds(spark: SparkSession, sf: str) -> DataFrame:
     r = reads(spark, sf)
-    return alignment.fuzzy_seeds(tx(spark, sf).where("tid <= 200"), kmers.small_index(r, K), K)
+    return alignment.fuzzy_seeds(tx(spark, sf), kmers.small_index(r, K), K)
 
 
 def query_alignments(spark: SparkSession, sf: str) -> DataFrame:
-    q = tx(spark, sf).where("tid <= 60").select(F.col("tid").alias("q_id"), F.substring("seq", 20, READ).alias("seq"))
+    q = tx(spark, sf).select(F.col("tid").alias("q_id"), F.substring("seq", 20, READ).alias("seq"))
     return alignment.align_query(q, reads(spark, sf), K, 2, 25).groupBy("q_id", "is_rc").agg(F.count("*").alias("n"), F.sum("mm_left").alias("mm_left"), F.sum("shift").alias("shift"))
 
 
 def first_seed_alignments(spark: SparkSession, sf: str) -> DataFrame:
-    q = tx(spark, sf).where("tid <= 60").select(F.col("tid").alias("q_id"), F.substring("seq", 20, READ).alias("seq"))
+    q = tx(spark, sf).select(F.col("tid").alias("q_id"), F.substring("seq", 20, READ).alias("seq"))
     return alignment.align_query(q, reads(spark, sf), K, 2, 25, first_seed_only=True).groupBy("q_id", "is_rc").agg(F.count("*").alias("n"), F.sum("mm_left").alias("mm_left"), F.sum("shift").alias("shift"))
 
 
@@ -157,23 +157,23 @@ def consensus_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def realigned_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.last_template_wins(alignment.exact_places(reads(spark, sf), tx(spark, sf).where("tid <= 200"), READ))
+    return alignment.last_template_wins(alignment.exact_places(reads(spark, sf), tx(spark, sf), READ))
 
 
 def paired_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    p = alignment.exact_places(reads(spark, sf), tx(spark, sf).where("tid <= 200"), READ)
+    p = alignment.exact_places(reads(spark, sf), tx(spark, sf), READ)
     return alignment.paired_anchors(p)
 
 
 def sam_records(spark: SparkSession, sf: str) -> DataFrame:
     r = noisy_reads(spark, sf)
-    b = alignment.best_places(alignment.places_within(r, tx(spark, sf).where("tid <= 150"), READ, 2))
+    b = alignment.best_places(alignment.places_within(r, tx(spark, sf), READ, 2))
     b = b.withColumn("mapq", S.mapping_quality("best", "second", "mismatches", F.lit(2)))
     return alignment.sam_records(r, b, READ).groupBy("flag").agg(F.count("*").alias("n"), F.sum("tlen").alias("tlen"), F.sum("mapq").alias("mapq"))
 
 
 def overlap_functions(spark: SparkSession, sf: str) -> DataFrame:
-    t = tx(spark, sf).where("tid <= 120")
+    t = tx(spark, sf)
     a = t.select("tid", F.substring("seq", 1, 40).alias("l"), F.concat(F.substring("seq", 1 + 40 - 15, 7), F.lit("c"), F.substring("seq", 1 + 40 - 7, 30)).alias("r"))
     return a.select(
         "tid", S.hamming("l", "r").alias("hamming"), S.find_overlap("l", "r", 3).alias("found"), S.longest_overlap("l", "r", 1, 5, 30).alias("longest"), S.overlap_mismatches("l", "r", 15, 9).alias("mm"), S.first_match(F.substring("r", 10, 6), "l", 1).alias("first"), S.shares_window(F.substring("r", 1, 20), "l", 12, 1).alias("shares"),
@@ -187,7 +187,7 @@ def quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _DUCK_DEDUP = f"{READS_SQL}, {_KMERS}, st AS (SELECT read_id, sum(n)::BIGINT AS k_freq, avg(n) FILTER (i < {READ - K}) AS k_mean, stddev_pop(n) FILTER (i < {READ - K}) AS k_sd FROM km JOIN cnt USING (kmer) GROUP BY read_id)"
-_TX200 = "t2 AS (SELECT * FROM tx WHERE tid <= 200)"
+_TX200 = "t2 AS (SELECT * FROM tx)"
 _STRANDS = "rs AS (SELECT read_id, false AS is_rc, seq FROM {0} UNION ALL SELECT read_id, true, reverse(translate(seq, 'acgt', 'tgca')) FROM {0})"
 _NOISY = """nr AS (SELECT read_id, CASE WHEN read_id % 4 < 2 THEN substr(x, 1, 28) || translate(substr(x, 29, 1), 'acgt', 'cgta') || substr(x, 30) ELSE x END AS seq
   FROM (SELECT read_id, substr(seq, 1, 7) || translate(substr(seq, 8, 1), 'acgt', 'cgta') || substr(seq, 9) AS x FROM reads))"""
@@ -197,7 +197,7 @@ wp AS (SELECT tid, pos, w, o, substr(w, o + 1, 12) AS piece FROM (SELECT *, unne
 pl AS (SELECT DISTINCT read_id, tid, pos, is_rc, hamming(seq, w)::INT AS mismatches FROM pieces JOIN wp USING (piece, o) WHERE hamming(seq, w) <= 2)"""
 _BEST = """bp AS (SELECT read_id, count(*) FILTER (lv = 1) AS best, count(*) FILTER (lv = 2) AS second, min(mismatches) AS mismatches FROM (SELECT *, dense_rank() OVER (PARTITION BY read_id ORDER BY mismatches) AS lv FROM pl) GROUP BY read_id)"""
 _MAPQ = "(CASE WHEN best > 1 THEN 0 WHEN mismatches = 2 THEN 25 WHEN second = 0 THEN 37 ELSE greatest(23 - floor(4.343 * ln(least(second, 255)) + 0.5), 0) END)::INT"
-_ALIGN = """q AS (SELECT tid AS q_id, substr(seq, 20, 36) AS seq FROM tx WHERE tid <= 60),
+_ALIGN = """q AS (SELECT tid AS q_id, substr(seq, 20, 36) AS seq FROM tx),
 qs AS (SELECT q_id, false AS is_rc, seq FROM q UNION ALL SELECT q_id, true, reverse(translate(seq, 'acgt', 'tgca')) FROM q),
 qk AS (SELECT q_id, is_rc, seq AS q_seq, i, substr(seq, (i + 1)::BIGINT, 11) AS kmer FROM (SELECT *, unnest(range(0, 26)) AS i FROM qs)),
 rk AS (SELECT read_id, seq, i AS locus, substr(seq, (i + 1)::BIGINT, 11) AS kmer FROM (SELECT *, unnest(range(0, 26)) AS i FROM reads)),
@@ -226,13 +226,20 @@ SQL = {
     "solid_topn": f"WITH {_DUCK_DEDUP} SELECT read_id, k_freq FROM st ORDER BY k_freq DESC, read_id LIMIT 1000",
     "uneven_reads": f"WITH {READS_SQL}, {_KMERS}, s AS (SELECT read_id, (max(n) - min(n))::BIGINT AS spread FROM km JOIN cnt USING (kmer) GROUP BY read_id) SELECT read_id, spread FROM s ORDER BY spread DESC, read_id LIMIT (SELECT floor(count(*) * 0.1)::BIGINT FROM s)",
     "reverse_complements": f"WITH {TX_SQL} SELECT tid, reverse(translate(seq, 'acgt', 'tgca')) AS rc, translate(seq, 'acgt', '0123') AS code, seq AS back FROM tx",
+    "quality_rules": """WITH c AS (SELECT c_custkey, translate(md5(c_name) || md5(c_custkey::VARCHAR), '0123456789abcdef', '#%'')+-/135779;=?') AS q FROM customer),
+      p AS (SELECT c_custkey, i, sum(15 - (ascii(substr(q, i, 1)) - 33)) OVER (PARTITION BY c_custkey ORDER BY i DESC) AS s FROM (SELECT c_custkey, q, unnest(range(35, 65)) AS i FROM c)),
+      l AS (SELECT *, min(s) OVER (PARTITION BY c_custkey ORDER BY i DESC) AS low FROM p),
+      k AS (SELECT c_custkey, arg_max(i, s * 1000 + i) AS keep FROM l WHERE low >= 0 AND s > 0 GROUP BY c_custkey),
+      t AS (SELECT n, k, sum(exp(-0.02 * n) * power(0.02 * n, k) / gamma(k + 1)) OVER (PARTITION BY n ORDER BY k) AS total FROM (SELECT unnest(range(17, 167)) AS n), (SELECT unnest(range(0, 60)) AS k)),
+      d AS (SELECT n, min(k) AS diff FROM t WHERE k > 0 AND 1 - total < 0.04 GROUP BY n)
+      SELECT c.c_custkey, coalesce(keep, 64)::INT AS keep, diff::INT AS diff FROM c LEFT JOIN k USING (c_custkey) JOIN d ON n = c_custkey % 150 + 17""",
     "read_filters": f"""WITH s AS (SELECT c_custkey, translate(substr(md5(c_custkey::VARCHAR) || repeat(substr(md5(c_name), 1, 3), 6), 20, 30), '0123456789abcdef', 'aaaaaaaccgtaacta') AS seq FROM customer)
         SELECT c_custkey, seq, instr(seq, 'n') > 0 AS has_n, {" OR ".join(f"substr(seq, 1, length(seq) - {p}) = substr(seq, {p + 1})" for p in range(1, 5))} AS periodic,
         least({", ".join(_CNT(b) for b in "acgt")}) < length(seq) // 12 AS biased, coalesce({_LOWC}, false) AS low_complexity, greatest({", ".join(_CNT(b) for b in "acgtn")}) >= length(seq) - 2 AS homopolymer FROM s""",
     "sequence_keys": f"""WITH {READS_SQL}, p AS (SELECT *, list_reduce(list_transform(range(0, {K}), lambda i: substr(seq, (1 + 2 * i)::BIGINT, 1)), lambda a, b: a || b) AS s FROM reads)
         SELECT read_id, {_KEY.format('s')} AS key, {_KEY.format(f'substr(seq, 4, {K})')} AS dense, (read_id << 16) + 7 AS posting, xor(read_id, 1) AS mate, read_id % 2 = 0 AS is_left FROM p""",
-    "kmer_mutants": f"WITH {TX_SQL}, k AS (SELECT tid, substr(seq, 1, {K}) AS s FROM tx WHERE tid <= 50) SELECT DISTINCT tid, substr(s, 1, i - 1) || b || substr(s, i + 1) AS mutant FROM k, (SELECT unnest(range(1, {K + 1})) AS i), (SELECT unnest(['a', 'c', 'g', 't']) AS b)",
-    "sequence_edits": f"WITH {TX_SQL} SELECT tid, substr(seq, 91) AS rest, reverse(translate(substr(seq, 6, 12), 'acgt', 'tgca')) AS part, left(seq, 5) || 'nnn' || right(seq, 5) AS gapped, substr(seq, 2, 8) || 'g' AS slid, 't' || left(seq, 4) AS longer FROM tx WHERE tid <= 200",
+    "kmer_mutants": f"WITH {TX_SQL}, k AS (SELECT tid, substr(seq, 1, {K}) AS s FROM tx) SELECT DISTINCT tid, substr(s, 1, i - 1) || b || substr(s, i + 1) AS mutant FROM k, (SELECT unnest(range(1, {K + 1})) AS i), (SELECT unnest(['a', 'c', 'g', 't']) AS b)",
+    "sequence_edits": f"WITH {TX_SQL} SELECT tid, substr(seq, 91) AS rest, reverse(translate(substr(seq, 6, 12), 'acgt', 'tgca')) AS part, left(seq, 5) || 'nnn' || right(seq, 5) AS gapped, substr(seq, 2, 8) || 'g' AS slid, 't' || left(seq, 4) AS longer FROM tx",
     "mate_pairs": f"WITH {READS_SQL} SELECT a.read_id, b.read_id AS mate_id, a.tid, b.pos AS mate_pos, b.pos - a.pos AS span FROM reads a JOIN reads b ON b.read_id = xor(a.read_id, 1) WHERE a.read_id % 2 = 0",
     "insert_size": f"WITH {READS_SQL}, d AS (SELECT abs(b.pos - a.pos) AS d FROM reads a JOIN reads b ON b.read_id = xor(a.read_id, 1) AND a.tid = b.tid WHERE a.read_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY a.tid ORDER BY a.read_id) <= 100) SELECT count(*) AS pairs, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd FROM d",
     "seed_align_exact": f"WITH {READS_SQL}, {_TX200}, {_STRANDS.format('reads')}, {_WINDOWS} SELECT read_id, tid, pos::INT AS pos, is_rc FROM rs JOIN win ON seq = w",
@@ -251,7 +258,7 @@ SQL = {
     "realigned_reads": f"WITH {READS_SQL}, {_TX200}, {_STRANDS.format('reads')}, {_WINDOWS} SELECT read_id, tid, pos::INT AS pos, is_rc FROM rs JOIN win ON seq = w QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY tid DESC, pos, is_rc) = 1",
     "paired_anchors": f"""WITH {READS_SQL}, {_TX200}, {_STRANDS.format('reads')}, {_WINDOWS}, p AS (SELECT read_id, tid, pos FROM rs JOIN win ON seq = w)
         SELECT a.read_id, b.read_id AS mate_id, a.tid, b.tid AS mate_tid, (CASE WHEN a.tid = b.tid THEN abs(b.pos - a.pos) END)::INT AS span, count(*) OVER (PARTITION BY a.read_id, a.tid, b.tid) AS repeats FROM p a JOIN p b ON b.read_id = xor(a.read_id, 1) WHERE a.read_id % 2 = 0""",
-    "overlap_functions": f"""WITH {TX_SQL}, a AS (SELECT tid, substr(seq, 1, 40) AS l, substr(seq, 26, 7) || 'c' || substr(seq, 34, 30) AS r FROM tx WHERE tid <= 120)
+    "overlap_functions": f"""WITH {TX_SQL}, a AS (SELECT tid, substr(seq, 1, 40) AS l, substr(seq, 26, 7) || 'c' || substr(seq, 34, 30) AS r FROM tx)
         SELECT tid, hamming(left(l, least(length(l), length(r))), left(r, least(length(l), length(r))))::INT AS hamming,
         coalesce(list_min(list_filter([3, 4, 5]::BIGINT[], lambda n: {_OVL.format(l='l', r='r', mm=1)})), list_max(list_filter(range(6, least(length(l), length(r)) + 1), lambda n: {_OVL.format(l='l', r='r', mm=3)})), 0)::INT AS found,
         coalesce(list_max(list_filter(range(6, 31), lambda n: {_OVL.format(l='l', r='r', mm=1)})), 0)::INT AS longest, least(hamming(right(l, 15), left(r, 15)), 9)::INT AS mm,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +26,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/strandloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """key, number (gapless from 0, in the key's order) of the distinct keys: ranges are sorted apart, and one row per range carries its offset."""
+    ranged = rows.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    ranged = written(ranged.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbers")
+    sizes = dict(map(tuple, ranged.groupBy("part").count().collect()))
+    before = [0, *itertools.accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
+    return ranged.select(key, (F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("part") + 1) + F.col("at")).alias("number"))

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom import __main__ as cli
+from strandloom.functions import sequence as S
 from strandloom.operators import alignment, assembly, evaluation, graph, kmers, simulation
 from strandloom.plans import pipelines
 
@@ -108,3 +110,36 @@ def test_commands(spark, tmp_path):
     run("hash", str(tmp_path / "r.fa"), "30")
     assert spark.read.parquet(str(tmp_path / "out3hash")).count() > 0
     run("reads", "view", str(tmp_path / "r.fa"))
+
+
+def test_long_chains_and_cycles(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "src long, dst long")
+    nodes = spark.range(1, 41).withColumnRenamed("id", "tid")
+    assert {r.tid: r.level for r in graph.levels(nodes, chain).collect()} == {i: i - 1 for i in range(1, 41)}
+    assert graph.reachable(chain, nodes.where("tid = 3")).count() == 38
+    assert [r.path for r in graph.paths(nodes, chain).collect()] == [list(range(1, 41))]
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6), (6, 7), (7, 6)], "src long, dst long")
+    some = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 6, 7, 9)], "tid long")
+    assert sorted(r.path for r in graph.paths(some, ring).collect()) == [[1, 2, 3], [5, 6, 7], [9]]
+    with pytest.raises(ValueError):
+        graph.levels(some, ring)
+
+
+def test_overlaps_match_the_expression(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        a = "".join(rng.choice("acgt") for _ in range(rng.randint(1, 60)))
+        b = a[rng.randrange(len(a)) :] + "".join(rng.choice("acgt") for _ in range(rng.randint(0, 30)))
+        b = "".join(rng.choice("acgt") if rng.random() < 0.06 else c for c in b)
+        rows.append((a, b))
+    for allowed in (2, 3, 11):
+        want = spark.createDataFrame(rows, "l string, r string").select(S.find_overlap("l", "r", allowed).alias("ol"), S.overlap_mismatches("l", "r", S.find_overlap("l", "r", allowed), allowed).alias("mm")).collect()
+        assert [graph._overlap(a.encode(), b.encode(), allowed) for a, b in rows] == [(w.ol, w.mm) for w in want]
+
+
+def test_simulated_reads_have_numbers_of_their_own(spark):
+    tx = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("id"), F.repeat(F.lit("acgt"), 25).alias("seq"))
+    reads = simulation.mate_pairs(tx, 1.0, 36, 96, 5.0, 0.0)
+    assert reads.count() == reads.select("read_id").distinct().count() >= 6000
+    assert reads.groupBy(F.shiftright("read_id", 32)).agg(F.countDistinct("gene").alias("n")).where("n > 1").isEmpty()
