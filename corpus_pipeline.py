@@ -33,7 +33,11 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language the network can't tell, go; the rest stay as they are."""
+    """Documents without a letter, or whose language the network can't tell, go; the rest stay as they are.
+
+    A null or empty text has no letter. Rows that repeat are judged each; a null lang or doc_id changes nothing; other columns pass
+    through whatever their names; no rows give no rows.
+    """
     model = learn(docs, ~held_out(F.col("doc_id")))
     found = with_languages(docs.select(*[F.col(c).alias(f"c{i}") if c != "text" else F.col(c) for i, c in enumerate(docs.columns)]), model)
     kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
@@ -41,23 +45,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, whole.
+
+    A null text equals an empty one; a null doc_id is the smallest; of rows that repeat a doc_id one stays. No rows give no rows.
+    """
     return drop_copies(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: that with the smallest doc_id; see drop_near_copies for odd rows."""
     return drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole: blocks taken over size, rounded, so 0 to 3 times."""
+    """Documents as often as the mix takes them, whole: blocks taken over size, rounded, so 0 to 3 times.
+
+    Texts without a word (null, empty, blank) take nothing and go; a null source is a source of its own; rows that repeat are rows of
+    their own; other columns pass through whatever their names; no rows give no rows.
+    """
     rows = with_row_key(docs)
     sized = materialize(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), "__key"), "stage-sizes")
     mixed = mix(sized, block_words=BLOCK_WORDS)
-    copies = materialize(mixed.select("__key", F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies")).where("copies > 0"), "stage-copies")
+    copies = materialize(mixed.select("__key", F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies")).where("__copies > 0"), "stage-copies")
     taken = rows.join(copies.hint("shuffle_merge"), "__key")  # the same way at every size: each text is shuffled once
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[rows[c] for c in docs.columns])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[rows[c] for c in docs.columns])
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
