@@ -53,6 +53,15 @@ def with_place(df: DataFrame, *columns: str) -> DataFrame:
         return materialize(df.select(*columns), "placed").select(*columns, *place)
 
 
+def give_back() -> None:
+    """Give this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def trimmed(run: Callable) -> Callable:
     """A function for mapInArrow that gives its freed memory back to the system when a task ends; Python workers outlive tasks."""
 
@@ -60,11 +69,7 @@ def trimmed(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return wrapped
 

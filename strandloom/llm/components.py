@@ -11,11 +11,11 @@ from .common import join_groups, materialize
 MOST_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation: every node's larger (or smaller) neighbours move to its smallest neighbour."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star operation: every node's larger (or smaller) neighbours move to its smallest neighbour; total tells hot nodes."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    moved = join_groups(both, least, "a", "n", both.count())
+    moved = join_groups(both, least, "a", "n", total)
     if large:
         pairs = moved.where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
     else:
@@ -36,5 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state or seen[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         state = seen
-        now = materialize(_star(_star(now, True), False), "links")
+        now = materialize(_star(_star(now, True, 2 * seen[0]), False, seen[0]), "links")
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

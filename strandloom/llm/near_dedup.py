@@ -1,9 +1,12 @@
-"""Near-duplicate removal: an exact similarity join of sets of word shingles, by prefixes, then connected components.
-
-Two sets with a Jaccard similarity of t or more share a shingle among the first n - ceil(t n) + 1 of each (n: its size), in whatever
-order of all shingles. Rare shingles come first in the order, so that few documents meet by chance. Equal sets are one node.
-Documents that meet at a shingle are compared on exact bounds, then on the sets themselves. In large buckets members are first
-linked to one of them; then only members of different components are compared, all of them that the bounds leave.
+"""Near-duplicate removal: SimHash under covering masks, completed by an exact join of prefixes, then connected components.
+
+Fingerprints within the radius of the covering masks always share a bucket; documents that these link are candidates. But
+sets at a Jaccard similarity of 0.8 have fingerprints some ten bits apart, further than masks can serve, so a second source of
+candidates completes them: two sets with a similarity of t or more share a shingle among the first n - ceil(t n) + 1 of each (n: its
+size), in whatever order of all shingles. Rare shingles come first in the order, so that few documents meet by chance.
+Candidates of both sources are compared on exact bounds, then on the sets themselves. Equal sets are one node. In large buckets
+members are first linked to one of them; then only members of different components are compared, all of them that the bounds
+leave; buckets too large for a task are cut into blocks, and the blocks that hold different components meet pair by pair.
 """
 
 from __future__ import annotations
@@ -17,19 +20,25 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, trimmed, with_place
+from .common import give_back, join_groups, materialize, trimmed, with_place
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import majority, near_links, shingle_hashes
 
 #: Words of a shingle and the similarity from which documents are near copies.
 WIDTH, SIMILARITY = 5, 0.8
+#: Differing bits up to which the covering masks find every pair of fingerprints.
+RADIUS = 4
 #: Members of a bucket up to which all pairs are compared at once; larger ones start with links to one member.
 ALL_PAIRS = 8
 #: Rounds that compare one pair for each two components in a bucket, before all pairs that are left.
-STAR_ROUNDS = 3
-#: Documents whose shingles are counted for the order, the count from which a shingle is common, and the most that are told apart
-#: (16 bytes each). They set the order alone, on which results don't depend.
-COUNTED, COMMON, MOST_COMMON = 16_384, 3, 200_000
+STAR_ROUNDS = 1
+#: Share of all shingles (the least hashes) that are counted, over all documents; prefixes seldom reach further. The count from which a
+#: shingle is common, and the most that are sent to tasks (16 bytes each). They set the order alone, on which results don't depend.
+COUNTED, COMMON, MOST_COMMON = 0.25, ALL_PAIRS + 1, 200_000
+#: Share of all documents from which a common shingle's bucket is led by an aggregate and a broadcast, not gathered by a task.
+HOT_SHARE = 1 / 2048
+#: Members of a bucket, or of a block of a larger bucket, that one task compares.
+BLOCK = 1 << 14
 #: Words of 64 bits in a set's sketch.
 SKETCH = 4
 #: Nodes whose places may be broadcast (about 150 bytes each).
@@ -125,55 +134,113 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _runs(batches, give)
 
 
-def cross_pairs(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, words: np.ndarray, one: bool) -> Iterator[np.ndarray]:
-    """Pairs of keys of different roots that the bounds leave; with one, of each two roots the pair with the closest sketches."""
-    step = max(1, _CELLS // len(keys))
-    for at in range(0, len(keys) if (roots != roots[0]).any() else 0, step):
-        s, n = slice(at, at + step), sizes[at : at + step, None] + sizes[None]
+def cross_pairs(rows: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...], one: bool) -> Iterator[np.ndarray]:
+    """Pairs of keys of rows and others whose roots differ and that the bounds leave; both hold keys, roots, sizes and sketch words.
+
+    With one, of each two roots the pair with the closest sketches. A pair that is met from both sides appears once.
+    """
+    (keys, roots, sizes, words), (to_keys, to_roots, to_sizes, to_words) = rows, others
+    step = max(1, _CELLS // max(1, len(to_keys)))
+    for at in range(0, len(keys), step):
+        s = slice(at, at + step)
+        n = sizes[s, None] + to_sizes[None]
         apart = np.zeros(n.shape, np.int64)
         for w in range(words.shape[1]):
-            apart += np.bitwise_count((words[s, w, None] ^ words[None, :, w]).view(np.uint64))
-        i, j = np.nonzero((roots[s, None] < roots[None]) & (np.maximum(apart, abs(sizes[s, None] - sizes[None])) <= _least_similar(n)))
+            apart += np.bitwise_count((words[s, w, None] ^ to_words[None, :, w]).view(np.uint64))
+        i, j = np.nonzero((roots[s, None] != to_roots[None]) & (np.maximum(apart, abs(sizes[s, None] - to_sizes[None])) <= _least_similar(n)))
         if one and len(i):
-            order = np.lexsort((apart[i, j], roots[j], roots[at + i]))
-            i, j = i[order], j[order]
-            new = np.concatenate([[True], (np.diff(roots[at + i]) != 0) | (np.diff(roots[j]) != 0)])
-            i, j = i[new], j[new]
-        yield np.sort(np.stack([keys[at + i], keys[j]], 1), axis=1)
+            low, high = np.minimum(roots[at + i], to_roots[j]), np.maximum(roots[at + i], to_roots[j])
+            order = np.lexsort((apart[i, j], high, low))
+            new = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
+            i, j = i[order][new], j[order][new]
+        if len(i):
+            yield np.unique(np.sort(np.stack([keys[at + i], to_keys[j]], 1), axis=1), axis=0)
 
 
 def _crossings(one: bool) -> Callable:
-    def give(b: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """a, b: pairs to compare; from rows of bucket, whether the row asks, whether it answers, key, root, size, sketch.
+
+    In a bucket where all rows do both, those of the most frequent root only answer.
+    """
+
+    def give(b: np.ndarray, asks: np.ndarray, answers: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
         for s, e in zip(cut, cut[1:]):
             k, r, n, *words = (c[s:e] for c in columns)
-            for found in cross_pairs(k, r, n, np.stack(words, 1), one):
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            if (r == r[0]).all():
+                continue
+            side, ask, answer = (k, r, n, np.stack(words, 1)), asks[s:e], answers[s:e]
+            if (ask & answer).all():
+                names, times = np.unique(r, return_counts=True)
+                ask = r != names[times.argmax()]
+            for found in cross_pairs(tuple(x[ask] for x in side), tuple(x[answer] for x in side), one):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return trimmed(lambda batches: _runs(batches, give))
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Rows of bucket, asks, answers and the columns of members (shingle, key, root, ...): what tasks compare.
+
+    Up to BLOCK members make one bucket. In a larger one the most frequent root only answers and members of its other roots ask and
+    answer; blocks of those that ask meet blocks of those that answer, each two blocks in a bucket of their own.
+    """
+    rest = [c for c in members.columns if c != "shingle"]
+    large = materialize(members.groupBy("shingle").agg(F.count("*").alias("__members")).where(F.col("__members") > BLOCK), "large-buckets")  # fewer than all members over BLOCK
+    if large.isEmpty():
+        return members.select(F.col("shingle").alias("bucket"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), *rest)
+    plain = members.join(F.broadcast(large), "shingle", "left_anti").select(F.col("shingle").alias("bucket"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), *rest)
+    tallies = members.join(F.broadcast(large), "shingle").groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle")
+    tallies = materialize(tallies.agg(F.max_by("root", F.struct("n", "root")).alias("__most"), F.sum("n").alias("__members"), (F.sum("n") - F.max("n")).alias("__asking")).where("__asking > 0"), "bucket-roots")
+    asks = F.col("root") != F.col("__most")
+    parted = members.join(F.broadcast(tallies), "shingle").withColumn("__row", F.ceil(F.col("__asking") / BLOCK)).withColumn("__column", F.ceil(F.col("__members") / BLOCK))
+    name = lambda i, j: F.xxhash64("shingle", i, j)
+    row, column = F.pmod(F.xxhash64("key"), F.col("__row")), F.pmod(F.xxhash64("key"), F.col("__column"))
+    asking = parted.where(asks).withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__column") - 1))).select(name(row, F.col("__at")).alias("bucket"), F.lit(True).alias("asks"), F.lit(False).alias("answers"), *rest)
+    answering = parted.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__row") - 1))).select(name(F.col("__at"), column).alias("bucket"), F.lit(False).alias("asks"), F.lit(True).alias("answers"), *rest)
+    return plain.unionByName(asking).unionByName(answering)
+
+
 def _common(places: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, with their counts in some documents."""
+    """Common shingles, sorted, with their counts over all documents; of too many those with the largest counts."""
+    least = np.uint64(COUNTED * 2**64)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t.as_py()) for t in b.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["shingle"])
-
-    share = max(1, places.count() // COUNTED)
-    some = places.where(F.pmod(F.xxhash64("file", "row"), F.lit(share)) == 0).select("text")
-    counted = some.mapInArrow(trimmed(hashes), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
-    top = counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+            for at in range(0, b.num_rows, 1024):
+                found = [np.unique(x[x < least]) for x in (shingle_hashes(t.as_py() or b"", WIDTH) for t in b.column(0).slice(at, 1024).cast(pa.binary()))]
+                shingles, n = np.unique(np.concatenate(found), return_counts=True)  # added up before they are dealt out
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def give(shingle: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.concatenate([[True], np.diff(shingle) != 0]))
+            sums = np.add.reduceat(n, first)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[first][sums >= COMMON]), pa.array(sums[sums >= COMMON])], ["shingle", "count"])
+
+        return _runs(batches, give)
+
+    dealt = places.select("text").mapInArrow(trimmed(hashes), "shingle long, n long").repartition("shingle").sortWithinPartitions("shingle")
+    counted = dealt.mapInArrow(trimmed(totals), "shingle long, count long")
+    counted = materialize(counted.withColumn("level", F.floor(F.log2("count") * 16)), "common-shingles")
+    cut, held = 0, 0
+    for level, n in sorted(map(tuple, counted.groupBy("level").count().collect()), reverse=True):  # some hundred levels at most
+        cut, held = level, held + n
+        if held > MOST_COMMON:
+            cut += 1
+            break
+    top = counted.where(F.col("level") >= cut).select("shingle", "count").toArrow()
     common, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(common)
-    return common[order], counts[order]
+    common, counts = common[order], counts[order]
+    del top, order
+    give_back()
+    return common, counts
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, file, row, key and root for the rows of docs (doc_id, text) that have a near copy; root is the group's smallest key."""
-    places = with_place(docs, "doc_id", "text")
+    spark, places = docs.sparkSession, with_place(docs, "doc_id", "text")
     common, counts = _common(places)
     words = [f"w{i}" for i in range(SKETCH)]
 
@@ -181,21 +248,36 @@ def near_groups(docs: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingle_set(t.as_py()) for t in part.column(1).cast(pa.binary())]
+                found = [shingle_hashes(t.as_py() or b"", WIDTH) for t in part.column(1).cast(pa.binary())]
+                fp = np.array([majority(x) for x in found], np.uint64).view(np.int64)
+                sets = [np.unique(x) for x in found]
                 bits = np.stack([sketch(s) for s in sets])
                 digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 firsts = pa.array([prefix(s, common, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), digests, firsts, pa.array([wide_sketch(s) for s in sets], pa.binary()), *[pa.array(bits[:, i].copy()) for i in range(SKETCH)]], ["doc_id", "file", "row", "n", "digest", "firsts", "wide", *words])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), digests, firsts, pa.array([wide_sketch(s) for s in sets], pa.binary()), pa.array(fp), *[pa.array(bits[:, i].copy()) for i in range(SKETCH)]], ["doc_id", "file", "row", "n", "digest", "firsts", "wide", "fp", *words])
 
-    schema = "doc_id long, file string, row long, n long, digest binary, firsts array<long>, wide binary, " + ", ".join(f"{w} long" for w in words)
+    schema = "doc_id long, file string, row long, n long, digest binary, firsts array<long>, wide binary, fp long, " + ", ".join(f"{w} long" for w in words)
     fps = places.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "file", "row").mapInArrow(trimmed(prints), schema)
     fps = materialize(fps.withColumn("key", F.monotonically_increasing_id()), "prefixes")
     same = fps.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("members"))
     same = materialize(join_groups(fps.select("key", "digest"), same, "digest", "members", fps.count()).where("key <> node").select("key", "node"), "equal-sets")
     few = F.broadcast(same.select("key")) if same.count() <= BROADCAST_ROWS else same.select("key")
     nodes = fps.join(few, "key", "left_anti")
+    led = materialize(nodes.groupBy("fp").agg(F.min("key").alias("leader"), F.count("*").alias("members")), "fingerprints")
+    bits_near = near_links(led.select("fp"), RADIUS).join(led.select(F.col("fp").alias("a"), F.col("leader").alias("x")), "a").join(led.select(F.col("fp").alias("b"), F.col("leader").alias("y")), "b").select("x", "y")
+    bits_same = join_groups(nodes.select("key", "fp"), led, "fp", "members", fps.count()).where("key <> leader").select(F.col("leader").alias("x"), F.col("key").alias("y"))
     dealt = nodes.select(F.explode("firsts").alias("shingle"), "key")
-    met = materialize(dealt.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(trimmed(_meetings), "x long, y long, large boolean"), "meetings")
+    crowded = common[counts > fps.count() * HOT_SHARE].view(np.int64)
+    hot = spark.createDataFrame(pa.table({"shingle": np.sort(crowded)})) if len(crowded) else None
+    cool = dealt if hot is None else dealt.join(F.broadcast(hot), "shingle", "left_anti")
+    met = materialize(cool.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(trimmed(_meetings), "x long, y long, large boolean"), "meetings")
+    pairs = met.where("not large").select("x", "y").unionByName(bits_near).unionByName(bits_same)
+    large = met.where("large").select(F.col("x").alias("shingle"), F.col("y").alias("key"))
+    if hot is not None:
+        crowd = materialize(dealt.join(F.broadcast(hot), "shingle"), "hot-postings")
+        leaders = crowd.groupBy("shingle").agg(F.min("key").alias("leader"))
+        pairs = pairs.unionByName(crowd.join(F.broadcast(leaders), "shingle").where("key <> leader").select(F.col("leader").alias("x"), F.col("key").alias("y")))
+        large = large.unionByName(crowd)
     facts = fps.select("key", "n", *words)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,25 +298,40 @@ def near_groups(docs: DataFrame) -> DataFrame:
             ok = [wide_apart(p.as_py(), q.as_py()) <= _least_similar(s) for p, q, s in zip(x, y, n.to_numpy() + m.to_numpy(), strict=True)]
             yield pa.RecordBatch.from_arrays([a, c], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def ends_of(pairs: DataFrame, label: str, *columns: str) -> DataFrame:
-        keys = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), f"{label}-keys")
-        few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-        return materialize(fps.select("key", *columns).join(few, "key"), label)
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        return F.broadcast(keys) if pairs.count() * 2 <= BROADCAST_ROWS else keys
+
+    def both_ends(pairs: DataFrame, ends: DataFrame, *columns: str) -> DataFrame:
+        """pairs with the columns of both ends, named a_ and b_."""
+        for side in "ab":
+            pairs = pairs.join(ends.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+        return pairs
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs a, b (a written table) whose sets are similar; sets are met only for pairs that the wide sketches leave."""
-        ends = ends_of(pairs, "candidate-sketches", "n", "wide")
-        both = pairs.join(ends.select(F.col("key").alias("a"), F.col("n").alias("p"), F.col("wide").alias("x")), "a").join(ends.select(F.col("key").alias("b"), F.col("n").alias("q"), F.col("wide").alias("y")), "b")
-        pairs = materialize(both.select("a", "b", "p", "q", "x", "y").mapInArrow(trimmed(close), "a long, b long"), "close-pairs")
+        ends = materialize(fps.select("key", "n", "wide").join(ends_of(pairs), "key"), "candidate-sketches")
+        both = both_ends(pairs, ends, "n", "wide").select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+        pairs = materialize(both.mapInArrow(trimmed(close), "a long, b long"), "close-pairs")
         if pairs.isEmpty():
             return pairs
-        ends = ends_of(pairs, "candidate-places", "file", "row")
-        named = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+        named = fps.select("key", "file", "row").join(ends_of(pairs), "key")
+        named = F.broadcast(named) if pairs.count() * 2 <= BROADCAST_ROWS else named
         found = materialize(places.join(named, ["file", "row"]).select("key", "text").mapInArrow(trimmed(sets), "key long, shingles binary"), "candidate-shingles")
-        both = pairs.join(found.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(trimmed(similar), "a long, b long"), "similar")
-
-    pairs = met.where("not large").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        both = both_ends(pairs, found, "shingles").select("a", "b", "a_shingles", "b_shingles")
+        return materialize(both.mapInArrow(trimmed(similar), "a long, b long"), "similar")
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """roots with the components that links connect made one: only the graph of components is walked again."""
+        named = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+        for side in "ab":
+            links = links.join(named.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+        moved = materialize(components(links), "moved-roots")
+        few = F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved
+        again = roots.join(few.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return materialize(again.unionByName(moved.join(named, "node", "left_anti").select("node", "root")), "roots")
+
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(facts.select(*[F.col(c).alias(f"{side}_{c}" if c != "key" else side) for c in facts.columns]), side)
     apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.abs(F.col("a_n") - F.col("b_n")) * 0)
@@ -242,11 +339,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = same.select(F.col("node").alias("a"), F.col("key").alias("b")).unionByName(verified(materialize(pairs.where(near).select("a", "b"), "candidates")))
     roots = materialize(components(links), "roots")
 
-    large = met.where("large").select(F.col("x").alias("shingle"), F.col("y").alias("key"))
     left = -1 if large.isEmpty() else STAR_ROUNDS
     while left >= 0:
         at = large.join(roots.withColumnRenamed("node", "key"), "key", "left").join(facts, "key").select("shingle", "key", F.coalesce("root", "key").alias("root"), "n", *words)
-        found = at.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_crossings(left > 0), "a long, b long").distinct()
+        found = _in_blocks(at).repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_crossings(left > 0), "a long, b long").distinct()
         found = materialize(found, "candidates")
         if found.isEmpty():  # no two components are left that could meet
             break
@@ -254,8 +350,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         if new.isEmpty():
             left = min(left, 1)  # all pairs come next
         else:
-            links = links.unionByName(new)
-            roots = materialize(components(links), "roots")
+            roots = joined(roots, new)
         left -= 1
     return fps.join(roots.withColumnRenamed("node", "key"), "key").select("doc_id", "file", "row", "key", "root")
 
