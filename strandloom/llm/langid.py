@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, trimmed
+from .common import give_back, materialize, trimmed
 
 HIDDEN, WINDOW, ROWS = 8, 128, 2048
 #: The sample: at most so many documents, balanced over languages, and so many windows of so many bytes of each.
@@ -205,6 +205,16 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
+def share_of_each(sizes: list[int], total: int) -> int | None:
+    """The least share with sum(min(size, share)) of total or more; None when all sizes together are less."""
+    left, rest = total, sorted(sizes)
+    while rest:
+        if rest[0] * len(rest) >= left:
+            return -(-left // len(rest))
+        left -= rest.pop(0)
+    return None
+
+
 def learn(docs: DataFrame, learnable: Column, sample_docs: int = SAMPLE_DOCS, steps: int = STEPS) -> ByteBiGru:
     """A network for the lang values among rows of docs (doc_id, text, lang) where learnable holds.
 
@@ -213,18 +223,24 @@ def learn(docs: DataFrame, learnable: Column, sample_docs: int = SAMPLE_DOCS, st
     """
     rows = docs.where(learnable & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    labels = sorted(r.lang for r in counts.select("lang").collect())
+    sizes = {r.lang: r.n for r in counts.collect()}
+    labels = sorted(sizes)
     if not labels:
         return ByteBiGru([])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) * F.col("n")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)).cast("decimal(20,0)") * F.col("n")
     spread = [F.substring(F.col("text").cast("binary"), (F.octet_length("text") * i / SAMPLE_WINDOWS + 1).cast("int"), F.lit(SAMPLE_BYTES)) for i in range(SAMPLE_WINDOWS)]
-    sample = rows.join(F.broadcast(counts), "lang").select("lang", "doc_id", drawn.alias("key"), F.array(*spread).alias("parts")).orderBy("key", "doc_id", "lang").limit(sample_docs)
+    sample = rows.join(F.broadcast(counts), "lang").select("lang", "doc_id", drawn.alias("key"), F.array(*spread).alias("parts"))
+    if (most := share_of_each(list(sizes.values()), sample_docs + sample_docs // 4 + 64)) is not None:  # else each task would send its best sample_docs rows
+        sample = sample.where(F.col("key") < F.expr(f"{most << 40}BD"))
+    sample = sample.orderBy("key", "doc_id", "lang").limit(sample_docs)
     windows, label = [], []
     for r in sorted(sample.collect(), key=lambda r: (r.key, repr(r.doc_id), r.lang, r.parts)):
         for p in r.parts:
             windows.append((bytes(p) * SAMPLE_BYTES)[:SAMPLE_BYTES] if p else b" " * SAMPLE_BYTES)
             label.append(labels.index(r.lang))
-    return ByteBiGru.fresh(labels).train(np.frombuffer(b"".join(windows), np.uint8).reshape(len(windows), SAMPLE_BYTES), np.array(label), steps)
+    model = ByteBiGru.fresh(labels).train(np.frombuffer(b"".join(windows), np.uint8).reshape(len(windows), SAMPLE_BYTES), np.array(label), steps)
+    give_back()
+    return model
 
 
 def with_languages(docs: DataFrame, model: ByteBiGru) -> DataFrame:
