@@ -40,7 +40,8 @@ def byte_alphabet() -> dict[str, int]:
 class NumpyBpe:
     """Encoder and decoder of a byte-level BPE in the tokenizers JSON format (no normaliser, no prefix space)."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, cache_words: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS) -> None:
+        self.cache_words, self.batch_chars = cache_words, batch_chars
         spec = json.loads(spec)
         model, alphabet = spec["model"], byte_alphabet()
         vocab: dict[str, int] = model["vocab"]
@@ -103,7 +104,7 @@ class NumpyBpe:
 
     def _learn(self, words: Iterable[str]) -> None:
         new = set(words).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
+        if len(self.cache) + len(new) > self.cache_words:
             self.cache.clear()
             new = set(words)
         if new:
@@ -142,14 +143,14 @@ class NumpyBpe:
         chars = 0
         for text in texts:
             pieces = self._pieces(text)
-            if len(text) > BATCH_CHARS:
+            if len(text) > self.batch_chars:
                 flush()
                 chars = 0
                 out.append(b"".join(p.to_bytes(4, "little") if isinstance(p, int) else self._encode_piece(p) for p in pieces))
                 continue
             group.append([p.to_bytes(4, "little") if isinstance(p, int) else self.split.findall(p) for p in pieces])
             chars += len(text)
-            if chars >= BATCH_CHARS:
+            if chars >= self.batch_chars:
                 flush()
                 chars = 0
         flush()
@@ -207,12 +208,15 @@ def bpe_decode(encoded: DataFrame, spec: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, ids binary, text string")
 
 
-def bpe_round_trip(docs: DataFrame, spec: str) -> DataFrame:
-    """doc_id, ids and the text decoded from them, for every row of docs (doc_id, text): both ways in one Python worker."""
+def bpe_round_trip(docs: DataFrame, spec: str, cache_words: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """doc_id, ids and the text decoded from them, for every row of docs (doc_id, text): both ways in one Python worker.
+
+    The two sizes trade a worker's memory against its time; results don't depend on them.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = NumpyBpe(sent.value)
+        bpe = NumpyBpe(sent.value, cache_words, batch_chars)
 
         def rows() -> Iterator[tuple]:
             for batch in batches:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_round_trip
+from .bpe import BATCH_CHARS, CACHE_WORDS, bpe_round_trip
 from .sstable import read_shards, write_shards
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,10 +18,9 @@ def tokenizer_spec(path: str) -> str:
         return f.read()
 
 
-def round_trip(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
+def round_trip(docs: DataFrame, path: str = BYTE_BPE, cache_words: int = CACHE_WORDS, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Digests of the ids of every text and of the text decoded from them."""
-    spec = tokenizer_spec(path)
-    back = bpe_round_trip(docs, spec)
+    back = bpe_round_trip(docs, tokenizer_spec(path), cache_words, batch_chars)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -38,9 +38,9 @@ def test_awkward_texts():
 
 
 def test_long_texts_and_a_full_store(monkeypatch):
-    monkeypatch.setattr(module, "BATCH_CHARS", 50)
+    monkeypatch.setattr(OURS, "batch_chars", 50)
     monkeypatch.setattr(module, "BATCH_WORDS", 7)
-    monkeypatch.setattr(module, "CACHE_WORDS", 20)
+    monkeypatch.setattr(OURS, "cache_words", 20)
     texts = ["x y z " * 40 + "<|endoftext|>" + "tail words " * 9, "short", "one two three four five six seven", ""] * 5
     got = OURS.encode_batch(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
