@@ -3,6 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from strandloom.llm import pivots
 from strandloom.llm.pivots import PivotIndex, top_k_inner, usable
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -46,3 +47,18 @@ def test_bounds_skip_blocks(spark):
     index = PivotIndex(v, block_rows=50)
     queries = v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     assert {tuple(r) for r in index.top_k(queries, 3).collect()} == brute(rows, 100, 3)
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.integers(-(2**22), 2**22, 4) + rng.integers(0, 256, 4) / 256).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(300 + i, [float(x) for x in rows[i][1]]) for i in range(5)]
+    got = {tuple(r) for r in top_k_inner(vectors(spark, rows), 10, 5).collect()}
+    assert got == brute(rows, 10, 5) and max(abs(r[3]) for r in got) > 2**53
+
+
+def test_sample_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "SAMPLE", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1200)]
+    assert {tuple(r) for r in top_k_inner(vectors(spark, rows), 100, 4).collect()} == brute(rows, 100, 4)
