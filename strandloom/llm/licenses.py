@@ -1,10 +1,11 @@
 """Licence scan by a positional rare-token index.
 
-Each template (a base phrase or the opening of a licence) is known by its rarest words, judged by
-document frequency over the corpus. A file's occurrences of such words are looked up in the index; a
-word at place p that stands at place t of a template votes for the start p - t. Starts on which
-the anchors of a template agree are verified on the words themselves: base phrases word by word, longer
-templates by their mandatory key phrases and the share of words in place.
+The index holds, for every word of the licence templates, the templates and places where it stands. Of a file's licence words
+those with the highest inverse document frequency over the corpus are looked up, up to a number per template; a word at
+place p of the file that stands at place t of a template tells the start p - t. Postings are intersected by these relative
+positions: starts on which enough of a template's words agree, within a drift that leaves room for words added or dropped, are
+verified by the template's mandatory key phrases and by the share of its words found in order (a longest common subsequence).
+Base phrases are short and exact: all of their rarest words must agree on a start, and they are verified word by word.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import trimmed
 from .license_texts import BASE_PHRASES, TEMPLATES
 
-#: Rarest words of a template that vote, votes a start needs (a base phrase needs all), and share of words in place.
-ANCHORS, VOTES, SHARE = 4, 2, 0.8
+#: Words of a file that are looked up for a template, how many of them must agree on a start, places by which starts may drift apart, and
+#: the share of a template's words that must stand in order.
+ANCHORS, VOTES, DRIFT, SHARE = 8, 4, 8, 0.8
 #: Bytes of a text whose words are held at once.
 PIECE_BYTES = 1 << 20
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -34,19 +36,16 @@ _BLANK = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
 class Template:
     label: str
     words: tuple[bytes, ...]
-    keys: tuple[tuple[int, tuple[bytes, ...]], ...]  # place and words of each mandatory phrase
+    keys: tuple[tuple[bytes, ...], ...]  # the words of each mandatory phrase
     base: bool
 
 
-def templates() -> list[Template]:
+def templates(table: list[tuple[str, str, list[str]]] = TEMPLATES) -> list[Template]:
+    """The base phrases and the templates of a table of label, text and mandatory phrases."""
     out = [Template(label, tuple(phrase.encode().split()), (), True) for phrase, label in BASE_PHRASES.items()]
-    for label, text, keys in TEMPLATES:
-        words = tuple(text.encode().split())
-        places = []
-        for key in keys:
-            part = tuple(key.encode().split())
-            places.append((next(i for i in range(len(words)) if words[i : i + len(part)] == part), part))
-        out.append(Template(label, words, tuple(places), False))
+    for label, text, keys in table:
+        words = tuple(text.encode().translate(_WORD_BYTES).split())
+        out.append(Template(label, words, tuple(tuple(k.encode().translate(_WORD_BYTES).split()) for k in keys), False))
     return out
 
 
@@ -67,34 +66,107 @@ class Scan:
     found: dict | None = None  # label: best score
 
 
+def in_order(template: tuple[bytes, ...], words: list[bytes]) -> int:
+    """Length of the longest common subsequence, by one addition of long numbers per word."""
+    places: dict[bytes, int] = defaultdict(int)
+    for i, w in enumerate(template):
+        places[w] |= 1 << i
+    full = (1 << len(template)) - 1
+    row = full
+    for w in words:
+        if met := row & places.get(w, 0):
+            row = (row + met | row - met) & full
+    return len(template) - row.bit_count()
+
+
+def holds(words: list[bytes], phrase: tuple[bytes, ...]) -> bool:
+    n = len(phrase)
+    return any(words[i] == phrase[0] and tuple(words[i : i + n]) == phrase for i in range(len(words) - n + 1))
+
+
+def agreeing(starts: list[tuple[int, bytes]], votes: int, drift: int) -> Iterator[int]:
+    """Starts in sorted (start, word) around which so many different words lie within the drift."""
+    low, high, inside = 0, 0, Counter()
+    for at in sorted({s for s, _ in starts}):
+        while high < len(starts) and starts[high][0] <= at + drift:
+            inside[starts[high][1]] += 1
+            high += 1
+        while starts[low][0] < at - drift:
+            inside[starts[low][1]] -= 1
+            if not inside[starts[low][1]]:
+                del inside[starts[low][1]]
+            low += 1
+        if len(inside) >= votes:
+            yield at
+
+
 class Index:
-    """Anchor words with their templates and places."""
+    """Places of all words in the templates, with the words' inverse document frequency."""
 
-    def __init__(self, frequency: dict[bytes, int], total: int) -> None:
-        self.templates = templates()
-        self.longest = max(len(t.words) for t in self.templates)
+    def __init__(self, frequency: dict[bytes, int], total: int, table: list[tuple[str, str, list[str]]] = TEMPLATES) -> None:
+        self.templates = templates(table)
+        self.longest = max(len(t.words) for t in self.templates) + 2 * DRIFT
+        self.idf = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) for t in self.templates for w in t.words}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.base: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.needed = []
         for n, t in enumerate(self.templates):
-            idf = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) for w in t.words}
-            rare = sorted(idf, key=lambda w: (-idf[w], w))[: 2 if t.base else ANCHORS]
+            rare = sorted(set(t.words), key=lambda w: (-self.idf[w], w))
+            chosen = rare[:2] if t.base else rare
             for place, word in enumerate(t.words):
-                if word in rare:
-                    self.postings[word].append((n, place))
-            self.needed.append(sum(w in rare for w in t.words) if t.base else VOTES)
-        self.words = frozenset(self.postings)
+                if word in chosen:
+                    (self.base if t.base else self.postings)[word].append((n, place))
+            self.needed.append(sum(w in chosen for w in t.words) if t.base else min(VOTES, (len(rare) + 1) // 2))
+        self.order = sorted(self.postings, key=lambda w: (-self.idf[w], w))
+        self.base_words, self.words = frozenset(self.base), frozenset(self.postings)
+        self.in_template = [frozenset(t.words) for t in self.templates]
+
+    def _base(self, words: list[bytes], last: int) -> Iterator[tuple[int, int]]:
+        votes: Counter = Counter()
+        for i, w in enumerate(words):
+            if w in self.base_words:
+                votes.update((n, i - place) for n, place in self.base[w])
+        for (n, start), v in votes.items():
+            t = self.templates[n]
+            if v >= self.needed[n] and 0 <= start < last and tuple(words[start : start + len(t.words)]) == t.words:
+                yield n, start
+
+    def _anchors(self, present: frozenset[bytes]) -> dict[bytes, list[int]]:
+        """Of the file's licence words the rarest, up to ANCHORS a template: word and the templates it is looked up for."""
+        able = [not t.base and len(present & self.in_template[n]) >= max(self.needed[n], math.ceil(SHARE * len(self.in_template[n]) / 2)) for n, t in enumerate(self.templates)]
+        out: dict[bytes, list[int]] = {}
+        if any(able):
+            taken = [0] * len(self.templates)
+            for w in self.order:
+                if w in present:
+                    for n in {n for n, _ in self.postings[w]}:
+                        if able[n] and taken[n] < ANCHORS:
+                            taken[n] += 1
+                            out.setdefault(w, []).append(n)
+        return out
 
-    def _verify(self, n: int, start: int, words: list[bytes]) -> float:
+    def score(self, n: int, start: int, words: list[bytes]) -> float:
+        """Share of the template's words that stand in order around the start; 0 below SHARE or without a mandatory phrase."""
         t = self.templates[n]
-        if start < 0 or start >= len(words):
-            return 0.0
-        there = words[start : start + len(t.words)]
-        if t.base:
-            return float(tuple(there) == t.words)
-        if any(tuple(words[start + p : start + p + len(k)]) != k for p, k in t.keys):
-            return 0.0
-        share = sum(a == b for a, b in zip(there, t.words, strict=False)) / len(t.words)
-        return share if share >= SHARE else 0.0
+        there = words[max(0, start - DRIFT) : max(0, start + len(t.words) + DRIFT)]
+        share = in_order(t.words, there) / len(t.words)
+        return share if share >= SHARE and all(holds(there, k) for k in t.keys) else 0.0
+
+    def _templates(self, words: list[bytes]) -> Iterator[tuple[int, float]]:
+        anchors = self._anchors(self.words.intersection(words))
+        starts: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        for i, w in enumerate(words if anchors else ()):
+            if w in anchors:
+                for n, place in self.postings[w]:
+                    if n in anchors[w]:
+                        starts[n].append((i - place, w))
+        for n, found in starts.items():
+            best = 0.0
+            for start in agreeing(sorted(found), self.needed[n], DRIFT):
+                if best < 1:
+                    best = max(best, self.score(n, start, words))
+            if best:
+                yield n, best
 
     def scan(self, text: bytes) -> Scan:
         out, carry, offset = Scan(0, [], {}), [], 0
@@ -105,27 +177,23 @@ class Index:
             words = carry + part
             out.n_words += len(part)
             last = len(words) if after is None else max(0, len(words) - self.longest + 1)  # later starts see their words in the next round
-            if not self.words.isdisjoint(words):
-                votes: Counter = Counter()
-                for i, w in enumerate(words):
-                    if w in self.words:
-                        votes.update((n, i - place) for n, place in self.postings[w])
-                for (n, start), v in votes.items():
-                    if v >= self.needed[n] and 0 <= start < last and (score := self._verify(n, start, words)):
-                        t = self.templates[n]
-                        if t.base:
-                            out.base.append((t.label, offset + start))
-                        out.found[t.label] = max(out.found.get(t.label, 0.0), score)
+            if not self.base_words.isdisjoint(words):
+                for n, start in self._base(words, last):
+                    out.base.append((self.templates[n].label, offset + start))
+                    out.found[self.templates[n].label] = 1.0
+            for n, share in self._templates(words):
+                label = self.templates[n].label
+                out.found[label] = max(out.found.get(label, 0.0), share)
             carry, offset, part = words[last:], offset + last, after
         return out
 
 
-def word_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
+def word_frequencies(docs: DataFrame, table: list[tuple[str, str, list[str]]] = TEMPLATES) -> tuple[dict[bytes, int], int]:
     """Over all texts of docs: documents that hold each word of the templates, and the number of documents.
 
     Tasks send counts of the template vocabulary only, whose size is fixed.
     """
-    vocabulary = frozenset(w for t in templates() for w in t.words)
+    vocabulary = frozenset(w for t in templates(table) for w in t.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -140,18 +208,18 @@ def word_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
     return counts, counts.pop(b"", 0)
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, table: list[tuple[str, str, list[str]]] = TEMPLATES) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are runs of ASCII digits, letters (A-Z lowered) and bytes from 128. n_base counts all places of
-    base phrases, first_word and last_word are their smallest and largest start (null without any);
+    base phrases, table has label, text and mandatory phrases of the longer templates, first_word and last_word are their smallest and largest start (null without any);
     base_labels and labels are distinct, sorted and comma-joined (empty without any), labels with those of the longer
-    templates; score is the best share of words in place, 1 for a base phrase, 0 without a label. Null
+    templates; score is the best share of a template's words that stand in order, 1 for a base phrase, 0 without a label. Null
     texts count as empty; repeated rows are scanned each; other columns are ignored; no rows give no rows. Long texts
     are scanned in overlapping parts, so no place is lost.
     """
-    frequency, total = word_frequencies(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((frequency, total))
+    frequency, total = word_frequencies(docs, table)
+    sent = docs.sparkSession.sparkContext.broadcast((frequency, total, table))
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
 
