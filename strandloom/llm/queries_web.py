@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .warc import assemble, read_records, write_archives
+from .warc import assemble, read_records, resolve_revisits, write_archives
 
 
 def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
-    captures = assemble(read_records(manifest, payloads=False))
-    field = lambda name: F.col("metadata.fields")[name].cast("long")
+    captures = resolve_revisits(assemble(read_records(manifest, payloads=False)))
+    page = lambda of: F.col(f"{of}.fields")["page-id"].cast("long")
     return captures.select(
-        field("page-id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), field("refers-to-page").alias("refers_to")
+        page("metadata").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), page("original.metadata").alias("refers_to")
     )
 
 

@@ -48,23 +48,22 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, own: str, original: str | None, original_page: int | None) -> list[bytes]:
+def page_records(page_id: int | None, url: str | None, payload: bytes, own: str, original: str | None, original_url: str | None) -> list[bytes]:
     """The records of one page: response or revisit, request, metadata. own and original are record identifiers."""
-    date, uri = "1970-01-01T00:00:00Z", None if url is None else quote(url, safe=_URL_SAFE)
+    date, (uri, original_uri) = "1970-01-01T00:00:00Z", (None if u is None else quote(u, safe=_URL_SAFE) for u in (url, original_url))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     common = {"WARC-Date": date, "WARC-Target-URI": uri}
     about = {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}"}
     if original is None:
         first = record({"WARC-Type": "response", "WARC-Record-ID": f"<urn:uuid:{own}>", **common, **about}, http + payload)
     else:
-        first = record({"WARC-Type": "revisit", "WARC-Record-ID": f"<urn:uuid:{own}>", **common, **about, "WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:uuid:{original}>"}, http)
+        first = record({"WARC-Type": "revisit", "WARC-Record-ID": f"<urn:uuid:{own}>", **common, **about, "WARC-Profile": REVISIT, "WARC-Refers-To": f"<urn:uuid:{original}>", "WARC-Refers-To-Target-URI": original_uri, "WARC-Refers-To-Date": date}, http)
     parts = urlsplit(uri or "")
     get = f"GET {parts.path or '/'}{'?' + parts.query if parts.query else ''} HTTP/1.1\r\nHost: {parts.netloc}\r\n\r\n".encode()
     sub = {k: f"<urn:uuid:{uuid.uuid5(uuid.UUID(own), k)}>" for k in ("request", "metadata")}
     with_first = {**common, "WARC-Concurrent-To": f"<urn:uuid:{own}>"}
     request = record({"WARC-Type": "request", "WARC-Record-ID": sub["request"], **with_first, "Content-Type": "application/http; msgtype=request"}, get)
-    fields = {"page-id": page_id, "refers-to-page": original_page if original is not None else None}
-    meta = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None).encode()
+    meta = b"" if page_id is None else f"page-id: {page_id}\r\n".encode()
     return [first, request, record({"WARC-Type": "metadata", "WARC-Record-ID": sub["metadata"], **with_first, "Content-Type": "application/warc-fields"}, meta)]
 
 
@@ -83,8 +82,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, path: str | None = None
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "file", F.col("row").cast("string")))
     rows = rows.select("page_id", "url", payload.alias("payload"), own.alias("own"))
-    keys = materialize(rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "own", F.unhex(F.sha2("payload", 256)).alias("digest")), "payload-digests")
-    groups = keys.groupBy("digest").agg(F.min(F.struct("page_id", "own")).alias("original"), F.count("*").alias("n"))
+    keys = materialize(rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "own", "url", F.unhex(F.sha2("payload", 256)).alias("digest")), "payload-digests")
+    groups = keys.groupBy("digest").agg(F.min(F.struct("page_id", "own", "url")).alias("original"), F.count("*").alias("n"))
     repeated = materialize(groups.where("n > 1"), "repeated-payloads")
     n_repeated, n_rows = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha2("payload", 256))))
@@ -94,7 +93,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, path: str | None = None
         again = join_groups(keys.join(repeated, "digest", "left_semi"), repeated, "digest", "n", n_rows)
         rows = rows.join(again.select("own", "original"), "own", "left")
     revisit = F.col("original.own") != F.col("own")
-    rows = rows.select("page_id", "url", "payload", "own", F.when(revisit, F.col("original.own")).alias("original"), F.when(revisit, F.col("original.page_id")).alias("original_page"))
+    rows = rows.select("page_id", "url", "payload", "own", F.when(revisit, F.col("original.own")).alias("original"), F.when(revisit, F.col("original.url")).alias("original_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = open_fs(path)
@@ -208,3 +207,18 @@ def assemble(records: DataFrame) -> DataFrame:
     named = named.groupBy("capture").agg(F.min_by(F.struct("id", "fields"), "id").alias("metadata"))
     response = first.select(F.col("id").alias("capture"), "url", F.struct("type", "refers_to", "digest", "payload_bytes", "payload", "fields").alias("response"))
     return response.join(requests, "capture", "left").join(named, "capture", "left").withColumnRenamed("capture", "id")
+
+
+def resolve_revisits(captures: DataFrame) -> DataFrame:
+    """captures (as assemble gives them) with the column original: the capture that WARC-Refers-To names, as a struct of id, url and metadata.
+
+    Null for a response, and for a revisit whose original is not among the captures. Many revisits of one capture are
+    spread before they meet it: captures that over 1/1024 of all rows refer to are few and are broadcast.
+    """
+    captures = materialize(captures, "warc-captures")
+    refers = captures.where("response.type = 'revisit' and response.refers_to is not null").select("id", F.col("response.refers_to").alias("__to"))
+    named = refers.groupBy("__to").agg(F.count("*").alias("__n"))
+    originals = captures.where("response.type <> 'revisit'").select(F.col("id").alias("__to"), F.struct("id", "url", "metadata").alias("original"))
+    originals = materialize(originals.join(named, "__to"), "warc-originals")
+    found = join_groups(refers.join(originals.select("__to"), "__to", "left_semi"), originals, "__to", "__n", captures.count())
+    return captures.join(found.select("id", "original"), "id", "left")

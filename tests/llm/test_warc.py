@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import warc
-from strandloom.llm.warc import _gzip, assemble, members, parse_record, read_records, record, write_archives
+from strandloom.llm.warc import _gzip, assemble, members, parse_record, read_records, record, resolve_revisits, write_archives
 
 PAGES = "page_id long, url string, html string"
 
 
 def captures(spark, rows, **kw):
     pages = spark.createDataFrame(rows, PAGES).withColumn("digest", F.lit("clash")).withColumn("own", F.lit(1))
-    return assemble(read_records(write_archives(pages, **kw))).collect()
+    return resolve_revisits(assemble(read_records(write_archives(pages, **kw)))).collect()
 
 
 ROWS = [(5, "http://h/a?q=1", "<p>é</p>"), (3, None, "<p>é</p>"), (9, "http://h/\r\nX: y", None), (4, "u v", ""), (None, "x", "no id"), (7, "", "long " * 300_000), (8, "", "\r\n\r\nx"), (3, "z", "<p>é</p>")]
@@ -40,7 +40,9 @@ def test_round_trip(spark, monkeypatch, most):
                 first = r
         for r in mine:
             if r.response.type == "revisit":
-                assert r.response.refers_to == first.id and r.metadata.fields["refers-to-page"] == first.metadata.fields["page-id"] == str(min(ids))
+                assert r.response.refers_to == first.id == r.original.id and r.original.metadata.fields["page-id"] == str(min(ids)) and r.original.url == first.url
+            else:
+                assert r.original is None
     assert all(r.request is not None and "host" in r.request.fields for r in got)
 
 
@@ -59,6 +61,17 @@ def test_concurrent_to_in_every_direction(spark):
     assert set(got) == {"<r1>", "<r2>"} and got["<r1>"].request.id == "<q1>" and got["<r1>"].metadata.fields == {"a": "b"} and got["<r2>"].request is None
 
 
+def test_a_revisit_is_resolved_by_its_identifier_alone(spark):
+    """Originals in another archive are found; without their record a revisit has none."""
+    rows = [(i, f"u{i}", "same" if i % 2 else f"own {i}") for i in range(40)]
+    records = read_records(write_archives(spark.createDataFrame(rows, PAGES).repartition(6), min_bytes=0))
+    whole = resolve_revisits(assemble(records)).collect()
+    assert {int(r.original.metadata.fields["page-id"]) for r in whole if r.response.type == "revisit"} == {1}
+    first = next(r.original.id for r in whole if r.original)
+    cut = resolve_revisits(assemble(records.where(F.col("id") != first))).collect()
+    assert len(cut) == 39 and sum(r.response.type == "revisit" for r in cut) == 19 and all(r.original is None for r in cut)
+
+
 def test_damage_is_found():
     bad = record({"WARC-Type": "response", "WARC-Record-ID": "<x>", "WARC-Payload-Digest": "sha1:AAAA"}, b"HTTP/1.1 200 OK\r\n\r\nx")
     with pytest.raises(ValueError):
