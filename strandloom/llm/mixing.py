@@ -20,8 +20,8 @@ from .common import BLANKS, materialize
 #: Fixed rule of the mix: weights by place of the source, and the most a source may be repeated.
 WEIGHTS, MOST = 3, 3
 BLOCK_WORDS, SHARD_BLOCKS = 1024, 4096
-#: Variance from which a hypergeometric draw takes its normal limit instead of the exact inverse distribution.
-NORMAL_FROM = 1 << 14
+#: Levels of the tree after which its nodes are dealt to tasks anew.
+DEAL_LEVELS = 6
 #: Sources up to which their table is broadcast.
 BROADCAST_SOURCES = 100_000
 SEED = "mix"
@@ -105,8 +105,8 @@ def _log_factorial(n: str) -> str:
 def hypergeometric(total: str, good: str, draws: str, *key: str) -> str:
     """SQL of a hypergeometric draw (good ones among draws out of total), fixed by the key.
 
-    Inverse distribution over ten standard deviations around the mean; from a variance of
-    NORMAL_FROM its normal limit, rounded into the support.
+    The inverse distribution at every size, over the ten standard deviations around the mean that doubles can tell from nothing; the
+    arrays grow with the root of the draws, and nodes with many draws are few.
     """
     lo, hi = f"greatest(0L, {draws} - ({total} - {good}))", f"least({good}, {draws})"
     mean = f"({draws} * 1D * {good} / greatest({total}, 1L))"
@@ -114,21 +114,20 @@ def hypergeometric(total: str, good: str, draws: str, *key: str) -> str:
     log_p = f"(-({_log_factorial('k')} + {_log_factorial(f'({good} - k)')} + {_log_factorial(f'({draws} - k)')} + {_log_factorial(f'({total} - {good} - {draws} + k)')}))"
     low = f"greatest({lo}, cast(floor({mean} - 10D * sqrt({var})) as bigint) - 2L)"
     high = f"least({hi}, cast(ceil({mean} + 10D * sqrt({var})) as bigint) + 2L)"
-    logs = f"transform(sequence({low}, {high}), k -> {log_p})"
-    weights = f"transform(array({logs}), l -> transform(l, v -> exp(v - array_max(l))))[0]"
+    peak = f"transform(array(least({high}, greatest({low}, cast(floor({mean}) as bigint)))), k -> {log_p})"
+    weights = f"transform({peak}, top -> transform(sequence({low}, {high}), k -> exp({log_p} - top)))[0]"
     walk = (
         f"transform(array({weights}), w -> aggregate(w, named_struct('left', {_uniform(*key)} * aggregate(w, 0D, (s, v) -> s + v), 'at', 0L), "
         f"(s, v) -> named_struct('left', s.left - v, 'at', s.at + if(s.left > v, 1L, 0L)), s -> least(s.at, size(w) - 1L)))[0]"
     )
-    normal = f"cast(round({mean} + sqrt({var}) * sqrt(-2D * ln({_uniform(*key, chr(39) + 'r' + chr(39))})) * cos(2D * pi() * {_uniform(*key, chr(39) + 'a' + chr(39))})) as bigint)"
-    return f"case when {lo} = {hi} then {lo} when {var} > {NORMAL_FROM}D then least({hi}, greatest({lo}, {normal})) else {low} + {walk} end"
+    return f"case when {lo} = {hi} then {lo} else {low} + {walk} end"
 
 
 def split_tree(counts: DataFrame, levels: int) -> DataFrame:
     """Deal the draws of each source (place, draws) to 2^levels shards: shard, place, n, first (of the source's draws).
 
-    One row per tree node holds the counts of all sources; a level is one projection. Shard totals
-    differ by one at most, and the counts of a source add up to its draws.
+    One row per tree node holds the counts of all sources; a level is one projection, and every DEAL_LEVELS levels the nodes are dealt to
+    more tasks. Shard totals differ by one at most, and the counts of a source add up to its draws.
     """
     root = counts.agg(F.sort_array(F.collect_list(F.struct("place", "draws"))).alias("s")).select(F.lit(0).cast("long").alias("node"), F.expr("transform(s, x -> x.place)").alias("places"), F.expr("transform(s, x -> coalesce(x.draws, 0L))").alias("counts"))
     for level in range(levels):
@@ -137,6 +136,8 @@ def split_tree(counts: DataFrame, levels: int) -> DataFrame:
             "aggregate(counts, named_struct('total', aggregate(counts, 0L, (s, v) -> s + v), 'draws', aggregate(counts, 0L, (s, v) -> s + v) div 2L, 'out', cast(array() as array<bigint>)), "
             f"(acc, good) -> transform(array({draw}), x -> named_struct('total', acc.total - good, 'draws', acc.draws - x, 'out', array_append(acc.out, x)))[0], acc -> acc.out)"
         )
+        if level and level % DEAL_LEVELS == 0:
+            root = root.repartition(1 << min(level, 12), "node")
         root = root.withColumn("left", F.expr(split))
         root = root.select("places", F.explode(F.expr("array(struct(node * 2L as node, left as counts), struct(node * 2L + 1L as node, zip_with(counts, left, (c, l) -> c - l) as counts))")).alias("x")).select("places", "x.*")
     leaves = root.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("places", "counts")).alias("x")).select("shard", F.col("x.places").alias("place"), F.col("x.counts").alias("n"))
@@ -163,36 +164,67 @@ def mix_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks:
     return materialize(draws.withColumn("slot", (F.row_number().over(shuffled) - 1).cast("long")), "mix-blocks")
 
 
-def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """sized (doc_id, source, size and any other columns) with source_size, target and taken.
-
-    taken counts the words of the row that the drawn blocks cover, repeats counted. Rows that repeat stay rows of their own;
-    a null doc_id is ordered as an empty string; a null source is a source of its own; rows of size 0 take nothing;
-    no rows give no rows. Columns named like the working ones (starting with mix_) must not occur.
+def _offsets(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """sized with mix_place and mix_start, the words before the row in its source's stream, source_size and target; written.
 
-    Word offsets come from two levels of sums (4096 ranges of the MD5 in each source), so a hot
-    source is never summed in one task.
+    Word offsets come from two levels of sums: so many ranges of the MD5 in each source that a range holds some
+    thousand rows whatever their number, so a hot source is never summed in one task.
     """
-    targets = materialize(source_targets(sized), "mix-targets")
-    drawn = mix_blocks(targets, block_words, shard_blocks).groupBy("place", "block").agg(F.sort_array(F.collect_list("words")).alias("mix_words"))
-    small = targets.count() <= BROADCAST_SOURCES
     named = targets.select(F.col("source").alias("mix_source"), F.col("place").alias("mix_place"), "source_size", "target")
+    named = F.broadcast(named) if targets.count() <= BROADCAST_SOURCES else named
+    digits = max(3, (sized.count() >> 12).bit_length() // 4 + 1)
     rows = sized.withColumn("mix_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("mix_range", F.substring("mix_hash", 1, 3)).join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    rows = rows.withColumn("mix_range", F.substring("mix_hash", 1, digits)).join(named, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
     sums = rows.groupBy("mix_place", "mix_range").agg(F.sum("size").alias("mix_sum"))
-    earlier = Window.partitionBy("mix_place").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.select("mix_place", "mix_range", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0).cast("long")).alias("mix_base"))
+    coarse = sums.groupBy("mix_place", F.substring("mix_range", 1, digits - 2).alias("mix_part")).agg(F.sum("mix_sum").alias("mix_sum"))
+    earlier = Window.partitionBy("mix_place").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select("mix_place", "mix_part", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0).cast("long")).alias("mix_base"))
+    near = Window.partitionBy("mix_place", F.substring("mix_range", 1, digits - 2)).orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.select("mix_place", "mix_range", F.substring("mix_range", 1, digits - 2).alias("mix_part"), F.coalesce(F.sum("mix_sum").over(near), F.lit(0).cast("long")).alias("mix_near"))
+    ranges = ranges.join(coarse, ["mix_place", "mix_part"]).drop("mix_part")
     inside = Window.partitionBy("mix_place", "mix_range").orderBy("mix_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("mix_before", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))).join(ranges, ["mix_place", "mix_range"])
-    rows = rows.withColumn("mix_start", F.col("mix_base") + F.col("mix_before")).drop("mix_hash", "mix_range", "mix_base", "mix_before")
-    rows = materialize(rows, "mix-offsets")
-    some = rows.where("size > 0")
-    cut = some.select("mix_place", "mix_start", "size", F.explode(F.expr(f"sequence(mix_start div {block_words}, (mix_start + size - 1) div {block_words})")).alias("block"))
-    met = cut.join(drawn.withColumnRenamed("place", "mix_place"), ["mix_place", "block"])
-    covered = F.expr(f"aggregate(mix_words, 0L, (s, w) -> s + greatest(0L, least(mix_start + size, block * {block_words} + w) - greatest(mix_start, block * {block_words})))")
-    taken = met.groupBy("mix_place", "mix_start").agg(F.sum(covered).alias("taken"))
-    out = some.join(taken, ["mix_place", "mix_start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return out.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))).drop("mix_place", "mix_start")
+    rows = rows.withColumn("mix_start", F.col("mix_base") + F.col("mix_near") + F.col("mix_before"))
+    return materialize(rows.drop("mix_hash", "mix_range", "mix_base", "mix_near", "mix_before"), "mix-offsets")
+
+
+def _pieces(offsets: DataFrame, draws: DataFrame, block_words: int) -> DataFrame:
+    """What each draw takes of each row: mix_place, mix_start, shard, slot, first (the row's word, from 0) and words."""
+    cut = offsets.where("size > 0").select("mix_place", "mix_start", "size", F.explode(F.expr(f"sequence(mix_start div {block_words}, (mix_start + size - 1) div {block_words})")).alias("block"))
+    met = cut.join(draws.withColumnsRenamed({"place": "mix_place", "words": "drawn"}), ["mix_place", "block"])
+    first = F.expr(f"greatest(mix_start, block * {block_words}) - mix_start")
+    words = F.expr(f"least(mix_start + size, block * {block_words} + drawn) - greatest(mix_start, block * {block_words})")
+    return met.select("mix_place", "mix_start", "shard", "slot", first.alias("first"), words.alias("words")).where("words > 0")
+
+
+def mix_shards(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """The mixed shards: shard, slot (of the draw, locally shuffled), doc_id, source, first and words.
+
+    Each row is a run of words of a row of sized (doc_id, source, size): words of them from word first. Rows are as in mix.
+    """
+    targets = materialize(source_targets(sized), "mix-targets")
+    offsets = _offsets(sized.select("doc_id", "source", "size"), targets)
+    named = offsets.where("size > 0").select("mix_place", "mix_start", "doc_id", "source")
+    found = _pieces(offsets, mix_blocks(targets, block_words, shard_blocks), block_words).join(named, ["mix_place", "mix_start"])
+    return found.select("shard", "slot", "doc_id", "source", "first", "words")
+
+
+def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """sized (doc_id, source, size and any other columns) with source_size, target and taken.
+
+    taken counts the words of the row in all shards, repeats counted. Rows that repeat stay rows of their own; a null doc_id is
+    ordered as an empty string; a null source is a source of its own; rows of size 0 take nothing; no rows give no rows. Other
+    columns pass through whatever their names, but for those named like the three new ones, which are replaced.
+    """
+    own = ["doc_id", "source", "size"]
+    rest = [c for c in sized.columns if c not in (*own, "source_size", "target", "taken")]
+    sized = sized.select(*own, *[F.col(f"`{c}`").alias(f"mix_c{i}") for i, c in enumerate(rest)])
+    targets = materialize(source_targets(sized), "mix-targets")
+    rows = _offsets(sized, targets)
+    taken = _pieces(rows, mix_blocks(targets, block_words, shard_blocks), block_words).groupBy("mix_place", "mix_start").agg(F.sum("words").alias("taken"))
+    out = rows.where("size > 0").join(taken, ["mix_place", "mix_start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    out = out.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    return out.select(*own, *[F.col(f"mix_c{i}").alias(c) for i, c in enumerate(rest)], "source_size", "target", "taken")
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm.mixing import hypergeometric, mix, mix_blocks, sized_documents, source_targets, split_tree
+from strandloom.llm.mixing import hypergeometric, mix, mix_blocks, mix_shards, sized_documents, source_targets, split_tree
 
 
 def targets(sizes):
@@ -45,7 +45,38 @@ def test_rows_and_targets(spark):
     assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, again), key=repr)
 
 
+def test_clashing_columns_pass(spark):
+    sized = sized_documents(frame(spark, [(i, "a b c " * i, "xy"[i % 2]) for i in range(20)]))
+    more = sized.withColumns({c: F.lit(c) for c in ("mix_place", "mix_start", "block", "place", "taken", "a.b", "words")})
+    out = mix(more, block_words=4)
+    assert out.columns == ["doc_id", "source", "size", "mix_place", "mix_start", "block", "place", "a.b", "words", "source_size", "target", "taken"]
+    plain = {r.doc_id: r.taken for r in mix(sized, block_words=4).collect()}
+    rows = out.collect()
+    assert len(rows) == 20 and all(r.mix_place == "mix_place" and r.words == "words" and r.taken == plain[r.doc_id] for r in rows)
+
+
+def test_shards_hold_what_the_mix_takes(spark):
+    """Against draws walked one by one: each shard's slots are filled by the words of their blocks, and rows add up to taken."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice("aabcd")) for i in range(300)]
+    sized = sized_documents(frame(spark, rows))
+    blocks = {(r.shard, r.slot): r.words for r in mix_blocks(source_targets(sized), 16, 32).collect()}
+    got = mix_shards(sized, 16, 32).collect()
+    filled, taken, size = Counter(), Counter(), {r.doc_id: r.size for r in sized.collect()}
+    for r in got:
+        filled[r.shard, r.slot] += r.words
+        taken[r.doc_id] += r.words
+        assert r.words > 0 and 0 <= r.first and r.first + r.words <= size[r.doc_id]
+    assert filled == Counter(blocks) and len({s for s, _ in blocks}) > 8
+    assert all(taken[r.doc_id] == r.taken for r in mix(sized, 16, 32).collect())
+    by_shard = defaultdict(Counter)  # a shard mixes sources as the whole does, not one after the other
+    for r in got:
+        by_shard[r.source][r.shard] += r.words
+    assert all(len(shards) > 4 for shards in by_shard.values())
+
+
 def test_empty(spark):
+    assert mix_shards(sized_documents(frame(spark, []))).collect() == []
     assert mix(sized_documents(frame(spark, []))).collect() == []
 
 
@@ -85,3 +116,13 @@ def test_hypergeometric_follows_its_law(spark, total, good, draws):
     for k in range(draws + 1):
         p = math.comb(good, k) * math.comb(total - good, draws - k) / math.comb(total, draws) if k <= good and draws - k <= total - good else 0
         assert abs(seen[k] / n - p) < 5 * math.sqrt(max(p * (1 - p), 1e-9) / n) + 1e-9
+
+
+@pytest.mark.parametrize("total,good,draws", [(10**6, 3 * 10**5, 5 * 10**5), (10**9, 4 * 10**8, 5 * 10**8)])
+def test_large_draws_keep_mean_and_variance(spark, total, good, draws):
+    n = 1500 if total < 10**8 else 60
+    df = spark.range(n).selectExpr("id", f"{total}L as t", f"{good}L as g", f"{draws}L as d").select(F.expr(hypergeometric("t", "g", "d", "id")).alias("x"))
+    x = [r.x for r in df.collect()]
+    mean, var = draws * good / total, draws * good / total * (total - good) / total * (total - draws) / (total - 1)
+    assert abs(sum(x) / n - mean) < 5 * math.sqrt(var / n)
+    assert 0.4 < sum((v - mean) ** 2 for v in x) / n / var < 2 and len(set(x)) > n // 3
