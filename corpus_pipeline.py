@@ -21,6 +21,8 @@ from strandloom.llm.stream_dedup import drop_copies
 LEAST_SCORE = 0.3
 #: Words of a mixing block here: large against documents, as these are taken whole.
 BLOCK_WORDS = 65536
+#: Words kept by a worker of the last stage and characters of a batch: small, as executors come to it with full heaps.
+CACHE_WORDS, BATCH_CHARS = 80_000, 1 << 18
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -72,8 +74,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's token ids and of the text decoded from them."""
-    return round_trip(docs)
+    """Digests of each document's token ids and of the text decoded from them; see bpe_encode for odd rows."""
+    return round_trip(docs, cache_words=CACHE_WORDS, batch_chars=BATCH_CHARS)
 
 
 STAGES = [
