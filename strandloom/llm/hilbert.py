@@ -8,6 +8,7 @@ min/max statistics of its file prune on any of them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,27 +82,27 @@ def size_axis(size: Column) -> Column:
     return F.least(octave * 8 + eighth.cast("int"), F.lit(255))
 
 
-def shard_by_hilbert(docs: DataFrame, shards: int) -> DataFrame:
+def shard_by_hilbert(docs: DataFrame, shards: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Put every row of docs (doc_id, text, lang, source) into one of the shards, row counts at most one apart.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, curve, shard and slot
     (gapless from 0 in each shard, in curve order). Null texts count as empty, null labels as
     the empty label, a null doc_id sorts first; equal curve places go by doc_id, then size and
-    checksum, so rows that still tie are interchangeable. Other columns are ignored. No rows give no rows.
+    checksum, so rows that still tie are interchangeable. Columns named in keep are passed on, others ignored. No rows give no rows.
 
     The text is read once; keys alone are range-partitioned (with doc_id behind the curve place,
     a hot cell splits over many ranges), and one row per range carries its offset.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 16
-    keys = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), digest_axis(F.col("lang")).alias("a"), digest_axis(F.col("source")).alias("b"))
-    keys = materialize(keys.select("doc_id", "size", "text_crc32", curve_index([F.col("a"), F.col("b"), size_axis(F.col("size"))]).alias("curve")), "hilbert-keys")
+    keys = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), digest_axis(F.col("lang")).alias("a"), digest_axis(F.col("source")).alias("b"), *keep)
+    keys = materialize(keys.select(*keep, "doc_id", "size", "text_crc32", curve_index([F.col("a"), F.col("b"), size_axis(F.col("size"))]).alias("curve")), "hilbert-keys")
     order = ["curve", "doc_id", "size", "text_crc32"]
     ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = materialize(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(WITHIN))}), "hilbert-ranges")
     counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row per range
     if not counts:
-        return ranged.select("doc_id", "size", "text_crc32", "curve", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return ranged.select("doc_id", "size", "text_crc32", "curve", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), *keep)
     offsets, total = [], 0
     for part in range(max(counts) + 1):
         offsets.append(total)
@@ -109,10 +110,21 @@ def shard_by_hilbert(docs: DataFrame, shards: int) -> DataFrame:
     starts = F.array(*[F.lit(x).cast("long") for x in offsets])
     rank = F.element_at(starts, F.col("_part") + 1) + F.col("_at")
     placed = ranged.withColumn("_rank", rank).withColumn("shard", F.expr(f"cast(_rank * {shards} div {total} as int)"))
-    return placed.select("doc_id", "size", "text_crc32", "curve", "shard", F.expr(f"_rank - (shard * {total}L + {shards - 1}) div {shards}").alias("slot"))
+    return placed.select("doc_id", "size", "text_crc32", "curve", "shard", F.expr(f"_rank - (shard * {total}L + {shards - 1}) div {shards}").alias("slot"), *keep)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """One folder per shard, rows in curve order; docs and the result of shard_by_hilbert meet by doc_id."""
-    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    rows.write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, shards: int, path: str) -> None:
+    """Write docs (doc_id, text, lang, source and any others), one folder shard=N per shard, rows in curve order.
+
+    Rows meet their shard by their place in their file, so null and repeated doc_ids stay rows of their own. A column of docs named
+    shard is written as docs_shard; no rows write no folder.
+    """
+    docs = docs.withColumnRenamed("shard", "docs_shard")
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    try:
+        rows = docs.select("*", *place)
+    except AnalysisException:
+        rows = materialize(docs, "unsharded").select("*", *place)
+    placed = shard_by_hilbert(rows, shards, ("__file", "__row")).select("__file", "__row", "shard", F.col("slot").alias("__slot"))
+    rows = rows.join(placed, ["__file", "__row"]).repartitionByRange("shard", "__slot").sortWithinPartitions("shard", "__slot")
+    rows.drop("__file", "__row", "__slot").write.partitionBy("shard").parquet(path)

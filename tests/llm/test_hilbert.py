@@ -44,7 +44,9 @@ def test_few_and_no_rows(spark):
 
 
 def test_written_shards(spark):
-    docs = frame(spark, ROWS[:50])
+    rows = ROWS[:50] + ROWS[203:]
     path = scratch_path(spark, "written")
-    write_shards(docs.select("doc_id", "text"), shard_by_hilbert(docs, 4), path)
-    assert Counter(r.shard for r in spark.read.parquet(path).collect()) == Counter({0: 13, 1: 12, 2: 13, 3: 12})
+    write_shards(frame(spark, rows), 4, path)
+    got = spark.read.parquet(path).collect()
+    assert Counter(r.shard for r in got) == Counter({0: 14, 1: 13, 2: 14, 3: 13})
+    assert Counter((r.doc_id, r.text, r.lang, r.source) for r in got) == Counter(rows) and {r.docs_shard for r in got} == {"clash"}
