@@ -303,7 +303,7 @@ def similar_siblings(templates: DataFrame, rights: DataFrame) -> DataFrame:
 
 
 def prune_tips(templates: DataFrame, links: DataFrame, shorter: int = 35) -> DataFrame:
-    """templates without dead ends: nodes under so many bases that lead nowhere beside a sibling, or come from nowhere."""
+    """templates without dead ends: nodes under so many bases that lead nowhere or come from nowhere; nodes without any link stay."""
     ends = templates.where(F.length("seq") < shorter).select("tid")
     out_of, into = links.select(F.col("src").alias("tid")).distinct(), links.select(F.col("dst").alias("tid")).distinct()
     tips = ends.join(out_of, "tid", "left_anti").unionByName(ends.join(into, "tid", "left_anti")).distinct()

@@ -22,28 +22,35 @@ def placements(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.when(left, F.col("tid") * 2).otherwise(F.col("tid") * 2 + 1).alias("tid"), "read_id", F.when(left, F.col("pos")).otherwise(F.col("pos") - 50).cast("int").alias("pos"), ((F.col("read_id") % 2 == 1) != (F.col("read_id") % 11 == 0)).alias("is_rc")).where("pos >= 1")
 
 
-def links(spark: SparkSession, sf: str) -> DataFrame:
-    """An acyclic graph over customers' small keys."""
-    o = table(spark, sf, "orders").where("o_orderkey % 9 = 0").selectExpr("1 + o_custkey % 90 AS x", "1 + o_orderkey % 97 AS y")
-    return o.where("x <> y and (x + y) % 4 = 0").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
+def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order (even) and every customer (odd)."""
+    orders = table(spark, sf, "orders").select((F.col("o_orderkey") * 2).alias("tid"))
+    return orders.unionByName(table(spark, sf, "customer").select((F.col("c_custkey") * 2 + 1).alias("tid")))
 
 
-def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1, 121).select(F.col("id").alias("tid"))
+def thin_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of each customer's orders of one priority, from the customer through ascending keys."""
+    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
+    before = F.coalesce(F.lag("o_orderkey").over(w) * 2, F.col("o_custkey") * 2 + 1)
+    return table(spark, sf, "orders").select(before.alias("src"), (F.col("o_orderkey") * 2).alias("dst"))
 
 
-def few_links(spark: SparkSession, sf: str) -> DataFrame:
-    return links(spark, sf).where("src % 5 = 0 or dst % 7 = 0")
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """The chains, and from each customer to all its orders: an acyclic graph over whole tables."""
+    direct = table(spark, sf, "orders").select((F.col("o_custkey") * 2 + 1).alias("src"), (F.col("o_orderkey") * 2).alias("dst"))
+    return thin_links(spark, sf).unionByName(direct).distinct()
 
 
-_LINKS = "lk AS (SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM (SELECT 1 + o_custkey % 90 AS x, 1 + o_orderkey % 97 AS y FROM orders WHERE o_orderkey % 9 = 0) WHERE x <> y AND (x + y) % 4 = 0), few AS (SELECT * FROM lk WHERE src % 5 = 0 OR dst % 7 = 0), nd AS (SELECT unnest(range(1, 121)) AS tid)"
+_LINKS = """nd AS (SELECT o_orderkey * 2 AS tid FROM orders UNION ALL SELECT c_custkey * 2 + 1 FROM customer),
+thin AS (SELECT coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) * 2, o_custkey * 2 + 1) AS src, o_orderkey * 2 AS dst FROM orders),
+lk AS (SELECT src, dst FROM thin UNION SELECT o_custkey * 2 + 1, o_orderkey * 2 FROM orders)"""
 _HALVES = f"{READS_SQL}, hv AS (SELECT tid * 2 AS tid, substr(seq, 1, 70) AS seq FROM tx UNION ALL SELECT tid * 2 + 1, substr(seq, 51) FROM tx)"
 _PLACED = f"""{_HALVES}, pm AS (SELECT * FROM (SELECT CASE WHEN pos <= {71 - READ} THEN tid * 2 ELSE tid * 2 + 1 END AS tid, read_id, CASE WHEN pos <= {71 - READ} THEN pos ELSE pos - 50 END AS pos, (read_id % 2 = 1) <> (read_id % 11 = 0) AS is_rc FROM reads) WHERE pos >= 1),
 pk AS (SELECT a.tid AS src, b.tid AS dst, a.read_id, b.read_id AS mate_id, a.pos AS src_pos, b.pos AS dst_pos, a.is_rc AS src_rc, b.is_rc AS dst_rc FROM pm a JOIN pm b ON b.read_id = xor(a.read_id, 1) WHERE a.read_id % 2 = 0 AND a.tid <> b.tid)"""
 
 
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
-    return G.components(nodes(spark, sf), few_links(spark, sf))
+    return G.components(nodes(spark, sf), links(spark, sf))
 
 
 def graph_roots(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +58,7 @@ def graph_roots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return G.levels(nodes(spark, sf), few_links(spark, sf))
+    return G.levels(nodes(spark, sf), links(spark, sf))
 
 
 def cycle_hints(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,28 +66,24 @@ def cycle_hints(spark: SparkSession, sf: str) -> DataFrame:
     return G.cycle_hints(level, links(spark, sf))
 
 
-def thin_links(spark: SparkSession, sf: str) -> DataFrame:
-    """At most two ways out of a node."""
-    w = Window.partitionBy("src").orderBy("dst")
-    return few_links(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("src", "dst")
-
-
 def graph_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return G.paths(nodes(spark, sf), thin_links(spark, sf), 6).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return G.paths(nodes(spark, sf), links(spark, sf)).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 def maximal_paths(spark: SparkSession, sf: str) -> DataFrame:
-    p = G.paths(nodes(spark, sf), thin_links(spark, sf), 6)
-    parts = p.select(F.slice("path", 2, 10).alias("path")).where("size(path) > 0")
+    p = G.paths(nodes(spark, sf), links(spark, sf))
+    parts = p.select(F.slice("path", F.lit(2), F.size("path")).alias("path")).where("size(path) > 0")
     return G.maximal_paths(p.unionByName(parts)).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 def siblings(spark: SparkSession, sf: str) -> DataFrame:
-    return G.siblings(few_links(spark, sf))
+    return G.siblings(links(spark, sf))
 
 
 def reachable(spark: SparkSession, sf: str) -> DataFrame:
-    return G.reachable(few_links(spark, sf), nodes(spark, sf).where("tid in (1, 5, 8)"))
+    """From the first customer of each nation."""
+    first = table(spark, sf, "customer").groupBy("c_nationkey").agg((F.min("c_custkey") * 2 + 1).alias("tid"))
+    return G.reachable(links(spark, sf), first.select("tid"))
 
 
 def unary_chains(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +92,7 @@ def unary_chains(spark: SparkSession, sf: str) -> DataFrame:
 
 def prune_tips(spark: SparkSession, sf: str) -> DataFrame:
     t = nodes(spark, sf).withColumn("seq", F.repeat(F.lit("a"), (20 + F.col("tid") % 30).cast("int")))
-    return G.prune_tips(t, few_links(spark, sf)).select("tid")
+    return G.prune_tips(t, links(spark, sf)).select("tid")
 
 
 def pair_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,25 +197,24 @@ o AS (SELECT *, CASE WHEN sum(same::INT) OVER (PARTITION BY a, b) * 2 > count(*)
 vt AS (SELECT a, b, count(*) AS pairs, count(*) FILTER (same) AS same_strand, count(*) FILTER (NOT same) AS opposite, count(*) FILTER (fwd) AS forward, count(*) FILTER (NOT fwd) AS backward, any_value(orientation) AS orientation FROM f GROUP BY a, b),
 vo AS (SELECT *, CASE WHEN pairs * 2 >= 4 AND least(forward, backward) <= 2 THEN CASE WHEN forward > backward THEN 1 ELSE -1 END ELSE 0 END AS "order" FROM vt)"""
 _COMP = "{links}, bo AS (SELECT src, dst FROM {t} UNION SELECT dst, src FROM {t}), re AS (SELECT tid, tid AS r FROM nd UNION SELECT re.tid, bo.dst FROM re JOIN bo ON bo.src = re.r)"
-_THIN = f"{_LINKS}, thin AS (SELECT src, dst FROM few QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 2)"
-_PATHS = f"""{_THIN}, ph AS (SELECT [tid] AS p, tid AS last FROM nd WHERE tid NOT IN (SELECT dst FROM thin) UNION ALL SELECT list_append(p, dst), dst FROM ph JOIN thin ON src = last WHERE len(p) < 6 AND NOT list_contains(p, dst)),
-ends AS (SELECT p FROM ph WHERE len(p) = 6 OR NOT EXISTS (SELECT 1 FROM thin WHERE src = last AND NOT list_contains(p, dst)))"""
+_PATHS = f"""{_LINKS}, ph AS (SELECT [tid] AS p, tid AS last FROM nd WHERE tid NOT IN (SELECT dst FROM lk) UNION ALL SELECT list_append(p, dst), dst FROM ph JOIN lk ON src = last WHERE NOT list_contains(p, dst)),
+ends AS (SELECT p FROM ph WHERE NOT EXISTS (SELECT 1 FROM lk WHERE src = last))"""
 _PROBE = """pr AS (SELECT tid AS src, unnest([substr(seq, 1, 11), substr(seq, 12, 11), right(seq, 11), substr(right(seq, 22), 1, 11)]) AS e FROM hv), ps AS (SELECT src, false AS is_rc, e AS k FROM pr UNION SELECT src, true, reverse(translate(e, 'acgt', 'tgca')) FROM pr),
 sd AS (SELECT DISTINCT tid AS dst, substr(seq, i::BIGINT, 11) AS k FROM (SELECT tid, seq, unnest(range(1, length(seq) - 9)) AS i FROM hv)), cand AS (SELECT DISTINCT src, dst, is_rc FROM ps JOIN sd USING (k) WHERE src <> dst)"""
 _OVERLAP = f"""{_PROBE}, cs AS (SELECT src, dst FROM cand WHERE NOT is_rc UNION SELECT dst, src FROM cand WHERE NOT is_rc), cl AS (SELECT c.src, c.dst, a.seq AS l, b.seq AS r, least(length(a.seq), length(b.seq)) AS m FROM cs c JOIN hv a ON a.tid = c.src JOIN hv b ON b.tid = c.dst),
 ol AS (SELECT src, dst, l, r, coalesce(list_min(list_filter(range(11, 22), lambda n: hamming(right(l, n), left(r, n)) <= 1)), list_max(list_filter(range(22, m + 1), lambda n: hamming(right(l, n), left(r, n)) <= 11)), 0)::INT AS ol FROM cl), op AS (SELECT src, dst, ol, least(hamming(right(l, ol), left(r, ol)), 11)::INT AS mismatches FROM ol WHERE ol >= 11)"""
 
 SQL = {
-    "graph_components": f"WITH RECURSIVE {_COMP.format(links=_LINKS, t='few')} SELECT tid, min(r) AS comp_id FROM re GROUP BY tid",
+    "graph_components": f"WITH RECURSIVE {_COMP.format(links=_LINKS, t='lk')} SELECT tid, min(r) AS comp_id FROM re GROUP BY tid",
     "graph_roots": f"WITH {_LINKS} SELECT tid FROM nd WHERE tid NOT IN (SELECT dst FROM lk)",
-    "graph_levels": f"WITH RECURSIVE {_LINKS}, lv AS (SELECT tid, 0 AS level FROM nd WHERE tid NOT IN (SELECT dst FROM few) UNION SELECT dst, level + 1 FROM lv JOIN few ON src = tid WHERE level < 32) SELECT tid, max(level) AS level FROM lv GROUP BY tid",
+    "graph_levels": f"WITH RECURSIVE {_LINKS}, lv AS (SELECT tid, 0 AS level FROM nd WHERE tid NOT IN (SELECT dst FROM lk) UNION SELECT dst, level + 1 FROM lv JOIN lk ON src = tid) SELECT tid, max(level) AS level FROM lv GROUP BY tid",
     "cycle_hints": f"WITH {_LINKS} SELECT DISTINCT src AS tid FROM lk WHERE dst * 7 % 10 <= src * 7 % 10",
     "graph_paths": f"WITH RECURSIVE {_PATHS} SELECT array_to_string(p, ',') AS path FROM ends",
-    "maximal_paths": f"WITH RECURSIVE {_PATHS}, al AS (SELECT DISTINCT p FROM ends UNION SELECT p[2:] FROM ends WHERE len(p) > 1), tx2 AS (SELECT p, ',' || array_to_string(p, ',') || ',' AS s FROM al) SELECT array_to_string(p, ',') AS path FROM tx2 a WHERE NOT EXISTS (SELECT 1 FROM tx2 b WHERE len(b.p) > len(a.p) AND contains(b.s, a.s))",
-    "siblings": f"WITH {_LINKS} SELECT DISTINCT x.dst AS a, y.dst AS b FROM few x JOIN few y USING (src) WHERE x.dst < y.dst",
-    "reachable": f"WITH RECURSIVE {_LINKS}, rc AS (SELECT tid FROM nd WHERE tid IN (1, 5, 8) UNION SELECT dst FROM rc JOIN few ON src = tid) SELECT tid FROM rc",
-    "unary_chains": f"WITH RECURSIVE {_THIN}, one AS (SELECT src, dst FROM thin WHERE src IN (SELECT src FROM thin GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM thin GROUP BY dst HAVING count(*) = 1)), {_COMP.format(links='z AS (SELECT 1)', t='one')} SELECT tid, min(r) AS chain FROM re GROUP BY tid",
-    "prune_tips": f"WITH {_LINKS} SELECT tid FROM nd WHERE NOT (20 + tid % 30 < 35 AND ((tid IN (SELECT src FROM few)) <> (tid IN (SELECT dst FROM few))))",
+    "maximal_paths": f"WITH RECURSIVE {_PATHS}, al AS (SELECT DISTINCT p FROM ends UNION SELECT p[2:] FROM ends WHERE len(p) > 1), tx2 AS (SELECT p, ',' || array_to_string(p, ',') || ',' AS s FROM al) SELECT array_to_string(p, ',') AS path FROM tx2 a WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(p) AS f, len(p) AS n, s FROM tx2) b WHERE b.f = a.p[1] AND b.n > len(a.p) AND contains(b.s, a.s))",
+    "siblings": f"WITH {_LINKS} SELECT DISTINCT x.dst AS a, y.dst AS b FROM lk x JOIN lk y USING (src) WHERE x.dst < y.dst",
+    "reachable": f"WITH RECURSIVE {_LINKS}, rc AS (SELECT min(c_custkey) * 2 + 1 AS tid FROM customer GROUP BY c_nationkey UNION SELECT dst FROM rc JOIN lk ON src = tid) SELECT tid FROM rc",
+    "unary_chains": f"WITH RECURSIVE {_LINKS}, one AS (SELECT src, dst FROM thin WHERE src IN (SELECT src FROM thin GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM thin GROUP BY dst HAVING count(*) = 1)), {_COMP.format(links='z AS (SELECT 1)', t='one')} SELECT tid, min(r) AS chain FROM re GROUP BY tid",
+    "prune_tips": f"WITH {_LINKS} SELECT tid FROM nd WHERE NOT (20 + tid % 30 < 35 AND ((tid IN (SELECT src FROM lk)) <> (tid IN (SELECT dst FROM lk))))",
     "pair_links": f"WITH {_PLACED} SELECT * FROM pk",
     "shared_reads": f"WITH {_PLACED}, x AS (SELECT tid, read_id FROM pm UNION SELECT xor(tid, 1), read_id FROM pm WHERE read_id % 10 = 0) SELECT DISTINCT p.tid AS a, q.tid AS b FROM x p JOIN x q USING (read_id) WHERE p.tid < q.tid",
     "order_votes": f"WITH {_VOTES} SELECT * FROM vo",
