@@ -22,12 +22,13 @@ READ1, READ2, REVERSED = 64, 128, 16
 OLD_OFFSET = 31
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name (first word of the header), header, seq (lower case, lines joined)."""
+def read_fasta(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """name (first word of the header), header, seq (lower case, lines joined), and if placed, place: orders records as in their files."""
     records = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
     lines = F.split(F.regexp_replace("value", "^>", ""), "\r?\n")
     header = F.element_at(lines, 1)
-    return records.select(F.split(header, "[ \t]").getItem(0).alias("name"), header.alias("header"), F.lower(F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "")).alias("seq"))
+    place = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("place")] if placed else []
+    return records.select(F.split(header, "[ \t]").getItem(0).alias("name"), header.alias("header"), F.lower(F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "")).alias("seq"), *place)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -193,8 +194,9 @@ def read_annotation(spark: SparkSession, ann: str, amb: str) -> tuple[DataFrame,
 
 
 def merged_sequence(seqs: DataFrame) -> DataFrame:
-    """One row: all sequences in the order of their names, headers dropped."""
-    return seqs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    """One row: all sequences in the order of their files, headers dropped; without a column place, in the order of their names."""
+    order = "place" if "place" in seqs.columns else "name"
+    return seqs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "seq"))), lambda x: x["seq"]), "").alias("seq"))
 
 
 def reference_coverage(records: DataFrame, refs: DataFrame) -> DataFrame:

@@ -16,6 +16,10 @@ def test_fasta(spark, tmp_path):
     both = readers.read_library(spark, [str(tmp_path / "b.fa.gz"), str(path)])
     assert both.where("read_id = 7").first().seq == "acgt" and both.count() == 4
     assert readers.merged_sequence(readers.read_fasta(spark, str(path))).first().seq == "acgttgg"
+    swapped = path.parent / "swapped.fa"
+    swapped.write_text(">z\nacg\n>a\nttgg\n")
+    assert readers.merged_sequence(readers.read_fasta(spark, str(swapped), placed=True)).first().seq == "acgttgg"
+    assert readers.merged_sequence(readers.read_fasta(spark, str(swapped))).first().seq == "ttggacg"
 
 
 def test_fasta_round_trip(spark, tmp_path):
