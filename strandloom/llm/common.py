@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows; so there are fewer than HOT_SHARE of them.
@@ -44,6 +44,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, label: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """As materialize, with aggregates of the rows that are taken while they are written; rows is their count."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()]), label)
+    return out, seen.get
+
+
 def with_place(df: DataFrame, *columns: str) -> DataFrame:
     """The columns of df with the file and row of each row's content; frames that are not files are written first."""
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]

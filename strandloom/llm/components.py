@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize
+from .common import join_groups, measured
 
 #: Rounds after which an unfinished run is an error; the count of rounds grows with the logarithm of a component.
 MOST_ROUNDS = 60
@@ -29,12 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated links are allowed; nodes without links don't appear. Each round is written
     to the shared folder, and a node of any degree is pre-aggregated and never gathered in a task.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    content = F.bit_xor(F.xxhash64("a", "b"))
+    now, seen = measured(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", content=content)
     state = None
     for _ in range(MOST_ROUNDS):
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == state or seen[0] == 0:
+        if seen == state or seen["rows"] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         state = seen
-        now = materialize(_star(_star(now, True, 2 * seen[0]), False, seen[0]), "links")
+        now, seen = measured(_star(_star(now, True, 2 * seen["rows"]), False, seen["rows"]), "links", content=content)
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

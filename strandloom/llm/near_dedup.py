@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, join_groups, materialize, trimmed, with_place
+from .common import give_back, join_groups, materialize, measured, trimmed, with_place
 from .components import components
 from .simhash import majority, near_links, shingle_hashes
 
@@ -186,8 +186,8 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     answer; blocks of those that ask meet blocks of those that answer, each two blocks in a bucket of their own.
     """
     rest = [c for c in members.columns if c != "shingle"]
-    large = materialize(members.groupBy("shingle").agg(F.count("*").alias("__members")).where(F.col("__members") > BLOCK), "large-buckets")  # fewer than all members over BLOCK
-    if large.isEmpty():
+    large, seen = measured(members.groupBy("shingle").agg(F.count("*").alias("__members")).where(F.col("__members") > BLOCK), "large-buckets")  # fewer than all members over BLOCK
+    if not seen["rows"]:
         return members.select(F.col("shingle").alias("bucket"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), *rest)
     plain = members.join(F.broadcast(large), "shingle", "left_anti").select(F.col("shingle").alias("bucket"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), *rest)
     tallies = members.join(F.broadcast(large), "shingle").groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle")
@@ -258,19 +258,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, file string, row long, n long, digest binary, firsts array<long>, wide binary, fp long, " + ", ".join(f"{w} long" for w in words)
     fps = places.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "file", "row").mapInArrow(trimmed(prints), schema)
-    fps = materialize(fps.withColumn("key", F.monotonically_increasing_id()), "prefixes")
+    fps, seen = measured(fps.withColumn("key", F.monotonically_increasing_id()), "prefixes")
+    total = seen["rows"]
     same = fps.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("members"))
-    same = materialize(join_groups(fps.select("key", "digest"), same, "digest", "members", fps.count()).where("key <> node").select("key", "node"), "equal-sets")
-    few = F.broadcast(same.select("key")) if same.count() <= BROADCAST_ROWS else same.select("key")
+    same, seen = measured(join_groups(fps.select("key", "digest"), same, "digest", "members", total).where("key <> node").select("key", "node"), "equal-sets")
+    few = F.broadcast(same.select("key")) if seen["rows"] <= BROADCAST_ROWS else same.select("key")
     nodes = fps.join(few, "key", "left_anti")
     led = materialize(nodes.groupBy("fp").agg(F.min("key").alias("leader"), F.count("*").alias("members")), "fingerprints")
     bits_near = near_links(led.select("fp"), RADIUS).join(led.select(F.col("fp").alias("a"), F.col("leader").alias("x")), "a").join(led.select(F.col("fp").alias("b"), F.col("leader").alias("y")), "b").select("x", "y")
-    bits_same = join_groups(nodes.select("key", "fp"), led, "fp", "members", fps.count()).where("key <> leader").select(F.col("leader").alias("x"), F.col("key").alias("y"))
+    bits_same = join_groups(nodes.select("key", "fp"), led, "fp", "members", total).where("key <> leader").select(F.col("leader").alias("x"), F.col("key").alias("y"))
     dealt = nodes.select(F.explode("firsts").alias("shingle"), "key")
-    crowded = common[counts > fps.count() * HOT_SHARE].view(np.int64)
+    crowded = common[counts > total * HOT_SHARE].view(np.int64)
     hot = spark.createDataFrame(pa.table({"shingle": np.sort(crowded)})) if len(crowded) else None
     cool = dealt if hot is None else dealt.join(F.broadcast(hot), "shingle", "left_anti")
-    met = materialize(cool.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(trimmed(_meetings), "x long, y long, large boolean"), "meetings")
+    met, seen = measured(cool.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(trimmed(_meetings), "x long, y long, large boolean"), "meetings", large=F.count_if("large"))
+    left = -1 if hot is None and not seen["large"] else STAR_ROUNDS
     pairs = met.where("not large").select("x", "y").unionByName(bits_near).unionByName(bits_same)
     large = met.where("large").select(F.col("x").alias("shingle"), F.col("y").alias("key"))
     if hot is not None:
@@ -298,9 +300,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
             ok = [wide_apart(p.as_py(), q.as_py()) <= _least_similar(s) for p, q, s in zip(x, y, n.to_numpy() + m.to_numpy(), strict=True)]
             yield pa.RecordBatch.from_arrays([a, c], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def ends_of(pairs: DataFrame) -> DataFrame:
+    def ends_of(pairs: DataFrame, n: int) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        return F.broadcast(keys) if pairs.count() * 2 <= BROADCAST_ROWS else keys
+        return F.broadcast(keys) if n * 2 <= BROADCAST_ROWS else keys
 
     def both_ends(pairs: DataFrame, ends: DataFrame, *columns: str) -> DataFrame:
         """pairs with the columns of both ends, named a_ and b_."""
@@ -308,49 +310,52 @@ def near_groups(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(ends.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
         return pairs
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs a, b (a written table) whose sets are similar; sets are met only for pairs that the wide sketches leave."""
-        ends = materialize(fps.select("key", "n", "wide").join(ends_of(pairs), "key"), "candidate-sketches")
+    def verified(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
+        """Of n pairs a, b (a written table) those whose sets are similar, and their count; sets are met only for pairs that the wide sketches leave."""
+        ends = materialize(fps.select("key", "n", "wide").join(ends_of(pairs, n), "key"), "candidate-sketches")
         both = both_ends(pairs, ends, "n", "wide").select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
-        pairs = materialize(both.mapInArrow(trimmed(close), "a long, b long"), "close-pairs")
-        if pairs.isEmpty():
-            return pairs
-        named = fps.select("key", "file", "row").join(ends_of(pairs), "key")
-        named = F.broadcast(named) if pairs.count() * 2 <= BROADCAST_ROWS else named
+        pairs, seen = measured(both.mapInArrow(trimmed(close), "a long, b long"), "close-pairs")
+        if not seen["rows"]:
+            return pairs, 0
+        named = fps.select("key", "file", "row").join(ends_of(pairs, seen["rows"]), "key")
+        named = F.broadcast(named) if seen["rows"] * 2 <= BROADCAST_ROWS else named
         found = materialize(places.join(named, ["file", "row"]).select("key", "text").mapInArrow(trimmed(sets), "key long, shingles binary"), "candidate-shingles")
         both = both_ends(pairs, found, "shingles").select("a", "b", "a_shingles", "b_shingles")
-        return materialize(both.mapInArrow(trimmed(similar), "a long, b long"), "similar")
+        found, seen = measured(both.mapInArrow(trimmed(similar), "a long, b long"), "similar")
+        return found, seen["rows"]
 
-    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-        """roots with the components that links connect made one: only the graph of components is walked again."""
-        named = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    def joined(roots: DataFrame, n: int, links: DataFrame) -> tuple[DataFrame, int]:
+        """roots (n rows) with the components that links connect made one, and their count: only the graph of components is walked again."""
+        named = F.broadcast(roots) if n <= BROADCAST_ROWS else roots
         for side in "ab":
             links = links.join(named.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-        moved = materialize(components(links), "moved-roots")
-        few = F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved
+        moved, seen = measured(components(links), "moved-roots")
+        few = F.broadcast(moved) if seen["rows"] <= BROADCAST_ROWS else moved
         again = roots.join(few.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        return materialize(again.unionByName(moved.join(named, "node", "left_anti").select("node", "root")), "roots")
+        roots, seen = measured(again.unionByName(moved.join(named, "node", "left_anti").select("node", "root")), "roots")
+        return roots, seen["rows"]
 
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(facts.select(*[F.col(c).alias(f"{side}_{c}" if c != "key" else side) for c in facts.columns]), side)
     apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.abs(F.col("a_n") - F.col("b_n")) * 0)
     near = F.greatest(apart, F.abs(F.col("a_n") - F.col("b_n"))) <= _least_similar(F.col("a_n") + F.col("b_n"))
-    links = same.select(F.col("node").alias("a"), F.col("key").alias("b")).unionByName(verified(materialize(pairs.where(near).select("a", "b"), "candidates")))
-    roots = materialize(components(links), "roots")
+    candidates, seen = measured(pairs.where(near).select("a", "b"), "candidates")
+    links = same.select(F.col("node").alias("a"), F.col("key").alias("b")).unionByName(verified(candidates, seen["rows"])[0])
+    roots, seen = measured(components(links), "roots")
+    rooted = seen["rows"]
 
-    left = -1 if large.isEmpty() else STAR_ROUNDS
     while left >= 0:
         at = large.join(roots.withColumnRenamed("node", "key"), "key", "left").join(facts, "key").select("shingle", "key", F.coalesce("root", "key").alias("root"), "n", *words)
         found = _in_blocks(at).repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_crossings(left > 0), "a long, b long").distinct()
-        found = materialize(found, "candidates")
-        if found.isEmpty():  # no two components are left that could meet
+        found, seen = measured(found, "candidates")
+        if not seen["rows"]:  # no two components are left that could meet
             break
-        new = verified(found)
-        if new.isEmpty():
+        new, n = verified(found, seen["rows"])
+        if not n:
             left = min(left, 1)  # all pairs come next
         else:
-            roots = joined(roots, new)
+            roots, rooted = joined(roots, rooted, new)
         left -= 1
     return fps.join(roots.withColumnRenamed("node", "key"), "key").select("doc_id", "file", "row", "key", "root")
 
@@ -367,9 +372,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         docs = materialize(docs, "located")
         rows = docs.select("*", F.col("_metadata.file_path").alias("__place_file"), F.col("_metadata.row_index").alias("__place_row"))
-    groups = materialize(near_groups(docs), "near-groups")
+    groups, seen = measured(near_groups(docs), "near-groups")
     stays = groups.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
     gone = groups.join(stays, "key", "left_anti").select(F.col("file").alias("__place_file"), F.col("row").alias("__place_row"))
-    if gone.count() <= BROADCAST_ROWS:
+    if seen["rows"] <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return rows.join(gone, ["__place_file", "__place_row"], "left_anti").select(*[rows[c] for c in docs.columns])

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, trimmed
+from .common import join_groups, materialize, measured, trimmed
 from .components import components
 
 SEED = 42
@@ -142,11 +142,11 @@ def near_links(fps: DataFrame, radius: int, limit: int = BUCKET_LIMIT) -> DataFr
     so each goes to the words around it, and a word gathers at most as many as there are such words.
     """
     dealt = fps.select("fp", F.explode(buckets(F.col("fp"), radius)).alias("bucket"))
-    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    sizes, seen = measured(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes", hot=F.count_if(F.col("n") > limit))
     warm = dealt.join(sizes.where(F.col("n") <= limit), "bucket").select("bucket", "fp")
     links = warm.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_runs(radius), "a long, b long").distinct()
     hot = sizes.where(F.col("n") > limit).select("bucket")
-    if hot.isEmpty():
+    if not seen["hot"]:
         return links
     if radius not in (2, 4):
         raise ValueError("midpoints are set out for a radius of 2 or 4")
@@ -166,8 +166,8 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, limit:
     are rows of their own; a component whose doc_ids are all null has a null component_id. Other columns
     are ignored, no rows give no rows. Equal fingerprints are one node whatever their number.
     """
-    rows = materialize(fingerprints(docs, width), "fingerprints")
-    total = rows.count()
+    rows, seen = measured(fingerprints(docs, width), "fingerprints")
+    total = seen["rows"]
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(near_links(distinct.select("fp"), radius, limit)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
