@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_infill, queries_language, queries_mixing, queries_scan, queries_sharding, queries_tokens, queries_vectors, queries_web
+from . import queries_dedup, queries_importance, queries_infill, queries_language, queries_mixing, queries_scan, queries_sharding, queries_tokens, queries_vectors, queries_web
 
 QUERIES = {
     "op1_hilbert_shards": queries_sharding.op1_hilbert_shards,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc_captures": queries_web.op9_warc_captures,
     "op10_mix_sources": queries_mixing.op10_mix_sources,
     "op11_bigint_infill": queries_infill.op11_bigint_infill,
+    "op13_radix_resample": queries_importance.op13_radix_resample,
 }
 SQL = {
     "op1_hilbert_shards": queries_sharding.OP1_SQL,
@@ -24,4 +25,5 @@ SQL = {
     "op9_warc_captures": queries_web.OP9_SQL,
     "op10_mix_sources": queries_mixing.OP10_SQL,
     "op11_bigint_infill": queries_infill.OP11_SQL,
+    "op13_radix_resample": queries_importance.OP13_SQL,
 }
