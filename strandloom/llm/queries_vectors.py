@@ -1,9 +1,10 @@
-"""Query and SQL for exact top-k search."""
+"""Queries for vector search, and SQL for the exact one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .learned_partitions import nearest_neighbours
 from .pivots import top_k_inner
 
 
@@ -18,3 +19,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
 """
+
+
+def op12_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10)

@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc_captures": queries_web.op9_warc_captures,
     "op10_mix_sources": queries_mixing.op10_mix_sources,
     "op11_bigint_infill": queries_infill.op11_bigint_infill,
+    "op12_learned_partitions": queries_vectors.op12_learned_partitions,
     "op13_radix_resample": queries_importance.op13_radix_resample,
 }
 SQL = {
