@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.sequence import mapping_quality
-from .operators import alignment, assembly, evaluation, graph, kmers, reshape, simulation
+from .operators import alignment, assembly, evaluation, gapped, graph, kmers, reshape, simulation
 from .plans import pipelines
 from .sources import readers, writers
 
@@ -48,9 +48,9 @@ def pair(spark, a):
 def aln(spark, a):
     reads = _library(spark, a.reads)
     refs = readers.read_fasta(spark, a.ref).select(F.col("name").alias("tid"), "seq")
-    best = alignment.best_places(alignment.places_within(reads, refs, a.length, a.mismatches))
-    best = best.withColumn("mapq", mapping_quality("best", "second", "mismatches", F.lit(a.mismatches)))
-    writers.report_lines(alignment.sam_records(reads, best, a.length)).write.text(a.out)
+    best = gapped.best_gapped(gapped.gapped_places(reads, refs, a.mismatches, a.gap))
+    best = best.withColumn("mapq", mapping_quality("best", "second", F.col("mismatches") + F.abs("gap"), F.lit(a.mismatches)))
+    writers.report_lines(gapped.sam_rows(reads, best)).write.text(a.out)
 
 
 def merge_graph(spark, a):
@@ -124,7 +124,7 @@ COMMANDS = {
     "hash": (hash_, "reads length:int out --k=11 --interleaving=2 --blocks=5 --block_size:int="),
     "clean": (clean, "reads out --k=15 --share=0.25"),
     "pair": (pair, "reads out --k=11 --insert=197 --sd=50 --min_len=100"),
-    "aln": (aln, "reads ref length:int out --mismatches=2"),
+    "aln": (aln, "reads ref out --mismatches=2 --gap=7"),
     "graph": (merge_graph, "graph placements fasta out"),
     "evaluate": (evaluate, "contigs ref out --psl= --similarity=0.99"),
     "report": (report, "psl ref_psl ref out"),

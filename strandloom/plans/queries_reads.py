@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import alignment, graph, kmers
+from ..operators import alignment, gapped, graph, kmers
 from .fixtures import READ, READS_SQL, TX_SQL, reads, table, tx
 
 K = 11
@@ -127,11 +127,11 @@ def noisy_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seed_align_hamming(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.places_within(noisy_reads(spark, sf), tx(spark, sf), READ, 2)
+    return alignment.places_within(noisy_reads(spark, sf), tx(spark, sf), 2)
 
 
 def best_places(spark: SparkSession, sf: str) -> DataFrame:
-    p = alignment.places_within(noisy_reads(spark, sf), tx(spark, sf), READ, 2)
+    p = alignment.places_within(noisy_reads(spark, sf), tx(spark, sf), 2)
     b = alignment.best_places(p)
     return b.select("read_id", "best", "second", "mismatches", S.mapping_quality("best", "second", "mismatches", F.lit(2)).alias("mapq"))
 
@@ -165,11 +165,21 @@ def paired_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.paired_anchors(p)
 
 
+def gapped_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Noisy reads of several lengths, a third of them with two bases taken out and a third with two put in."""
+    length = F.lit(READ) - (F.col("read_id") % 5).cast("int")
+    change = F.when(F.col("read_id") % 3 == 0, F.col("seq")).when(F.col("read_id") % 3 == 1, F.concat(F.substring("seq", 1, 14), F.substring("seq", 17, READ))).otherwise(F.concat(F.substring("seq", 1, 19), F.lit("ca"), F.substring("seq", 20, READ)))
+    return reads(spark, sf).select("read_id", change.alias("seq")).select("read_id", F.left("seq", length).alias("seq"))
+
+
+def gapped_places(spark: SparkSession, sf: str) -> DataFrame:
+    return gapped.gapped_places(gapped_reads(spark, sf), tx(spark, sf), 2)
+
+
 def sam_records(spark: SparkSession, sf: str) -> DataFrame:
-    r = noisy_reads(spark, sf)
-    b = alignment.best_places(alignment.places_within(r, tx(spark, sf), READ, 2))
-    b = b.withColumn("mapq", S.mapping_quality("best", "second", "mismatches", F.lit(2)))
-    return alignment.sam_records(r, b, READ).groupBy("flag").agg(F.count("*").alias("n"), F.sum("tlen").alias("tlen"), F.sum("mapq").alias("mapq"))
+    r = gapped_reads(spark, sf)
+    b = gapped.best_gapped(gapped.gapped_places(r, tx(spark, sf), 2))
+    return gapped.sam_rows(r, b.withColumn("mapq", S.mapping_quality("best", "second", F.col("mismatches") + F.abs("gap"), F.lit(2))))
 
 
 def overlap_functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,6 +216,31 @@ met AS (SELECT q_id, is_rc, q_seq, read_id, seq, i, locus, locus - i AS shift FR
 ov AS (SELECT *, greatest(-shift, 0) AS st, least(36, 36 - shift) - greatest(-shift, 0) AS n FROM one),
 al AS (SELECT q_id, is_rc, shift, 2 - hamming(substr(q_seq, (st + 1)::BIGINT, n::BIGINT), substr(seq, (st + shift + 1)::BIGINT, n::BIGINT)) AS mm_left FROM ov WHERE n >= 25)
 SELECT q_id, is_rc, count(*) AS n, sum(mm_left)::BIGINT AS mm_left, sum(shift)::BIGINT AS shift FROM al WHERE mm_left >= 0 GROUP BY q_id, is_rc"""
+_OPS = "CASE WHEN gap = 0 THEN n || 'M' WHEN gap > 0 THEN p || 'M' || gap || 'D' || (n - p) || 'M' ELSE p || 'M' || -gap || 'I' || (n - p + gap) || 'M' END"
+#: Gapped places: a piece of each read joined with every place of it, all gaps near it, all places of the gap.
+_GAPPED_PLACES = f"""{READS_SQL}, gr AS (SELECT read_id, left(CASE read_id % 3 WHEN 0 THEN seq WHEN 1 THEN substr(seq, 1, 14) || substr(seq, 17) ELSE substr(seq, 1, 19) || 'ca' || substr(seq, 20) END, ({READ} - read_id % 5)::BIGINT) AS seq FROM reads),
+{_STRANDS.format('gr')}, rn AS (SELECT *, length(seq) AS n, length(seq) // 3 AS k FROM rs),
+pc AS (SELECT *, unnest([0, 1, 2]) * k AS o FROM rn), sd AS (SELECT k, tid, i AS place, substr(seq, (i + 1)::BIGINT, k) AS piece FROM (SELECT DISTINCT k FROM rn), (SELECT tid, seq, unnest(range(0, length(seq))) AS i FROM tx) WHERE i + k <= length(seq)),
+dg AS (SELECT DISTINCT read_id, is_rc, pc.seq, n, sd.tid, place - o AS d FROM pc JOIN sd ON sd.k = pc.k AND piece = substr(pc.seq, o + 1, pc.k)),
+st AS (SELECT DISTINCT read_id, is_rc, seq, n, tid, d + e AS s FROM dg, (SELECT unnest([-2, -1, 0, 1, 2]) AS e)),
+gp AS (SELECT *, unnest(range(CASE WHEN gap = 0 THEN n ELSE 5 END, CASE WHEN gap = 0 THEN n WHEN gap > 0 THEN n - 5 ELSE n - 5 + gap END + 1)) AS p FROM st, (SELECT unnest([0, 1, 2, -1, -2]) AS gap)),
+al AS (SELECT gp.read_id, gp.is_rc, gp.tid, s, n, gap, p, hamming(left(gp.seq, p), substr(tx.seq, s + 1, p)) + CASE WHEN gap = 0 THEN 0 ELSE hamming(substr(gp.seq, p + greatest(-gap, 0) + 1), substr(tx.seq, s + p + greatest(gap, 0) + 1, n - p - greatest(-gap, 0))) END AS mm, gp.seq, substr(tx.seq, s + 1, n + gap) AS ref
+  FROM gp JOIN tx USING (tid) WHERE s >= 0 AND s + n + gap <= length(tx.seq)),
+ch AS (SELECT *, 3 * mm + CASE WHEN gap <> 0 THEN 11 + 4 * (abs(gap) - 1) ELSE 0 END AS score FROM al WHERE mm + abs(gap) <= 2
+  QUALIFY row_number() OVER (PARTITION BY read_id, is_rc, tid, s ORDER BY score, -gap, p) = 1),
+ma AS (SELECT *, CASE WHEN gap < 0 THEN left(seq, p) || substr(seq, p - gap + 1) ELSE seq END AS q, CASE WHEN gap > 0 THEN left(ref, p) || substr(ref, p + gap + 1) ELSE ref END AS u FROM ch),
+mk AS (SELECT *, list_concat(list_transform(list_filter(range(0, length(q)), lambda i: substr(q, (i + 1)::BIGINT, 1) <> substr(u, (i + 1)::BIGINT, 1)), lambda i: [i * 2 + 1, 1]), CASE WHEN gap > 0 THEN [[p * 2, 0]] ELSE []::BIGINT[][] END) AS odd FROM ma),
+mo AS (SELECT *, list_sort(odd) AS od FROM mk),
+pl AS (SELECT read_id, tid, s + 1 AS pos, is_rc, mm::INT AS mismatches, gap::INT AS gap, score::INT AS score, {_OPS} AS cigar,
+  array_to_string(list_transform(range(1, len(od) + 1), lambda j: (od[j][1] // 2 - CASE WHEN j = 1 THEN 0 ELSE od[j - 1][1] // 2 + od[j - 1][2] END) || CASE WHEN od[j][2] = 1 THEN upper(substr(u, (od[j][1] // 2 + 1)::BIGINT, 1)) ELSE '^' || upper(substr(ref, (p + 1)::BIGINT, gap)) END), '')
+  || (length(q) - CASE WHEN len(od) = 0 THEN 0 ELSE od[len(od)][1] // 2 + od[len(od)][2] END) AS md FROM mo)"""
+_SAM = f"""bn AS (SELECT *, min((score, pos)) OVER (PARTITION BY read_id, tid, is_rc ORDER BY pos RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) = (score, pos) AS alone FROM pl),
+lv AS (SELECT *, dense_rank() OVER (PARTITION BY read_id ORDER BY score) AS lv FROM bn WHERE alone),
+bp AS (SELECT read_id, count(*) FILTER (lv = 1) AS best, count(*) FILTER (lv = 2) AS second, arg_min({{'tid': tid, 'pos': pos, 'is_rc': is_rc, 'mismatches': mismatches, 'gap': gap, 'cigar': cigar, 'md': md}}, score) AS x, min(score) AS score FROM lv GROUP BY read_id),
+pd AS (SELECT gr.read_id, gr.seq, x.tid, x.pos, x.is_rc, x.mismatches + abs(x.gap) AS nm, x.mismatches, x.cigar, x.md, best, second, CASE WHEN x.is_rc THEN x.pos + length(gr.seq) + x.gap - 1 ELSE x.pos END AS five FROM gr LEFT JOIN bp USING (read_id))
+SELECT a.read_id, (1 + CASE WHEN a.tid IS NULL THEN 4 ELSE 0 END + CASE WHEN b.tid IS NULL THEN 8 ELSE 0 END + CASE WHEN a.is_rc THEN 16 ELSE 0 END + CASE WHEN b.is_rc THEN 32 ELSE 0 END + CASE WHEN a.read_id % 2 = 0 THEN 64 ELSE 128 END)::INT AS flag,
+  coalesce(a.tid::VARCHAR, '*') AS rname, coalesce(a.pos, 0) AS pos, coalesce({_MAPQ.replace('mismatches', 'a.nm').replace('best', 'a.best').replace('second', 'a.second')}, 0) AS mapq, coalesce(a.cigar, '*') AS cigar, CASE WHEN a.tid = b.tid THEN '=' ELSE coalesce(b.tid::VARCHAR, '*') END AS rnext,
+  coalesce(b.pos, 0) AS pnext, CASE WHEN a.tid = b.tid THEN b.five - a.five ELSE 0 END AS tlen, CASE WHEN a.is_rc THEN reverse(translate(a.seq, 'acgt', 'tgca')) ELSE a.seq END AS seq, a.nm::INT AS nm, a.md FROM pd a LEFT JOIN pd b ON b.read_id = xor(a.read_id, 1)"""
 _LOWC = "list_bool_or(list_transform(range(1, greatest(length(seq) - 15, 1)), lambda i: list_sum(list_transform(range(i, i + 15), lambda j: (substr(seq, j::BIGINT, 1) <> substr(seq, (j + 1)::BIGINT, 1))::INT)) <= 1))"
 _CNT = lambda b: f"(length(seq) - length(replace(seq, '{b}', '')))"
 _OVL = "(n <= least(length({l}), length({r})) AND hamming(right({l}, n), left({r}, n)) <= {mm})"
@@ -258,6 +293,8 @@ SQL = {
     "realigned_reads": f"WITH {READS_SQL}, {_TX200}, {_STRANDS.format('reads')}, {_WINDOWS} SELECT read_id, tid, pos::INT AS pos, is_rc FROM rs JOIN win ON seq = w QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY tid DESC, pos, is_rc) = 1",
     "paired_anchors": f"""WITH {READS_SQL}, {_TX200}, {_STRANDS.format('reads')}, {_WINDOWS}, p AS (SELECT read_id, tid, pos FROM rs JOIN win ON seq = w)
         SELECT a.read_id, b.read_id AS mate_id, a.tid, b.tid AS mate_tid, (CASE WHEN a.tid = b.tid THEN abs(b.pos - a.pos) END)::INT AS span, count(*) OVER (PARTITION BY a.read_id, a.tid, b.tid) AS repeats FROM p a JOIN p b ON b.read_id = xor(a.read_id, 1) WHERE a.read_id % 2 = 0""",
+    "gapped_places": f"WITH {_GAPPED_PLACES} SELECT * FROM pl",
+    "sam_records": f"WITH {_GAPPED_PLACES}, {_SAM}",
     "overlap_functions": f"""WITH {TX_SQL}, a AS (SELECT tid, substr(seq, 1, 40) AS l, substr(seq, 26, 7) || 'c' || substr(seq, 34, 30) AS r FROM tx)
         SELECT tid, hamming(left(l, least(length(l), length(r))), left(r, least(length(l), length(r))))::INT AS hamming,
         coalesce(list_min(list_filter([3, 4, 5]::BIGINT[], lambda n: {_OVL.format(l='l', r='r', mm=1)})), list_max(list_filter(range(6, least(length(l), length(r)) + 1), lambda n: {_OVL.format(l='l', r='r', mm=3)})), 0)::INT AS found,
@@ -269,5 +306,5 @@ SQL = {
 
 QUERIES = {f.__name__: f for f in (
     kmer_counts, kmer_stats_per_read, kmer_index, small_kmer_index, erased_index, low_kmer_reads, coverage_rounds, dedup_reads, solid_topn, read_reasons, solid_reads, uneven_reads, reverse_complements, read_filters, sequence_keys, kmer_mutants,
-    sequence_edits, mate_pairs, insert_size, seed_align_exact, seed_align_hamming, best_places, fuzzy_seeds, query_alignments, first_seed_alignments, consensus_columns, realigned_reads, paired_anchors, sam_records, overlap_functions, quality_rules,
+    sequence_edits, mate_pairs, insert_size, seed_align_exact, seed_align_hamming, best_places, fuzzy_seeds, query_alignments, first_seed_alignments, consensus_columns, realigned_reads, paired_anchors, gapped_places, sam_records, overlap_functions, quality_rules,
 )}

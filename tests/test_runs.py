@@ -21,7 +21,7 @@ def test_simulated_reads_align_where_they_came_from(spark):
     reads = simulation.mate_pairs(tx, 6.0, 36, 96, 5.0, 0.01).cache()
     assert reads.count() == reads.select("read_id").distinct().count()
     refs = tx.select(F.col("id").alias("tid"), "seq")
-    found = alignment.places_within(reads, refs, 36, 2)
+    found = alignment.places_within(reads, refs, 2)
     near = found.join(reads.select("read_id", "gene", F.col("pos").alias("place"), "strand"), "read_id").where("gene = tid and pos = place + 1 and is_rc = (strand = '-')")
     assert near.select("read_id").distinct().count() >= 0.97 * reads.count()
 
@@ -38,7 +38,7 @@ def test_seeds_find_what_brute_force_finds(spark):
         reads.append((i, "".join(s)))
     turn = str.maketrans("acgt", "tgca")
     want = {(i, t, p + 1, rc, d) for i, s in reads for rc, q in ((False, s), (True, s.translate(turn)[::-1])) for t, r in refs for p in range(85) if (d := sum(a != b for a, b in zip(q, r[p : p + 36]))) <= 2}
-    got = alignment.places_within(spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(refs, "tid long, seq string"), 36, 2)
+    got = alignment.places_within(spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(refs, "tid long, seq string"), 2)
     assert {tuple(r) for r in got.collect()} == want
 
 
