@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.sequence import mapping_quality
-from .operators import alignment, assembly, evaluation, gapped, graph, kmers, reshape, simulation
+from .operators import alignment, assembly, evaluation, gapped, graph, kmers, merging, reshape, simulation
 from .plans import pipelines
 from .sources import readers, writers
 
@@ -55,7 +55,7 @@ def aln(spark, a):
 
 def merge_graph(spark, a):
     templates, links, placed = readers.load_graph(spark, a.graph, a.placements, a.fasta)
-    templates, _ = graph.merge_to_fixpoint(templates.select("tid", "seq"), placed.select("tid", "read_id", (F.col("shift") + 1).alias("pos"), F.lit(False).alias("is_rc")))
+    templates, _ = merging.merge_to_fixpoint(templates.select("tid", "seq"), placed.select("tid", "read_id", (F.col("shift") + 1).alias("pos"), F.lit(False).alias("is_rc")), a.insert, a.sd, a.length)
     writers.template_lines(templates.withColumns({"query": F.col("tid").cast("string"), "alive": F.lit(True)})).write.text(a.out)
 
 
@@ -125,7 +125,7 @@ COMMANDS = {
     "clean": (clean, "reads out --k=15 --share=0.25"),
     "pair": (pair, "reads out --k=11 --insert=197 --sd=50 --min_len=100"),
     "aln": (aln, "reads ref out --mismatches=2 --gap=7"),
-    "graph": (merge_graph, "graph placements fasta out"),
+    "graph": (merge_graph, "graph placements fasta out --insert=197 --sd=50 --length=100"),
     "evaluate": (evaluate, "contigs ref out --psl= --similarity=0.99"),
     "report": (report, "psl ref_psl ref out"),
     "diff": (diff, "inputs names ref out"),

@@ -14,11 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import drop_prefix, kmers, mate_id, reverse_complement
+from ..functions.sequence import kmers, mate_id, reverse_complement
 from ..storage import written
 
 #: Fixed values of the merge test and of link discovery.
-MIN_PAIRS, MAX_MISMATCHES, MIN_OVERLAP, OVERLAP_SHARE, SD_TIMES, MIN_HIT, MAX_MINORITY, SIMILAR_SHIFT = 4, 11, 11, 0.2, 3, 100, 2, 4
+MIN_PAIRS, MAX_MISMATCHES, MIN_OVERLAP, OVERLAP_SHARE, SD_TIMES, MIN_HIT, MAX_MINORITY, SIMILAR_SHIFT, MOST_ALONE = 4, 11, 11, 0.2, 3, 100, 2, 4, 10
 MOST_ROUNDS = 60
 
 
@@ -55,20 +55,29 @@ def roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """tid, level: the longest way from a root, however long; nodes on cycles without a root are not reached.
 
-    A cycle that a root leads to has no longest way and is an error.
+    Rounds peel nodes whose incoming links all come from peeled ones. A round that peels none while nodes are left has met a cycle
+    that a root leads to: there is no longest way, an error.
     """
     edges = written(links.select("src", "dst").distinct(), "edges")
-    front = roots(nodes, edges).withColumn("level", F.lit(0))
-    found, most, step = front, nodes.select("tid").distinct().count(), 0
-    while not front.isEmpty():
+    first = written(roots(nodes, edges), "roots")
+    there = reachable(edges, first)
+    inner = written(edges.join(there.withColumnRenamed("tid", "src"), "src", "left_semi"), "inner")
+    front, left = first.withColumn("level", F.lit(0)), inner
+    found, missing, step = front, there.count() - first.count(), 0
+    while missing:
         step += 1
-        if step > most:
+        after = left.join(front.select(F.col("tid").alias("src")), "src", "left_anti")
+        freed = left.join(front.select(F.col("tid").alias("src")), "src", "left_semi").select(F.col("dst").alias("tid")).distinct()
+        after = written(after, "left")
+        front = written(freed.join(after.select(F.col("dst").alias("tid")), "tid", "left_anti").withColumn("level", F.lit(step)), "front")
+        n, left = front.count(), after
+        if not n:
             raise ValueError("a root leads to a cycle: its nodes have no level")
-        front = written(front.join(edges, F.col("tid") == F.col("src")).select(F.col("dst").alias("tid")).distinct().withColumn("level", F.lit(step)), "front")
+        missing -= n
         found = found.unionByName(front)
         if step % 16 == 0:
-            found = written(found.groupBy("tid").agg(F.max("level").alias("level")), "levels")
-    return found.groupBy("tid").agg(F.max("level").alias("level"))
+            found = written(found, "levels")
+    return found
 
 
 def cycle_hints(level: DataFrame, links: DataFrame) -> DataFrame:
@@ -121,14 +130,6 @@ def maximal_paths(found: DataFrame) -> DataFrame:
     return every.join(part.select("path").distinct(), "path", "left_anti")
 
 
-def path_sequences(found: DataFrame, templates: DataFrame, overlap: DataFrame) -> DataFrame:
-    """path, seq: templates of a path joined in order; overlap (src, dst, ol) tells how far neighbours lie on each other (absent: 0)."""
-    steps = found.select("path", F.posexplode("path").alias("i", "tid")).withColumn("prev", F.lag("tid").over(Window.partitionBy("path").orderBy("i")))
-    rows = steps.join(templates.select("tid", "seq"), "tid").join(overlap.select(F.col("src").alias("prev"), F.col("dst").alias("tid"), "ol"), ["prev", "tid"], "left")
-    part = F.struct("i", drop_prefix("seq", F.coalesce(F.col("ol"), F.lit(0))).alias("s"))
-    return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"]), "").alias("seq"))
-
-
 def pair_links(placements: DataFrame) -> DataFrame:
     """src, dst, read_id, mate_id and both places of the pairs whose mates lie on two templates; src holds the left mate."""
     a = placements.where("read_id % 2 = 0").select(F.col("tid").alias("src"), "read_id", F.col("pos").alias("src_pos"), F.col("is_rc").alias("src_rc"))
@@ -179,6 +180,21 @@ def candidate_overlaps(templates: DataFrame, k: int = MIN_OVERLAP) -> DataFrame:
     return probes.join(seeds, "kmer").where("src <> dst").select("src", "dst", "is_rc").distinct()
 
 
+def _mismatches(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Mismatches of the last i + 1 bases of x and the first of y, for every i under most.
+
+    Short pairs are laid out in a square; longer ones are counted by correlation of each letter, in memory that grows with the length.
+    """
+    x, y = x[len(x) - most :], y[:most]
+    if most <= 256:
+        laid = np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros(most, np.uint8)]), most)[:most]  # row i: an overlap of most - i bases
+        return ((laid != y) & (laid != 0)).sum(1)[::-1]
+    width = 1 << (2 * most - 1).bit_length()
+    same = sum(np.fft.rfft(x == c, width) * np.conj(np.fft.rfft(y == c, width)) for c in np.intersect1d(x, y))
+    same = np.rint(np.fft.irfft(same, width))[:most][::-1] if np.ndim(same) else np.zeros(most)  # at shift s of y: an overlap of most - s bases
+    return np.arange(1, most + 1) - same.astype(np.int64)
+
+
 def _overlap(left: bytes, right: bytes, allowed: int) -> tuple[int, int]:
     """Overlap as find_overlap gives it, and its mismatches up to those allowed: all lengths of a pair are compared at once, where
     expressions would walk them one by one."""
@@ -186,8 +202,7 @@ def _overlap(left: bytes, right: bytes, allowed: int) -> tuple[int, int]:
     most = min(len(x), len(y))
     if not most:
         return 0, 0
-    laid = np.lib.stride_tricks.sliding_window_view(np.concatenate([x[len(x) - most :], np.zeros(most, np.uint8)]), most)[:most]  # row i: an overlap of most - i bases
-    differ = ((laid != y[:most]) & (laid != 0)).sum(1)[::-1]  # place i: of i + 1 bases
+    differ = _mismatches(x, y, most)
     short = differ[allowed - 1 : 2 * allowed - 1]
     if (short <= 1).any():
         ol = allowed + int((short <= 1).argmax())
@@ -218,37 +233,6 @@ def insert_feasible(distance: F.Column, insert: int, sd: int) -> F.Column:
     return distance <= insert + SD_TIMES * sd
 
 
-def merge_round(templates: DataFrame, placements: DataFrame, allowed: int = MAX_MISMATCHES) -> tuple[DataFrame, DataFrame, int]:
-    """One round of merging overlapping templates: every template takes part in one merge at most.
-
-    Overlaps of MIN_OVERLAP bases or more with under a fifth of them mismatches count, the longest first. An overlap is merged
-    if it is the best for both sides; the right template's reads move by the left one's length less the overlap.
-    """
-    found = overlap_pairs(templates, allowed).where(F.col("ol") * OVERLAP_SHARE > F.col("mismatches"))
-    score = F.struct(F.col("ol"), -F.least("src", "dst"), -F.greatest("src", "dst"), F.col("src") < F.col("dst"))
-    both = written(found.withColumn("score", score), "overlaps")
-    best = both.select(F.col("src").alias("tid"), "score").unionByName(both.select(F.col("dst").alias("tid"), "score")).groupBy("tid").agg(F.max("score").alias("best"))
-    chosen = both.join(best.select(F.col("tid").alias("src"), F.col("best").alias("x")), "src").join(best.select(F.col("tid").alias("dst"), F.col("best").alias("y")), "dst").where("score = x and score = y").select("src", "dst", "ol")
-    chosen = written(chosen, "merges")
-    n = chosen.count()
-    left, right = templates.select(F.col("tid").alias("src"), F.col("seq").alias("l")), templates.select(F.col("tid").alias("dst"), F.col("seq").alias("r"))
-    joined = chosen.join(left, "src").join(right, "dst")
-    merged = joined.select(F.col("src").alias("tid"), F.concat("l", drop_prefix("r", F.col("ol"))).alias("seq"))
-    moves = joined.select(F.col("dst").alias("tid"), "src", (F.length("l") - F.col("ol")).alias("by"))
-    touched = chosen.select(F.explode(F.array("src", "dst")).alias("tid"))
-    out = written(templates.select("tid", "seq").join(touched, "tid", "left_anti").unionByName(merged), "templates")
-    placed = placements.join(moves, "tid", "left").select(F.coalesce("src", "tid").alias("tid"), "read_id", (F.col("pos") + F.coalesce("by", F.lit(0))).alias("pos"), "is_rc")
-    return out, written(placed, "placements"), n
-
-
-def merge_to_fixpoint(templates: DataFrame, placements: DataFrame, allowed: int = MAX_MISMATCHES) -> tuple[DataFrame, DataFrame]:
-    for _ in range(MOST_ROUNDS):
-        templates, placements, n = merge_round(templates, placements, allowed)
-        if not n:
-            return templates, placements
-    raise RuntimeError("merging did not settle")
-
-
 def probable_links(placements: DataFrame, templates: DataFrame, insert: int, sd: int, least: int = MIN_PAIRS) -> DataFrame:
     """src, dst, pairs: links between templates by pairs: enough of them, no shared read, and a span from the left mate to the end of src and
     from the start of dst to the right mate that fits the insert size."""
@@ -260,15 +244,22 @@ def probable_links(placements: DataFrame, templates: DataFrame, insert: int, sd:
     return rows.where((F.col("pairs") * 2 >= least) & insert_feasible(F.col("closest"), insert, sd)).join(shared, ["src", "dst"], "left_anti").select("src", "dst", "pairs")
 
 
-def scaffold(templates: DataFrame, placements: DataFrame, hits: DataFrame, insert: int, sd: int) -> tuple[DataFrame, DataFrame]:
-    """tid, comp_id, is_root and the directed links: components over hits and pair links, ordered by votes within them."""
+def scaffold(templates: DataFrame, placements: DataFrame, hits: DataFrame, insert: int, sd: int, most_alone: int = MOST_ALONE) -> tuple[DataFrame, DataFrame]:
+    """tid, comp_id, is_root and the settled order votes (as order_votes gives them): components over hits and pair links, ordered by votes within them.
+
+    Only templates without a hit of MIN_HIT bases are ordered, and none in components with more than most_alone of them.
+    """
+    strong = hits.where(F.col("matches") >= MIN_HIT).select(F.col("q_name").alias("src"), F.col("t_name").alias("dst"))
     found = probable_links(placements, templates, insert, sd)
-    joined = hits.where(F.col("matches") >= MIN_HIT).select(F.col("q_name").alias("src"), F.col("t_name").alias("dst")).unionByName(found.select("src", "dst"))
-    comp = written(components(templates.select("tid"), joined), "components")
-    links = directed_links(order_votes(placements))
-    inside = links.join(comp.select(F.col("tid").alias("src"), F.col("comp_id").alias("cs")), "src").join(comp.select(F.col("tid").alias("dst"), F.col("comp_id").alias("cd")), "dst").where("cs = cd").select("src", "dst")
-    inside = written(inside, "inside-links")
-    first = roots(comp.select("tid"), inside).withColumn("root", F.lit(True))
+    comp = written(components(templates.select("tid"), strong.unionByName(found.select("src", "dst"))), "components")
+    lying = strong.select(F.explode(F.array("src", "dst")).alias("tid")).distinct()
+    alone = written(comp.join(lying, "tid", "left_anti"), "alone")
+    few = alone.groupBy("comp_id").agg(F.count("*").alias("n")).where(F.col("n") <= most_alone).select("comp_id")
+    alone = alone.join(few, "comp_id").select("tid", "comp_id")
+    votes = order_votes(placements).where("order <> 0")
+    inside = votes.join(alone.select(F.col("tid").alias("a"), F.col("comp_id").alias("ca")), "a").join(alone.select(F.col("tid").alias("b"), F.col("comp_id").alias("cb")), "b").where("ca = cb").select(*votes.columns)
+    inside = written(inside, "inside-votes")
+    first = roots(comp.select("tid"), directed_links(inside)).withColumn("root", F.lit(True))
     return comp.join(first, "tid", "left").select("tid", "comp_id", F.coalesce("root", F.lit(False)).alias("is_root")), inside
 
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alignment, assembly, evaluation, graph, kmers
+from ..operators import alignment, assembly, evaluation, graph, kmers, merging
 from ..storage import numbered, written
 
 #: Per stage: k-mer length, share of reads that may start, and share of placed reads that must be paired.
@@ -52,12 +52,14 @@ def without_sub_templates(templates: DataFrame, placements: DataFrame) -> tuple[
 def assemble_library(reads: DataFrame, insert: int, sd: int, options: assembly.Extension = assembly.Extension(), min_len: int = 100) -> DataFrame:
     """path_id (from 0), seq of all maximal paths of a library (read_id, seq): stages, merging, sub-templates, scaffolding, paths."""
     templates, placements = assemble_in_stages(reads, options)
-    templates, placements = graph.merge_to_fixpoint(templates, placements)
+    read_len = reads.agg(F.max(F.length("seq"))).first()[0] or 0
+    templates, placements = merging.merge_to_fixpoint(templates, placements, insert, sd, read_len)
     templates, placements = without_sub_templates(templates, placements)
     hits = alignment.diagonal_hits(templates.select(F.col("tid").alias("q_name"), "seq"), templates.select(F.col("tid").alias("t_name"), "seq")).where("q_name <> t_name")
-    comp, links = graph.scaffold(templates, placements, hits, insert, sd)
-    ways = graph.maximal_paths(graph.paths(comp.select("tid"), links))
-    found = graph.path_sequences(ways, templates, graph.overlap_pairs(templates).select("src", "dst", "ol"))
+    comp, votes = graph.scaffold(templates, placements, hits, insert, sd)
+    signs = written(merging.orientations(templates, votes), "orientations")
+    ways = graph.maximal_paths(graph.paths(comp.select("tid"), merging.settled_links(votes, signs)))
+    found = merging.path_sequences(ways, templates, signs, graph.gap_estimate(placements, templates, insert))
     found = written(found.where(F.length("seq") >= min_len), "paths")
     return found.join(numbered(found, "path"), "path").select(F.col("number").alias("path_id"), "seq")
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
 from ..operators import graph as G
-from .fixtures import READ, READS_SQL, TX_SQL, reads, table, tx
+from ..operators import merging
+from ..storage import written
+from .fixtures import INSERT, READ, READS_SQL, TX_SQL, reads, table, tx
 
 
 def halves(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,6 +25,21 @@ def placements(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.when(left, F.col("tid") * 2).otherwise(F.col("tid") * 2 + 1).alias("tid"), "read_id", F.when(left, F.col("pos")).otherwise(F.col("pos") - 50).cast("int").alias("pos"), ((F.col("read_id") % 2 == 1) != (F.col("read_id") % 11 == 0)).alias("is_rc")).where("pos >= 1")
 
 
+def turned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The halves, the right one turned over in a third of the transcripts and the left one in another, right ones of every fourth transcript
+    with only 11 bases in common; and the reads on them, mates reading the same strand of a transcript."""
+    begin, turn = F.when(F.col("tid") % 4 == 0, 60).otherwise(51), F.col("tid") % 3
+    t = tx(spark, sf).select(F.explode(F.array(
+        F.struct((F.col("tid") * 2).alias("tid"), F.substring("seq", 1, 70).alias("seq"), (turn == 2).alias("turn")),
+        F.struct((F.col("tid") * 2 + 1).alias("tid"), F.substring(F.col("seq"), begin, F.length("seq")).alias("seq"), (turn == 1).alias("turn")),
+    )).alias("x")).select("x.*")
+    left = F.col("pos") + READ - 1 <= 70
+    placed = reads(spark, sf).select(F.when(left, F.col("tid") * 2).otherwise(F.col("tid") * 2 + 1).alias("tid"), "read_id", F.when(left, F.col("pos")).otherwise(F.col("pos") - begin + 1).alias("pos")).where("pos >= 1")
+    pos = F.when(F.col("turn"), F.length("seq") - F.col("pos") - READ + 2).otherwise(F.col("pos"))
+    placed = placed.join(t, "tid").select("tid", "read_id", pos.cast("int").alias("pos"), F.col("turn").alias("is_rc"))
+    return t.select("tid", F.when(F.col("turn"), reverse_complement("seq")).otherwise(F.col("seq")).alias("seq")), placed
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Every order (even) and every customer (odd)."""
     orders = table(spark, sf, "orders").select((F.col("o_orderkey") * 2).alias("tid"))
@@ -132,16 +150,39 @@ def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return G.overlap_pairs(halves(spark, sf))
 
 
+def oriented_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.oriented_overlaps(turned(spark, sf)[0])
+
+
 def merge_round(spark: SparkSession, sf: str) -> DataFrame:
-    out, _, _ = G.merge_round(halves(spark, sf), placements(spark, sf))
+    out, _, _ = merging.merge_round(*turned(spark, sf), INSERT, 10, READ)
     return out
 
 
+def merged_placements(spark: SparkSession, sf: str) -> DataFrame:
+    _, placed, _ = merging.merge_round(*turned(spark, sf), INSERT, 10, READ)
+    return placed
+
+
 def merged_templates(spark: SparkSession, sf: str) -> DataFrame:
-    out, _ = G.merge_to_fixpoint(halves(spark, sf), placements(spark, sf))
+    out, _ = merging.merge_to_fixpoint(*turned(spark, sf), INSERT, 10, READ)
     return out
 
 
+def strand_signs(spark: SparkSession, sf: str) -> DataFrame:
+    t, p = turned(spark, sf)
+    return merging.orientations(t, G.order_votes(p))
+
+
+def scaffold_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered and oriented templates of each component as joined sequences: the report of the post-processing."""
+    t, p = turned(spark, sf)
+    votes = written(G.order_votes(p), "votes")
+    signs = written(merging.orientations(t, votes), "signs")
+    ways = G.paths(t.select("tid"), merging.settled_links(votes, signs))
+    return merging.path_sequences(ways, t, signs, G.gap_estimate(p, t, INSERT)).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "seq")
+
+
 def scaffold_roots(spark: SparkSession, sf: str) -> DataFrame:
     none = placements(spark, sf).limit(0).select(F.col("tid").alias("q_name"), F.col("tid").alias("t_name"), F.col("pos").alias("matches"))
     out, _ = G.scaffold(halves(spark, sf), placements(spark, sf), none, 96, 10)
@@ -203,8 +244,36 @@ _PROBE = """pr AS (SELECT tid AS src, unnest([substr(seq, 1, 11), substr(seq, 12
 sd AS (SELECT DISTINCT tid AS dst, substr(seq, i::BIGINT, 11) AS k FROM (SELECT tid, seq, unnest(range(1, length(seq) - 9)) AS i FROM hv)), cand AS (SELECT DISTINCT src, dst, is_rc FROM ps JOIN sd USING (k) WHERE src <> dst)"""
 _OVERLAP = f"""{_PROBE}, cs AS (SELECT src, dst FROM cand WHERE NOT is_rc UNION SELECT dst, src FROM cand WHERE NOT is_rc), cl AS (SELECT c.src, c.dst, a.seq AS l, b.seq AS r, least(length(a.seq), length(b.seq)) AS m FROM cs c JOIN hv a ON a.tid = c.src JOIN hv b ON b.tid = c.dst),
 ol AS (SELECT src, dst, l, r, coalesce(list_min(list_filter(range(11, 22), lambda n: hamming(right(l, n), left(r, n)) <= 1)), list_max(list_filter(range(22, m + 1), lambda n: hamming(right(l, n), left(r, n)) <= 11)), 0)::INT AS ol FROM cl), op AS (SELECT src, dst, ol, least(hamming(right(l, ol), left(r, ol)), 11)::INT AS mismatches FROM ol WHERE ol >= 11)"""
+_RC = "reverse(translate({}, 'acgt', 'tgca'))"
+_TURNED = f"""{READS_SQL}, h0 AS (SELECT tid * 2 AS tid, substr(seq, 1, 70) AS seq, tid % 3 = 2 AS turn FROM tx UNION ALL SELECT tid * 2 + 1, substr(seq, CASE WHEN tid % 4 = 0 THEN 60 ELSE 51 END), tid % 3 = 1 FROM tx),
+hv AS (SELECT tid, CASE WHEN turn THEN {_RC.format('seq')} ELSE seq END AS seq FROM h0),
+p0 AS (SELECT CASE WHEN pos <= {71 - READ} THEN tid * 2 ELSE tid * 2 + 1 END AS tid, read_id, CASE WHEN pos <= {71 - READ} THEN pos WHEN tid % 4 = 0 THEN pos - 59 ELSE pos - 50 END AS pos FROM reads),
+pm AS (SELECT tid, read_id, (CASE WHEN turn THEN length(seq) - pos - {READ} + 2 ELSE pos END)::INT AS pos, turn AS is_rc FROM p0 JOIN h0 USING (tid) WHERE pos >= 1),
+pk AS (SELECT a.tid AS src, b.tid AS dst, a.read_id, b.read_id AS mate_id, a.pos AS src_pos, b.pos AS dst_pos, a.is_rc AS src_rc, b.is_rc AS dst_rc FROM pm a JOIN pm b ON b.read_id = xor(a.read_id, 1) WHERE a.read_id % 2 = 0 AND a.tid <> b.tid)"""
+_FOUND = "coalesce(list_min(list_filter(range(11, least(21, m) + 1), lambda n: hamming(right(l, n), left(r, n)) <= 1)), list_max(list_filter(range(22, m + 1), lambda n: hamming(right(l, n), left(r, n)) <= 11)), 0)::INT"
+_ORIENTED = f"""{_PROBE}, rp AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM cand WHERE is_rc),
+ow AS (SELECT c.src, c.dst, 'tail_head' AS kind, a.seq AS l, b.seq AS r FROM (SELECT src, dst FROM cand WHERE NOT is_rc UNION SELECT dst, src FROM cand WHERE NOT is_rc) c JOIN hv a ON a.tid = c.src JOIN hv b ON b.tid = c.dst
+  UNION ALL SELECT p.src, p.dst, k.kind, CASE k.kind WHEN 'head_head' THEN {_RC.format('a.seq')} ELSE a.seq END, CASE k.kind WHEN 'tail_tail' THEN {_RC.format('b.seq')} ELSE b.seq END FROM rp p JOIN hv a ON a.tid = p.src JOIN hv b ON b.tid = p.dst, (SELECT unnest(['tail_tail', 'head_head']) AS kind) k),
+oo AS (SELECT *, least(length(l), length(r)) AS m, {_FOUND} AS ol FROM ow), oq AS (SELECT *, least(hamming(right(l, ol), left(r, ol)), 11)::INT AS mismatches FROM oo WHERE ol >= 11)"""
+_MERGE = f"""{_TURNED}, {_ORIENTED}, me AS (SELECT *, length(l) AS nl, length(r) AS nr, ol > 11 OR abs(ol - nl) <= 11 OR abs(ol - nr) <= 11 AS enough FROM oq WHERE ol * 0.2 > mismatches AND (length(l) >= 100 OR length(r) >= 100)),
+pp AS (SELECT src, dst, src_pos, dst_pos FROM pk UNION ALL SELECT dst, src, dst_pos, src_pos FROM pk),
+sp AS (SELECT src, dst, kind FROM me JOIN pp USING (src, dst) WHERE NOT enough AND NOT EXISTS (SELECT 1 FROM pm x JOIN pm y USING (read_id) WHERE x.tid = src AND y.tid = dst) GROUP BY src, dst, kind, ol
+  HAVING count(*) * 2 >= 4 AND max(CASE kind WHEN 'head_head' THEN src_pos - 1 ELSE nl - src_pos + 1 END + CASE kind WHEN 'tail_tail' THEN nr - dst_pos + 1 ELSE dst_pos - 1 END - ol) <= 126),
+g AS (SELECT *, row_number() OVER (ORDER BY ol DESC, least(src, dst), greatest(src, dst), CASE kind WHEN 'tail_head' THEN 0 WHEN 'tail_tail' THEN 1 ELSE 2 END, src < dst DESC) AS place FROM me LEFT JOIN (SELECT *, true AS paired FROM sp) USING (src, dst, kind) WHERE enough OR paired),
+bs AS (SELECT tid, min(place) AS best FROM (SELECT src AS tid, place FROM g UNION ALL SELECT dst, place FROM g) GROUP BY tid), ch AS (SELECT g.* FROM g JOIN bs x ON x.tid = src AND x.best = place JOIN bs y ON y.tid = dst AND y.best = place),
+mv AS (SELECT dst AS tid, src AS into_, nl - ol AS moved, kind = 'tail_tail' AS turn, nr AS n FROM ch UNION ALL SELECT src, src, 0, true, nl FROM ch WHERE kind = 'head_head')"""
 
 SQL = {
+    "oriented_overlaps": f"WITH {_TURNED}, {_ORIENTED} SELECT src, dst, kind, ol, mismatches FROM oq",
+    "merge_round": f"WITH {_MERGE} SELECT tid, seq FROM hv WHERE tid NOT IN (SELECT src FROM ch UNION SELECT dst FROM ch) UNION ALL SELECT src, l || substr(r, ol + 1) FROM ch",
+    "merged_placements": f"WITH {_MERGE} SELECT coalesce(into_, tid) AS tid, read_id, (CASE WHEN turn THEN n - pos - {READ} + 2 ELSE pos END + coalesce(moved, 0))::INT AS pos, is_rc <> coalesce(turn, false) AS is_rc FROM pm LEFT JOIN mv USING (tid)",
+    "strand_signs": f"""WITH {_VOTES.replace(_PLACED, _TURNED)}, s AS (SELECT b AS tid, a AS root, orientation = 1 AS turned FROM vo WHERE "order" <> 0) SELECT tid, coalesce(root, tid) AS root, coalesce(turned, false) AS turned, false AS conflict FROM hv LEFT JOIN s USING (tid)""",
+    "scaffold_paths": f"""WITH {_VOTES.replace(_PLACED, _TURNED)}, w AS (SELECT CASE WHEN "order" = 1 THEN a ELSE b END AS src, CASE WHEN "order" = 1 THEN b ELSE a END AS dst, b, orientation FROM vo WHERE "order" <> 0),
+        s AS (SELECT w.src, w.dst, CASE WHEN w.b = w.src AND orientation = 1 THEN {_RC.format('x.seq')} ELSE x.seq END AS l, CASE WHEN w.b = w.dst AND orientation = 1 THEN {_RC.format('y.seq')} ELSE y.seq END AS r FROM w JOIN hv x ON x.tid = w.src JOIN hv y ON y.tid = w.dst),
+        jn AS (SELECT *, least(length(l), length(r)) AS m, {_FOUND} AS ol FROM s),
+        gp AS (SELECT src, dst, round(avg({INSERT} - ((length(seq) - src_pos) + dst_pos)))::INT AS gap FROM pk JOIN hv ON tid = src GROUP BY src, dst)
+        SELECT src || ',' || dst AS path, CASE WHEN ol >= 11 AND ol * 0.2 > hamming(right(l, ol), left(r, ol)) THEN l || substr(r, ol + 1) ELSE l || repeat('n', greatest(coalesce(gap, 0), 0)) || r END AS seq FROM jn LEFT JOIN gp USING (src, dst)
+        UNION ALL SELECT tid::VARCHAR, seq FROM hv WHERE tid NOT IN (SELECT src FROM w UNION SELECT dst FROM w)""",
     "graph_components": f"WITH RECURSIVE {_COMP.format(links=_LINKS, t='lk')} SELECT tid, min(r) AS comp_id FROM re GROUP BY tid",
     "graph_roots": f"WITH {_LINKS} SELECT tid FROM nd WHERE tid NOT IN (SELECT dst FROM lk)",
     "graph_levels": f"WITH RECURSIVE {_LINKS}, lv AS (SELECT tid, 0 AS level FROM nd WHERE tid NOT IN (SELECT dst FROM lk) UNION SELECT dst, level + 1 FROM lv JOIN lk ON src = tid) SELECT tid, max(level) AS level FROM lv GROUP BY tid",
@@ -224,9 +293,6 @@ SQL = {
     "probable_links": f"WITH {_PLACED}, g AS (SELECT src, dst, count(*) AS pairs, min((length(seq) - src_pos) + dst_pos) AS closest FROM pk JOIN hv ON tid = src GROUP BY src, dst) SELECT src, dst, pairs FROM g WHERE pairs * 2 >= 4 AND closest <= 126 AND NOT EXISTS (SELECT 1 FROM pm x JOIN pm y USING (read_id) WHERE x.tid = src AND y.tid = dst)",
     "candidate_overlaps": f"WITH {_HALVES}, {_PROBE} SELECT * FROM cand",
     "overlap_pairs": f"WITH {_HALVES}, {_OVERLAP} SELECT * FROM op",
-    "merge_round": f"""WITH {_HALVES}, {_OVERLAP}, g AS (SELECT *, row_number() OVER (ORDER BY ol DESC, least(src, dst), greatest(src, dst), src < dst DESC) AS place FROM op WHERE ol * 0.2 > mismatches),
-        bs AS (SELECT tid, min(place) AS best FROM (SELECT src AS tid, place FROM g UNION ALL SELECT dst, place FROM g) GROUP BY tid), ch AS (SELECT g.* FROM g JOIN bs x ON x.tid = src AND x.best = place JOIN bs y ON y.tid = dst AND y.best = place)
-        SELECT tid, seq FROM hv WHERE tid NOT IN (SELECT src FROM ch UNION SELECT dst FROM ch) UNION ALL SELECT src, a.seq || substr(b.seq, ol + 1) FROM ch JOIN hv a ON a.tid = src JOIN hv b ON b.tid = dst""",
     "span_depth": f"""WITH {READS_SQL}, p AS (SELECT a.tid, least(a.pos, b.pos) AS s, greatest(a.pos, b.pos) + {READ} AS e, length(t.seq) AS n FROM reads a JOIN reads b ON b.read_id = xor(a.read_id, 1) JOIN tx t ON t.tid = a.tid WHERE a.read_id % 2 = 0),
         d AS (SELECT tid, n, base, count(*) AS d FROM (SELECT tid, n, unnest(range(s, least(e - 1, n) + 1)) AS base FROM p) WHERE base > {READ} AND base <= n - {READ} GROUP BY tid, n, base), r AS (SELECT tid, CASE WHEN count(*) < n - {2 * READ} THEN 0 ELSE min(d) END AS lowest, max(d) AS highest FROM d GROUP BY tid, n)
         SELECT tid, lowest, highest, lowest > 2 AS valid FROM r""",
@@ -243,5 +309,5 @@ SQL = {
 
 QUERIES = {f.__name__: f for f in (
     graph_components, graph_roots, graph_levels, cycle_hints, graph_paths, maximal_paths, siblings, reachable, unary_chains, prune_tips, pair_links, shared_reads, order_votes, directed_links, counter_pairs, gap_estimate, probable_links,
-    candidate_overlaps, overlap_pairs, merge_round, merged_templates, scaffold_roots, span_depth, zero_breaks, pairs_on_template, read_states, keep_pairs, mirrored, valid_templates, dense_ids, similar_siblings,
+    candidate_overlaps, overlap_pairs, oriented_overlaps, merge_round, merged_placements, merged_templates, strand_signs, scaffold_paths, scaffold_roots, span_depth, zero_breaks, pairs_on_template, read_states, keep_pairs, mirrored, valid_templates, dense_ids, similar_siblings,
 )}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pairwise
 from ..functions import sequence as S
-from ..operators import alignment, assembly, graph, reshape, simulation
+from ..operators import alignment, assembly, reshape, simulation
 from ..sources import writers
 from .fixtures import READ, READS_SQL, TX_SQL, reads, table, tx
 from .queries_graph import _HALVES, halves, placements
@@ -122,15 +122,6 @@ def interleaved_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.interleaved(side(0), side(1), reverse_right=True)
 
 
-def scaffold_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered templates of each component as joined sequences: the report of the post-processing."""
-    votes = graph.directed_links(graph.order_votes(placements(spark, sf)))
-    h = halves(spark, sf)
-    ways = graph.maximal_paths(graph.paths(h.select("tid"), votes, 4))
-    ol = graph.overlap_pairs(h).select("src", "dst", "ol")
-    return graph.path_sequences(ways, h, ol).select(F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), F.length("seq").alias("len"))
-
-
 _NOISY_POOL = """nr AS (SELECT read_id, tid, CASE WHEN read_id % 4 < 2 THEN substr(x, 1, 28) || translate(substr(x, 29, 1), 'acgt', 'cgta') || substr(x, 30) ELSE x END AS seq, (read_id % 30)::BIGINT AS cur
   FROM (SELECT read_id, tid, substr(seq, 1, 7) || translate(substr(seq, 8, 1), 'acgt', 'cgta') || substr(seq, 9) AS x FROM reads))"""
 _CNT = lambda b: f"(length(s) - length(replace(s, '{b}', '')))"
@@ -159,5 +150,5 @@ SQL = {
 
 QUERIES = {f.__name__: f for f in (
     sw_score, similar_sequences, global_alignments, holes, packed_reference, packed_positions, filled_reference, wrapped_fasta, placements_table, assembled_templates, majority_pool, agreeing_pool, branching_columns, pool_mates, simulated_reads,
-    spliced_transcripts, read_views, reshaped_reads, interleaved_pairs, scaffold_paths,
+    spliced_transcripts, read_views, reshaped_reads, interleaved_pairs,
 )}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom import __main__ as cli
 from strandloom.functions import sequence as S
-from strandloom.operators import alignment, assembly, evaluation, graph, kmers, simulation
+from strandloom.operators import alignment, assembly, evaluation, graph, kmers, merging, simulation
 from strandloom.plans import pipelines
 
 
@@ -70,11 +70,11 @@ def test_library_to_evaluation(spark):
 
 def test_merging_overlapping_templates(spark):
     rng = random.Random(1)
-    seq = "".join(rng.choice("acgt") for _ in range(150))
-    t = spark.createDataFrame([(1, seq[:70]), (2, seq[50:120]), (3, seq[100:])], "tid long, seq string")
+    seq = "".join(rng.choice("acgt") for _ in range(300))
+    t = spark.createDataFrame([(1, seq[:120]), (2, seq[100:220]), (3, seq[190:])], "tid long, seq string")
     p = spark.createDataFrame([(1, 0, 1, False), (2, 1, 1, False), (3, 2, 5, False)], "tid long, read_id long, pos int, is_rc boolean")
-    merged, placed = graph.merge_to_fixpoint(t, p)
-    assert [r.seq for r in merged.collect()] == [seq] and sorted((r.read_id, r.pos) for r in placed.collect()) == [(0, 1), (1, 51), (2, 105)]
+    merged, placed = merging.merge_to_fixpoint(t, p, 197, 50, 36)
+    assert [r.seq for r in merged.collect()] == [seq] and sorted((r.read_id, r.pos) for r in placed.collect()) == [(0, 1), (1, 101), (2, 195)]
 
 
 def test_sub_paths_compare_whole_names(spark):
