@@ -48,11 +48,11 @@ def base_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unaligned_contigs(spark: SparkSession, sf: str) -> DataFrame:
-    return E.unaligned(contigs(spark, sf), hits(spark, sf).where("q_name % 7 <> 0"), "q_name")
+    return E.unaligned(contigs(spark, sf), hits(spark, sf), "q_name")
 
 
 def unreached_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    return E.unaligned(tx(spark, sf).select(F.col("tid").alias("name"), "seq"), hits(spark, sf).where("t_name % 3 <> 0"), "t_name")
+    return E.unaligned(tx(spark, sf).select(F.col("tid").alias("name"), "seq"), hits(spark, sf), "t_name")
 
 
 def longest_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,8 +65,8 @@ def aligned_bases(spark: SparkSession, sf: str) -> DataFrame:
 
 def transcript_report(spark: SparkSession, sf: str) -> DataFrame:
     h = hits(spark, sf)
-    cross = h.where("line % 97 = 0").select("t_name", (1 + F.col("q_name") % 200).alias("other"))
-    return E.transcript_report(h.where("line % 5 = 0"), tx(spark, sf), cross)
+    cross = h.select("t_name", (1 + F.col("q_name") % 200).alias("other"))
+    return E.transcript_report(h, tx(spark, sf), cross)
 
 
 def self_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def assembler_diff(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
     kinds = ev.select(F.col("user_id").alias("id"), F.col("event_type").alias("name")).distinct()
     lists = kinds.withColumn("place", F.expr("array_position(array('click', 'purchase', 'view'), name)"))
-    return E.list_membership(lists.where("id % 3 <> 0"), table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
+    return E.list_membership(lists, table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
 
 
 def diff_categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +118,7 @@ def block_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evaluation_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = E.evaluation_summary(contigs(spark, sf), tx(spark, sf), hits(spark, sf).where("q_name % 7 <> 0 and t_name % 3 <> 0"))
+    out = E.evaluation_summary(contigs(spark, sf), tx(spark, sf), hits(spark, sf))
     return out.withColumn("coverage", F.round("coverage", 9))
 
 
@@ -142,17 +142,17 @@ SQL = {
     "n50_eval": f"WITH {TX_SQL}, l AS (SELECT length(seq) AS len FROM tx) SELECT {_n50('l')} AS n50",
     "n50_simu": f"WITH {TX_SQL}, l AS (SELECT length(seq) AS len FROM tx) SELECT max(len) AS n50 FROM (SELECT len, sum(len) OVER (ORDER BY len DESC ROWS UNBOUNDED PRECEDING) AS upto FROM l) WHERE upto * 2 > (SELECT sum(len) FROM l)",
     "base_coverage": f"WITH {HITS_SQL}, {_BLOCKS.format('hits')}, c AS (SELECT sum(gain)::BIGINT AS covered FROM un), b AS (SELECT sum(length(seq))::BIGINT AS bases FROM tx) SELECT covered, bases, round(covered / bases, 9) AS coverage FROM c, b",
-    "unaligned_contigs": f"WITH {HITS_SQL}, {_CONTIGS} SELECT count(*) AS n, coalesce(sum(length(seq)), 0)::BIGINT AS bases FROM contigs WHERE name NOT IN (SELECT q_name FROM hits WHERE q_name % 7 <> 0)",
-    "unreached_transcripts": f"WITH {HITS_SQL} SELECT count(*) AS n, coalesce(sum(length(seq)), 0)::BIGINT AS bases FROM tx WHERE tid NOT IN (SELECT t_name FROM hits WHERE t_name % 3 <> 0)",
+    "unaligned_contigs": f"WITH {HITS_SQL}, {_CONTIGS} SELECT count(*) AS n, coalesce(sum(length(seq)), 0)::BIGINT AS bases FROM contigs WHERE name NOT IN (SELECT q_name FROM hits)",
+    "unreached_transcripts": f"WITH {HITS_SQL} SELECT count(*) AS n, coalesce(sum(length(seq)), 0)::BIGINT AS bases FROM tx WHERE tid NOT IN (SELECT t_name FROM hits)",
     "longest_blocks": f"WITH {HITS_SQL} SELECT t_name, max(m)::INT AS longest FROM (SELECT t_name, max(greatest(b1, b2)) OVER (PARTITION BY q_name ORDER BY line RANGE UNBOUNDED PRECEDING) AS m FROM hits) GROUP BY t_name",
     "aligned_bases": f"WITH {HITS_SQL} SELECT sum(b1 + b2)::BIGINT AS bases FROM hits",
-    "transcript_report": f"""WITH {HITS_SQL}, h5 AS (SELECT * FROM hits WHERE line % 5 = 0), {_BLOCKS.format('h5')}, cv AS (SELECT t_name, sum(gain) AS covered FROM un GROUP BY t_name), ct AS (SELECT t_name, count(*) AS contigs, max(greatest(b1, b2)) AS largest FROM h5 GROUP BY t_name),
-        cr AS (SELECT t_name, string_agg(o, ',' ORDER BY o) AS other FROM (SELECT DISTINCT t_name, (1 + q_name % 200)::VARCHAR AS o FROM hits WHERE line % 97 = 0) GROUP BY t_name)
+    "transcript_report": f"""WITH {HITS_SQL}, {_BLOCKS.format('hits')}, cv AS (SELECT t_name, sum(gain) AS covered FROM un GROUP BY t_name), ct AS (SELECT t_name, count(*) AS contigs, max(greatest(b1, b2)) AS largest FROM hits GROUP BY t_name),
+        cr AS (SELECT t_name, string_agg(o, ',' ORDER BY o) AS other FROM (SELECT DISTINCT t_name, (1 + q_name % 200)::VARCHAR AS o FROM hits) GROUP BY t_name)
         SELECT tid AS transcript, coalesce(other, 'None') AS "cross", length(seq) AS length, coalesce(contigs, 0) AS contigs, round(coalesce(covered, 0) / length(seq), 2) AS covered, round(coalesce(largest, 0) / length(seq), 2) AS largest_covered
         FROM tx LEFT JOIN ct ON ct.t_name = tid LEFT JOIN cv ON cv.t_name = tid LEFT JOIN cr ON cr.t_name = tid""",
     "self_hits": f"WITH {HITS_SQL}, x AS (SELECT t_name, (1 + q_name % 200 <> t_name)::INT + 1 AS times FROM hits) SELECT t_name, sum(times)::BIGINT AS n FROM x GROUP BY t_name",
     "sub_templates": f"WITH {HITS_SQL} SELECT DISTINCT q_name, t_name, t_start FROM hits WHERE q_size < t_size AND matches > q_size - 50 AND t_end - t_start > q_size - 50 AND mismatches <= 11",
-    "assembler_diff": """WITH k AS (SELECT DISTINCT user_id AS id, event_type AS name, list_position(['click', 'purchase', 'view'], event_type) AS place FROM events WHERE user_id % 3 <> 0), n AS (SELECT id, string_agg(name, ',' ORDER BY coalesce(place, 0), name) AS lists FROM k GROUP BY id)
+    "assembler_diff": """WITH k AS (SELECT DISTINCT user_id AS id, event_type AS name, list_position(['click', 'purchase', 'view'], event_type) AS place FROM events), n AS (SELECT id, string_agg(name, ',' ORDER BY coalesce(place, 0), name) AS lists FROM k GROUP BY id)
         SELECT coalesce(n.id, c.c_custkey) AS id, coalesce(lists, 'None') AS lists FROM n FULL JOIN customer c ON c.c_custkey = n.id""",
     "dup_ids": "SELECT user_id AS id, count(*) AS times FROM events GROUP BY user_id HAVING count(*) > 1",
     "best_hit": f"WITH {HITS_SQL} SELECT q_name, line, t_name, t_start, t_end, matches FROM hits QUALIFY row_number() OVER (PARTITION BY q_name ORDER BY line, t_name, t_start, t_end, matches) = 1",
@@ -167,10 +167,10 @@ SQL = {
         SELECT t_name, count(*) FILTER (t_start > 0 AND t_start < 3) AS hits_1, count(*) FILTER (t_start > 2 AND t_start < 6) AS hits_2, count(*) FILTER (t_start > 0 AND t_start < 3 AND ms > 2 AND ms < 6) AS pairs FROM hits LEFT JOIN m USING (t_name, q_name) GROUP BY t_name""",
     "block_segments": f"""WITH {HITS_SQL}, ev AS (SELECT t_name, ts1 AS place, 1 AS d FROM hits WHERE b1 > 0 UNION ALL SELECT t_name, ts1 + b1, -1 FROM hits WHERE b1 > 0 UNION ALL SELECT t_name, ts2, 1 FROM hits UNION ALL SELECT t_name, least(ts2 + b2, t_size), -1 FROM hits),
         g AS (SELECT t_name, place AS s, sum(d) AS d FROM ev GROUP BY t_name, place), w AS (SELECT t_name, s, lead(s) OVER w AS e, (sum(d) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS depth FROM g WINDOW w AS (PARTITION BY t_name ORDER BY s)) SELECT * FROM w WHERE e IS NOT NULL""",
-    "evaluation_summary": f"""WITH {HITS_SQL}, {_CONTIGS}, hf AS (SELECT * FROM hits WHERE q_name % 7 <> 0 AND t_name % 3 <> 0), {_LADDER.format('hf')}, {_BLOCKS.format('hf')},
-        lc AS (SELECT length(seq) AS len FROM contigs), lt AS (SELECT length(seq) AS len FROM tx), la AS (SELECT b1 AS len FROM hf UNION ALL SELECT b2 FROM hf),
+    "evaluation_summary": f"""WITH {HITS_SQL}, {_CONTIGS}, {_LADDER.format('hits')}, {_BLOCKS.format('hits')},
+        lc AS (SELECT length(seq) AS len FROM contigs), lt AS (SELECT length(seq) AS len FROM tx), la AS (SELECT b1 AS len FROM hits UNION ALL SELECT b2 FROM hits),
         r AS (SELECT {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in E.LEVELS)} FROM best), c AS (SELECT sum(length(seq))::BIGINT AS bases, count(*) AS contigs FROM contigs),
-        u AS (SELECT count(*) AS contigs_not_aligned, coalesce(sum(length(seq)), 0)::BIGINT AS bases_not_aligned FROM contigs WHERE name NOT IN (SELECT q_name FROM hf)), v AS (SELECT count(*) AS transcripts_not_reached, coalesce(sum(length(seq)), 0)::BIGINT AS bases_not_reached FROM tx WHERE tid NOT IN (SELECT t_name FROM hf))
+        u AS (SELECT count(*) AS contigs_not_aligned, coalesce(sum(length(seq)), 0)::BIGINT AS bases_not_aligned FROM contigs WHERE name NOT IN (SELECT q_name FROM hits)), v AS (SELECT count(*) AS transcripts_not_reached, coalesce(sum(length(seq)), 0)::BIGINT AS bases_not_reached FROM tx WHERE tid NOT IN (SELECT t_name FROM hits))
         SELECT c.*, r.*, (SELECT sum(len)::BIGINT FROM la) AS aligned_bases, u.*, v.*, {_n50('lt')} AS n50_optimal, {_n50('lc')} AS n50_raw, {_n50('la')} AS n50_aligned, {_n50('la', '(SELECT sum(len) FROM lc)')} AS n50_aligned_on_all,
           round((SELECT sum(gain) FROM un) / (SELECT sum(len) FROM lt), 9) AS coverage, contigs - full_length - one_on_one - covered_70 - contigs_not_aligned AS fragmented FROM c, r, u, v""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pairwise
 from ..functions import sequence as S
 from ..operators import alignment, assembly, reshape, simulation
+from ..operators import similar as sim
 from ..sources import writers
 from .fixtures import READ, READS_SQL, TX_SQL, reads, table, tx
 from .queries_graph import _HALVES, halves, placements
@@ -30,18 +31,29 @@ def sw_score(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("tid", pairwise.overlap_scores(F.col("l"), F.col("r")).alias("score"))
 
 
+def copies(spark: SparkSession, sf: str) -> DataFrame:
+    """id, seq: each transcript (even) and a copy (odd) with a base exchanged, and in every other one a base taken out, at places that move with its number."""
+    t = tx(spark, sf)
+    n, at = F.length("seq"), 1 + F.col("tid") * 7 % F.length("seq")
+    seq = F.overlay(F.col("seq"), F.translate(F.substring(F.col("seq"), at.cast("int"), F.lit(1)), "acgt", "cgta"), at.cast("int"), F.lit(1))
+    cut = (F.col("tid") * 13 % n).cast("int")
+    seq = F.when(F.col("tid") % 2 == 0, F.concat(F.left(seq, cut), F.substring(seq, cut + 2, n))).otherwise(seq)
+    return t.select((F.col("tid") * 2).alias("id"), "seq").unionByName(t.select((F.col("tid") * 2 + 1).alias("id"), seq.alias("seq")))
+
+
 def similar_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of alike reads' windows: blocked by a shared k-mer at the start, then scored."""
-    r = noisy_reads(spark, sf).where("read_id % 2 = 0").select("read_id", "seq")
-    block = F.substring("seq", 10, 15)
-    a, b = r.select(F.col("read_id").alias("a"), F.col("seq").alias("l"), block.alias("k")), r.select(F.col("read_id").alias("b"), F.col("seq").alias("r"), block.alias("k"))
-    return a.join(b, "k").where("a < b").select("a", "b", pairwise.similar(F.col("l"), F.col("r"), 3).alias("score")).where("score > 0")
+    return sim.similar_rows(copies(spark, sf), 3)
+
+
+def distinct_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Of sequences and their noisy copies the longer ones, of equal lengths the original."""
+    return sim.drop_similar(copies(spark, sf), 3).select("id", "seq")
 
 
 def global_alignments(spark: SparkSession, sf: str) -> DataFrame:
-    h = halves(spark, sf).where("tid <= 80 and tid % 2 = 0")
-    x = pairwise.aligned(F.substring("seq", 1, 30), F.concat(F.substring("seq", 1, 12), F.substring("seq", 15, 18)), "global")
-    return h.select("tid", x.alias("x")).select("tid", "x.*")
+    """Transcripts against themselves without bases 41 and 42."""
+    x = pairwise.aligned(F.col("seq"), F.concat(F.substring("seq", 1, 40), F.substring(F.col("seq"), F.lit(43), F.length("seq"))), "global", band=8)
+    return tx(spark, sf).select("tid", x.alias("x")).select("tid", "x.*")
 
 
 def holes(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +66,7 @@ def packed_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 def packed_positions(spark: SparkSession, sf: str) -> DataFrame:
     contigs, gaps = writers.packed_reference(gapped(spark, sf))
-    at = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 37 % 12000).alias("at"))
+    at = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 37 % 12000).alias("at"))
     return alignment.real_position(at, contigs, gaps, 10)
 
 
@@ -103,7 +115,7 @@ def simulated_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def spliced_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     refs = tx(spark, sf).select(F.col("tid").cast("string").alias("name"), "seq")
-    genes = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), (1 + F.col("c_custkey") % 100).cast("string").alias("ref"), F.when(F.col("c_custkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.expr("array(named_struct('s', int(c_custkey % 20), 'e', int(c_custkey % 20 + 15)), named_struct('s', int(c_custkey % 20 + 30), 'e', int(c_custkey % 20 + 52)))").alias("exons"))
+    genes = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").cast("string").alias("ref"), F.when(F.col("c_custkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.expr("array(named_struct('s', int(c_custkey % 20), 'e', int(c_custkey % 20 + 15)), named_struct('s', int(c_custkey % 20 + 30), 'e', int(c_custkey % 20 + 52)))").alias("exons"))
     return simulation.transcripts(genes, refs)
 
 
@@ -128,9 +140,10 @@ _CNT = lambda b: f"(length(s) - length(replace(s, '{b}', '')))"
 _MOST = f"greatest({', '.join(_CNT(b) for b in 'acgt')})"
 
 SQL = {
+    "distinct_sequences": f"WITH {TX_SQL} SELECT tid * 2 AS id, seq FROM tx",  # a copy is no longer than its original; no two transcripts are alike
     "holes": f"WITH {_GAPPED}, p AS (SELECT name, i, i - row_number() OVER (PARTITION BY name ORDER BY i) AS g FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM gp) WHERE substr(seq, (i + 1)::BIGINT, 1) = 'n') SELECT name, min(i)::INT AS start, count(*) AS len FROM p GROUP BY name, g",
     "packed_reference": f"WITH {_GAPPED}, p AS (SELECT name, i, i - row_number() OVER (PARTITION BY name ORDER BY i) AS g FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM gp) WHERE substr(seq, (i + 1)::BIGINT, 1) = 'n'), n AS (SELECT name, count(DISTINCT g) AS n_ambs FROM p GROUP BY name) SELECT name, coalesce(sum(length(seq)) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset, length(seq) AS len, coalesce(n_ambs, 0) AS n_ambs FROM gp LEFT JOIN n USING (name)".replace("AS offset", 'AS "offset"'),
-    "packed_positions": f"""WITH {_GAPPED}, o AS (SELECT name, coalesce(sum(length(seq)) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, length(seq) AS len, seq FROM gp), q AS (SELECT o_orderkey AS id, o_orderkey * 37 % 12000 AS place FROM orders WHERE o_orderkey % 10 = 0),
+    "packed_positions": f"""WITH {_GAPPED}, o AS (SELECT name, coalesce(sum(length(seq)) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, length(seq) AS len, seq FROM gp), q AS (SELECT o_orderkey AS id, o_orderkey * 37 % 12000 AS place FROM orders),
         n AS (SELECT off + i AS place FROM (SELECT off, seq, unnest(range(0, len)) AS i FROM o) WHERE substr(seq, (i + 1)::BIGINT, 1) = 'n') SELECT id, name, place - off AS pos, (SELECT count(*) FROM n WHERE n.place >= q.place AND n.place < q.place + 10) AS n_ambs FROM q JOIN o ON place BETWEEN off AND off + len - 1""",
     "wrapped_fasta": f"WITH {TX_SQL} SELECT tid, '>' || tid || chr(10) || regexp_replace(seq, '(.{{1,50}})', '\\1' || chr(10), 'g') AS text FROM tx",
     "placements_table": f"""WITH {_HALVES}, pm AS (SELECT * FROM (SELECT CASE WHEN pos <= {71 - READ} THEN tid * 2 ELSE tid * 2 + 1 END AS tid, read_id, CASE WHEN pos <= {71 - READ} THEN pos ELSE pos - 50 END AS pos FROM reads) WHERE pos >= 1)
@@ -141,7 +154,7 @@ SQL = {
         c AS (SELECT tid, pos::INT AS pos, {", ".join(f"count(*) FILTER (ch = '{x}') AS {x}" for x in "acgtn")} FROM b GROUP BY tid, pos) SELECT tid, pos FROM c WHERE greatest(a, c, g, t) < 0.85 * (a + c + g + t + n)""".replace("FROM c WHERE greatest(a, c, g, t) < 0.85 * (a + c + g + t + n)", "FROM c AS z WHERE greatest(z.a, z.c, z.g, z.t) < 0.85 * (z.a + z.c + z.g + z.t + z.n)"),
     "pool_mates": f"""WITH {_HALVES}, pm AS (SELECT * FROM (SELECT CASE WHEN pos <= {71 - READ} THEN tid * 2 ELSE tid * 2 + 1 END AS tid, read_id, CASE WHEN pos <= {71 - READ} THEN pos ELSE pos - 50 END AS pos, (read_id % 2 = 1) <> (read_id % 11 = 0) AS is_rc FROM reads) WHERE pos >= 1)
         SELECT a.tid, a.read_id, a.pos, a.is_rc FROM pm a JOIN pm b ON b.read_id = xor(a.read_id, 1) AND a.tid = b.tid WHERE a.is_rc = b.is_rc AND abs(a.pos - b.pos) <= 66""",
-    "spliced_transcripts": f"""WITH {TX_SQL}, s AS (SELECT c_custkey, substr(seq, c_custkey % 20 + 1, 15) || substr(seq, c_custkey % 20 + 31, 22) AS s FROM customer JOIN tx ON tid = 1 + c_custkey % 100) SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 2 = 0 THEN s ELSE reverse(translate(s, 'acgt', 'tgca')) END AS seq FROM s""",
+    "spliced_transcripts": f"""WITH {TX_SQL}, s AS (SELECT c_custkey, substr(seq, c_custkey % 20 + 1, 15) || substr(seq, c_custkey % 20 + 31, 22) AS s FROM customer JOIN tx ON tid = c_custkey) SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 2 = 0 THEN s ELSE reverse(translate(s, 'acgt', 'tgca')) END AS seq FROM s""",
     "read_views": f"""WITH {_GAPPED}, q AS (SELECT substr(seq, 3, 24) AS s FROM gp) SELECT CASE WHEN instr(s, 'n') > 0 THEN 'has_n' WHEN {_MOST} = length(s) THEN 'same' WHEN {_MOST} >= length(s) - 5 THEN 'biased' WHEN left(s, length(s) - 2) = substr(s, 3) THEN 'period_2' WHEN left(s, length(s) - 3) = substr(s, 4) THEN 'period_3'
         WHEN list_bool_or(list_transform(range(1, 16), lambda i: substr(s, i::BIGINT, 8) = substr(s, (i + 2)::BIGINT, 8))) THEN 'partial_2' ELSE 'fine' END AS category, count(*) AS n FROM q GROUP BY category""",
     "reshaped_reads": f"WITH {_GAPPED} SELECT name AS record, (name + 5) || CASE WHEN name % 2 = 0 THEN '/1' ELSE '/2' END AS name, trim(seq, 'n') AS seq FROM gp",
@@ -149,6 +162,6 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    sw_score, similar_sequences, global_alignments, holes, packed_reference, packed_positions, filled_reference, wrapped_fasta, placements_table, assembled_templates, majority_pool, agreeing_pool, branching_columns, pool_mates, simulated_reads,
+    sw_score, similar_sequences, distinct_sequences, global_alignments, holes, packed_reference, packed_positions, filled_reference, wrapped_fasta, placements_table, assembled_templates, majority_pool, agreeing_pool, branching_columns, pool_mates, simulated_reads,
     spliced_transcripts, read_views, reshaped_reads, interleaved_pairs,
 )}
