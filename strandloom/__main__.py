@@ -41,7 +41,7 @@ def clean(spark, a):
 
 
 def pair(spark, a):
-    found = pipelines.assemble_library(_library(spark, a.reads), a.insert, a.sd, assembly.Extension(k=a.k))
+    found = pipelines.assemble_library(_library(spark, a.reads), a.insert, a.sd, assembly.Extension(k=a.k), unitigs=a.unitigs)
     writers.path_lines(found, a.min_len).write.text(a.out)
 
 
@@ -123,7 +123,7 @@ COMMANDS = {
     "simu": (simu, "ref out --genes= --coverage=40.0 --length=100 --span=200 --sd=20.0 --error=0.02"),
     "hash": (hash_, "reads length:int out --k=11 --interleaving=2 --blocks=5 --block_size:int="),
     "clean": (clean, "reads out --k=15 --share=0.25"),
-    "pair": (pair, "reads out --k=11 --insert=197 --sd=50 --min_len=100"),
+    "pair": (pair, "reads out --k=11 --insert=197 --sd=50 --min_len=100 --unitigs!"),
     "aln": (aln, "reads ref out --mismatches=2 --gap=7"),
     "graph": (merge_graph, "graph placements fasta out --insert=197 --sd=50 --length=100"),
     "evaluate": (evaluate, "contigs ref out --psl= --similarity=0.99"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment, assembly, evaluation, graph, kmers, merging
+from ..operators import unitigs as unitig
 from ..storage import numbered, written
 
 #: Per stage: k-mer length, share of reads that may start, and share of placed reads that must be paired.
@@ -49,9 +50,12 @@ def without_sub_templates(templates: DataFrame, placements: DataFrame) -> tuple[
     return written(templates.join(inside, "tid", "left_anti"), "templates"), written(moved, "placements")
 
 
-def assemble_library(reads: DataFrame, insert: int, sd: int, options: assembly.Extension = assembly.Extension(), min_len: int = 100) -> DataFrame:
-    """path_id (from 0), seq of all maximal paths of a library (read_id, seq): stages, merging, sub-templates, scaffolding, paths."""
-    templates, placements = assemble_in_stages(reads, options)
+def assemble_library(reads: DataFrame, insert: int, sd: int, options: assembly.Extension = assembly.Extension(), min_len: int = 100, unitigs: bool = False) -> DataFrame:
+    """path_id (from 0), seq of all maximal paths of a library (read_id, seq): stages, merging, sub-templates, scaffolding, paths.
+
+    With unitigs, templates come from the unbranched ways of the k-mer graph instead, whose components may be of any size.
+    """
+    templates, placements = unitig.assemble_unitigs(reads) if unitigs else assemble_in_stages(reads, options)
     read_len = reads.agg(F.max(F.length("seq"))).first()[0] or 0
     templates, placements = merging.merge_to_fixpoint(templates, placements, insert, sd, read_len)
     templates, placements = without_sub_templates(templates, placements)

@@ -9,6 +9,7 @@ from ..functions import pairwise
 from ..functions import sequence as S
 from ..operators import alignment, assembly, reshape, simulation
 from ..operators import similar as sim
+from ..operators import unitigs
 from ..sources import writers
 from .fixtures import READ, READS_SQL, TX_SQL, reads, table, tx
 from .queries_graph import _HALVES, halves, placements
@@ -89,6 +90,10 @@ def assembled_templates(spark: SparkSession, sf: str) -> DataFrame:
     return assembly.assemble(r)[0].select("tid", F.length("seq").alias("len"), "n_reads", "pairs")
 
 
+def unitig_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return unitigs.unitigs(reads(spark, sf)).select("seq", "n_kmers", F.round("depth", 6).alias("depth"))
+
+
 def majority_pool(spark: SparkSession, sf: str) -> DataFrame:
     pool = noisy_reads(spark, sf).join(true_placements(spark, sf).select("tid", "read_id"), "read_id").withColumn("cursor", (F.col("read_id") % 30).cast("int"))
     return assembly.keep_majority(pool).select("tid", "read_id")
@@ -140,6 +145,10 @@ _CNT = lambda b: f"(length(s) - length(replace(s, '{b}', '')))"
 _MOST = f"greatest({', '.join(_CNT(b) for b in 'acgt')})"
 
 SQL = {
+    "unitig_sequences": f"""WITH RECURSIVE {READS_SQL}, km AS (SELECT substr(seq, i::BIGINT, 21) AS x FROM (SELECT seq, unnest(range(1, length(seq) - 19)) AS i FROM reads)), ca AS (SELECT least(x, reverse(translate(x, 'acgt', 'tgca'))) AS x, count(*) AS n FROM km GROUP BY 1 HAVING count(*) >= 2),
+        nd AS (SELECT x, n FROM ca UNION ALL SELECT reverse(translate(x, 'acgt', 'tgca')), n FROM ca), jn AS (SELECT a.j, a.x AS src, b.x AS dst FROM (SELECT right(x, 20) AS j, max(x) AS x FROM nd GROUP BY 1 HAVING count(*) = 1) a JOIN (SELECT left(x, 20) AS j, max(x) AS x FROM nd GROUP BY 1 HAVING count(*) = 1) b USING (j) WHERE a.x <> b.x AND a.x <> reverse(translate(b.x, 'acgt', 'tgca'))),
+        wk AS (SELECT x AS last, x AS seq, n, 1 AS m FROM nd WHERE x NOT IN (SELECT dst FROM jn) UNION ALL SELECT dst, seq || right(dst, 1), wk.n + nd.n, m + 1 FROM wk JOIN jn ON src = last JOIN nd ON nd.x = dst)
+        SELECT seq, m::BIGINT AS n_kmers, round(n / m, 6) AS depth FROM wk WHERE last NOT IN (SELECT src FROM jn) AND seq <= reverse(translate(seq, 'acgt', 'tgca'))""",
     "distinct_sequences": f"WITH {TX_SQL} SELECT tid * 2 AS id, seq FROM tx",  # a copy is no longer than its original; no two transcripts are alike
     "holes": f"WITH {_GAPPED}, p AS (SELECT name, i, i - row_number() OVER (PARTITION BY name ORDER BY i) AS g FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM gp) WHERE substr(seq, (i + 1)::BIGINT, 1) = 'n') SELECT name, min(i)::INT AS start, count(*) AS len FROM p GROUP BY name, g",
     "packed_reference": f"WITH {_GAPPED}, p AS (SELECT name, i, i - row_number() OVER (PARTITION BY name ORDER BY i) AS g FROM (SELECT name, seq, unnest(range(0, length(seq))) AS i FROM gp) WHERE substr(seq, (i + 1)::BIGINT, 1) = 'n'), n AS (SELECT name, count(DISTINCT g) AS n_ambs FROM p GROUP BY name) SELECT name, coalesce(sum(length(seq)) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset, length(seq) AS len, coalesce(n_ambs, 0) AS n_ambs FROM gp LEFT JOIN n USING (name)".replace("AS offset", 'AS "offset"'),
@@ -162,6 +171,6 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    sw_score, similar_sequences, distinct_sequences, global_alignments, holes, packed_reference, packed_positions, filled_reference, wrapped_fasta, placements_table, assembled_templates, majority_pool, agreeing_pool, branching_columns, pool_mates, simulated_reads,
+    sw_score, similar_sequences, distinct_sequences, global_alignments, holes, packed_reference, packed_positions, filled_reference, wrapped_fasta, placements_table, assembled_templates, unitig_sequences, majority_pool, agreeing_pool, branching_columns, pool_mates, simulated_reads,
     spliced_transcripts, read_views, reshaped_reads, interleaved_pairs,
 )}
