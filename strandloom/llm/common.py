@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,14 @@ def give_back() -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished plans left. Broadcasts, shuffle files and compiled classes go only when the JVM collects its garbage, which
+    a heap with room puts off; between the rounds of a long loop that room is the driver's memory."""
+    gc.collect()
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trimmed(run: Callable) -> Callable:
     """A function for mapInArrow that gives its freed memory back to the system when a task ends; Python workers outlive tasks."""
 

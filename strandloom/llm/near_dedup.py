@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, join_groups, materialize, measured, trimmed, with_place
+from .common import give_back, join_groups, materialize, measured, release, trimmed, with_place
 from .components import components
 from .simhash import majority, near_links, shingle_hashes
 
@@ -264,9 +264,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     same, seen = measured(join_groups(fps.select("key", "digest"), same, "digest", "members", total).where("key <> node").select("key", "node"), "equal-sets")
     few = F.broadcast(same.select("key")) if seen["rows"] <= BROADCAST_ROWS else same.select("key")
     nodes = fps.join(few, "key", "left_anti")
+    release(spark)
     led = materialize(nodes.groupBy("fp").agg(F.min("key").alias("leader"), F.count("*").alias("members")), "fingerprints")
     bits_near = near_links(led.select("fp"), RADIUS).join(led.select(F.col("fp").alias("a"), F.col("leader").alias("x")), "a").join(led.select(F.col("fp").alias("b"), F.col("leader").alias("y")), "b").select("x", "y")
     bits_same = join_groups(nodes.select("key", "fp"), led, "fp", "members", total).where("key <> leader").select(F.col("leader").alias("x"), F.col("key").alias("y"))
+    release(spark)
     dealt = nodes.select(F.explode("firsts").alias("shingle"), "key")
     crowded = common[counts > total * HOT_SHARE].view(np.int64)
     hot = spark.createDataFrame(pa.table({"shingle": np.sort(crowded)})) if len(crowded) else None
@@ -335,6 +337,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         roots, seen = measured(again.unionByName(moved.join(named, "node", "left_anti").select("node", "root")), "roots")
         return roots, seen["rows"]
 
+    release(spark)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(facts.select(*[F.col(c).alias(f"{side}_{c}" if c != "key" else side) for c in facts.columns]), side)
@@ -342,15 +345,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     near = F.greatest(apart, F.abs(F.col("a_n") - F.col("b_n"))) <= _least_similar(F.col("a_n") + F.col("b_n"))
     candidates, seen = measured(pairs.where(near).select("a", "b"), "candidates")
     links = same.select(F.col("node").alias("a"), F.col("key").alias("b")).unionByName(verified(candidates, seen["rows"])[0])
+    release(spark)
     roots, seen = measured(components(links), "roots")
     rooted = seen["rows"]
 
     while left >= 0:
+        release(spark)
         at = large.join(roots.withColumnRenamed("node", "key"), "key", "left").join(facts, "key").select("shingle", "key", F.coalesce("root", "key").alias("root"), "n", *words)
         found = _in_blocks(at).repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_crossings(left > 0), "a long, b long").distinct()
         found, seen = measured(found, "candidates")
         if not seen["rows"]:  # no two components are left that could meet
             break
+        release(spark)
         new, n = verified(found, seen["rows"])
         if not n:
             left = min(left, 1)  # all pairs come next
