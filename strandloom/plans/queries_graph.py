@@ -274,6 +274,9 @@ SQL = {
         gp AS (SELECT src, dst, round(avg({INSERT} - ((length(seq) - src_pos) + dst_pos)))::INT AS gap FROM pk JOIN hv ON tid = src GROUP BY src, dst)
         SELECT src || ',' || dst AS path, CASE WHEN ol >= 11 AND ol * 0.2 > hamming(right(l, ol), left(r, ol)) THEN l || substr(r, ol + 1) ELSE l || repeat('n', greatest(coalesce(gap, 0), 0)) || r END AS seq FROM jn LEFT JOIN gp USING (src, dst)
         UNION ALL SELECT tid::VARCHAR, seq FROM hv WHERE tid NOT IN (SELECT src FROM w UNION SELECT dst FROM w)""",
+    "scaffold_roots": f"""WITH {_VOTES}, pg AS (SELECT src, dst, count(*) AS pairs, min((length(seq) - src_pos) + dst_pos) AS closest FROM pk JOIN hv ON tid = src GROUP BY src, dst),
+        pr AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM pg WHERE pairs * 2 >= 4 AND closest <= 126 AND NOT EXISTS (SELECT 1 FROM pm x JOIN pm y USING (read_id) WHERE x.tid = src AND y.tid = dst)),
+        ds AS (SELECT CASE WHEN "order" = 1 THEN b ELSE a END AS tid FROM vo JOIN pr USING (a, b) WHERE "order" <> 0) SELECT tid, coalesce(a, tid) AS comp_id, tid NOT IN (SELECT tid FROM ds) AS is_root FROM hv LEFT JOIN pr ON b = tid""",
     "graph_components": f"WITH RECURSIVE {_COMP.format(links=_LINKS, t='lk')} SELECT tid, min(r) AS comp_id FROM re GROUP BY tid",
     "graph_roots": f"WITH {_LINKS} SELECT tid FROM nd WHERE tid NOT IN (SELECT dst FROM lk)",
     "graph_levels": f"WITH RECURSIVE {_LINKS}, lv AS (SELECT tid, 0 AS level FROM nd WHERE tid NOT IN (SELECT dst FROM lk) UNION SELECT dst, level + 1 FROM lv JOIN lk ON src = tid) SELECT tid, max(level) AS level FROM lv GROUP BY tid",
