@@ -19,6 +19,8 @@ from ..storage import written
 
 #: Fixed values of the merge test and of link discovery.
 MIN_PAIRS, MAX_MISMATCHES, MIN_OVERLAP, OVERLAP_SHARE, SD_TIMES, MIN_HIT, MAX_MINORITY, SIMILAR_SHIFT, MOST_ALONE = 4, 11, 11, 0.2, 3, 100, 2, 4, 10
+#: A window that linked templates must not share, and the mismatches it may have.
+SHARED_WINDOW, SHARED_MISMATCHES = 50, 2
 MOST_ROUNDS = 60
 
 
@@ -233,15 +235,62 @@ def insert_feasible(distance: F.Column, insert: int, sd: int) -> F.Column:
     return distance <= insert + SD_TIMES * sd
 
 
+def _shares(x: np.ndarray, y: np.ndarray, window: int, allowed: int) -> bool:
+    """Does a window of x that starts before its length less the window's stand in y within the mismatches allowed?
+
+    One of allowed + 1 pieces of such a window stands unchanged, so only diagonals with such a piece in common are read, each in memory that grows with its length.
+    """
+    piece = window // (allowed + 1)
+    if len(x) <= window or len(y) < window:
+        return False
+    cut = lambda s: np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(s, piece)).view(f"S{piece}").ravel()
+    px, py = cut(x), cut(y)
+    order = np.argsort(py, kind="stable")
+    low, high = np.searchsorted(py[order], px, "left"), np.searchsorted(py[order], px, "right")
+    seen = np.zeros(len(x) + len(y), bool)  # diagonals by place in y less place in x
+    for i in np.flatnonzero(high > low):
+        seen[order[low[i] : high[i]] - i + len(x)] = True
+    for d in np.flatnonzero(seen) - len(x):
+        begin, end = max(0, -d), min(len(x) - 1, len(y) - d)  # the window at the very end of x is not asked for
+        if end - begin >= window:
+            differ = np.concatenate([[0], np.cumsum(x[begin:end] != y[begin + d : end + d])])
+            if (differ[window:] - differ[:-window] <= allowed).any():
+                return True
+    return False
+
+
+def sharing_window(pairs: DataFrame, templates: DataFrame, window: int = SHARED_WINDOW, allowed: int = SHARED_MISMATCHES) -> DataFrame:
+    """The pairs (src, dst) whose sequences, or the reverse complement of src and dst, have a window of so many bases in common within the mismatches allowed."""
+    rows = pairs.select("src", "dst").distinct().join(templates.select(F.col("tid").alias("src"), F.col("seq").alias("l")), "src").join(templates.select(F.col("tid").alias("dst"), F.col("seq").alias("r")), "dst")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = lambda s: np.frombuffer(s.as_buffer(), np.uint8)
+        for b in batches:
+            l, turned, r = (b.column(i).cast(pa.binary()) for i in (2, 3, 4))
+            yield b.select(["src", "dst"]).filter(pa.array([_shares(letters(x), letters(z), window, allowed) or _shares(letters(y), letters(z), window, allowed) for x, y, z in zip(l, turned, r, strict=True)], pa.bool_()))
+
+    rows = rows.where("l is not null and r is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "l", reverse_complement("l").alias("turned"), "r")
+    return rows.mapInArrow(run, "src long, dst long")
+
+
 def probable_links(placements: DataFrame, templates: DataFrame, insert: int, sd: int, least: int = MIN_PAIRS) -> DataFrame:
-    """src, dst, pairs: links between templates by pairs: enough of them, no shared read, and a span from the left mate to the end of src and
-    from the start of dst to the right mate that fits the insert size."""
+    """src, dst, pairs: links between templates by pairs.
+
+    There are enough pairs, also for the coverage: their reads are at least a quarter of the insert size (a whole number) times the lesser of both
+    templates' reads per base. The span from the left mate to the end of src and from the start of dst to the right mate fits the insert size. The templates
+    share no read and no window of SHARED_WINDOW bases on either strand. Links of links are what components take them to.
+    """
+    reads = placements.groupBy("tid").agg(F.count("*").alias("reads"))
+    sizes = templates.select("tid", F.length("seq").alias("n")).join(reads, "tid").select("tid", "n", (F.col("reads") / F.col("n")).alias("cover"))
     p = pair_links(placements).join(templates.select(F.col("tid").alias("src"), F.length("seq").alias("n")), "src")
     span = (F.col("n") - F.col("src_pos")) + F.col("dst_pos")
-    rows = p.groupBy("src", "dst").agg(F.count("*").alias("pairs"), F.min(span).alias("closest"))
+    rows = p.groupBy("src", "dst").agg(F.count("*").alias("pairs"), F.min(span).alias("closest")).where((F.col("pairs") * 2 >= least) & insert_feasible(F.col("closest"), insert, sd))
+    rows = rows.join(sizes.select(F.col("tid").alias("src"), F.col("cover").alias("c1")), "src").join(sizes.select(F.col("tid").alias("dst"), F.col("cover").alias("c2")), "dst")
+    rows = rows.where(F.col("pairs") * 2 >= (insert // 4) * F.least("c1", "c2")).select("src", "dst", "pairs")
     shared = shared_reads(placements)
     shared = shared.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(shared.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-    return rows.where((F.col("pairs") * 2 >= least) & insert_feasible(F.col("closest"), insert, sd)).join(shared, ["src", "dst"], "left_anti").select("src", "dst", "pairs")
+    rows = written(rows.join(shared, ["src", "dst"], "left_anti").select("src", "dst", "pairs"), "links-by-pairs")
+    return rows.join(sharing_window(rows, templates), ["src", "dst"], "left_anti").select("src", "dst", "pairs")
 
 
 def scaffold(templates: DataFrame, placements: DataFrame, hits: DataFrame, insert: int, sd: int, most_alone: int = MOST_ALONE) -> tuple[DataFrame, DataFrame]:

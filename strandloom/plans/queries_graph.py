@@ -138,8 +138,24 @@ def gap_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return G.gap_estimate(placements(spark, sf), halves(spark, sf), 96).withColumn("gap", F.round("gap", 6))
 
 
+def linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The halves and their reads, made so that each rule of a link bites: the left half of every fifth transcript reaches 60 bases into the right
+    one, and in every seventh most mates of the left half lie on it too, so few pairs are left for its coverage."""
+    wide, near = F.col("tid") % 10 == 0, (F.col("tid") % 14 == 7) & (F.col("read_id") % 32 > 1)
+    t = halves(spark, sf).join(tx(spark, sf).select((F.col("tid") * 2).alias("tid"), F.substring("seq", 1, 110).alias("longer")), "tid", "left")
+    t = t.select("tid", F.when(wide, F.col("longer")).otherwise(F.col("seq")).alias("seq"))
+    return t, placements(spark, sf).withColumn("tid", F.when(near, F.col("tid") - 1).otherwise(F.col("tid")))
+
+
 def probable_links(spark: SparkSession, sf: str) -> DataFrame:
-    return G.probable_links(placements(spark, sf), halves(spark, sf), 96, 10)
+    t, p = linked(spark, sf)
+    return G.probable_links(p, t, INSERT, 10)
+
+
+def shared_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all template pairs with mates on both, those that share a window."""
+    t, p = linked(spark, sf)
+    return G.sharing_window(G.pair_links(p), t)
 
 
 def candidate_overlaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,6 +279,16 @@ g AS (SELECT *, row_number() OVER (ORDER BY ol DESC, least(src, dst), greatest(s
 bs AS (SELECT tid, min(place) AS best FROM (SELECT src AS tid, place FROM g UNION ALL SELECT dst, place FROM g) GROUP BY tid), ch AS (SELECT g.* FROM g JOIN bs x ON x.tid = src AND x.best = place JOIN bs y ON y.tid = dst AND y.best = place),
 mv AS (SELECT dst AS tid, src AS into_, nl - ol AS moved, kind = 'tail_tail' AS turn, nr AS n FROM ch UNION ALL SELECT src, src, 0, true, nl FROM ch WHERE kind = 'head_head')"""
 
+_MATES = _PLACED[_PLACED.index("pk AS") :]
+_LINKED = _PLACED.replace("pm AS (", "pz AS (").replace(_MATES, f"""pm AS (SELECT CASE WHEN tid % 14 = 7 AND read_id % 32 > 1 THEN tid - 1 ELSE tid END AS tid, read_id, pos, is_rc FROM pz),
+{_MATES}""").replace("hv AS (SELECT tid * 2 AS tid, substr(seq, 1, 70)", "hv AS (SELECT tid * 2 AS tid, substr(seq, 1, CASE WHEN tid % 5 = 0 THEN 110 ELSE 70 END)")
+_RULED = f"""cv AS (SELECT tid, length(seq) AS n, count(*) / length(seq) AS cover FROM pm JOIN hv USING (tid) GROUP BY tid, seq),
+lg AS (SELECT src, dst, count(*) AS pairs, min((length(seq) - src_pos) + dst_pos) AS closest FROM pk JOIN hv ON tid = src GROUP BY src, dst),
+rl AS (SELECT src, dst, pairs FROM lg JOIN cv x ON x.tid = src JOIN cv y ON y.tid = dst WHERE pairs * 2 >= 4 AND closest <= 126 AND pairs * 2 >= {INSERT // 4} * least(x.cover, y.cover) AND NOT EXISTS (SELECT 1 FROM pm p JOIN pm q USING (read_id) WHERE p.tid = src AND q.tid = dst))"""
+_WINDOWS = f"""wn AS (SELECT src, dst, i, substr(s, i, 50) AS w FROM (SELECT src, dst, s, unnest(range(1, length(s) - 49)) AS i FROM (SELECT src, dst, unnest([seq, {_RC.format('seq')}]) AS s FROM lp JOIN hv ON tid = src))),
+sw AS (SELECT DISTINCT src, dst FROM wn JOIN hv ON tid = dst WHERE len(list_filter(range(1, length(seq) - 48), lambda j: hamming(w, substr(seq, j, 50)) <= 2)) > 0)"""
+_RULES = f"{_RULED}, lp AS (SELECT src, dst FROM rl), {_WINDOWS}"
+
 SQL = {
     "oriented_overlaps": f"WITH {_TURNED}, {_ORIENTED} SELECT src, dst, kind, ol, mismatches FROM oq",
     "merge_round": f"WITH {_MERGE} SELECT tid, seq FROM hv WHERE tid NOT IN (SELECT src FROM ch UNION SELECT dst FROM ch) UNION ALL SELECT src, l || substr(r, ol + 1) FROM ch",
@@ -274,8 +300,7 @@ SQL = {
         gp AS (SELECT src, dst, round(avg({INSERT} - ((length(seq) - src_pos) + dst_pos)))::INT AS gap FROM pk JOIN hv ON tid = src GROUP BY src, dst)
         SELECT src || ',' || dst AS path, CASE WHEN ol >= 11 AND ol * 0.2 > hamming(right(l, ol), left(r, ol)) THEN l || substr(r, ol + 1) ELSE l || repeat('n', greatest(coalesce(gap, 0), 0)) || r END AS seq FROM jn LEFT JOIN gp USING (src, dst)
         UNION ALL SELECT tid::VARCHAR, seq FROM hv WHERE tid NOT IN (SELECT src FROM w UNION SELECT dst FROM w)""",
-    "scaffold_roots": f"""WITH {_VOTES}, pg AS (SELECT src, dst, count(*) AS pairs, min((length(seq) - src_pos) + dst_pos) AS closest FROM pk JOIN hv ON tid = src GROUP BY src, dst),
-        pr AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM pg WHERE pairs * 2 >= 4 AND closest <= 126 AND NOT EXISTS (SELECT 1 FROM pm x JOIN pm y USING (read_id) WHERE x.tid = src AND y.tid = dst)),
+    "scaffold_roots": f"""WITH {_VOTES}, {_RULED}, pr AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM rl),
         ds AS (SELECT CASE WHEN "order" = 1 THEN b ELSE a END AS tid FROM vo JOIN pr USING (a, b) WHERE "order" <> 0) SELECT tid, coalesce(a, tid) AS comp_id, tid NOT IN (SELECT tid FROM ds) AS is_root FROM hv LEFT JOIN pr ON b = tid""",
     "graph_components": f"WITH RECURSIVE {_COMP.format(links=_LINKS, t='lk')} SELECT tid, min(r) AS comp_id FROM re GROUP BY tid",
     "graph_roots": f"WITH {_LINKS} SELECT tid FROM nd WHERE tid NOT IN (SELECT dst FROM lk)",
@@ -293,7 +318,8 @@ SQL = {
     "directed_links": f"""WITH {_VOTES} SELECT CASE WHEN "order" = 1 THEN a ELSE b END AS src, CASE WHEN "order" = 1 THEN b ELSE a END AS dst FROM vo WHERE "order" <> 0""",
     "counter_pairs": f"WITH {_VOTES} SELECT a, b FROM vo WHERE forward > 0 AND backward > 0",
     "gap_estimate": f"WITH {_PLACED} SELECT src, dst, round(avg(96 - ((length(seq) - src_pos) + dst_pos)), 6) AS gap FROM pk JOIN hv ON tid = src GROUP BY src, dst",
-    "probable_links": f"WITH {_PLACED}, g AS (SELECT src, dst, count(*) AS pairs, min((length(seq) - src_pos) + dst_pos) AS closest FROM pk JOIN hv ON tid = src GROUP BY src, dst) SELECT src, dst, pairs FROM g WHERE pairs * 2 >= 4 AND closest <= 126 AND NOT EXISTS (SELECT 1 FROM pm x JOIN pm y USING (read_id) WHERE x.tid = src AND y.tid = dst)",
+    "probable_links": f"WITH {_LINKED}, {_RULES} SELECT src, dst, pairs FROM rl WHERE NOT EXISTS (SELECT 1 FROM sw WHERE sw.src = rl.src AND sw.dst = rl.dst)",
+    "shared_windows": f"WITH {_LINKED}, lp AS (SELECT DISTINCT src, dst FROM pk), {_WINDOWS} SELECT src, dst FROM sw",
     "candidate_overlaps": f"WITH {_HALVES}, {_PROBE} SELECT * FROM cand",
     "overlap_pairs": f"WITH {_HALVES}, {_OVERLAP} SELECT * FROM op",
     "span_depth": f"""WITH {READS_SQL}, p AS (SELECT a.tid, least(a.pos, b.pos) AS s, greatest(a.pos, b.pos) + {READ} AS e, length(t.seq) AS n FROM reads a JOIN reads b ON b.read_id = xor(a.read_id, 1) JOIN tx t ON t.tid = a.tid WHERE a.read_id % 2 = 0),
@@ -311,6 +337,6 @@ SQL = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    graph_components, graph_roots, graph_levels, cycle_hints, graph_paths, maximal_paths, siblings, reachable, unary_chains, prune_tips, pair_links, shared_reads, order_votes, directed_links, counter_pairs, gap_estimate, probable_links,
+    graph_components, graph_roots, graph_levels, cycle_hints, graph_paths, maximal_paths, siblings, reachable, unary_chains, prune_tips, pair_links, shared_reads, order_votes, directed_links, counter_pairs, gap_estimate, probable_links, shared_windows,
     candidate_overlaps, overlap_pairs, oriented_overlaps, merge_round, merged_placements, merged_templates, strand_signs, scaffold_paths, scaffold_roots, span_depth, zero_breaks, pairs_on_template, read_states, keep_pairs, mirrored, valid_templates, dense_ids, similar_siblings,
 )}
