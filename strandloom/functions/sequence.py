@@ -58,9 +58,9 @@ def kmer_key(seq: Column | str, start: int, interleaving: int, k: int) -> Column
     Null, not 0, stands for keys with n, so the key 0 of poly-a keeps its own postings.
     """
     s = col(seq)
-    picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring(s, F.lit(start + 1) + i * interleaving, F.lit(1)))
-    joined = F.array_join(picked, "")
-    return F.when((F.length(joined) == k) & (F.instr(joined, "n") == 0), F.conv(F.translate(joined, "acgt", "0123"), 4, 10).cast("long"))
+    digit = lambda j: F.nullif(F.instr(F.lit("acgt"), F.substring(s, start + 1 + j * interleaving, 1)), F.lit(0)) - 1
+    key = sum((digit(j).cast("long") * (1 << 2 * (k - 1 - j)) for j in range(1, k)), digit(0).cast("long") * (1 << 2 * (k - 1)))
+    return F.when(F.length(s) >= start + 1 + (k - 1) * interleaving, key)
 
 
 def dense_key(seq: Column | str, start: int, k: int) -> Column:

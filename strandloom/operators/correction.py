@@ -51,7 +51,7 @@ def low_reads(reads: DataFrame, k: int = SEED, share: float = SHARE) -> DataFram
     """read_id, seq of the share of reads with the widest range of k-mer counts, without repetitive ones and those with unknown bases."""
     uneven = uneven_reads(reads, kmer_counts(reads, k), k, share).select("read_id")
     odd = has_n("seq") | is_homopolymer_like("seq") | is_periodic("seq") | is_low_complexity("seq")
-    return reads.join(uneven, "read_id").where(~odd).select("read_id", "seq")
+    return written(reads.join(uneven, "read_id").select("read_id", "seq"), "uneven").where(~odd)  # written first: the filters aren't for all reads
 
 
 def corrected_reads(reads: DataFrame, k: int = SEED, share: float = SHARE, allowed: int = MISMATCHES, overlap: int = OVERLAP, least: int = VOTERS) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import kmers, mate_id, reverse_complement
 from ..storage import written
+from .validation import span_runs
 
 #: Fixed values of the merge test and of link discovery.
 MIN_PAIRS, MAX_MISMATCHES, MIN_OVERLAP, OVERLAP_SHARE, SD_TIMES, MIN_HIT, MAX_MINORITY, SIMILAR_SHIFT, MOST_ALONE = 4, 11, 11, 0.2, 3, 100, 2, 4, 10
@@ -317,9 +318,9 @@ def span_depth(placements: DataFrame, templates: DataFrame, read_len: int, least
     a = placements.where("read_id % 2 = 0").select("tid", "read_id", F.col("pos").alias("p1"))
     b = placements.select("tid", mate_id("read_id").alias("read_id"), F.col("pos").alias("p2"))
     spans = a.join(b, ["tid", "read_id"]).select("tid", F.least("p1", "p2").alias("s"), (F.greatest("p1", "p2") + read_len).alias("e"))
-    base = spans.join(templates.select("tid", F.length("seq").alias("n")), "tid").select("tid", "n", F.explode(F.sequence("s", F.least(F.col("e") - 1, F.col("n")))).alias("at"))
-    depth = base.groupBy("tid", "n", "at").agg(F.count("*").alias("d")).where((F.col("at") > read_len) & (F.col("at") <= F.col("n") - read_len))
-    out = depth.groupBy("tid", "n").agg(F.when(F.count("*") < F.col("n") - 2 * read_len, 0).otherwise(F.min("d")).alias("lowest"), F.max("d").alias("highest"))
+    runs = span_runs(spans).join(templates.select("tid", F.length("seq").alias("n")), "tid")
+    runs = runs.select("tid", "n", "depth", F.greatest("s", F.lit(read_len + 1)).alias("s"), F.least(F.col("e"), F.col("n") - read_len + 1).alias("e")).where("s < e")
+    out = runs.groupBy("tid", "n").agg(F.when(F.sum(F.col("e") - F.col("s")) < F.col("n") - 2 * read_len, 0).otherwise(F.min("depth")).alias("lowest"), F.max("depth").alias("highest"))
     return out.select("tid", "lowest", "highest", (F.col("lowest") > least).alias("valid"))
 
 

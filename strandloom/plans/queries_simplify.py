@@ -1,4 +1,4 @@
-"""Queries on simplification and correction, with SQL for each step."""
+"""Queries on simplification, correction, validation and holes, with SQL for each step."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import correction
 from ..operators import simplify as S
-from .fixtures import reads
+from ..operators import validation
+from .fixtures import READ, READS_SQL, reads, tx
 from .queries_graph import _LINKS, links, nodes, thin_links
 
 
@@ -48,6 +49,26 @@ def corrected_reads(spark: SparkSession, sf: str) -> DataFrame:
     return correction.corrected_reads(misread(spark, sf))
 
 
+def doubled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Paths of two transcripts with 20 unknown bases between them, and the reads on them: all of some pairs and one read of others turned over."""
+    t = tx(spark, sf)
+    second = t.select((F.col("tid") - 1).alias("tid"), F.col("seq").alias("more"))
+    paths = t.where("tid % 2 = 1").join(second, "tid").select("tid", F.concat("seq", F.repeat(F.lit("n"), 20), "more").alias("seq"), F.length("seq").alias("n"))
+    turned = (F.floor(F.col("read_id") / 2) % 13 == 0) != (F.col("read_id") % 11 == 0)
+    placed = reads(spark, sf).select((F.col("tid") - 1 + F.col("tid") % 2).alias("tid"), (F.col("tid") % 2 == 0).alias("late"), "read_id", "pos", turned.alias("is_rc")).join(paths.select("tid", "n"), "tid")
+    return paths.select("tid", "seq"), placed.select("tid", "read_id", F.when(F.col("late"), F.col("pos") + F.col("n") + 20).otherwise(F.col("pos")).alias("pos"), "is_rc")
+
+
+def validated_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return validation.validated(*doubled(spark, sf), READ)
+
+
+def filled_holes(spark: SparkSession, sf: str) -> DataFrame:
+    """All transcripts, 12 bases of each unknown, with what the reads tell of them."""
+    holed = tx(spark, sf).select("tid", F.concat(F.substring("seq", 1, 59), F.repeat(F.lit("n"), 12), F.substring("seq", 72, 1000)).alias("seq"))
+    return validation.filled_holes(holed, reads(spark, sf))
+
+
 _NODES = f"""{_LINKS}, nq AS (SELECT tid, substr(translate(concat(md5(tid::VARCHAR), md5(concat(tid::VARCHAR, 'x'))), '0123456789abcdef', 'acgtacgtacgtacgt'), 1, 20 + tid % 45) AS seq FROM nd)"""
 _NEAR = "SELECT x.dst AS tid, min(y.dst) AS into_ FROM lk x JOIN lk y USING (src) JOIN nq a ON a.tid = x.dst JOIN nq b ON b.tid = y.dst WHERE y.dst < x.dst AND length(a.seq) < 50 AND abs(length(a.seq) - length(b.seq)) < 4 GROUP BY x.dst"
 SQL = {
@@ -60,6 +81,12 @@ SQL = {
     "pushed_stems": f"""WITH {_NODES}, i AS (SELECT dst, count(*) AS i FROM thin GROUP BY dst), f0 AS (SELECT src AS tid FROM thin JOIN i USING (dst) JOIN nq ON nq.tid = src WHERE length(seq) < 25 GROUP BY src HAVING count(*) > 1 AND max(i) = 1),
         f AS (SELECT tid FROM f0 WHERE NOT EXISTS (SELECT 1 FROM thin WHERE src IN (SELECT tid FROM f0) AND dst IN (SELECT tid FROM f0) AND greatest(src, dst) = f0.tid))
         SELECT b.tid, concat(coalesce(s.seq, ''), b.seq) AS seq FROM nq b LEFT JOIN (SELECT dst AS tid, seq FROM thin JOIN nq ON nq.tid = src WHERE src IN (SELECT tid FROM f)) s USING (tid) WHERE b.tid NOT IN (SELECT tid FROM f)""",
+    "validated_paths": f"""WITH {READS_SQL}, pt AS (SELECT a.tid, concat(a.seq, repeat('n', 20), b.seq) AS seq, length(a.seq) AS n FROM tx a JOIN tx b ON b.tid = a.tid + 1 WHERE a.tid % 2 = 1),
+        pl AS (SELECT pt.tid, read_id, CASE WHEN reads.tid % 2 = 0 THEN pos + n + 20 ELSE pos END AS pos, (read_id // 2 % 13 = 0) <> (read_id % 11 = 0) AS is_rc FROM reads JOIN pt ON pt.tid = reads.tid - 1 + reads.tid % 2),
+        sp AS (SELECT a.tid, least(a.pos, b.pos) AS s, greatest(a.pos, b.pos) + {READ} AS e FROM pl a JOIN pl b ON b.tid = a.tid AND b.read_id = a.read_id + 1 WHERE a.read_id % 2 = 0 AND a.is_rc = b.is_rc AND CASE WHEN a.is_rc THEN a.pos >= b.pos ELSE a.pos <= b.pos END),
+        dp AS (SELECT tid, bp, count(*) AS d FROM (SELECT tid, unnest(range(s, e)) AS bp FROM sp) GROUP BY tid, bp), il AS (SELECT tid, bp, d, bp - row_number() OVER (PARTITION BY tid ORDER BY bp) AS g FROM dp),
+        rn AS (SELECT tid, min(bp)::INT AS s, max(bp)::INT AS e, min(d) AS lowest, max(d) AS highest FROM il GROUP BY tid, g)
+        SELECT rn.tid, (row_number() OVER (PARTITION BY rn.tid ORDER BY s))::INT AS part, s, e, lowest, highest, substr(seq, s, e - s + 1) AS seq FROM rn JOIN pt USING (tid)""",
 }
 
-QUERIES = {f.__name__: f for f in (fork_tips, merged_chains, sibling_targets, pushed_stems, simplified_graph, corrected_reads)}
+QUERIES = {f.__name__: f for f in (fork_tips, merged_chains, sibling_targets, pushed_stems, simplified_graph, corrected_reads, validated_paths, filled_holes)}
