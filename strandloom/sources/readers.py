@@ -1,25 +1,21 @@
 """Readers: sequence files, alignments, gene models, lists and graph tables as DataFrames.
 
 Text formats are parsed by expressions, so files of any size split over tasks and compressed ones work as
-Spark reads them; BAM is decoded in Python, a file per row.
+Spark reads them; BAM has a data source of its own, which splits files too.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: bases by their 4-bit code in BAM.
-BAM_BASES = "=ACMGRSVTWYHKDBN"
-READ1, READ2, REVERSED = 64, 128, 16
+from ..functions.sequence import trimmed_length
+from .bam import SPLIT_BYTES, BamSource
+
 #: Quality offset that older instrument files have above the present one.
 OLD_OFFSET = 31
+#: Barcode bases under this quality are written in lower case.
+UNSURE_BARCODE = 13
 
 
 def read_fasta(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
@@ -40,11 +36,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("mid") - F.col("first")).alias("line"), "value")
 
 
-def read_fastq(spark: SparkSession, path: str, barcode: int = 0, old_quality: bool = False) -> DataFrame:
-    """file, record, name, seq, qual, barcode: four lines a record; /1 and /2 go from names.
+def read_fastq(spark: SparkSession, path: str, barcode: int = 0, old_quality: bool = False, trim: int = 0) -> DataFrame:
+    """file, record, name, seq, qual, barcode, full_len: four lines a record; /1 and /2 go from names.
 
-    A record whose quality has another length than its bases is an error. barcode bases (up to 15) are cut from the start;
-    old qualities are brought to the present offset.
+    A record whose quality has another length than its bases is an error. barcode bases (up to 15) are cut from the start, unsure
+    ones in lower case; reads no longer than the barcode go. Old qualities are brought to the present offset. trim is the quality
+    by which 3' ends are cut (0: not at all); full_len is the length before.
     """
     if not 0 <= barcode <= 15:
         raise ValueError("a barcode has up to 15 bases")
@@ -58,7 +55,11 @@ def read_fastq(spark: SparkSession, path: str, barcode: int = 0, old_quality: bo
         qual = F.translate(qual, *table)
     name = F.regexp_replace(F.split(F.substring("head", 2, 1 << 20), "[ \t]").getItem(0), "/[12]$", "")
     cut = lambda c: F.substring(c, barcode + 1, 1 << 30)
-    return rows.where("ok is null").select("file", "record", name.alias("name"), F.lower(cut(F.col("bases"))).alias("seq"), cut(qual).alias("qual"), F.when(F.lit(barcode > 0), F.substring("bases", 1, barcode)).alias("barcode"))
+    base = lambda i: F.substring(F.col("bases"), i, F.lit(1))
+    letter = lambda i: F.when(F.ascii(F.substring(qual, i, F.lit(1))) - 33 < UNSURE_BARCODE, F.lower(base(i))).otherwise(F.upper(base(i)))
+    code = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(max(barcode, 1))), letter), "")
+    rows = rows.where(F.col("ok").isNull() & (F.length("bases") > barcode))
+    return trimmed(rows.select("file", "record", name.alias("name"), F.lower(cut(F.col("bases"))).alias("seq"), cut(qual).alias("qual"), F.when(F.lit(barcode > 0), code).alias("barcode")), trim)
 
 
 def read_library(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -70,52 +71,20 @@ def read_library(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def parse_bam(data: bytes) -> Iterator[tuple[str, int, str, int, int, str, str]]:
-    """name, flag, reference, pos (from 0), mapq, seq, qual of each record; reversed reads are turned back."""
-    raw = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
-    if raw.read(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    raw.seek(struct.unpack("<i", raw.read(4))[0], 1)
-    names = []
-    for _ in range(struct.unpack("<i", raw.read(4))[0]):
-        names.append(raw.read(struct.unpack("<i", raw.read(4))[0])[:-1].decode())
-        raw.read(4)
-    complement = str.maketrans("ACGTN", "TGCAN")
-    while size := raw.read(4):
-        block = raw.read(struct.unpack("<i", size)[0])
-        ref, pos, l_name, mapq, _, n_cigar, flag, n, _, _, _ = struct.unpack("<iiBBHHHiiii", block[:32])
-        at = 32 + l_name
-        name = block[32 : at - 1].decode()
-        at += 4 * n_cigar
-        packed = block[at : at + (n + 1) // 2]
-        seq = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:n]
-        qual = "".join(chr(q + 33) for q in block[at + len(packed) : at + len(packed) + n])
-        if flag & REVERSED:
-            seq, qual = seq.translate(complement)[::-1], qual[::-1]
-        yield name, flag, names[ref] if ref >= 0 else None, pos, mapq, seq.lower(), qual
-
-
-def read_bam(spark: SparkSession, path: str, mates: str = "all") -> DataFrame:
-    """name, flag, rname, pos, mapq, seq, qual; mates: all, first, second or single (neither). A file is held in one task."""
-    names = ["name", "flag", "rname", "pos", "mapq", "seq", "qual"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                held = []
-                for row in parse_bam(data.as_py()):
-                    held.append(row)
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema)
-
-    schema = pa.schema([("name", pa.string()), ("flag", pa.int32()), ("rname", pa.string()), ("pos", pa.int32()), ("mapq", pa.int32()), ("seq", pa.string()), ("qual", pa.string())])
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, flag int, rname string, pos int, mapq int, seq string, qual string")
-    kind = F.col("flag").bitwiseAND(F.lit(READ1 | READ2))
-    wanted = {"all": F.lit(True), "first": kind == READ1, "second": kind == READ2, "single": kind == 0}
-    return rows.where(wanted[mates])
+def trimmed(reads: DataFrame, threshold: int) -> DataFrame:
+    """reads with full_len, and seq and qual cut at the 3' end where quality falls under threshold; 0 cuts nothing, nor does a read without quality."""
+    keep = F.when(F.length("qual") == F.length("seq"), trimmed_length("qual", threshold)).otherwise(F.length("seq"))
+    cut = lambda c: F.substring(F.col(c), F.lit(1), F.col("kept"))
+    return reads.withColumns({"full_len": F.length("seq"), "kept": keep}).withColumns({"seq": cut("seq"), "qual": cut("qual")}).drop("kept")
+
+
+def read_bam(spark: SparkSession, path: str, mates: str = "all", trim: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """name, flag, rname, pos, mapq, seq, qual, full_len; mates: all, first, second or single (neither), picked before records are decoded.
+
+    One file is read in parts of split_bytes; a folder stands for its .bam files. Without records there are no rows.
+    """
+    spark.dataSource.register(BamSource)
+    return trimmed(spark.read.format("bam").option("mates", mates).option("splitBytes", split_bytes).load(path), trim)
 
 
 def open_reads(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -4,6 +4,7 @@ import struct
 import pytest
 
 from strandloom.operators import reshape, simulation
+from strandloom.sources import bam as bam_source
 from strandloom.sources import readers, writers
 
 
@@ -47,7 +48,7 @@ def test_fastq(spark, tmp_path):
 def bam(records):
     body = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 3) + b"t1\0" + struct.pack("<i", 1000)
     for name, flag, ref, pos, seq, qual in records:
-        codes = [readers.BAM_BASES.index(c) for c in seq] + [0]
+        codes = [bam_source.BAM_BASES.index(c) for c in seq] + [0]
         packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
         block = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 30, 0, 1, flag, len(seq), -1, -1, 0) + name.encode() + b"\0" + struct.pack("<I", len(seq) << 4) + packed + bytes(qual)
         body += struct.pack("<i", len(block)) + block
