@@ -147,15 +147,27 @@ def coverage_table(hits: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.select("tid", F.length("seq").alias("length")).join(n, F.col("tid") == F.col("t_name"), "left").select("tid", "length", F.coalesce("hits", F.lit(0)).alias("hits"), F.floor(F.coalesce("bases", F.lit(0)) / F.col("length")).cast("long").alias("per_base"))
 
 
-def mismatch_histogram(hits: DataFrame) -> DataFrame:
+def whole_mean(c: str) -> F.Column:
+    """Mean of whole numbers, rounded down."""
+    return F.floor(F.sum(c) / F.count(c)).cast("long")
+
+
+def whole_deviation(c: str) -> F.Column:
+    """Deviation (n - 1) of whole numbers around whole_mean; null for fewer than two."""
+    v, n, mean = F.col(c).cast("decimal(19,0)"), F.count(c), whole_mean(c).cast("decimal(19,0)")
+    squares = F.sum(v * v) - 2 * mean * F.sum(v) + n.cast("decimal(19,0)") * mean * mean
+    return F.when(n > 1, F.sqrt(squares.cast("double") / (n - 1)))
+
+
+def mismatch_histogram(hits: DataFrame, whole: bool = False) -> DataFrame:
     """Per transcript: reads, m0 .. m5, more (mismatches of query size less matches), multi_block, pairs of hits that follow
-    in query order with consecutive names, mean and deviation (n - 1) of their span."""
+    in query order with consecutive names, mean and deviation (n - 1) of their span; whole takes the mean rounded down for both."""
     short = F.col("q_size") - F.col("matches")
     before = Window.partitionBy("t_name").orderBy("q_name", "line", "t_start")
     rows = hits.withColumns({"prev": F.lag("q_name").over(before), "prev_start": F.lag("t_start").over(before)})
     span = F.when(F.col("q_name") - F.col("prev") == 1, F.abs(F.col("t_start") - F.col("prev_start")))
     counts = [F.count_if(short == i).alias(f"m{i}") for i in range(6)]
-    return rows.withColumn("span", span).groupBy("t_name").agg(F.count("*").alias("reads"), *counts, F.count_if(short > 5).alias("more"), F.count_if(F.size("block_sizes") > 1).alias("multi_block"), F.count("span").alias("pairs"), F.avg("span").alias("mean_span"), F.stddev_samp("span").alias("sd_span"))
+    return rows.withColumn("span", span).groupBy("t_name").agg(F.count("*").alias("reads"), *counts, F.count_if(short > 5).alias("more"), F.count_if(F.size("block_sizes") > 1).alias("multi_block"), F.count("span").alias("pairs"), (whole_mean("span") if whole else F.avg("span")).alias("mean_span"), (whole_deviation("span") if whole else F.stddev_samp("span")).alias("sd_span"))
 
 
 def region_counts(hits: DataFrame, start: int, end: int) -> DataFrame:

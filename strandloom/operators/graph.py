@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import kmers, mate_id, reverse_complement
+from ..functions.sequence import is_left, kmers, mate_id, reverse_complement
 from ..storage import written
 from .validation import span_runs
 
@@ -140,6 +140,33 @@ def pair_links(placements: DataFrame) -> DataFrame:
     return a.join(b, mate_id("read_id") == F.col("mate_id")).where("src <> dst")
 
 
+def ordered_pairs(placements: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, read_id: for each pair of templates (a left of b), the reads of a that point at b: left mates, or right ones if reversed.
+
+    Reads that lie on b too, and reads whose mate lies on a too, are left out. Whether the mate lies on b isn't asked; pair_links tells that.
+    """
+    here = pairs.select("a", "b").distinct().join(placements.withColumnRenamed("tid", "a"), "a")
+    pointing = here.where(is_left("read_id") != F.col("is_rc")).select("a", "b", "read_id").distinct()
+    on_b = placements.select(F.col("tid").alias("b"), "read_id")
+    mate_on_a = placements.select(F.col("tid").alias("a"), mate_id("read_id").alias("read_id"))
+    return pointing.join(on_b, ["b", "read_id"], "left_anti").join(mate_on_a, ["a", "read_id"], "left_anti").select("a", "b", "read_id")
+
+
+def middle_reads(placements: DataFrame, insert: int, backward: bool = False) -> DataFrame:
+    """tid, mid, number, read_id: the first read at or behind the middle of each template's reads, and its number (from 0) by place.
+
+    placements: tid, read_id, pos, len. Reads that end before the insert size have their middle at half of the last place; else it lies half an
+    insert before the last place, backward half an insert from the start. Of reads at the last place the longest counts, of those
+    at one place the smallest read_id is named; number is the reads before. No read so far right gives nulls.
+    """
+    last = placements.groupBy("tid").agg(F.max(F.struct("pos", "len")).alias("last"))
+    half = F.lit(insert // 2)
+    mid = F.when(F.col("last.pos") + F.col("last.len") < insert, F.floor(F.col("last.pos") / 2)).otherwise(half if backward else F.col("last.pos") - half).cast("int")
+    rows = placements.join(last.select("tid", mid.alias("mid")), "tid")
+    found = rows.groupBy("tid", "mid").agg(F.count_if(F.col("pos") < F.col("mid")).alias("before"), F.min(F.when(F.col("pos") >= F.col("mid"), F.struct("pos", "read_id"))).alias("first"))
+    return found.select("tid", "mid", F.when(F.col("first").isNotNull(), F.col("before")).alias("number"), F.col("first.read_id").alias("read_id"))
+
+
 def shared_reads(placements: DataFrame) -> DataFrame:
     """a, b: pairs of templates (a < b) that share a read."""
     x = placements.select(F.col("tid").alias("a"), "read_id").distinct()

@@ -31,6 +31,11 @@ def template_lines(templates: DataFrame, min_len: int = 0, every: bool = False)
     return fasta_lines(rows, F.format_string("%d len=%d query=%s", "tid", F.length("seq"), "query"), "tid")
 
 
+def node_lines(templates: DataFrame, reached: DataFrame) -> DataFrame:
+    """The nodes reached (tid, as graph.reachable gives them), each once, under >id len=.. headers; templates: tid, seq."""
+    return fasta_lines(templates.join(reached, "tid", "left_semi"), F.format_string("%d len=%d", "tid", F.length("seq")), "tid")
+
+
 def path_lines(paths: DataFrame, min_len: int) -> DataFrame:
     return fasta_lines(paths.where(F.length("seq") >= min_len), F.format_string("%d len=%d", "path_id", F.length("seq")), "path_id")
 
@@ -112,6 +117,52 @@ def hit_view(hits: DataFrame) -> DataFrame:
     return hits.select("t_name", "line", F.concat(F.repeat(F.lit(" "), F.col("t_start").cast("int")), bar, F.lit(" "), F.col("q_name").cast("string"), F.lit(" "), F.col("mismatches").cast("string")).alias("value"))
 
 
+#: Blanks between the letters of a hit and what is told of it.
+GAP = "    "
+
+
+def _lettered(hits: DataFrame, reads: DataFrame) -> DataFrame:
+    """hits with letters (the aligned blocks, dashes between them) and note (name, length, place, matches, gap bases, strand, mismatches)."""
+    rows = hits.join(reads.select(F.col("name").alias("q_name"), F.upper("seq").alias("seq")), "q_name")
+    seq = F.when(F.col("strand") == "-", F.translate(F.reverse("seq"), "ACGT", "TGCA")).otherwise(F.col("seq"))
+    end = lambda i: F.get("t_starts", i) + F.get("block_sizes", i)
+    block = lambda size, i: F.concat(
+        F.when(i > 0, F.repeat(F.lit("-"), (F.get("t_starts", i) - end(i - 1)).cast("int"))).otherwise(""), F.substring(F.col("strung"), (F.get("q_starts", i) + 1).cast("int"), size.cast("int")))
+    rows = rows.withColumn("strung", seq).withColumn("letters", F.array_join(F.transform("block_sizes", block), ""))
+    note = F.format_string("%s:%d [%dM%d,Ins%d%s%d]", F.col("q_name").cast("string"), F.length("seq"), "t_start", "matches", "t_gap_bases", "strand", "mismatches")
+    return rows.withColumn("note", note)
+
+
+def lettered_view(hits: DataFrame, reads: DataFrame) -> DataFrame:
+    """t_name, line, value: each hit's letters under its transcript. hits as read_psl gives them, reads: name, seq."""
+    return _lettered(hits, reads).select("t_name", "line", F.concat(F.repeat(F.lit(" "), F.col("t_start").cast("int")), "letters", F.lit(GAP), "note").alias("value"))
+
+
+def lettered_pairs(hits: DataFrame, reads: DataFrame) -> DataFrame:
+    """t_name, line, value: two mates on one line, their strands as arrows with = between; mates that overlap on two lines; hits without a
+    mate as in lettered_view. A read's first hit on a transcript counts as the mate; of a pair, each of its hits makes a view as its line comes up."""
+    rows = _lettered(hits, reads).withColumn("mate", F.col("q_name").cast("long").bitwiseXOR(F.lit(1).cast("long")).cast("string"))
+    fields = F.struct("t_start", "line", "letters", "note", "strand", "q_size")
+    mates = rows.groupBy("t_name", F.col("q_name").cast("string").alias("mate")).agg(F.min_by(fields, "line").alias("other"))
+    both = rows.withColumn("own", fields).join(mates, ["t_name", "mate"], "left")
+    own_first = F.col("own.t_start") < F.col("other.t_start")
+    both = both.withColumns({"l": F.when(own_first | F.col("other").isNull(), F.col("own")).otherwise(F.col("other")), "r": F.when(own_first, F.col("other")).otherwise(F.when(F.col("other").isNotNull(), F.col("own")))})
+    blanks = lambda x: F.repeat(F.lit(" "), F.col(f"{x}.t_start").cast("int"))
+    full = lambda x: F.concat(F.col(f"{x}.letters"), F.lit(GAP), F.col(f"{x}.note"))
+    arrow = lambda x: F.when(F.col(f"{x}.strand") == "+", ">").otherwise("<")
+
+    def joined(left: F.Column, right: F.Column) -> F.Column:
+        start = F.concat(blanks("l"), left, F.lit(GAP), arrow("l"))
+        fill = F.greatest(F.col("r.t_start") - F.length(start) - 1 - len(GAP), F.lit(0)).cast("int")
+        return F.concat(start, F.repeat(F.lit("="), fill), arrow("r"), F.lit(GAP), right)
+
+    apart = F.col("r.t_start") - F.col("l.t_start")
+    over = F.concat(blanks("l"), full("l"), F.lit(GAP + "OL Pair\n"), blanks("r"), full("r"), F.lit(GAP + "OL Pair"))
+    near = F.concat(joined(F.col("l.letters"), F.col("r.letters")), F.lit(GAP), F.col("l.note"), F.lit(GAP), F.col("r.note"))
+    value = F.when(F.col("r").isNull(), F.concat(blanks("l"), full("l"))).when(apart < F.col("l.q_size"), over).when(apart > F.length(full("l")) + 10, joined(full("l"), full("r"))).otherwise(near)
+    return both.select("t_name", "line", value.alias("value"))
+
+
 def pair_view(hits: DataFrame) -> DataFrame:
     """t_name, pair, value: two mates on one line, the gap between them filled with dots."""
     a = hits.where("q_name % 2 = 0").groupBy("t_name", "q_name").agg(F.min(F.struct("t_start", "t_end")).alias("a"))
