@@ -27,3 +27,34 @@ def test_templates_are_not_broadcast(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF))
     for at in text.split("BroadcastExchange")[1:]:
         assert "p_partkey" in at and ">= -198" in at
+
+
+def test_equal_reads_are_cut_once(spark):
+    from strandloom.operators import kmers
+
+    reads = spark.createDataFrame([(i, "acgtacgtacgtaaccggtt"[i % 2 :]) for i in range(40)] + [(99, None)], "read_id long, seq string")
+    assert kmers.text_kmers(reads, 11).count() == 10 + 9
+    counts = kmers.kmer_counts(reads, 11)
+    assert {r.n for r in counts.collect()} == {20, 40}
+    stats = kmers.read_kmer_stats(reads, counts, 11).collect()
+    assert len(stats) == 40 and {(r.read_id % 2, r.k_freq) for r in stats} == {(0, 380), (1, 360)}
+
+
+def test_first_rows_are_the_first_of_all(spark):
+    from strandloom.storage import first_rows
+
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS x")
+    got = {tuple(r) for r in first_rows(rows, 301, rows.x.desc(), "id").collect()}
+    assert got == set(sorted(((i, i % 7) for i in range(1000)), key=lambda r: (-r[1], r[0]))[:301])
+    assert first_rows(rows, 0, "id").count() == 0
+
+
+def test_equal_reads_are_aligned_once_and_all_named(spark):
+    from strandloom.operators import alignment
+
+    refs = spark.createDataFrame([(1, "ttgacgatccagtcaagctgaa")], "tid long, seq string")
+    reads = spark.createDataFrame([(i, "cgatccagtcaa") for i in range(50)], "read_id long, seq string")
+    assert sorted(r.read_id for r in alignment.exact_places(reads, refs, 12).collect()) == list(range(50))
+    assert sorted(r.read_id for r in alignment.places_within(reads, refs, 2).collect()) == list(range(50))
+    met = alignment.align_query(refs.withColumnRenamed("tid", "q_id"), reads, 11, 0, 12)
+    assert sorted(r.read_id for r in met.collect()) == list(range(50))
