@@ -11,7 +11,7 @@ from ..operators import alignment, assembly, reshape, simulation
 from ..operators import similar as sim
 from ..operators import unitigs
 from ..sources import writers
-from .fixtures import READ, READS_SQL, TX_SQL, reads, table, tx
+from .fixtures import READ, READS_SQL, TASKS, TX_SQL, reads, table, tx
 from .queries_graph import _HALVES, halves, placements
 from .queries_reads import noisy_reads, true_placements
 
@@ -20,7 +20,8 @@ _WITH_N = "translate(concat(md5(concat(cast(p_partkey as {s}), 'n')), md5(p_name
 
 def gapped(spark: SparkSession, sf: str) -> DataFrame:
     """name, seq with unknown bases."""
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.expr(_WITH_N.format(s="string")).alias("seq"))
+    part = table(spark, sf, "part").select("p_partkey", "p_name").repartition(TASKS * spark.sparkContext.defaultParallelism, "p_partkey")
+    return part.select(F.col("p_partkey").alias("name"), F.expr(_WITH_N.format(s="string")).alias("seq")).hint("merge")
 
 
 _GAPPED = f"gp AS (SELECT p_partkey AS name, {_WITH_N.format(s='varchar')} AS seq FROM part)"

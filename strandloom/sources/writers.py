@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import wrap
+from ..storage import running
 
 LINE = 50
 
@@ -96,9 +97,8 @@ def holes(seqs: DataFrame) -> DataFrame:
 
 def packed_reference(seqs: DataFrame, order: str = "name") -> tuple[DataFrame, DataFrame]:
     """contigs (name, offset, len, n_ambs) and holes with global offsets, of the sequences in order."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # one row per reference sequence
     found = holes(seqs)
-    sizes = seqs.select("name", F.length("seq").alias("len")).withColumn("offset", F.coalesce(F.sum("len").over(before), F.lit(0)))
+    sizes = running(seqs.select("name", *[c for c in [order] if c != "name"], F.length("seq").alias("len")), "len", "offset", order).hint("merge")
     contigs = sizes.join(found.groupBy("name").agg(F.count("*").alias("n_ambs")), "name", "left").select("name", "offset", "len", F.coalesce("n_ambs", F.lit(0)).alias("n_ambs"))
     return contigs, found.join(sizes.select("name", "offset"), "name").select((F.col("offset") + F.col("start")).alias("offset"), "len", F.lit("n").alias("base"))
 

@@ -58,3 +58,40 @@ def test_equal_reads_are_aligned_once_and_all_named(spark):
     assert sorted(r.read_id for r in alignment.places_within(reads, refs, 2).collect()) == list(range(50))
     met = alignment.align_query(refs.withColumnRenamed("tid", "q_id"), reads, 11, 0, 12)
     assert sorted(r.read_id for r in met.collect()) == list(range(50))
+
+
+def test_packed_places_against_brute_force(spark):
+    import random
+
+    from strandloom.operators import alignment
+
+    draw, offset, contigs, holes = random.Random(5), 0, [], []
+    for i in range(60):
+        n = draw.choice([1, 3, 40, 700])
+        contigs.append((f"c{i}", offset, n))
+        if n > 10:
+            holes += [(offset + 2, 3), (offset + n - 4, 4)]
+        offset += n
+    places = [(i, draw.randrange(-5, offset + 5)) for i in range(400)] + [(900, 7), (901, 7)]
+    df = alignment.real_position(spark.createDataFrame(places, "id long, at long"), spark.createDataFrame(contigs, "name string, offset long, len long"), spark.createDataFrame(holes, "offset long, len long"), 10)
+    unknown = {p for o, n in holes for p in range(o, o + n)}
+    want = [(i, c, at - o, sum(p in unknown for p in range(at, at + 10))) for i, at in places for c, o, n in contigs if o <= at < o + n]
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert "NestedLoop" not in plan(df)
+
+
+def test_running_sums_over_ranges(spark):
+    from strandloom.storage import running
+
+    rows = spark.range(500).selectExpr("id AS name", "cast(id % 7 AS int) AS len")
+    df = running(rows, "len", "offset", "name")
+    assert [r.offset for r in df.orderBy("name").collect()] == [sum(j % 7 for j in range(i)) for i in range(500)]
+
+
+def test_alignments_of_many_pairs_are_those_of_each():
+    from strandloom.functions.pairwise import align, align_many
+
+    left, right = ["acgtacgt", "acgt", "ttacgtacgt", "acgaacgt", ""], ["acgtcgt", "acgt", "acgtacgt", "acgtcgt", "ac"]
+    for mode, band in (("global", None), ("global", 3), ("local", None), ("extension", None)):
+        assert align_many(left, right, mode, band=band) == [align(a, b, mode, band=band) for a, b in zip(left, right)]
+    assert align_many(["acgtacgt"], ["acgtcgt"]) == [(0, 0, 0, "4M1I3M")]
