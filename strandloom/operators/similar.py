@@ -24,19 +24,20 @@ def similar_pairs(rows: DataFrame, allowed: int) -> tuple[DataFrame, DataFrame]:
     Similar: lengths at most allowed apart, and an alignment score (1 a match, -1 a mismatch or gap, ends free) of at least the shorter length less
     allowed and the difference of lengths. Mismatches, gaps and bases of the shorter sequence left out are then 2 * allowed at most in all, so of
     2 * allowed + 1 segments of the shorter one stands unchanged in the longer, at most 3 * allowed places off. The join is on such segments
-    (and on the shorter length, so lengths apart never meet); candidates are distinct before any score is taken. Null sequences and those
+    (and on the shorter length, so lengths apart never meet), by a hash of both, as every candidate is scored; candidates are distinct before any score is taken. Null sequences and those
     shorter than 2 * allowed + 1 bases have no pair. The second table tells the sequences: seq, rep, n.
     """
     parts, reach = 2 * allowed + 1, 3 * allowed
     texts = written(rows.where(F.length("seq") >= parts).groupBy("seq").agg(F.min("id").alias("rep")).withColumn("n", F.length("seq")), "texts")
-    cut = F.array(*[F.struct(F.lit(i).alias("part"), F.substring(F.col("seq"), *_cuts(F.col("n"), parts, i)).alias("segment")) for i in range(parts)])
-    short = texts.select(F.col("rep").alias("a"), F.col("n").alias("short"), F.explode(cut).alias("x")).select("a", "short", "x.*")
+    key = lambda short, i, at, size: F.xxhash64(short, i, F.substring(F.col("seq"), at, size))
+    cut = F.array(*[key(F.col("n"), F.lit(i), *_cuts(F.col("n"), parts, i)) for i in range(parts)])
+    short = texts.select(F.col("rep").alias("a"), F.col("n").alias("short"), F.explode(cut).alias("key")).hint("merge")  # far more than the file
     long = texts.select(F.col("rep").alias("b"), "seq", "n", F.explode(F.sequence(F.greatest(F.col("n") - allowed, F.lit(parts)), "n")).alias("short"))
     near = F.array(*[F.struct(F.lit(i).alias("part"), _cuts(F.col("short"), parts, i)[0].alias("start"), _cuts(F.col("short"), parts, i)[1].alias("size")) for i in range(parts)])
     long = long.select("b", "seq", "n", "short", F.explode(near).alias("x")).select("b", "seq", "n", "short", "x.*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("off"))
     at = F.col("start") + F.col("off")
-    long = long.where((at >= 1) & (at + F.col("size") - 1 <= F.col("n"))).select("b", "n", "short", "part", F.substring(F.col("seq"), at, F.col("size")).alias("segment")).distinct()
-    met = short.join(long, ["short", "part", "segment"]).where((F.col("a") < F.col("b")) | (F.col("short") < F.col("n"))).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    long = long.where((at >= 1) & (at + F.col("size") - 1 <= F.col("n"))).select("b", "n", key(F.col("short"), F.col("part"), at, F.col("size")).alias("key"))
+    met = short.join(long, "key").where((F.col("a") < F.col("b")) | (F.col("short") < F.col("n"))).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of = lambda c, s: texts.select(F.col("rep").alias(c), F.col("seq").alias(s))
     scored = met.join(of("a", "l"), "a").join(of("b", "r"), "b").select("a", "b", similar(F.col("l"), F.col("r"), allowed).alias("score")).where("score > 0")
     return written(scored, "similar"), texts
