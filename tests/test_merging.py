@@ -105,3 +105,30 @@ def test_long_overlaps_agree_with_the_square(spark):
         a, b = (__import__("numpy").frombuffer(s.encode(), "u1") for s in (x, y))
         most = min(len(x), len(y))
         assert list(graph._mismatches(a, b, most)) == [sum(p != q for p, q in zip(x[len(x) - k :], y[:k])) for k in range(1, most + 1)]
+
+
+def test_overlaps_side_by_side_are_those_one_by_one():
+    import random
+
+    import pyarrow as pa
+
+    from strandloom.operators import graph
+
+    random.seed(4)
+    pick = lambda sizes: "".join(random.choices("acgt", k=random.choice(sizes)))
+    rows = [(pick([0, 5, 11, 12, 22, 70, 125, 254, 255, 300]), pick([0, 11, 21, 70, 200, 254, 255])) for _ in range(3000)]
+    rows = [(a, a[-random.randint(11, len(a)) :] + b) if i % 3 == 0 and len(a) > 11 else (a, b) for i, (a, b) in enumerate(rows)]
+    ol, mismatches = graph.overlaps_of(pa.array([a for a, _ in rows]), pa.array([b for _, b in rows]), 11)
+    assert list(zip(ol, mismatches)) == [graph._overlap(a.encode(), b.encode(), 11) for a, b in rows]
+    assert (ol > 0).sum() > 500
+
+
+def test_a_pair_that_meets_brings_its_sequences_together_once(spark):
+    from strandloom.operators import graph
+
+    seq = "acgatcgatcatgctagcatgcatcgatttagcggcgatcatcg"
+    templates = spark.createDataFrame([(1, seq), (2, seq[20:] + "ttagaggcatcacca")], "tid long, seq string")
+    hits = graph.end_hits(templates).where("not is_rc")
+    assert hits.count() > 1
+    (row,) = graph.meeting_templates(hits, templates).collect()
+    assert (row.a, row.b, row.same, row.turned) == (1, 2, True, False)
