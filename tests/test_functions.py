@@ -127,3 +127,12 @@ def test_null_sequences(spark, s):
     df = spark.createDataFrame([(s,)], "s string")
     r = df.select(S.reverse_complement("s"), S.kmers("s", 3), S.is_biased("s"), S.is_low_complexity("s"), S.hamming("s", "s"), S.kmer_key("s", 0, 1, 2)).first()
     assert all(x is None for x in r)
+
+
+def test_scores_together_are_those_one_by_one():
+    import random
+
+    random.seed(9)
+    pick = lambda most: "".join(random.choices("acgtn", k=random.randint(0, most)))
+    rows = [(pick(12), pick(9)) for _ in range(2000)] + [(None, "acgt"), ("acgt", None), ("", "")]
+    assert P.overlap_score_many([a for a, _ in rows], [b for _, b in rows]) == [None if a is None or b is None else P.overlap_score(a, b) for a, b in rows]
