@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batched
 from ..functions import sequence as S
 from ..operators import alignment, gapped, graph, kmers
 from .fixtures import READ, READS_SQL, TX_SQL, reads, table, tx
@@ -185,9 +186,10 @@ def sam_records(spark: SparkSession, sf: str) -> DataFrame:
 def overlap_functions(spark: SparkSession, sf: str) -> DataFrame:
     t = tx(spark, sf)
     a = t.select("tid", F.substring("seq", 1, 40).alias("l"), F.concat(F.substring("seq", 1 + 40 - 15, 7), F.lit("c"), F.substring("seq", 1 + 40 - 7, 30)).alias("r"))
+    l, r = F.col("l"), F.col("r")
     return a.select(
-        "tid", S.hamming("l", "r").alias("hamming"), S.find_overlap("l", "r", 3).alias("found"), S.longest_overlap("l", "r", 1, 5, 30).alias("longest"), S.overlap_mismatches("l", "r", 15, 9).alias("mm"), S.first_match(F.substring("r", 10, 6), "l", 1).alias("first"), S.shares_window(F.substring("r", 1, 20), "l", 12, 1).alias("shares"),
-        S.mismatches_left(F.left("r", F.lit(15)), "l", F.lit(25), 3, 10).alias("left"),
+        "tid", batched.hamming(l, r).alias("hamming"), batched.find_overlap(l, r, 3).alias("found"), batched.longest_overlap(l, r, 1, 5, 30).alias("longest"), batched.overlap_mismatches(l, r, 15, 9).alias("mm"), batched.first_match(F.substring("r", 10, 6), l, 1).alias("first"), batched.shares_window(F.substring("r", 1, 20), l, 12, 1).alias("shares"),
+        batched.mismatches_left(F.left("r", F.lit(15)), l, 25, 3, 10).alias("left"),
     )
 
 
