@@ -40,9 +40,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         before, total = total, labels.agg(F.sum(F.col("comp_id").cast("decimal(38,0)"))).first()[0]
         if before == total:
             return labels
-        near = both.join(labels.withColumnRenamed("tid", "dst"), "dst").groupBy("src").agg(F.min("comp_id").alias("near"))
-        hooked = labels.join(near, F.col("tid") == F.col("src"), "left").select("tid", F.least("comp_id", F.coalesce("near", "comp_id")).alias("comp_id"))
-        jump = hooked.select(F.col("tid").alias("at"), F.col("comp_id").alias("further"))
+        near = both.join(labels.withColumnRenamed("tid", "dst").hint("merge"), "dst").groupBy("src").agg(F.min("comp_id").alias("near"))
+        hooked = labels.join(near.hint("merge"), F.col("tid") == F.col("src"), "left").select("tid", F.least("comp_id", F.coalesce("near", "comp_id")).alias("comp_id"))
+        jump = hooked.select(F.col("tid").alias("at"), F.col("comp_id").alias("further")).hint("merge")
         labels = written(hooked.join(jump, F.col("comp_id") == F.col("at"), "left").select("tid", F.least("comp_id", F.coalesce("further", "comp_id")).alias("comp_id")), "labels")
     raise RuntimeError("components did not settle")
 
@@ -54,7 +54,7 @@ def hit_components(templates: DataFrame, hits: DataFrame, least: int = MIN_HIT)
 
 def roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes without incoming links."""
-    return nodes.join(links.select(F.col("dst").alias("tid")).distinct(), "tid", "left_anti").select("tid")
+    return nodes.join(links.select(F.col("dst").alias("tid")).distinct().hint("merge"), "tid", "left_anti").select("tid")
 
 
 def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def pair_links(placements: DataFrame) -> DataFrame:
     """src, dst, read_id, mate_id and both places of the pairs whose mates lie on two templates; src holds the left mate."""
     a = placements.where("read_id % 2 = 0").select(F.col("tid").alias("src"), "read_id", F.col("pos").alias("src_pos"), F.col("is_rc").alias("src_rc"))
     b = placements.select(F.col("tid").alias("dst"), F.col("read_id").alias("mate_id"), F.col("pos").alias("dst_pos"), F.col("is_rc").alias("dst_rc"))
-    return a.join(b, mate_id("read_id") == F.col("mate_id")).where("src <> dst")
+    return a.hint("merge").join(b, mate_id("read_id") == F.col("mate_id")).where("src <> dst")
 
 
 def ordered_pairs(placements: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def middle_reads(placements: DataFrame, insert: int, backward: bool = False) ->
 def shared_reads(placements: DataFrame) -> DataFrame:
     """a, b: pairs of templates (a < b) that share a read."""
     x = placements.select(F.col("tid").alias("a"), "read_id").distinct()
-    return x.join(x.withColumnRenamed("a", "b"), "read_id").where("a < b").select("a", "b").distinct()
+    return x.hint("merge").join(x.withColumnRenamed("a", "b"), "read_id").where("a < b").select("a", "b").distinct()
 
 
 def order_votes(placements: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def probable_links(placements: DataFrame, templates: DataFrame, insert: int, sd:
     share no read and no window of SHARED_WINDOW bases on either strand. Links of links are what components take them to.
     """
     reads = placements.groupBy("tid").agg(F.count("*").alias("reads"))
-    sizes = templates.select("tid", F.length("seq").alias("n")).join(reads, "tid").select("tid", "n", (F.col("reads") / F.col("n")).alias("cover"))
+    sizes = templates.select("tid", F.length("seq").alias("n")).hint("merge").join(reads, "tid").select("tid", "n", (F.col("reads") / F.col("n")).alias("cover")).hint("merge")
     p = pair_links(placements).join(templates.select(F.col("tid").alias("src"), F.length("seq").alias("n")), "src")
     span = (F.col("n") - F.col("src_pos")) + F.col("dst_pos")
     rows = p.groupBy("src", "dst").agg(F.count("*").alias("pairs"), F.min(span).alias("closest")).where((F.col("pairs") * 2 >= least) & insert_feasible(F.col("closest"), insert, sd))
@@ -389,14 +389,14 @@ def scaffold(templates: DataFrame, placements: DataFrame, hits: DataFrame, inser
     found = probable_links(placements, templates, insert, sd)
     comp = written(components(templates.select("tid"), strong.unionByName(found.select("src", "dst"))), "components")
     lying = strong.select(F.explode(F.array("src", "dst")).alias("tid")).distinct()
-    alone = written(comp.join(lying, "tid", "left_anti"), "alone")
+    alone = written(comp.join(lying.hint("merge"), "tid", "left_anti"), "alone")
     few = alone.groupBy("comp_id").agg(F.count("*").alias("n")).where(F.col("n") <= most_alone).select("comp_id")
-    alone = alone.join(few, "comp_id").select("tid", "comp_id")
+    alone = alone.join(few.hint("merge"), "comp_id").select("tid", "comp_id").hint("merge")
     votes = order_votes(placements).where("order <> 0")
     inside = votes.join(alone.select(F.col("tid").alias("a"), F.col("comp_id").alias("ca")), "a").join(alone.select(F.col("tid").alias("b"), F.col("comp_id").alias("cb")), "b").where("ca = cb").select(*votes.columns)
     inside = written(inside, "inside-votes")
     first = roots(comp.select("tid"), directed_links(inside)).withColumn("root", F.lit(True))
-    return comp.join(first, "tid", "left").select("tid", "comp_id", F.coalesce("root", F.lit(False)).alias("is_root")), inside
+    return comp.join(first.hint("merge"), "tid", "left").select("tid", "comp_id", F.coalesce("root", F.lit(False)).alias("is_root")), inside
 
 
 def span_depth(placements: DataFrame, templates: DataFrame, read_len: int, least: int = 2) -> DataFrame:
@@ -430,12 +430,13 @@ def similar_siblings(templates: DataFrame, rights: DataFrame) -> DataFrame:
 
 
 def prune_tips(templates: DataFrame, links: DataFrame, shorter: int = 35) -> DataFrame:
-    """templates without dead ends: nodes under so many bases that lead nowhere or come from nowhere; nodes without any link stay."""
-    ends = templates.where(F.length("seq") < shorter).select("tid")
-    out_of, into = links.select(F.col("src").alias("tid")).distinct(), links.select(F.col("dst").alias("tid")).distinct()
-    tips = ends.join(out_of, "tid", "left_anti").unionByName(ends.join(into, "tid", "left_anti")).distinct()
-    linked = tips.join(out_of.unionByName(into).distinct(), "tid", "left_semi")
-    return templates.join(linked, "tid", "left_anti")
+    """templates without dead ends: nodes under so many bases that lead nowhere or come from nowhere; nodes without any link stay.
+
+    Which ends of links a node stands at comes together once for both, added up before it is shuffled, and nothing is sent whole to every task.
+    """
+    ends = links.select(F.explode(F.array(F.struct(F.col("src").alias("tid"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("tid"), F.lit(False).alias("out")))).alias("x")).select("x.*")
+    tips = ends.groupBy("tid").agg(F.max("out").alias("leaves"), F.min("out").alias("left_only")).where(F.col("leaves") == F.col("left_only")).select("tid", F.lit(True).alias("one_sided"))
+    return templates.join(tips.hint("merge"), "tid", "left").where(F.coalesce(F.length("seq") >= shorter, F.lit(True)) | F.col("one_sided").isNull()).select(*templates.columns)
 
 
 def unary_chains(nodes: DataFrame, links: DataFrame) -> DataFrame:

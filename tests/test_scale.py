@@ -95,3 +95,16 @@ def test_alignments_of_many_pairs_are_those_of_each():
     for mode, band in (("global", None), ("global", 3), ("local", None), ("extension", None)):
         assert align_many(left, right, mode, band=band) == [align(a, b, mode, band=band) for a, b in zip(left, right)]
     assert align_many(["acgtacgt"], ["acgtcgt"]) == [(0, 0, 0, "4M1I3M")]
+
+
+def test_tips_and_links_send_nothing_whole(spark):
+    from strandloom.operators import graph
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (4, 5)], "src long, dst long")
+    templates = spark.createDataFrame([(i, "a" * (40 if i == 4 else 10)) for i in range(1, 7)] + [(9, None)], "tid long, seq string")
+    pruned = graph.prune_tips(templates, links)
+    assert sorted(r.tid for r in pruned.collect()) == [2, 4, 6, 9]  # 6 has no link
+    assert "BroadcastExchange" not in plan(pruned)
+    placements = spark.createDataFrame([(1, 4, 1, False), (2, 5, 3, False)], "tid long, read_id long, pos int, is_rc boolean")
+    for df in (graph.pair_links(placements), graph.shared_reads(placements), graph.roots(templates, links)):
+        assert "BroadcastExchange" not in plan(df)
