@@ -21,10 +21,10 @@ def voters(low: DataFrame, reads: DataFrame, k: int = SEED, allowed: int = MISMA
     then the strand as it stands, then the smallest shift.
     """
     texts = written(reads.where(F.col("seq").isNotNull()).groupBy("seq").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("read_id"), "seq", "n"), "texts")
-    asked = written(texts.join(low.select("seq").distinct(), "seq").select(F.col("read_id").alias("q_id"), "seq"), "asked")
+    asked = written(texts.hint("merge").join(low.select("seq").distinct(), "seq").select(F.col("read_id").alias("q_id"), "seq"), "asked")
     met = align_query(asked, texts.select("read_id", "seq"), k, allowed, overlap)
     one = met.groupBy("q_id", "read_id").agg(F.min(F.struct(-F.col("mm_left"), "is_rc", "shift")).alias("p")).select("q_id", "read_id", "p.is_rc", "p.shift")
-    rows = one.join(texts, "read_id").join(asked.withColumnRenamed("seq", "q_seq"), "q_id")
+    rows = one.join(texts.hint("merge"), "read_id").join(asked.withColumnRenamed("seq", "q_seq").hint("merge"), "q_id")
     weight = F.col("n") - F.when(F.col("read_id") == F.col("q_id"), 1).otherwise(0)
     shift = F.when(F.col("is_rc"), F.length("seq") - F.col("shift") - F.length("q_seq")).otherwise(F.col("shift"))
     turned = F.when(F.col("is_rc"), reverse_complement("seq")).otherwise(F.col("seq"))
@@ -42,7 +42,7 @@ def voted(votes: DataFrame, least: int = VOTERS) -> DataFrame:
     bases = votes.select("q_seq", "weight", start.alias("start"), F.posexplode(F.split(part, "")).alias("i", "base")).where(F.col("base").isin(*BASES[:4]))
     count = lambda b: F.coalesce(F.sum(F.when(F.col("base") == b, F.col("weight"))), F.lit(0))
     columns = bases.groupBy("q_seq", (F.col("start") + F.col("i")).alias("at")).agg(pure_most(*[count(b) for b in "acgt"]).alias("base"))
-    found = columns.groupBy("q_seq").agg(F.map_from_entries(F.collect_list(F.struct("at", "base"))).alias("found")).join(enough, "q_seq")
+    found = columns.groupBy("q_seq").agg(F.map_from_entries(F.collect_list(F.struct("at", "base"))).alias("found")).join(enough.hint("merge"), "q_seq")
     letters = F.transform(F.split("q_seq", ""), lambda own, i: F.coalesce(F.col("found")[i], own))
     return found.select("q_seq", F.array_join(letters, "").alias("seq"))
 
@@ -51,14 +51,14 @@ def low_reads(reads: DataFrame, k: int = SEED, share: float = SHARE) -> DataFram
     """read_id, seq of the share of reads with the widest range of k-mer counts, without repetitive ones and those with unknown bases."""
     uneven = uneven_reads(reads, kmer_counts(reads, k), k, share).select("read_id")
     odd = has_n("seq") | is_homopolymer_like("seq") | is_periodic("seq") | is_low_complexity("seq")
-    return written(reads.join(uneven, "read_id").select("read_id", "seq"), "uneven").where(~odd)  # written first: the filters aren't for all reads
+    return written(reads.join(uneven.hint("merge"), "read_id").select("read_id", "seq"), "uneven").where(~odd)  # written first: the filters aren't for all reads
 
 
 def corrected_reads(reads: DataFrame, k: int = SEED, share: float = SHARE, allowed: int = MISMATCHES, overlap: int = OVERLAP, least: int = VOTERS) -> DataFrame:
     """read_id, seq, before: the low reads that enough overlapping reads vote on; seq may equal before. Votes are taken on the reads as they come."""
     low = written(low_reads(reads, k, share), "low")
     fixed = voted(written(voters(low, reads, k, allowed, overlap), "votes"), least)
-    return low.withColumnRenamed("seq", "before").join(fixed.withColumnRenamed("q_seq", "before"), "before").select("read_id", "seq", "before")
+    return low.withColumnRenamed("seq", "before").hint("merge").join(fixed.withColumnRenamed("q_seq", "before"), "before").select("read_id", "seq", "before")
 
 
 def with_corrections(reads: DataFrame, corrected: DataFrame) -> DataFrame:

@@ -108,3 +108,10 @@ def test_tips_and_links_send_nothing_whole(spark):
     placements = spark.createDataFrame([(1, 4, 1, False), (2, 5, 3, False)], "tid long, read_id long, pos int, is_rc boolean")
     for df in (graph.pair_links(placements), graph.shared_reads(placements), graph.roots(templates, links)):
         assert "BroadcastExchange" not in plan(df)
+
+
+def test_votes_send_nothing_whole(spark):
+    from strandloom.operators import correction
+
+    votes = spark.createDataFrame([("acgt", "acgt", 0, 4)], "q_seq string, seq string, shift int, weight long")
+    assert "BroadcastExchange" not in plan(correction.voted(votes)) and "SortMergeJoin" in plan(correction.voted(votes))
