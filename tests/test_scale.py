@@ -115,3 +115,15 @@ def test_votes_send_nothing_whole(spark):
 
     votes = spark.createDataFrame([("acgt", "acgt", 0, 4)], "q_seq string, seq string, shift int, weight long")
     assert "BroadcastExchange" not in plan(correction.voted(votes)) and "SortMergeJoin" in plan(correction.voted(votes))
+
+
+def test_fuzzy_seeds_name_reads_last(spark):
+    """Equal reads meet templates once; after each pair is named for its reads nothing is shuffled any more."""
+    from strandloom.operators import alignment
+
+    templates = spark.createDataFrame([(1, "ttttacgatccagtc"), (2, "gactggatcgt"), (3, "cccccccccccc"), (4, None), (5, "acg")], "tid long, seq string")
+    reads = spark.createDataFrame([(i, "ggacgatccagtagg") for i in range(30)] + [(40, "a" * 20), (41, None), (42, "acgatccagtn")], "read_id long, seq string")
+    df = alignment.fuzzy_seeds(templates, reads, 11)
+    assert sorted(map(tuple, df.collect())) == [(t, i) for t in (1, 2) for i in range(30)]
+    above = plan(df).split("== Initial Plan ==")[0].split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
