@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialize
+from strandloom.llm.common import materialize, release_executors
 from strandloom.llm.langid import UNDETERMINED, held_out, learn, with_languages
 from strandloom.llm.mixing import mix, word_count
 from strandloom.llm.near_dedup import drop_near_copies
@@ -21,7 +21,7 @@ from strandloom.llm.stream_dedup import drop_copies
 LEAST_SCORE = 0.3
 #: Words of a mixing block here: large against documents, as these are taken whole.
 BLOCK_WORDS = 65536
-#: Words kept by a worker of the last stage and characters of a batch: small, as executors come to it with full heaps.
+#: Words kept by a worker of the last stage and characters of a batch: small, as each of an executor's workers holds them.
 CACHE_WORDS, BATCH_CHARS = 80_000, 1 << 18
 
 
@@ -56,6 +56,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id; see drop_near_copies for odd rows."""
+    release_executors(spark)
     return drop_near_copies(docs)
 
 
@@ -65,6 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without a word (null, empty, blank) take nothing and go; a null source is a source of its own; rows that repeat are rows of
     their own; other columns pass through whatever their names; no rows give no rows.
     """
+    release_executors(spark)
     rows = with_row_key(docs)
     sized = materialize(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), "__key"), "stage-sizes")
     mixed = mix(sized, block_words=BLOCK_WORDS)
@@ -74,7 +76,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's token ids and of the text decoded from them; see bpe_encode for odd rows."""
+    """Digests of each document's token ids and of the text decoded from them; see bpe_encode for odd rows.
+
+    Executors come to it with heaps that earlier stages filled, which with the workers' tokenizers are more than an executor has; so they collect first.
+    """
+    release_executors(spark)
     return round_trip(docs, cache_words=CACHE_WORDS, batch_chars=BATCH_CHARS)
 
 

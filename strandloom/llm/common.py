@@ -78,6 +78,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release_executors(spark: SparkSession) -> None:
+    """As release, for the executors: their JVMs keep a heap that sorts and joins have filled, whatever of it is in use, until they collect. A few short
+    tasks a slot reach each of them; one that none reaches only keeps its heap."""
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def trimmed(run: Callable) -> Callable:
     """A function for mapInArrow that gives its freed memory back to the system when a task ends; Python workers outlive tasks."""
 

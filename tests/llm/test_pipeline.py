@@ -90,3 +90,17 @@ def test_registry():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_executors_collect_before_the_tokenizers_come(spark, monkeypatch):
+    """Heaps that earlier stages filled are given back: the JVM counts a collection at least, and the last stage asks for it."""
+    from strandloom.llm.common import release_executors
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    before = sum(b.getCollectionCount() for b in beans())
+    release_executors(spark)
+    assert sum(b.getCollectionCount() for b in beans()) > before
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "release_executors", asked.append)
+    corpus_pipeline.bpe_round_trip(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+    assert asked == [spark]
