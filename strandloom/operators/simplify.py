@@ -63,8 +63,9 @@ def merged_chains(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
 
     Chains are ranked by pointer jumping; a ring is opened before its smallest node. The sequence of one chain is one value.
     """
-    o, i = links.groupBy("src").agg(F.count("*").alias("o")), links.groupBy("dst").agg(F.count("*").alias("i"))
-    only = written(links.join(o, "src").join(i, "dst").where("o = 1 and i = 1").select("src", "dst"), "only-links")
+    out = links.groupBy("src").agg(F.count("*").alias("o"), F.min("dst").alias("dst")).where("o = 1")  # an only link needs no join to be named
+    into = links.groupBy("dst").agg(F.count("*").alias("i")).where("i = 1")
+    only = written(out.join(into, "dst", "left_semi").select("src", "dst"), "only-links")
     inside = only.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     place = ranked_chains(inside, only)
     rows = written(place.join(nodes.select(F.col("tid").alias("node"), F.coalesce("seq", F.lit("")).alias("seq")), "node"), "ranked")
@@ -138,14 +139,14 @@ def carried(parts: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.select("part", F.coalesce("into", "tid").alias("tid"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
 
 
-def simplified(nodes: DataFrame, links: DataFrame, shorter: int = TIP, stem: int = STEM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, links and parts (part, tid, shift: where in which node each first node's bases stand) when no step changes anything.
+def simplified(nodes: DataFrame, links: DataFrame, shorter: int = TIP, stem: int = STEM, track: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """nodes, links and parts (part, tid, shift: where in which node each first node's bases stand; None without track) when no step changes anything.
 
     A round prunes tips, merges chains, collapses similar siblings and pushes short stems, each step on what the one before left. An empty
     graph stays empty; nodes without links stay. Every step is written to the shared folder.
     """
     now, edges = written(nodes.select(F.col("tid").cast("long").alias("tid"), "seq"), "nodes"), written(_clean(links.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))), "edges")
-    parts = now.select(F.col("tid").alias("part"), "tid", F.lit(0).cast("long").alias("shift"))
+    parts = now.select(F.col("tid").alias("part"), "tid", F.lit(0).cast("long").alias("shift")) if track else None
     steps = (lambda n, e: pruned(n, e, shorter), merged_chains, lambda n, e: collapsed(n, e, stem), lambda n, e: pushed_stems(n, e, stem))
     idle = 0
     while idle < len(steps):
@@ -157,7 +158,8 @@ def simplified(nodes: DataFrame, links: DataFrame, shorter: int = TIP, stem: int
                     break
                 continue
             idle = 0
-            now, edges, parts = written(after, "nodes"), written(left, "edges"), written(carried(parts, moves), "parts")
+            now, edges = written(after, "nodes"), written(left, "edges")
+            parts = written(carried(parts, moves), "parts") if track else None
     return now, edges, parts
 
 

@@ -36,7 +36,7 @@ def pushed_stems(spark: SparkSession, sf: str) -> DataFrame:
 
 def simplified_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of the whole graph when no step changes it any more."""
-    return S.simplified(sequenced(spark, sf), links(spark, sf))[0]
+    return S.simplified(sequenced(spark, sf), links(spark, sf), track=False)[0]
 
 
 def misread(spark: SparkSession, sf: str) -> DataFrame:

@@ -123,3 +123,15 @@ def test_many_tips_of_one_fork_leave_one(spark):
     nodes = {0: "a" * 80} | {t: "c" * (t % 30) for t in range(1, 200)}
     left = simplify.fork_tips(*frames(spark, nodes, {(0, t) for t in range(1, 200)}))
     assert sorted(r.tid for r in left.collect()) == list(range(2, 200))
+
+
+def test_untracked_graph_is_the_same_and_writes_no_parts(spark, monkeypatch):
+    labels, keep = [], simplify.written
+    monkeypatch.setattr(simplify, "written", lambda df, label: labels.append(label) or keep(df, label))
+    nodes, links = [(1, "a" * 40), (2, "c" * 40), (3, "g" * 10), (4, "t" * 40), (5, "a" * 9)], [(1, 2), (2, 3), (2, 4), (4, 5)]
+    frames_ = spark.createDataFrame(nodes, "tid long, seq string"), spark.createDataFrame(links, "src long, dst long")
+    n, e, parts = simplify.simplified(*frames_, track=False)
+    assert parts is None and "parts" not in labels
+    want = simplify.simplified(*frames_)
+    assert "parts" in labels
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, want[0].collect())) and sorted(map(tuple, e.collect())) == sorted(map(tuple, want[1].collect()))
