@@ -6,7 +6,9 @@ candidates completes them: two sets with a similarity of t or more share a shing
 size), in whatever order of all shingles. Rare shingles come first in the order, so that few documents meet by chance.
 Candidates of both sources are compared on exact bounds, then on the sets themselves. Equal sets are one node. In large buckets
 members are first linked to one of them; then only members of different components are compared, all of them that the bounds
-leave; buckets too large for a task are cut into blocks, and the blocks that hold different components meet pair by pair.
+leave; buckets too large for a task are cut into blocks, and the blocks that hold different components meet pair by pair. Pairs of
+large buckets never leave a task: first the bounds tell which members have another one near, whatever their bucket; these are
+gathered once with what they are near to, and compared by their sets; both steps give links that connect, fewer than members.
 """
 
 from __future__ import annotations
@@ -30,15 +32,13 @@ WIDTH, SIMILARITY = 5, 0.8
 RADIUS = 4
 #: Members of a bucket up to which all pairs are compared at once; larger ones start with links to one member.
 ALL_PAIRS = 8
-#: Rounds that compare one pair for each two components in a bucket, before all pairs that are left.
-STAR_ROUNDS = 1
 #: Share of all shingles (the least hashes) that are counted, over all documents; prefixes seldom reach further. The count from which a
 #: shingle is common, and the most that are sent to tasks (16 bytes each). They set the order alone, on which results don't depend.
 COUNTED, COMMON, MOST_COMMON = 0.25, ALL_PAIRS + 1, 200_000
 #: Share of all documents from which a common shingle's bucket is led by an aggregate and a broadcast, not gathered by a task.
 HOT_SHARE = 1 / 2048
-#: Members of a bucket, or of a block of a larger bucket, that one task compares.
-BLOCK = 1 << 14
+#: Members of a bucket, or of a block of a larger bucket, that one task compares; and of those whose sets it compares.
+BLOCK, SETS_BLOCK = 1 << 14, 1 << 10
 #: Words of 64 bits in a set's sketch.
 SKETCH = 4
 #: Nodes whose places may be broadcast (about 150 bytes each).
@@ -134,66 +134,157 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _runs(batches, give)
 
 
-def cross_pairs(rows: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...], one: bool) -> Iterator[np.ndarray]:
-    """Pairs of keys of rows and others whose roots differ and that the bounds leave; both hold keys, roots, sizes and sketch words.
+def _folded(wides: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each number of words the wide sketches of so many or twice as many, the latter folded, and each member's row in them.
 
-    With one, of each two roots the pair with the closest sketches. A pair that is met from both sides appears once.
+    Sizes that the bounds leave are within a quarter of each other, so that no pair needs more folds than one.
     """
-    (keys, roots, sizes, words), (to_keys, to_roots, to_sizes, to_words) = rows, others
-    step = max(1, _CELLS // max(1, len(to_keys)))
-    for at in range(0, len(keys), step):
-        s = slice(at, at + step)
-        n = sizes[s, None] + to_sizes[None]
+    lengths = np.array([len(w) // 8 for w in wides])
+    own = {int(n): np.frombuffer(b"".join(wides[lengths == n]), np.uint64).reshape(-1, n) for n in np.unique(lengths)}
+    out = {}
+    for n in own.keys() | {n // 2 for n in own if n > 1}:
+        places, parts = np.full(len(wides), -1), []
+        for at, m in ((lengths == n, own.get(n)), (lengths == 2 * n, own.get(2 * n))):
+            if m is not None:
+                places[at] = np.arange(len(m)) + sum(map(len, parts))
+                parts.append(m if m.shape[1] == n else m[:, :n] ^ m[:, n:])
+        out[n] = np.concatenate(parts), places
+    return out
+
+
+def cross_pairs(roots: np.ndarray, sizes: np.ndarray, words: np.ndarray, wides: np.ndarray, asks: np.ndarray, answers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """i, j, apart: members that ask and members that answer, whose roots differ and that the bounds leave, with the bits between their wide sketches."""
+    asking, answering, folded = np.flatnonzero(asks), np.flatnonzero(answers), _folded(wides)
+    lengths = np.array([len(w) // 8 for w in wides])
+    step = max(1, _CELLS // max(1, len(answering)))
+    for at in range(0, len(asking), step):
+        s = asking[at : at + step]
+        n = sizes[s, None] + sizes[None, answering]
         apart = np.zeros(n.shape, np.int64)
         for w in range(words.shape[1]):
-            apart += np.bitwise_count((words[s, w, None] ^ to_words[None, :, w]).view(np.uint64))
-        i, j = np.nonzero((roots[s, None] != to_roots[None]) & (np.maximum(apart, abs(sizes[s, None] - to_sizes[None])) <= _least_similar(n)))
-        if one and len(i):
-            low, high = np.minimum(roots[at + i], to_roots[j]), np.maximum(roots[at + i], to_roots[j])
-            order = np.lexsort((apart[i, j], high, low))
-            new = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
-            i, j = i[order][new], j[order][new]
-        if len(i):
-            yield np.unique(np.sort(np.stack([keys[at + i], to_keys[j]], 1), axis=1), axis=0)
-
-
-def _crossings(one: bool) -> Callable:
-    """a, b: pairs to compare; from rows of bucket, whether the row asks, whether it answers, key, root, size, sketch.
-
-    In a bucket where all rows do both, those of the most frequent root only answer.
+            apart += np.bitwise_count((words[s, w, None] ^ words[None, answering, w]).view(np.uint64))
+        i, j = np.nonzero((roots[s, None] != roots[None, answering]) & (np.maximum(apart, abs(sizes[s, None] - sizes[None, answering])) <= _least_similar(n)))
+        i, j = s[i], answering[j]
+        least, bits = np.minimum(lengths[i], lengths[j]), np.zeros(len(i), np.int64)
+        for width in np.unique(least):
+            (rows, places), some = folded[int(width)], np.flatnonzero(least == width)
+            for part in np.array_split(some, len(some) * int(width) // _CELLS + 1):
+                bits[part] = np.bitwise_count(rows[places[i[part]]] ^ rows[places[j[part]]]).sum(1)
+        close = bits <= _least_similar(sizes[i] + sizes[j])
+        if close.any():
+            yield i[close], j[close], bits[close]
+
+
+def _sides(roots: np.ndarray, asks: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """Which members ask: where all would ask and answer, those of the most frequent root only answer."""
+    if not (asks & answers).all():
+        return asks
+    names, times = np.unique(roots, return_counts=True)
+    return roots != names[times.argmax()]
+
+
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label (each member's smallest fellow's place) with the groups of i and j made one, pair by pair."""
+    while True:
+        a, b = label[i], label[j]
+        differ = a != b
+        if not differ.any():
+            return label
+        i, j = i[differ], j[differ]
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, root, least: members that the bounds leave a pair of, each with the smallest key of those that such pairs connect in its bucket.
+
+    From rows of bucket, whether the row asks, whether it answers, key, root, size, sketch and wide sketch, sorted by key in a bucket.
     """
 
     def give(b: np.ndarray, asks: np.ndarray, answers: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
+        out = [np.empty((0, 3), np.int64)]
         for s, e in zip(cut, cut[1:]):
-            k, r, n, *words = (c[s:e] for c in columns)
+            k, r, n, *words, wide = (c[s:e] for c in columns)
             if (r == r[0]).all():
                 continue
-            side, ask, answer = (k, r, n, np.stack(words, 1)), asks[s:e], answers[s:e]
-            if (ask & answer).all():
-                names, times = np.unique(r, return_counts=True)
-                ask = r != names[times.argmax()]
-            for found in cross_pairs(tuple(x[ask] for x in side), tuple(x[answer] for x in side), one):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            label, near = np.arange(e - s), np.zeros(e - s, bool)
+            for i, j, _ in cross_pairs(r, n, np.stack(words, 1), wide, _sides(r, asks[s:e], answers[s:e]), answers[s:e]):
+                near[i], near[j], label = True, True, united(label, i, j)
+            out.append(np.stack([k, r, k[label]], 1)[near])
+        rows = np.unique(np.concatenate(out), axis=0)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["key", "root", "least"])
+
+    return _runs(batches, give)
+
+
+def links_among(keys: np.ndarray, roots: np.ndarray, asks: np.ndarray, answers: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links, fewer than members, that connect the members of different roots that similar pairs connect.
+
+    Each group asks its closest member first, then twice as many at a time; what is one group by then is not compared.
+    """
+    first, named = np.unique(roots, return_index=True, return_inverse=True)[1:]
+    parent, out = first[named].tolist(), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sizes, words, wides = np.array([len(x) for x in sets]), np.stack([sketch(x) for x in sets]), np.array([wide_sketch(x) for x in sets], object)
+    for i, j, apart in cross_pairs(roots, sizes, words, wides, _sides(roots, asks, answers), answers):
+        many = 1
+        while True:
+            label = np.array([find(x) for x in range(len(keys))])
+            left = label[i] != label[j]
+            i, j, apart = i[left], j[left], apart[left]
+            if not len(i):
+                break
+            order = np.lexsort((apart, label[i]))
+            i, j, apart = i[order], j[order], apart[order]
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(label[i]) != 0]))
+            now = np.arange(len(i)) - np.repeat(starts, np.diff([*starts, len(i)])) < many
+            for x, y in zip(i[now].tolist(), j[now].tolist(), strict=True):
+                a, b = find(x), find(y)
+                if a != b and jaccard(sets[x], sets[y]) >= SIMILARITY:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(keys[x]), int(keys[y])))
+            i, j, apart, many = i[~now], j[~now], apart[~now], many * 2
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: links between members of a bucket; from rows of bucket, whether the row asks, whether it answers, key, root and set."""
+
+    def give(b: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
+        for s, e in zip(cut, cut[1:]):
+            asks, answers, k, r, found = (c[s:e] for c in columns)
+            if links := links_among(k, r, asks, answers, [np.frombuffer(x, np.uint64) for x in found]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    return trimmed(lambda batches: _runs(batches, give))
+    return _runs(batches, give)
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
     """Rows of bucket, asks, answers and the columns of members (shingle, key, root, ...): what tasks compare.
 
-    Up to BLOCK members make one bucket. In a larger one the most frequent root only answers and members of its other roots ask and
+    Up to block members make one bucket. In a larger one the most frequent root only answers and members of its other roots ask and
     answer; blocks of those that ask meet blocks of those that answer, each two blocks in a bucket of their own.
     """
     rest = [c for c in members.columns if c != "shingle"]
-    large, seen = measured(members.groupBy("shingle").agg(F.count("*").alias("__members")).where(F.col("__members") > BLOCK), "large-buckets")  # fewer than all members over BLOCK
+    large, seen = measured(members.groupBy("shingle").agg(F.count("*").alias("__members")).where(F.col("__members") > block), "large-buckets")  # fewer than all members over block
     if not seen["rows"]:
         return members.select(F.col("shingle").alias("bucket"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), *rest)
     plain = members.join(F.broadcast(large), "shingle", "left_anti").select(F.col("shingle").alias("bucket"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), *rest)
     tallies = members.join(F.broadcast(large), "shingle").groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle")
     tallies = materialize(tallies.agg(F.max_by("root", F.struct("n", "root")).alias("__most"), F.sum("n").alias("__members"), (F.sum("n") - F.max("n")).alias("__asking")).where("__asking > 0"), "bucket-roots")
     asks = F.col("root") != F.col("__most")
-    parted = members.join(F.broadcast(tallies), "shingle").withColumn("__row", F.ceil(F.col("__asking") / BLOCK)).withColumn("__column", F.ceil(F.col("__members") / BLOCK))
+    parted = members.join(F.broadcast(tallies), "shingle").withColumn("__row", F.ceil(F.col("__asking") / block)).withColumn("__column", F.ceil(F.col("__members") / block))
     name = lambda i, j: F.xxhash64("shingle", i, j)
     row, column = F.pmod(F.xxhash64("key"), F.col("__row")), F.pmod(F.xxhash64("key"), F.col("__column"))
     asking = parted.where(asks).withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__column") - 1))).select(name(row, F.col("__at")).alias("bucket"), F.lit(True).alias("asks"), F.lit(False).alias("answers"), *rest)
@@ -274,7 +365,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     hot = spark.createDataFrame(pa.table({"shingle": np.sort(crowded)})) if len(crowded) else None
     cool = dealt if hot is None else dealt.join(F.broadcast(hot), "shingle", "left_anti")
     met, seen = measured(cool.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(trimmed(_meetings), "x long, y long, large boolean"), "meetings", large=F.count_if("large"))
-    left = -1 if hot is None and not seen["large"] else STAR_ROUNDS
+    more = hot is not None or seen["large"]
     pairs = met.where("not large").select("x", "y").unionByName(bits_near).unionByName(bits_same)
     large = met.where("large").select(F.col("x").alias("shingle"), F.col("y").alias("key"))
     if hot is not None:
@@ -312,30 +403,32 @@ def near_groups(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(ends.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
         return pairs
 
-    def verified(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
-        """Of n pairs a, b (a written table) those whose sets are similar, and their count; sets are met only for pairs that the wide sketches leave."""
+    def sets_of(keys: DataFrame, n: int) -> DataFrame:
+        """key, shingles: the sets of some n keys, made from their texts."""
+        named = fps.select("key", "file", "row").join(keys, "key")
+        named = F.broadcast(named) if n <= BROADCAST_ROWS else named
+        return materialize(places.join(named, ["file", "row"]).select("key", "text").mapInArrow(trimmed(sets), "key long, shingles binary"), "candidate-shingles")
+
+    def verified(pairs: DataFrame, n: int) -> DataFrame:
+        """Of n pairs a, b (a written table) those whose sets are similar; sets are met only for pairs that the wide sketches leave."""
         ends = materialize(fps.select("key", "n", "wide").join(ends_of(pairs, n), "key"), "candidate-sketches")
         both = both_ends(pairs, ends, "n", "wide").select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
         pairs, seen = measured(both.mapInArrow(trimmed(close), "a long, b long"), "close-pairs")
         if not seen["rows"]:
-            return pairs, 0
-        named = fps.select("key", "file", "row").join(ends_of(pairs, seen["rows"]), "key")
-        named = F.broadcast(named) if seen["rows"] * 2 <= BROADCAST_ROWS else named
-        found = materialize(places.join(named, ["file", "row"]).select("key", "text").mapInArrow(trimmed(sets), "key long, shingles binary"), "candidate-shingles")
+            return pairs
+        found = sets_of(ends_of(pairs, seen["rows"]), seen["rows"] * 2)
         both = both_ends(pairs, found, "shingles").select("a", "b", "a_shingles", "b_shingles")
-        found, seen = measured(both.mapInArrow(trimmed(similar), "a long, b long"), "similar")
-        return found, seen["rows"]
+        return materialize(both.mapInArrow(trimmed(similar), "a long, b long"), "similar")
 
-    def joined(roots: DataFrame, n: int, links: DataFrame) -> tuple[DataFrame, int]:
-        """roots (n rows) with the components that links connect made one, and their count: only the graph of components is walked again."""
+    def joined(roots: DataFrame, n: int, links: DataFrame) -> DataFrame:
+        """roots (n rows) with the components that links connect made one: only the graph of components is walked again."""
         named = F.broadcast(roots) if n <= BROADCAST_ROWS else roots
         for side in "ab":
             links = links.join(named.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
         moved, seen = measured(components(links), "moved-roots")
         few = F.broadcast(moved) if seen["rows"] <= BROADCAST_ROWS else moved
         again = roots.join(few.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots, seen = measured(again.unionByName(moved.join(named, "node", "left_anti").select("node", "root")), "roots")
-        return roots, seen["rows"]
+        return materialize(again.unionByName(moved.join(named, "node", "left_anti").select("node", "root")), "roots")
 
     release(spark)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -344,25 +437,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.abs(F.col("a_n") - F.col("b_n")) * 0)
     near = F.greatest(apart, F.abs(F.col("a_n") - F.col("b_n"))) <= _least_similar(F.col("a_n") + F.col("b_n"))
     candidates, seen = measured(pairs.where(near).select("a", "b"), "candidates")
-    links = same.select(F.col("node").alias("a"), F.col("key").alias("b")).unionByName(verified(candidates, seen["rows"])[0])
+    links = same.select(F.col("node").alias("a"), F.col("key").alias("b")).unionByName(verified(candidates, seen["rows"]))
     release(spark)
     roots, seen = measured(components(links), "roots")
-    rooted = seen["rows"]
-
-    while left >= 0:
-        release(spark)
-        at = large.join(roots.withColumnRenamed("node", "key"), "key", "left").join(facts, "key").select("shingle", "key", F.coalesce("root", "key").alias("root"), "n", *words)
-        found = _in_blocks(at).repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_crossings(left > 0), "a long, b long").distinct()
-        found, seen = measured(found, "candidates")
-        if not seen["rows"]:  # no two components are left that could meet
-            break
+    if more:
         release(spark)
-        new, n = verified(found, seen["rows"])
-        if not n:
-            left = min(left, 1)  # all pairs come next
-        else:
-            roots, rooted = joined(roots, rooted, new)
-        left -= 1
+        rooted, rest = seen["rows"], fps.select("key", "n", *words, "wide")
+        at = large.join(roots.withColumnRenamed("node", "key"), "key", "left").join(rest, "key").select("shingle", "key", F.coalesce("root", "key").alias("root"), "n", *words, "wide")
+        near = _in_blocks(at, BLOCK).repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(trimmed(_neighbours), "key long, root long, least long").distinct()
+        near, seen = measured(near, "neighbours")
+        if seen["rows"]:
+            release(spark)
+            groups = components(near.select(F.col("key").alias("a"), F.col("least").alias("b")))
+            members, seen = measured(near.select("key", "root").distinct().join(groups.select(F.col("node").alias("key"), F.col("root").alias("shingle")), "key"), "close-members")
+            few = F.broadcast(members.select("key")) if seen["rows"] <= BROADCAST_ROWS else members.select("key")
+            found = sets_of(few, seen["rows"])
+            release(spark)
+            met = _in_blocks(members, SETS_BLOCK).join(found, "key").select("bucket", "asks", "answers", "key", "root", "shingles")
+            links, seen = measured(met.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(trimmed(_links), "a long, b long").distinct(), "close-links")
+            roots = joined(roots, rooted, links) if seen["rows"] else roots
     return fps.join(roots.withColumnRenamed("node", "key"), "key").select("doc_id", "file", "row", "key", "root")
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import near_dedup
+from strandloom.llm import common, near_dedup
 from strandloom.llm.near_dedup import drop_near_copies, jaccard, shingle_set
 
 
@@ -105,3 +105,41 @@ def test_pairs_that_meet_at_a_member_unlike_both_are_compared(spark):
             rows.append((len(rows), " ".join(words)))
     got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == {d for d, _ in brute(rows)} == {0, *range(1, 25, 2)}
+
+
+def test_rows_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """Members that all lie just below the similarity, so that every pair must be compared, and a few copies among them."""
+    written = {}
+
+    def counted(df, label, **figures):
+        out, seen = common.measured(df, label, **figures)
+        written.setdefault(label, []).append(seen["rows"])
+        return out, seen
+
+    monkeypatch.setattr(near_dedup, "measured", counted)
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, label: counted(df, label)[0])
+    made = {}
+    for size in (30, 90):
+        written.clear()
+        texts = [[f"s{i}" for i in range(618)] + [f"f{m}-{i}" for i in range(82)] for m in range(size)]
+        texts += [t[:-1] for t in texts[:5]]
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id for r in got} == {d for d, _ in brute(rows)} == set(range(size))
+        made[size] = {k: sum(v) for k, v in written.items()}
+    assert all(n <= 5 * made[30][k] for k, n in made[90].items() if made[30].get(k))
+    assert all(made[90].get(k, 0) <= 4 * 95 for k in ("candidates", "close-pairs", "close-members", "close-links"))
+
+
+def test_blocks_of_sets_meet_each_other(spark, monkeypatch):
+    """Groups of near members that are cut into blocks of three."""
+    monkeypatch.setattr(near_dedup, "SETS_BLOCK", 3)
+    rng = random.Random(4)
+    texts = []
+    for shared in (40, 60, 90):
+        base = [f"t{shared}-{i}" for i in range(shared)]
+        texts += [base + [f"f{shared}-{i}-{j}" for j in range(shared // 9 + i % 5)] for i in range(40)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {d for d, _ in brute(rows)}
