@@ -136,3 +136,10 @@ def test_scores_together_are_those_one_by_one():
     pick = lambda most: "".join(random.choices("acgtn", k=random.randint(0, most)))
     rows = [(pick(12), pick(9)) for _ in range(2000)] + [(None, "acgt"), ("acgt", None), ("", "")]
     assert P.overlap_score_many([a for a, _ in rows], [b for _, b in rows]) == [None if a is None or b is None else P.overlap_score(a, b) for a, b in rows]
+
+
+def test_report_rounds_shares_as_sql_does(spark):
+    hits = spark.createDataFrame([(1, 160, [0], [92])], "t_name int, t_size int, t_starts array<int>, block_sizes array<int>")
+    refs = spark.createDataFrame([(1, "a" * 160), (2, "a" * 8)], "tid int, seq string")
+    got = {r.transcript: (r.covered, r.largest_covered) for r in E.transcript_report(hits, refs, spark.createDataFrame([(1, 2)], "t_name int, other int")).collect()}
+    assert got == {1: (0.57, 0.57), 2: (0.0, 0.0)}  # 92 / 160 as a double is under 0.575
