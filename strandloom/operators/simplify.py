@@ -16,8 +16,6 @@ from .unitigs import ranked_chains
 
 #: Tips are under TIP bases; stems are under STEM, and siblings that may go are under twice as many.
 TIP, STEM = 35, 25
-#: Links that one stem may turn into; a stem with more ways through it stays, which loses nothing.
-MOST_WAYS = 1024
 
 
 def _size(seq: str = "seq") -> F.Column:
@@ -107,20 +105,19 @@ def collapsed(nodes: DataFrame, links: DataFrame, stem: int = STEM) -> tuple[Dat
     return nodes.join(moves, "tid", "left_anti"), _relinked(links, moves), moves
 
 
-def stems_to_push(nodes: DataFrame, links: DataFrame, stem: int = STEM, most_ways: int = MOST_WAYS) -> DataFrame:
+def stems_to_push(nodes: DataFrame, links: DataFrame, stem: int = STEM) -> DataFrame:
     """tid of nodes under stem bases that lead to two or more nodes, each of them reached from here only; of two such nodes in a row the smaller tid."""
     i = links.groupBy("dst").agg(F.count("*").alias("i"))
     out = links.join(i, "dst").groupBy("src").agg(F.count("*").alias("o"), F.max("i").alias("most"))
-    found = nodes.where(_size() < stem).select("tid").join(out.withColumnRenamed("src", "tid"), "tid").where("o > 1 and most = 1")
-    found = found.join(i.withColumnRenamed("dst", "tid"), "tid", "left").where(F.coalesce("i", F.lit(0)) * F.col("o") <= most_ways).select("tid")
+    found = nodes.where(_size() < stem).select("tid").join(out.withColumnRenamed("src", "tid"), "tid").where("o > 1 and most = 1").select("tid")
     found = written(found, "stems")
     both = links.join(found.withColumnRenamed("tid", "src"), "src", "left_semi").join(found.withColumnRenamed("tid", "dst"), "dst", "left_semi")
     return found.join(both.select(F.greatest("src", "dst").alias("tid")).distinct(), "tid", "left_anti")
 
 
-def pushed_stems(nodes: DataFrame, links: DataFrame, stem: int = STEM, most_ways: int = MOST_WAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pushed_stems(nodes: DataFrame, links: DataFrame, stem: int = STEM) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, links and moves with the bases of each such stem set before all it leads to, and what led to the stem leading to those."""
-    gone = written(stems_to_push(nodes, links, stem, most_ways), "stems")
+    gone = written(stems_to_push(nodes, links, stem), "stems")
     fork = links.join(gone.withColumnRenamed("tid", "src"), "src", "left_semi")
     grown = fork.join(nodes.select(F.col("tid").alias("src"), F.coalesce("seq", F.lit("")).alias("front")), "src").select(F.col("dst").alias("tid"), F.col("src").alias("stem"), "front")
     grown = written(grown, "branches")

@@ -135,3 +135,12 @@ def test_untracked_graph_is_the_same_and_writes_no_parts(spark, monkeypatch):
     want = simplify.simplified(*frames_)
     assert "parts" in labels
     assert sorted(map(tuple, n.collect())) == sorted(map(tuple, want[0].collect())) and sorted(map(tuple, e.collect())) == sorted(map(tuple, want[1].collect()))
+
+
+def test_a_stem_with_many_ways_goes_too(spark):
+    """40 ways into the stem and 40 out of it: 1,600 links."""
+    nodes = {0: "acgt"} | {t: "a" * 60 for t in range(1, 41)} | {t: "c" * 60 for t in range(101, 141)}
+    links = {(t, 0) for t in range(1, 41)} | {(0, t) for t in range(101, 141)}
+    n, e, _ = (x and x.collect() for x in simplify.pushed_stems(*frames(spark, nodes, links)))
+    assert {r.tid: r.seq for r in n} == {t: "a" * 60 for t in range(1, 41)} | {t: "acgt" + "c" * 60 for t in range(101, 141)}
+    assert {(r.src, r.dst) for r in e} == {(a, b) for a in range(1, 41) for b in range(101, 141)}
