@@ -29,7 +29,7 @@ _GAPPED = f"gp AS (SELECT p_partkey AS name, {_WITH_N.format(s='varchar')} AS se
 
 def sw_score(spark: SparkSession, sf: str) -> DataFrame:
     h = halves(spark, sf)
-    pairs = h.alias("a").join(h.alias("b"), F.expr("a.tid + 1 = b.tid")).select(F.col("a.tid").alias("tid"), F.col("a.seq").alias("l"), F.substring("b.seq", 1, 70).alias("r"))
+    pairs = h.alias("a").join(h.alias("b"), F.expr("a.tid + 1 = b.tid")).select(F.col("a.tid").alias("tid"), F.col("a.seq").alias("l"), F.col("b.seq").alias("r"))
     return pairs.select("tid", pairwise.overlap_scores(F.col("l"), F.col("r")).alias("score"))
 
 

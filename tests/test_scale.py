@@ -127,3 +127,13 @@ def test_fuzzy_seeds_name_reads_last(spark):
     assert sorted(map(tuple, df.collect())) == [(t, i) for t in (1, 2) for i in range(30)]
     above = plan(df).split("== Initial Plan ==")[0].split("Join")[0]
     assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_sw_score_reads_whole_templates(spark):
+    from strandloom.functions.pairwise import overlap_score
+    from strandloom.plans import queries_graph
+
+    seqs = {r.tid: r.seq for r in queries_graph.halves(spark, SF).collect()}
+    want = {t: overlap_score(s, seqs[t + 1]) for t, s in seqs.items() if t + 1 in seqs}
+    assert {r.tid: r.score for r in catalog.QUERIES["sw_score"](spark, SF).collect()} == want
+    assert any(overlap_score(s, seqs[t + 1][:70]) != want[t] for t, s in seqs.items() if t + 1 in seqs)
