@@ -1,6 +1,6 @@
 """Importance resampling towards a target distribution, with an exact draw by radix selection.
 
-Texts become bags of hashed word runs. One pass counts the buckets of the raw corpus and of the target, which
+Texts become bags of hashed word runs, cut and hashed in Arrow batches, a byte of all words at a time. One pass counts the buckets of the raw corpus and of the target, which
 gives a gain per bucket; an array of these scores every document in a second pass. The draw takes the k best scores
 with Gumbel noise: the k-th key of (score descending, doc_id) is found digit by digit from counts of digits, so no task
 sorts or gathers the corpus, and only the selected rows are sorted by range and ranked.
@@ -9,12 +9,17 @@ sorts or gathers the corpus, and only the selected rows are sorted by range and
 from __future__ import annotations
 
 import itertools
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, measured
+from .common import materialize, measured
 
 #: Words: runs of ASCII letters, digits and everything beyond ASCII.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -24,25 +29,83 @@ DIGIT = 16
 _SIGN = 1 << 63
 
 
-def words(text: Column) -> Column:
-    """Words of a text, A-Z lowered; null texts have none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
 
 
-def features(found: Column, longest: int = LONGEST_RUN) -> Column:
-    """All runs of 1 to longest consecutive words, joined by a space; found must be a column of words, not their expression, as lambdas
-    would evaluate that anew for every run."""
-    runs = lambda n: F.when(F.size(found) >= n, F.transform(F.sequence(F.lit(0), F.size(found) - n), lambda i: F.concat_ws(" ", *[F.get(found, i + j) for j in range(n)]))).otherwise(F.array().cast("array<string>"))
-    return found if longest == 1 else F.concat(found, *[runs(n) for n in range(2, longest + 1)])
+#: A-Z lowered; the bytes of words (in UTF-8 all beyond ASCII are); the CRC-32 step of a byte.
+_LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_IN_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
+_CRC, _ONES = _crc_table(), np.uint32(0xFFFFFFFF)
+#: Bytes of texts that are taken at once, if they are more than one text; bytes of words that are hashed side by side, longer ones go on one by one.
+CHUNK, SIDE_BY_SIDE = 1 << 20, 48
 
 
-def bucket(feature: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.crc32(feature.cast("binary")), F.lit(buckets)).cast("int")
+def _fed(crc: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 registers after the bytes from start to end went in: a byte of all words at a time."""
+    order = np.argsort(start - end, kind="stable")  # the longest first
+    size, at, crc = (end - start)[order], start[order], crc[order]
+    more = np.searchsorted(-size, -np.arange(SIDE_BY_SIDE + 1), "left")  # how many are longer than 0, 1, 2...
+    for j, k in enumerate(more[:-1].tolist()):
+        if not k:
+            break
+        crc[:k] = _CRC[(crc[:k] ^ data[at[:k] + j]) & 255] ^ (crc[:k] >> 8)
+    for i in range(more[-1]):
+        crc[i] = zlib.crc32(data[at[i] + SIDE_BY_SIDE : at[i] + size[i]], int(crc[i] ^ _ONES)) ^ 0xFFFFFFFF
+    out = np.empty_like(crc)
+    out[order] = crc
+    return out
+
+
+def _hashed(texts: pa.Array, buckets: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some texts after others: the words of each, and of every feature (a run of 1 to longest words, joined by a space) its text and bucket.
+
+    Words are A-Z lowered and made of ASCII letters, digits and all beyond ASCII; null texts have none.
+    """
+    texts = pa.array(pc.fill_null(texts.cast(pa.large_binary()), b""))
+    _, offsets, letters = texts.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    every = np.frombuffer(letters, np.uint8) if letters is not None and letters.size else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + CHUNK, "right")) - 1)
+        data, cut = _LOWERED[every[cuts[i] : cuts[j]]], cuts[i : j + 1] - cuts[i]
+        inside = _IN_WORD[data]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        some = cut[:-1] < cut[1:]  # words end where their text does
+        first[cut[:-1][some]], last[cut[1:][some] - 1] = inside[cut[:-1][some]], inside[cut[1:][some] - 1]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        n_words = np.diff(np.searchsorted(start, cut))
+        of = np.repeat(np.arange(j - i), n_words)
+        crc, owners = _fed(np.full(len(start), _ONES), data, start, end), [of]
+        found = [crc ^ _ONES]
+        for n in range(1, longest):
+            goes = np.flatnonzero(of[: max(0, len(of) - n)] == of[n:])  # runs begin at the same places or fewer
+            space = _CRC[(crc[goes] ^ np.uint32(32)) & 255] ^ (crc[goes] >> 8)
+            crc[goes] = _fed(space, data, start[goes + n], end[goes + n])
+            owners.append(of[goes])
+            found.append(crc[goes] ^ _ONES)
+        yield n_words, np.concatenate(owners), np.concatenate(found) % np.uint32(buckets)
+        i = j
 
 
 def bucket_counts(rows: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST_RUN) -> DataFrame:
     """bucket, n over all texts of rows: counted in every task before the shuffle, one row per bucket at most."""
-    return rows.select(words(F.col("text")).alias("words")).select(F.explode(features(F.col("words"), longest)).alias("feature")).groupBy(bucket(F.col("feature"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(buckets, np.int64)
+        for b in batches:
+            for _, _, found in _hashed(b.column(0), buckets, longest):
+                n += np.bincount(found, minlength=buckets)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(n[seen])], ["bucket", "n"])
+
+    return rows.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST_RUN) -> list[int]:
@@ -64,11 +127,16 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
 
 def scored(docs: DataFrame, gain: list[int], longest: int = LONGEST_RUN, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_features, weight (floored mean gain of the features, 0 without any), score (with noise)."""
-    table = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<long>")  # folded to one literal array
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), features(F.col("words"), longest).alias("features"))
-    total = F.aggregate("features", F.lit(0).cast("long"), lambda acc, f: acc + F.get(table, bucket(f, len(gain))))
-    rows = rows.select("doc_id", "n_words", F.size("features").cast("long").alias("n_features"), total.alias("total"))
+    gain = np.array(gain, np.float64)  # sums of whole numbers are exact in doubles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.zeros((3, 0), np.int64)]
+            for n_words, of, found in _hashed(b.column(1), len(gain), longest):
+                out.append(np.stack([n_words, np.bincount(of, minlength=len(n_words)), np.bincount(of, gain[found], len(n_words)).astype(np.int64)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.concatenate(out, 1))], ["doc_id", "n_words", "n_features", "total"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_features long, total long")
     weight = F.when(F.col("n_features") == 0, F.lit(0).cast("long")).otherwise(F.expr("(total - pmod(total, n_features)) div n_features"))
     return rows.select("doc_id", "n_words", "n_features", weight.alias("weight")).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
 

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,23 @@ def test_radix_select_on_hot_keys(spark, k):
     chosen = radix_select(df, key, k)
     got = [] if chosen is None else [tuple(r) for r in ranked(df.where(chosen), F.col("a").desc(), F.col("b"), F.col("row")).orderBy("rank").drop("rank").collect()]
     assert got == want
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3])
+def test_features_hash_as_words_one_by_one(spark, monkeypatch, longest):
+    """Words at the borders of texts and of chunks, long ones and none at all; tasks give a row per bucket, not per word."""
+    monkeypatch.setattr(importance, "CHUNK", 64)
+    texts = ["a", "b c", None, "", "--", "Ab-C", "é日本x y", "q" * 200 + " " + "r" * 48 + " " + "S" * 49, "x", " lead", "trail "] * 3
+    found = [importance._hashed(pa.array(texts).slice(k), 10_000, longest) for k in (0, 5)]
+    for k, chunks in zip((0, 5), found, strict=True):
+        n, bags, at = [], Counter(), 0
+        for words, of, hits in chunks:
+            n += words.tolist()
+            bags.update(zip((of + at).tolist(), hits.tolist(), strict=True))
+            at += len(words)
+        split = [WORD.findall((t or "").translate(LOWER)) for t in texts[k:]]
+        assert n == list(map(len, split))
+        assert bags == Counter((t, zlib.crc32(" ".join(w[i : i + m]).encode()) % 10_000) for t, w in enumerate(split) for m in range(1, longest + 1) for i in range(len(w) - m + 1))
+    counts = importance.bucket_counts(spark.createDataFrame([(t,) for t in texts], "text string"), longest=longest)
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.n for r in counts.collect()) == sum(max(0, len(WORD.findall((t or "").translate(LOWER))) - m) for t in texts for m in range(longest))
