@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ROWS = 4096
 
 
-def _letters(texts: list[str]) -> np.ndarray:
+def column_letters(texts: list[str]) -> np.ndarray:
     """A column for each text of one length, a row for each place."""
     plain = all(map(str.isascii, texts))
     joined = "".join(texts).encode("ascii" if plain else "utf-32-le")
@@ -42,7 +42,7 @@ def _batched(a: Column, b: Column, kind: str, give: Callable, missing: object =
         for rows in sizes.values():
             for at in range(0, len(rows), ROWS):
                 mine = rows[at : at + ROWS]
-                found = give(_letters([left[i] for i in mine]), _letters([right[i] for i in mine]))
+                found = give(column_letters([left[i] for i in mine]), column_letters([right[i] for i in mine]))
                 for i, value in zip(mine, found, strict=True):
                     out[i] = value
         return pd.Series(out, dtype="Int32" if kind == "int" else "boolean")

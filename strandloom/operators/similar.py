@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.batched import column_letters
 from ..functions.pairwise import similar
 from ..storage import written
 
@@ -12,32 +18,77 @@ from ..storage import written
 MOST_ROUNDS = 200
 
 
-def _cuts(length: Column, parts: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i of a sequence of this length."""
-    start = F.floor(length * i / parts).cast("int")
-    return start + 1, F.floor(length * (i + 1) / parts).cast("int") - start
+#: Bases that a segment is found by, at least, if it has as many; texts whose segments are looked for side by side.
+LEAST_ANCHOR, SIDE_BY_SIDE = 14, 512
+#: Of the hashes of segments.
+BASE = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def segment_keys(letters: np.ndarray, allowed: int, short: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which texts (columns of letters, all of one length) have which keys: as the shorter of a pair those of their own segments, else those of all
+    segments that a text 0 to allowed bases shorter may have here.
+
+    A segment is named by the least hash of its parts of LEAST_ANCHOR bases or half of it, so places side by side mostly have one key in common.
+    """
+    n, rows = letters.shape
+    whole = lambda x: np.uint64(x % (1 << 64))
+    sums = np.zeros((n + 1, rows), np.uint64)
+    for i in range(n):
+        sums[i + 1] = sums[i] * whole(BASE) + letters[i] + np.uint64(1)
+    for d in range(allowed + 1):
+        size = n if short else n - d
+        if size < 2 * allowed + 1:
+            continue
+        parts = allowed + d + 1
+        for part in range(parts):
+            begin, end = size * part // parts, size * (part + 1) // parts
+            anchor = min(end - begin, max(LEAST_ANCHOR, (end - begin + 1) // 2))
+            first, last = (begin, end) if short else (max(0, begin - allowed - d), min(n, end + allowed + 2 * d))
+            at = np.arange(first, last - anchor + 1)
+            hashes = _mixed(sums[at + anchor] - sums[at] * whole(pow(BASE, anchor, 1 << 64)))
+            least = np.lib.stride_tricks.sliding_window_view(hashes, end - begin - anchor + 1, axis=0).min(-1)
+            fresh = np.ones(least.shape, bool)
+            fresh[1:] = least[1:] != least[:-1]
+            place, row = np.nonzero(fresh)
+            yield row, _mixed(least[place, row] + whole(((size * (allowed + 1) + d) * (2 * allowed + 1) + part) * BASE)).view(np.int64)
+
+
+def _keyed(texts: DataFrame, allowed: int, short: bool, name: str) -> DataFrame:
+    """name (rep), key of texts (rep, seq)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep, sizes = b.column(0), {}
+            for i, seq in enumerate(seqs := b.column(1).to_pylist()):
+                sizes.setdefault(len(seq), []).append(i)
+            for rows in sizes.values():
+                for at in range(0, len(rows), SIDE_BY_SIDE):
+                    mine = rows[at : at + SIDE_BY_SIDE]
+                    found = list(segment_keys(column_letters([seqs[i] for i in mine]).astype(np.uint64), allowed, short))
+                    row, key = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(np.array(mine)[row])), pa.array(key)], [name, "key"])
+
+    return texts.select("rep", "seq").mapInArrow(run, StructType([StructField(name, texts.schema["rep"].dataType), StructField("key", LongType())]))
 
 
 def similar_pairs(rows: DataFrame, allowed: int) -> tuple[DataFrame, DataFrame]:
     """a, b (a < b), score: all pairs of different sequences of rows (id, seq), each named by its smallest id, that are similar with so many differences allowed.
 
-    Similar: lengths at most allowed apart, and an alignment score (1 a match, -1 a mismatch or gap, ends free) of at least the shorter length less
-    allowed and the difference of lengths. Mismatches, gaps and bases of the shorter sequence left out are then 2 * allowed at most in all, so of
-    2 * allowed + 1 segments of the shorter one stands unchanged in the longer, at most 3 * allowed places off. The join is on such segments
-    (and on the shorter length, so lengths apart never meet), by a hash of both, as every candidate is scored; candidates are distinct before any score is taken. Null sequences and those
-    shorter than 2 * allowed + 1 bases have no pair. The second table tells the sequences: seq, rep, n.
+    Similar: lengths d, at most allowed, apart, and an alignment score (1 a match, -1 a mismatch or gap, ends free) of at least the shorter length less
+    allowed and d. Twice the mismatches and the bases of the shorter sequence in gaps, those of the longer one in gaps and those of the shorter one left
+    out are then allowed + d at most, so of allowed + d + 1 segments of the shorter one stands unchanged in the longer, at most allowed + d places
+    to the left or allowed + 2 * d to the right. The join is on keys of such segments, as every candidate is scored; candidates are distinct
+    before any score is taken. Null sequences and those shorter than 2 * allowed + 1 bases have no pair. The second table tells the sequences: seq, rep, n.
     """
-    parts, reach = 2 * allowed + 1, 3 * allowed
-    texts = written(rows.where(F.length("seq") >= parts).groupBy("seq").agg(F.min("id").alias("rep")).withColumn("n", F.length("seq")), "texts")
-    key = lambda short, i, at, size: F.xxhash64(short, i, F.substring(F.col("seq"), at, size))
-    cut = F.array(*[key(F.col("n"), F.lit(i), *_cuts(F.col("n"), parts, i)) for i in range(parts)])
-    short = texts.select(F.col("rep").alias("a"), F.col("n").alias("short"), F.explode(cut).alias("key")).hint("merge")  # far more than the file
-    long = texts.select(F.col("rep").alias("b"), "seq", "n", F.explode(F.sequence(F.greatest(F.col("n") - allowed, F.lit(parts)), "n")).alias("short"))
-    near = F.array(*[F.struct(F.lit(i).alias("part"), _cuts(F.col("short"), parts, i)[0].alias("start"), _cuts(F.col("short"), parts, i)[1].alias("size")) for i in range(parts)])
-    long = long.select("b", "seq", "n", "short", F.explode(near).alias("x")).select("b", "seq", "n", "short", "x.*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("off"))
-    at = F.col("start") + F.col("off")
-    long = long.where((at >= 1) & (at + F.col("size") - 1 <= F.col("n"))).select("b", "n", key(F.col("short"), F.col("part"), at, F.col("size")).alias("key"))
-    met = short.join(long, "key").where((F.col("a") < F.col("b")) | (F.col("short") < F.col("n"))).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    texts = written(rows.where(F.length("seq") >= 2 * allowed + 1).groupBy("seq").agg(F.min("id").alias("rep")).withColumn("n", F.length("seq")), "texts")
+    short, long = _keyed(texts, allowed, True, "a").hint("merge"), _keyed(texts, allowed, False, "b")
+    met = short.join(long, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of = lambda c, s: texts.select(F.col("rep").alias(c), F.col("seq").alias(s))
     scored = met.join(of("a", "l"), "a").join(of("b", "r"), "b").select("a", "b", similar(F.col("l"), F.col("r"), allowed).alias("score")).where("score > 0")
     return written(scored, "similar"), texts

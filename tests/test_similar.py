@@ -2,8 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandloom.functions.pairwise import similarity_score
-from strandloom.operators.similar import drop_similar, similar_rows
+from strandloom.functions.batched import column_letters
+from strandloom.functions.pairwise import similarity_score, similarity_score_many
+from strandloom.operators.similar import drop_similar, segment_keys, similar_rows
 
 
 def family(seed, n=14, allowed=3):
@@ -53,3 +54,18 @@ def test_longest_stay(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "id long, seq string")
     assert similar_rows(none, 2).collect() == [] and drop_similar(none, 2).collect() == []
+
+
+def test_scores_of_many_pairs_are_those_of_each():
+    rows = [s for _, s in family(5, 4)]
+    left, right = zip(*[(s, t) for s in rows for t in rows], strict=True)
+    assert similarity_score_many([*left, None], [*right, "a"], 3) == [*(None if s is None or t is None else similarity_score(s, t, 3) for s, t in zip(left, right, strict=True)), None]
+    assert similarity_score_many([], [], 3) == []
+
+
+def test_places_side_by_side_share_keys():
+    """Every place a segment may stand at once made a key of its own: 7 segments, 19 places and 4 lengths, up to 532 for a sequence."""
+    rng = random.Random(6)
+    letters = column_letters(["".join(rng.choices("acgt", k=180)) for _ in range(50)]).astype("uint64")
+    count = lambda short: sum(len(row) for row, _ in segment_keys(letters, 3, short)) / 50
+    assert count(True) == 4 + 5 + 6 + 7 and count(False) < 100
