@@ -60,7 +60,7 @@ def segment_keys(letters: np.ndarray, allowed: int, short: bool) -> Iterator[tup
 
 
 def _keyed(texts: DataFrame, allowed: int, short: bool, name: str) -> DataFrame:
-    """name (rep), key of texts (rep, seq)."""
+    """name (rep), key of texts (rep, seq); they are spread first, as their files are small for the work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,7 +74,7 @@ def _keyed(texts: DataFrame, allowed: int, short: bool, name: str) -> DataFrame:
                     row, key = (np.concatenate(x) for x in zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([rep.take(pa.array(np.array(mine)[row])), pa.array(key)], [name, "key"])
 
-    return texts.select("rep", "seq").mapInArrow(run, StructType([StructField(name, texts.schema["rep"].dataType), StructField("key", LongType())]))
+    return texts.select("rep", "seq").repartition("rep").mapInArrow(run, StructType([StructField(name, texts.schema["rep"].dataType), StructField("key", LongType())]))
 
 
 def similar_pairs(rows: DataFrame, allowed: int) -> tuple[DataFrame, DataFrame]:
@@ -96,6 +96,7 @@ def similar_pairs(rows: DataFrame, allowed: int) -> tuple[DataFrame, DataFrame]:
 
 def similar_rows(rows: DataFrame, allowed: int) -> DataFrame:
     """a, b (a < b), score of similar rows, as similar_pairs, with equal sequences paired too (score: their length)."""
+    rows = written(rows.select("id", "seq"), "rows")  # else filters on sequences go below what spreads them, into the one task of a small file
     scored, texts = similar_pairs(rows, allowed)
     named = rows.join(texts.select("seq", "rep", "n"), "seq").select("id", "rep", "n")
     apart = scored.join(named.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(named.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
@@ -109,6 +110,7 @@ def drop_similar(rows: DataFrame, allowed: int) -> DataFrame:
 
     Each round keeps what no undecided better sequence is similar to, and drops what is similar to it.
     """
+    rows = written(rows, "rows")
     scored, texts = similar_pairs(rows, allowed)
     rank = texts.select("rep", F.struct((-F.col("n")).alias("size"), F.col("rep").alias("id")).alias("rank"))
     both = scored.join(rank.select(F.col("rep").alias("a"), F.col("rank").alias("p")), "a").join(rank.select(F.col("rep").alias("b"), F.col("rank").alias("q")), "b")
